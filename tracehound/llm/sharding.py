@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from .shared import staged, text_key, text_or_empty
 
 BLOCK_ITEMS = 4096
-#: Items above total / (shards * COARSE) go straight to the last level; at most shards * COARSE of them exist.
+#: Items above total / (shards * COARSE) go straight to the last level; at most shards * COARSE of them exist, and
+#: less for small blocks, so that each level has fewer items than the one before.
 COARSE = 32
 
 
@@ -67,12 +68,12 @@ def group_shards(groups: DataFrame, shards: int, block_items: int = BLOCK_ITEMS)
     """groups(id binary, bytes long), ids distinct -> (id, shard)."""
     schema = "id binary, block long, way int, bytes long"
     levels, items = [], groups
+    few = shards * max(1, min(COARSE, block_items // (4 * shards)))
     while True:
         n, total = items.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-        # The last level has room for the coarse items and one more block.
         if n <= block_items:
             break
-        coarse = F.col("bytes") > total / (shards * COARSE)
+        coarse = F.col("bytes") > total / few
         blocks = max(1, math.ceil(n / block_items))
         fine = items.filter(~coarse).withColumn("block", F.pmod(F.xxhash64("id", F.lit(len(levels))), F.lit(blocks)))
         placed = staged(fine.groupBy("block").applyInPandas(_difference_blocks(shards), schema), "shard-level")
