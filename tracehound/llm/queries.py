@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .fingerprints import canonical_text, numbered, wide_hash, with_next
 from .line_dedup import dedup_lines
+from .minhash import near_duplicates
 from .mixing import mix_sources
 from .shared import table, text_or_empty
 from .sharding import shard_documents
@@ -98,6 +99,10 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filters": op5_url_filters,
     "op6_token_counts": op6_token_counts,
     "op8_bpe_codec": op8_bpe_codec,
+    "op9_near_dedup": op9_near_dedup,
     "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_url_filters": OP5_SQL}
