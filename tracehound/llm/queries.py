@@ -12,6 +12,7 @@ from .fingerprints import canonical_text, numbered, wide_hash, with_next
 from .line_dedup import dedup_lines
 from .minhash import near_duplicates
 from .mixing import mix_sources
+from .neighbours import search
 from .shared import table, text_or_empty
 from .sharding import shard_documents
 from .token_counts import count_documents
@@ -95,6 +96,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op5_url_filters": op5_url_filters,
     "op6_token_counts": op6_token_counts,
+    "op7_neighbours": op7_neighbours,
     "op8_bpe_codec": op8_bpe_codec,
     "op9_near_dedup": op9_near_dedup,
     "op10_mixing": op10_mixing,
