@@ -16,6 +16,7 @@ from .neighbours import search
 from .shared import table, text_or_empty
 from .sharding import shard_documents
 from .token_counts import count_documents
+from .toxicity import held_out, score_documents
 from .transducer import encode_digests
 from .url_filters import match_urls
 
@@ -75,6 +76,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
@@ -116,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_line_dedup": op2_line_dedup,
     "op3_sharding": op3_sharding,
+    "op4_toxicity": op4_toxicity,
     "op5_url_filters": op5_url_filters,
     "op6_token_counts": op6_token_counts,
     "op7_neighbours": op7_neighbours,
