@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from tracehound.operators.components import connected_components
+
 from .shared import staged, text_or_empty
 from .words import documents_words, mix
 

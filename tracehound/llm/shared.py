@@ -1,35 +1,13 @@
-"""Reading tables and keeping intermediate tables in the folder that the whole cluster shares."""
+"""Column helpers, and tables and shared intermediate tables as the rest of the library has them."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracehound.sources.staging import shared_folder, staged, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a folder of our own only where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracehound-"))
-    return sc.getCheckpointDir()
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again.
-
-    This cuts the lineage: what follows depends on files that outlive any executor, and work that several
-    branches need is done once.
-    """
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["ascii_lower", "shared_folder", "staged", "table", "text_key", "text_or_empty"]
 
 
 def text_or_empty(column: str | Column = "text") -> Column:
