@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,28 +13,25 @@ from .tables import COMMAND_SIGNATURES, PATH_SIGNATURES, WINDOWS_ROOT_NAMES
 Signature = tuple[str, str, str]  # pattern, label, severity
 
 
-def _entry(label: str, severity: str, n: int) -> Column:
-    return F.struct(F.lit(n).alias("n"), F.lit(label).alias("label"), F.lit(severity).alias("severity"))
+def _table(table: tuple[Signature, ...]) -> Column:
+    """The table as one literal, which Catalyst folds once."""
+    rows = [{"n": n, "label": label, "severity": severity, "pattern": f"(?i){pattern}"} for n, (pattern, label, severity) in enumerate(table)]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<n:int,label:string,severity:string,pattern:string>>")
 
 
 def all_matches(text: Column, table: tuple[Signature, ...] = COMMAND_SIGNATURES, least: int = 0) -> Column:
-    """array<struct<n, label, severity>> of the signatures found in the text, in table order.
+    """array<struct<n, label, severity, pattern>> of the signatures found in the text, in table order.
 
-    With `least`, a signature counts only if its first match has that many characters.
+    With `least`, a signature counts only if its first match has that many characters. One alternation of all patterns
+    stands in front, compiled once, so that the few texts with any match alone are tried pattern by pattern.
     """
-    found = []
-    for n, (pattern, label, severity) in enumerate(table):
-        hit = matches(text, pattern)
-        if least:
-            hit = hit & (F.char_length(F.regexp_extract(text, f"(?i){pattern}", 0)) >= least)
-        found.append(F.when(hit, _entry(label, severity, n)))
-    # Groups of signatures keep a generated method small; an alternation in front of each group skips most texts.
-    parts = []
-    for low in range(0, len(found), 16):
-        some = "|".join(f"(?:{p})" for p, _, _ in table[low : low + 16])
-        none = F.array().cast("array<struct<n:int,label:string,severity:string>>")
-        parts.append(F.when(matches(text, f"(?:{some})"), F.array_compact(F.array(*found[low : low + 16]))).otherwise(none))
-    return F.flatten(F.array(*parts))
+
+    def hit(s: Column) -> Column:
+        found = F.regexp_like(text, s["pattern"])
+        return found & (F.char_length(F.call_function("regexp_extract", text, s["pattern"], F.lit(0))) >= least) if least else found
+
+    any_ = "|".join(f"(?:{p})" for p, _, _ in table)
+    return F.when(matches(text, f"(?:{any_})"), F.filter(_table(table), hit)).otherwise(F.from_json(F.lit("[]"), "array<struct<n:int,label:string,severity:string,pattern:string>>"))
 
 
 def first_match(text: Column, table: tuple[Signature, ...] = COMMAND_SIGNATURES, least: int = 0, among: tuple[str, ...] = ()) -> Column:
