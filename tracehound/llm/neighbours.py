@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by largest inner product: a neighbour graph by NN-descent, searched greedily.
 
-Equal vectors are one node. Each node starts with the best of a random cell of nodes; then, round by round, the
+Equal vectors are one node. Each node starts with the best of two random cells of nodes; then, round by round, the
 neighbours of a node (those it names and some of those that name it) are brought together by joins, and every two of
 them, one at least being new, are proposed to each other. The search keeps a beam of nodes for each query and expands
 the best unexpanded ones by joins with the graph. Graph and search use vectors of 8-bit components, lengthened by one
@@ -45,15 +45,15 @@ def usable(rows: DataFrame, id_column: str, vector: str) -> DataFrame:
 def _quantised(nodes: DataFrame) -> DataFrame:
     """(node, q): signed bytes of the vector and of the component that brings all vectors to the largest norm."""
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    sizes = nodes.agg(F.max(square).alias("s"), F.max(F.array_max(F.transform("v", F.abs))).alias("m")).first()
-    norm2, top = float(sizes["s"] or 1.0), float(sizes["m"] or 1.0)
+    sizes = nodes.agg(F.max(square).alias("s"), F.min(square).alias("least"), F.max(F.array_max(F.transform("v", F.abs))).alias("m")).first()
+    norm2 = float(sizes["s"] or 1.0)
+    scale = 127.0 / max(float(sizes["m"] or 1.0), math.sqrt(max(norm2 - float(sizes["least"] or norm2), 0.0)))
 
     @F.pandas_udf("binary")
     def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for vs in batches:
             m = np.array(vs.tolist(), dtype=np.float64) if len(vs) else np.empty((0, 1))
             rest = np.sqrt(np.maximum(norm2 - (m * m).sum(axis=1), 0.0))[:, None]
-            scale = 127.0 / max(top, float(rest.max(initial=0.0)) if top == 0 else top)
             yield pd.Series([r.tobytes() for r in np.clip(np.rint(np.hstack([m, rest]) * scale), -127, 127).astype(np.int8)])
 
     return nodes.select("node", pack("v").alias("q"))
@@ -134,7 +134,10 @@ def neighbour_graph(vectors: DataFrame, degree: int = DEGREE, reverse: int = REV
     cells = max(1, n // CELL)
     schema = "u long, c long, s float, fresh boolean"
     cell = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.lit(cells))
-    graph = staged(vectors.groupBy(cell("node").alias("cell")).applyInPandas(_start(degree), schema), "graph")
+    # Two ways of dealing nodes to cells tie the cells to one another; else no round could leave a cell.
+    starts = [vectors.groupBy(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(cells)).alias("cell")).applyInPandas(_start(degree if cells == 1 else degree // 2), schema) for seed in ([2] if cells == 1 else [2, 3])]
+    graph = starts[0] if cells == 1 else starts[0].unionByName(starts[1]).groupBy(cell("u").alias("cell")).applyInPandas(_merge(degree), schema)
+    graph = staged(graph, "graph")
     for round_ in range(rounds if cells > 1 else 0):
         order = Window.partitionBy("v").orderBy(F.xxhash64("u", F.lit(round_)), "u")
         back = graph.select(F.col("c").alias("v"), F.col("u"), "fresh").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= reverse).drop("r")
@@ -164,7 +167,8 @@ def greedy_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, beam
     order = Window.partitionBy("c").orderBy(F.desc("s"), "u")
     back = graph.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= REVERSE).select(F.col("c").alias("u"), F.col("u").alias("c"))
     edges = staged(graph.select("u", "c").unionByName(back).groupBy("u").agg(F.collect_set("c").alias("cs")), "graph-edges")
-    own = queries.join(vectors, "node").select(F.col("node").alias("query"), F.col("q").alias("query_q"))
+    # The added component of a query is zero: what is compared is the inner product of the vectors themselves.
+    own = queries.join(vectors, "node").select(F.col("node").alias("query"), F.expr("concat(substring(q, 1, length(q) - 1), x'00')").alias("query_q"))
     state = own.select("query", F.col("query").alias("found"), F.lit(float("inf")).cast("float").alias("s"), F.lit(False).alias("done"))
     for _ in range(hops):
         by_best = Window.partitionBy("query").orderBy("done", F.desc("s"), "found")
