@@ -23,7 +23,9 @@ from .shared import staged
 
 DEGREE = 24
 REVERSE = 16
-ROUNDS = 6
+ROUNDS = 8
+#: Share of new edges at which the rounds end.
+SETTLED = 0.03
 #: Proposals that a node gets in one place of meeting.
 PROPOSALS = 8
 CELL = 1024
@@ -148,6 +150,10 @@ def neighbour_graph(vectors: DataFrame, degree: int = DEGREE, reverse: int = REV
         proposals = met.groupBy(cell("v").alias("cell")).applyInPandas(_meet, "u long, c long, s float")
         both = graph.withColumn("fresh", F.lit(False)).unionByName(proposals.withColumn("fresh", F.lit(True)))
         graph = staged(both.groupBy(cell("u").alias("cell")).applyInPandas(_merge(degree), schema), "graph")
+        # Done when a round changes hardly an edge.
+        fresh, edges = graph.agg(F.count_if("fresh"), F.count("*")).first()
+        if fresh <= SETTLED * edges:
+            break
     return graph
 
 
@@ -173,6 +179,8 @@ def greedy_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, beam
     for _ in range(hops):
         by_best = Window.partitionBy("query").orderBy("done", F.desc("s"), "found")
         state = staged(state.withColumn("now", ~F.col("done") & (F.row_number().over(by_best) <= expand)), "search-beam")
+        if not state.filter("now").head(1):
+            break
         step = state.filter("now").select("query", "found").join(edges, F.col("found") == F.col("u")).select("query", F.explode("cs").alias("found")).distinct()
         scored = step.join(vectors, step["found"] == vectors["node"]).join(own, "query").select("query", "found", _inner("q", "query_q").alias("s"), F.lit(False).alias("done"))
         both = state.select("query", "found", "s", (F.col("done") | F.col("now")).alias("done")).unionByName(scored)
