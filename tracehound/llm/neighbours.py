@@ -190,7 +190,7 @@ def greedy_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, beam
     return state.select(F.col("query").alias("node"), "found")
 
 
-def search(rows: DataFrame, is_query, k: int = 20, id_column: str = "vec_id", vector: str = "embedding", beam: int = 160, expand: int = 24, hops: int = 8) -> DataFrame:
+def search(rows: DataFrame, is_query, k: int = 20, id_column: str = "vec_id", vector: str = "embedding", beam: int = 200, expand: int = 32, hops: int = 8) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of `rows` for which is_query(id column) holds, the k nearest found
     among all other rows, by inner product in double precision, nearest first, ties to the smaller id.
 
