@@ -198,7 +198,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shared = staged(shared.filter("m > 1").groupBy("m", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "m"), "near-buckets")
     members = staged(members.join(shared, "bucket"), "near-members")
 
-    components, edges, texts = None, None, None
+    # The texts of all nodes that share a bucket, brought together once; the merge join keeps the plan the same at
+    # every size.
+    wanted = staged(members.select("node").distinct(), "near-wanted")
+    texts = staged(rows.join(wanted.hint("merge"), rows["doc_id"] == wanted["node"]).select("node", "text").distinct(), "near-texts")
+    components, edges = None, None
     for round_ in range(2):
         order = F.col("node") if round_ == 0 else F.xxhash64("node", F.lit(round_))
         own = _with_components(members, components)
@@ -209,11 +213,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         near = F.least("n_shingles", "leader_n") * 100 >= F.greatest("n_shingles", "leader_n") * percent
         pairs = own.join(leaders, "bucket").filter((F.col("component") != F.col("leader_component")) & near)
         pairs = staged(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "near-pairs")
-        edges = _more_edges(edges, pairs, rows, width, percent)
+        edges = _more_edges(edges, pairs, texts, width, percent)
         components = staged(connected_components(edges), "near-components")
     own = staged(_divided(_with_components(members, components)), "near-round")
     pairs = _pairs_in_blocks(own, nodes, percent)
-    edges = _more_edges(edges, pairs, rows, width, percent)
+    edges = _more_edges(edges, pairs, texts, width, percent)
     components = staged(connected_components(edges), "near-components")
 
     component_of = nodes.select("set_key", "node").join(components, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
@@ -235,10 +239,9 @@ def _divided(members: DataFrame) -> DataFrame:
     return members.join(staged(buckets.select("bucket"), "near-divided"), "bucket", "left_semi")
 
 
-def _more_edges(edges: DataFrame | None, pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
-    wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-wanted")
-    texts = staged(rows.join(wanted, rows["doc_id"] == wanted["node"]).select("node", "text").distinct(), "near-texts")
-    found = _verified(pairs, texts, width, percent)
+def _more_edges(edges: DataFrame | None, pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    found = _verified(pairs, staged(texts.join(wanted, "node", "left_semi"), "near-texts"), width, percent)
     return staged(found if edges is None else found.unionByName(edges), "near-edges")
 
 
