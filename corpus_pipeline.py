@@ -37,7 +37,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group of near-duplicates; one row where rows repeat it."""
     kept = staged(near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct(), "pipeline-kept")
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+    out = docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
     return out.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(out.filter(F.col("doc_id").isNull())).select(*docs.columns)
 
 
@@ -46,7 +46,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mix_sources(docs, block_words=MIX_BLOCK_WORDS, whole=True, keep=())
     times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.greatest("size", F.lit(1))))
     times = staged(mixed.select(F.col("doc_id").alias("__id"), times.cast("int").alias("__times")).groupBy("__id").agg(F.max("__times").alias("__times")).filter("__times > 0"), "pipeline-times")
-    out = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id")))
+    out = docs.join(times.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")))
     return out.withColumn("__n", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
 
 
