@@ -16,9 +16,6 @@ from tracehound.llm.shared import staged, table
 from tracehound.llm.toxicity import THRESHOLD, score_documents
 from tracehound.llm.transducer import encode_digests
 
-#: Words in a block of the mix: some documents.
-MIX_BLOCK_WORDS = 8192
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score under the threshold. The classifier learns from the labelled rows of docs."""
@@ -42,10 +39,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents as often (0 to 2 times) as the mix takes them; documents without words stay."""
-    mixed = mix_sources(docs, block_words=MIX_BLOCK_WORDS, whole=True, keep=())
+    """Whole documents as often (0 to 2 times) as the mix takes them; documents without words stay. A source of which
+    no document begins in a taken block, though it has a target, keeps its shortest one."""
+    mixed = mix_sources(docs.withColumn("__own", F.col("source")), whole=True, keep=("__own",))
     times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.greatest("size", F.lit(1))))
-    times = staged(mixed.select(F.col("doc_id").alias("__id"), times.cast("int").alias("__times")).groupBy("__id").agg(F.max("__times").alias("__times")).filter("__times > 0"), "pipeline-times")
+    mixed = staged(mixed.select("doc_id", F.col("__own").alias("source"), "size", "target", times.cast("int").alias("times")), "pipeline-mixed")
+    sized = mixed.filter("size > 0 and target > 0")
+    # Source by source, not document by document: one row of each source that lost all.
+    lost = sized.groupBy("source").agg(F.max("times").alias("most"), F.min(F.struct("size", "doc_id")).alias("least")).filter("most = 0")
+    times = mixed.select("doc_id", "times").unionByName(lost.select(F.col("least.doc_id").alias("doc_id"), F.lit(1).alias("times")))
+    times = staged(times.groupBy(F.col("doc_id").alias("__id")).agg(F.max("times").alias("__times")).filter("__times > 0"), "pipeline-times")
     out = docs.join(times.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")))
     return out.withColumn("__n", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
 

@@ -182,3 +182,16 @@ def test_pipeline(spark):
         assert kept.columns == docs.columns, name
     out = corpus_pipeline.run(spark, SMALL).toPandas()
     assert len(out) and set(out["doc_id"]) <= {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_mix_stage_keeps_small_sources(spark, tmp_path):
+    """A hot source beside small ones, and sources of a single document: none with a target loses all."""
+    import corpus_pipeline
+
+    docs = [(i, " ".join(["w"] * 90), "hot") for i in range(2000)] + [(3000 + i, " ".join(["w"] * 60), f"small{i % 20:02}") for i in range(600)] + [(5000 + i, " ".join(["w"] * 50), f"one{i:02}") for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    out = corpus_pipeline.mix(spark, df, "").groupBy("source").count().toPandas().set_index("source")["count"]
+    assert set(out.index) == {s for _, _, s in docs}
+    even = [(i, " ".join(["w"] * 90), f"s{i % 30:02}") for i in range(30)]
+    out = corpus_pipeline.mix(spark, spark.createDataFrame(even, "doc_id long, text string, source string"), "")
+    assert {r["source"] for r in out.collect()} == {s for _, _, s in even}
