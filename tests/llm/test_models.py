@@ -131,6 +131,22 @@ def test_neighbours(spark):
     assert search(spark.createDataFrame([], "vec_id long, embedding array<float>"), lambda i: i == 0).count() == 0
 
 
+def test_neighbours_beside_long_vectors(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2600, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[[3, 500, 1001, 1700, 2500]] *= np.array([10, 40, 100, 400, 1000])[:, None]
+    x = x.astype(np.float32).astype(float)
+    rows = [(i, r.tolist()) for i, r in enumerate(x)]
+    out = search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), lambda i: i % 20 == 0, k=20).toPandas()
+    hits = []
+    for q, g in out.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits.append(len(set(np.argsort(-s)[:20]) & set(g["vec_id"])) / 20)
+    assert len(hits) == 130 and np.mean(hits) >= 0.9
+
+
 def test_classifier_learns_and_reads_whole_texts():
     rng = np.random.default_rng(1)
     vocab = [f"w{i}" for i in range(300)]

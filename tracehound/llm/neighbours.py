@@ -3,13 +3,13 @@
 Equal vectors are one node. Each node starts with the best of two random cells of nodes; then, round by round, the
 neighbours of a node (those it names and some of those that name it) are brought together by joins, and every two of
 them, one at least being new, are proposed to each other. The search keeps a beam of nodes for each query and expands
-the best unexpanded ones by joins with the graph. Graph and search use vectors of 8-bit components, lengthened by one
-component to equal norm, so that inner product and distance agree; scores are computed from the original vectors.
+the best unexpanded ones by joins with the graph. Graph and search use vectors of 8-bit components, each with a scale of
+its own, so that a long vector takes nothing from the others. For the graph they are lengthened by one component, kept
+apart, to equal norm, so that inner product and distance agree; scores are computed from the original vectors.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import DoubleType
 
 from .shared import staged
 
@@ -29,10 +29,22 @@ SETTLED = 0.03
 #: Proposals that a node gets in one place of meeting.
 PROPOSALS = 8
 CELL = 1024
+#: Longest nodes, at which each search begins besides its own node: they are near all queries, but few edges lead to them.
+ENTRIES = 64
 
 
 def _vectors(rows: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(rows), dtype=np.int8).reshape(len(rows), -1).astype(np.float32)
+    """Vectors of rows, the added component being the last."""
+    data = np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), -1)
+    scale, rest = np.ascontiguousarray(data[:, :16]).view(np.float64).T
+    return np.hstack([data[:, 16:].view(np.int8) * scale[:, None], rest[:, None]])
+
+
+def _likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of all pairs less the common square of the norm: minus half the squared distance. The added
+    components may be far larger than what tells vectors apart, so their difference is taken first."""
+    x, y = a[:, :-1], b[:, :-1]
+    return x @ y.T - 0.5 * ((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) + (a[:, -1:] - b[:, -1]) ** 2)
 
 
 def usable(rows: DataFrame, id_column: str, vector: str) -> DataFrame:
@@ -45,18 +57,18 @@ def usable(rows: DataFrame, id_column: str, vector: str) -> DataFrame:
 
 
 def _quantised(nodes: DataFrame) -> DataFrame:
-    """(node, q): signed bytes of the vector and of the component that brings all vectors to the largest norm."""
+    """(node, q): the vector's scale, the component that brings all vectors to the largest norm, and signed bytes."""
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    sizes = nodes.agg(F.max(square).alias("s"), F.min(square).alias("least"), F.max(F.array_max(F.transform("v", F.abs))).alias("m")).first()
-    norm2 = float(sizes["s"] or 1.0)
-    scale = 127.0 / max(float(sizes["m"] or 1.0), math.sqrt(max(norm2 - float(sizes["least"] or norm2), 0.0)))
+    norm2 = float(nodes.agg(F.max(square)).first()[0] or 1.0)
 
     @F.pandas_udf("binary")
     def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for vs in batches:
             m = np.array(vs.tolist(), dtype=np.float64) if len(vs) else np.empty((0, 1))
-            rest = np.sqrt(np.maximum(norm2 - (m * m).sum(axis=1), 0.0))[:, None]
-            yield pd.Series([r.tobytes() for r in np.clip(np.rint(np.hstack([m, rest]) * scale), -127, 127).astype(np.int8)])
+            rest = np.sqrt(np.maximum(norm2 - (m * m).sum(axis=1), 0.0))
+            scale = np.abs(m).max(axis=1) / 127.0
+            signed = np.clip(np.rint(m / scale[:, None]), -127, 127).astype(np.int8)
+            yield pd.Series([h.tobytes() + r.tobytes() for h, r in zip(np.stack([scale, rest], axis=1), signed)], dtype=object)
 
     return nodes.select("node", pack("v").alias("q"))
 
@@ -80,14 +92,14 @@ def _start(degree: int):
         ids, m = cell["node"].to_numpy(), _vectors(cell["q"])
         out = []
         for low in range(0, len(ids), 1024):
-            sims = m[low : low + 1024] @ m.T
+            sims = _likeness(m[low : low + 1024], m)
             sims[np.arange(len(sims)), low + np.arange(len(sims))] = -np.inf
             k = min(degree, len(ids) - 1)
             if k < 1:
                 continue
             best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
             out.append(pd.DataFrame({"u": np.repeat(ids[low : low + 1024], k), "c": ids[best].ravel(), "s": np.take_along_axis(sims, best, 1).ravel(), "fresh": True}))
-        return pd.concat(out) if out else pd.DataFrame({"u": [], "c": [], "s": [], "fresh": []}).astype({"u": "int64", "c": "int64", "s": "float32", "fresh": bool})
+        return pd.concat(out) if out else pd.DataFrame({"u": [], "c": [], "s": [], "fresh": []}).astype({"u": "int64", "c": "int64", "s": "float64", "fresh": bool})
 
     return run
 
@@ -95,14 +107,14 @@ def _start(degree: int):
 def _meet(cell: pd.DataFrame) -> pd.DataFrame:
     """Proposals among the nodes that meet at each v: (u, c, s), better than u's worst neighbour."""
     cell = cell.sort_values("v", kind="stable")
-    v, ids, fresh, worst, m = cell["v"].to_numpy(), cell["u"].to_numpy(), cell["fresh"].to_numpy(dtype=bool), cell["worst"].to_numpy(dtype=np.float32), _vectors(cell["q"])
+    v, ids, fresh, worst, m = cell["v"].to_numpy(), cell["u"].to_numpy(), cell["fresh"].to_numpy(dtype=bool), cell["worst"].to_numpy(dtype=np.float64), _vectors(cell["q"])
     bounds = np.concatenate([np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])), [len(v)]]) if len(v) else np.zeros(1, dtype=int)
     us, cs, ss = [], [], []
     for low, high in zip(bounds[:-1], bounds[1:]):
         if high - low < 2 or not fresh[low:high].any():
             continue
         own, f = m[low:high], fresh[low:high]
-        sims = own @ own.T
+        sims = _likeness(own, own)
         sims[~(f[:, None] | f[None, :])] = -np.inf
         sims[ids[low:high, None] == ids[None, low:high]] = -np.inf
         k = min(PROPOSALS, high - low - 1)
@@ -113,7 +125,7 @@ def _meet(cell: pd.DataFrame) -> pd.DataFrame:
         cs.append(ids[low + best[i, j]])
         ss.append(s[i, j])
     if not us:
-        return pd.DataFrame({"u": [], "c": [], "s": []}).astype({"u": "int64", "c": "int64", "s": "float32"})
+        return pd.DataFrame({"u": [], "c": [], "s": []}).astype({"u": "int64", "c": "int64", "s": "float64"})
     u, c, s = np.concatenate(us), np.concatenate(cs), np.concatenate(ss)
     # Nodes of one cell have neighbours in common: the same proposal once.
     order = np.lexsort((c, u))
@@ -134,7 +146,7 @@ def neighbour_graph(vectors: DataFrame, degree: int = DEGREE, reverse: int = REV
     """(u, c, s, fresh) by NN-descent: at most `degree` neighbours c of each node u of vectors(node, q)."""
     n = vectors.count()
     cells = max(1, n // CELL)
-    schema = "u long, c long, s float, fresh boolean"
+    schema = "u long, c long, s double, fresh boolean"
     cell = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.lit(cells))
     # Two ways of dealing nodes to cells tie the cells to one another; else no round could leave a cell.
     starts = [vectors.groupBy(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(cells)).alias("cell")).applyInPandas(_start(degree if cells == 1 else degree // 2), schema) for seed in ([2] if cells == 1 else [2, 3])]
@@ -145,9 +157,9 @@ def neighbour_graph(vectors: DataFrame, degree: int = DEGREE, reverse: int = REV
         back = graph.select(F.col("c").alias("v"), F.col("u"), "fresh").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= reverse).drop("r")
         meeting = graph.select(F.col("u").alias("v"), F.col("c").alias("u"), "fresh").unionByName(back).groupBy("v", "u").agg(F.max("fresh").alias("fresh"))
         worst = graph.groupBy("u").agg(F.when(F.count("*") >= degree, F.min("s")).otherwise(F.lit(float("-inf"))).alias("worst"))
-        known = staged(vectors.join(worst, vectors["node"] == worst["u"], "left").select("node", "q", F.coalesce("worst", F.lit(float("-inf"))).cast("float").alias("worst")), "graph-known")
+        known = staged(vectors.join(worst, vectors["node"] == worst["u"], "left").select("node", "q", F.coalesce("worst", F.lit(float("-inf"))).alias("worst")), "graph-known")
         met = meeting.join(known, meeting["u"] == known["node"]).select("v", "u", "fresh", "worst", "q")
-        proposals = met.groupBy(cell("v").alias("cell")).applyInPandas(_meet, "u long, c long, s float")
+        proposals = met.groupBy(cell("v").alias("cell")).applyInPandas(_meet, "u long, c long, s double")
         both = graph.withColumn("fresh", F.lit(False)).unionByName(proposals.withColumn("fresh", F.lit(True)))
         graph = staged(both.groupBy(cell("u").alias("cell")).applyInPandas(_merge(degree), schema), "graph")
         # Done when a round changes hardly an edge.
@@ -157,9 +169,10 @@ def neighbour_graph(vectors: DataFrame, degree: int = DEGREE, reverse: int = REV
     return graph
 
 
-@F.pandas_udf(FloatType())
+@F.pandas_udf(DoubleType())
 def _inner(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series((_vectors(a) * _vectors(b)).sum(axis=1) if len(a) else np.empty(0, dtype=np.float32))
+    """Inner products without the added component: those of the vectors themselves."""
+    return pd.Series((_vectors(a)[:, :-1] * _vectors(b)[:, :-1]).sum(axis=1) if len(a) else np.empty(0))
 
 
 @F.pandas_udf(DoubleType())
@@ -167,15 +180,19 @@ def _exact(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((np.array(a.tolist(), dtype=np.float64) * np.array(b.tolist(), dtype=np.float64)).sum(axis=1) if len(a) else np.empty(0))
 
 
-def greedy_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, beam: int, expand: int, hops: int) -> DataFrame:
-    """(node, found): for each query node of queries(node), the beam of the best nodes found, itself included."""
+def greedy_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, longest: DataFrame, beam: int, expand: int, hops: int) -> DataFrame:
+    """(node, found): for each query node of queries(node), the beam of the best nodes found, itself included. Searches
+    begin at the query and at the first of longest(node, square)."""
     # Edges serve both ways: a node also leads to some of those that name it.
     order = Window.partitionBy("c").orderBy(F.desc("s"), "u")
     back = graph.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= REVERSE).select(F.col("c").alias("u"), F.col("u").alias("c"))
     edges = staged(graph.select("u", "c").unionByName(back).groupBy("u").agg(F.collect_set("c").alias("cs")), "graph-edges")
-    # The added component of a query is zero: what is compared is the inner product of the vectors themselves.
-    own = queries.join(vectors, "node").select(F.col("node").alias("query"), F.expr("concat(substring(q, 1, length(q) - 1), x'00')").alias("query_q"))
-    state = own.select("query", F.col("query").alias("found"), F.lit(float("inf")).cast("float").alias("s"), F.lit(False).alias("done"))
+    own = queries.join(vectors, "node").select(F.col("node").alias("query"), F.col("q").alias("query_q"))
+    state = own.select("query", F.col("query").alias("found"), F.lit(float("inf")).alias("s"), F.lit(False).alias("done"))
+    # At most ENTRIES rows.
+    longest = F.broadcast(staged(longest.orderBy(F.desc("square"), "node").limit(ENTRIES).select("node").join(vectors, "node"), "search-entries"))
+    met = own.crossJoin(longest).filter(F.col("node") != F.col("query")).select("query", F.col("node").alias("found"), _inner("q", "query_q").alias("s"), F.lit(False).alias("done"))
+    state = state.unionByName(met)
     for _ in range(hops):
         by_best = Window.partitionBy("query").orderBy("done", F.desc("s"), "found")
         state = staged(state.withColumn("now", ~F.col("done") & (F.row_number().over(by_best) <= expand)), "search-beam")
@@ -206,9 +223,10 @@ def search(rows: DataFrame, is_query, k: int = 20, id_column: str = "vec_id", ve
     nodes = staged(members.groupBy("v").agg(F.min("id").alias("node"), F.sort_array(F.collect_list("id")).alias("ids")), "ann-nodes")
     vectors = staged(_quantised(nodes), "ann-vectors")
     graph = neighbour_graph(vectors)
+    longest = nodes.select("node", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("square"))
     asked = good.filter(is_query(F.col("id"))).select("id", "v").join(nodes.select("node", F.col("v").alias("nv")), F.col("v") == F.col("nv")).select("id", "node")
     asked = staged(asked, "ann-queries")
-    found = staged(greedy_search(graph, vectors, asked.select("node").distinct(), beam, expand, hops), "ann-found")
+    found = staged(greedy_search(graph, vectors, asked.select("node").distinct(), longest, beam, expand, hops), "ann-found")
     # Exact scores of the beam by node, then the members of the nodes for each query.
     a, b = nodes.select("node", F.col("v").alias("query_v")), nodes.select(F.col("node").alias("found"), "v", "ids")
     scored = found.join(a, "node").join(b, "found").select("node", "ids", _exact("v", "query_v").alias("score"))
