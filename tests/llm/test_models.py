@@ -167,6 +167,25 @@ def test_classifier_learns_and_reads_whole_texts():
     assert s[0] > s[1] and 0 <= s[2] <= 1
 
 
+def test_thresholds_from_all_labels(spark, monkeypatch):
+    """The sample that teaches is half toxic, the labels are 8 % toxic, and the only telling word is in clean rows too."""
+    from tracehound.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", {1: 100, 0: 100})
+    rng = np.random.default_rng(2)
+    vocab = [f"w{i}" for i in range(40)]
+    docs, labels = [], []
+    for i in range(3000):
+        toxic = i % 12 == 0
+        telling = toxic or rng.random() < 0.25
+        docs.append((i, " ".join(rng.choice(vocab, 12)) + (" idiot" if telling else "")))
+        labels.append((i, int(toxic)))
+    out = score_documents(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    out = out.join(spark.createDataFrame(labels, "doc_id long, toxic int"), "doc_id").toPandas()
+    # Calling everything clean makes 250 errors; taking each row with the word for toxic makes about 690.
+    assert (out["predicted"] != out["toxic"]).sum() <= 270
+
+
 def test_scores_of_odd_tables(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None), (2, None), (None, "b")], "doc_id long, text string").withColumn("toxic", F.lit("x"))
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -15,14 +15,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from .shared import staged, text_or_empty
 from .words import documents_hashes, separators, word_hashes
 
-#: Labelled rows that the classifier is fitted on, at most, of each label.
+#: Labelled rows that the classifier is fitted on, at most, of each label. Thresholds come from all labelled rows.
 TRAIN_ROWS = {1: 2500, 0: 5500}
 THRESHOLD = 0.3
+#: Logits are counted in bins of this many a unit, those further out in the last one on either side.
+BINS, FARTHEST = 64, 4096
 PREFIXES = (4, 6)
 WORD_BITS, PREFIX_BITS = 14, 13
 #: Rows of the embedding table: words, two kinds of prefixes, and a row of zeros for padding and rare words.
@@ -152,26 +153,32 @@ class Classifier:
                 self.shift = np.float32(self.shift - RATE * (moment[0] / (1 - 0.9**steps)) / (np.sqrt(moment[1] / (1 - 0.999**steps)) + 1e-6))
 
     def calibrate(self, docs: list[np.ndarray], labels: np.ndarray) -> None:
-        """Thresholds with the fewest errors, halfway between the logits on both sides; languages with under 8 rows of
-        either label take the threshold of all."""
+        """Thresholds from these rows."""
         if not len(docs):
             return
         raw = np.concatenate([self.logits(docs[i : i + 64]) for i in range(0, len(docs), 64)])
-        language = np.array([self.language(d) for d in docs])
+        bins = np.clip(np.floor(raw.astype(np.float64) * BINS), -FARTHEST, FARTHEST).astype(np.int64)
+        self.set_thresholds(np.array([self.language(d) for d in docs]), bins, labels, np.ones(len(docs), dtype=np.int64))
+
+    def set_thresholds(self, language: np.ndarray, bins: np.ndarray, labels: np.ndarray, count: np.ndarray) -> None:
+        """Thresholds with the fewest errors, halfway between the bins on both sides, from counts of rows by language,
+        bin and label; languages with under 8 rows of either label take the threshold of all."""
 
         def best(pick: np.ndarray) -> float:
-            x, y = raw[pick], labels[pick]
-            order = np.argsort(x, kind="stable")
-            x, y = x[order], y[order]
-            wrong = np.concatenate([[0], np.cumsum(y == 1)]) + np.concatenate([np.cumsum((y == 0)[::-1])[::-1], [0]])
-            cut = int(np.flatnonzero(wrong == wrong.min()).mean().round())
-            low, high = x[max(cut - 1, 0)], x[min(cut, len(x) - 1)]
-            return float((low + high) / 2)
-
-        self.thresholds[:] = best(np.ones(len(raw), dtype=bool)) if len(set(labels.tolist())) > 1 else 0
+            x, at = np.unique(bins[pick], return_inverse=True)
+            toxic = np.bincount(at, weights=count[pick] * (labels[pick] == 1))
+            clean = np.bincount(at, weights=count[pick] * (labels[pick] == 0))
+            # Toxic rows under the cut, clean rows from it on.
+            wrong = np.concatenate([[0], np.cumsum(toxic)]) + np.concatenate([np.cumsum(clean[::-1])[::-1], [0]])
+            least = np.flatnonzero(wrong == wrong.min())
+            cut = int(least[len(least) // 2])
+            low, high = x[max(cut - 1, 0)] + (cut > 0), x[min(cut, len(x) - 1)] + (cut == len(x))
+            return float(low + high) / (2 * BINS)
+
+        self.thresholds[:] = best(count > 0) if len(set(labels.tolist())) > 1 else 0
         for k in range(1, len(self.thresholds)):
             pick = language == k
-            if min((labels[pick] == 1).sum(), (labels[pick] == 0).sum()) >= 8:
+            if min(count[pick & (labels == 1)].sum(), count[pick & (labels == 0)].sum()) >= 8:
                 self.thresholds[k] = best(pick)
 
 
@@ -179,15 +186,20 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2
 
 
+def _known(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the labels that may teach; of two rows of one doc_id the toxic one."""
+    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    return known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("doc_id")))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Classifier:
-    """A classifier from labels(doc_id, toxic) and docs(doc_id, text).
+    """A classifier without thresholds from labels(doc_id, toxic) and docs(doc_id, text).
 
     Only rows that are not held out teach it, at most TRAIN_ROWS of each label, taken by hash; their word hashes, which
     that bounds to some thousand documents, come to the driver. Of two rows of one doc_id one counts. Without labels of
     both kinds every text gets the same score.
     """
-    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("doc_id")))
+    known = _known(labels)
     chosen = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in TRAIN_ROWS.items()]
     chosen = staged(chosen[0].unionByName(chosen[1]), "toxic-sample")
 
@@ -200,36 +212,46 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     rows = {r["doc_id"]: (r["x"], r["toxic"]) for r in own.select("doc_id", "toxic", features("text").alias("x")).toLocalIterator()}
     rows = [rows[k] for k in sorted(rows)]
     data = [np.frombuffer(x, dtype=np.uint16).reshape(-1, 3) for x, _ in rows]
-    labels = np.array([y for _, y in rows], dtype=np.int64)
     model = Classifier()
-    # With enough toxic rows a quarter sets the thresholds; else all do both.
-    apart = np.arange(len(data)) % 4 == 3 if labels.sum() >= 1000 else np.zeros(len(data), dtype=bool)
-    model.fit([d for d, a in zip(data, apart) if not a], labels[~apart])
-    pick = apart if apart.any() else ~apart
-    model.calibrate([d for d, a in zip(data, pick) if a], labels[pick])
+    model.fit(data, np.array([y for _, y in rows], dtype=np.int64))
     return model
 
 
-def score(text: Column, model: Classifier, spark) -> Column:
-    """The toxicity score, 0 to 1, of a whole text; null counts as empty."""
+def read(text: Column, model: Classifier, spark) -> Column:
+    """(logit, language) of a whole text, before thresholds; null counts as empty."""
     sent = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf(DoubleType())
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("logit double, language int")
+    def reads(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = sent.value
         for texts in batches:
-            out, run, size = [], [], 0
+            logits, languages, run, size = [], [], [], 0
             for x in feature_rows(texts):
                 run.append(x)
                 size += len(x)
+                languages.append(own.language(x))
                 if size > 20_000:
-                    out.append(own.scores(run))
+                    logits.append(own.logits(run))
                     run, size = [], 0
             if run:
-                out.append(own.scores(run))
-            yield pd.Series(np.concatenate(out) if out else np.empty(0))
+                logits.append(own.logits(run))
+            yield pd.DataFrame({"logit": np.concatenate(logits).astype(np.float64) if logits else np.empty(0), "language": np.array(languages, dtype=np.int32)})
 
-    return scores(text_or_empty(text))
+    return reads(text_or_empty(text))
+
+
+def set_thresholds(read_docs: DataFrame, labels: DataFrame, model: Classifier) -> None:
+    """The model's thresholds from all labelled rows that are not held out, in read_docs(doc_id, logit, language).
+
+    At their own class ratio, whatever the ratio in the sample that taught it. Of two rows of one doc_id one counts. What
+    comes to the driver is bounded by languages, bins and labels.
+    """
+    bin_ = F.greatest(F.lit(-FARTHEST), F.least(F.lit(FARTHEST), F.floor(F.col("logit") * BINS)))
+    rows = read_docs.select("doc_id", "language", bin_.cast("int").alias("bin")).join(_known(labels), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("language", "bin", "toxic")).alias("r"))
+    counts = rows.groupBy("r.language", "r.bin", "r.toxic").count().collect()
+    if counts:
+        model.set_thresholds(*(np.array([r[i] for r in counts], dtype=np.int64) for i in range(2)), np.array([r[2] for r in counts], dtype=np.int64), np.array([r[3] for r in counts], dtype=np.int64))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -238,5 +260,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] =
     predicted is 1 from a score of 0.3 on. Null and empty texts get the score of no words. Repeated rows are scored
     alike, each in its row; extra columns are not read; an empty table gives no rows.
     """
-    scored = docs.select(*keep, score(F.col("text"), train(docs, labels), docs.sparkSession).alias("score"))
+    model = train(docs, labels)
+    # The kept columns go along, so that texts are read by the model once.
+    kept = F.struct(*[F.col(c) for c in keep]).alias("kept")
+    done = staged(docs.select("doc_id", kept, read(F.col("text"), model, docs.sparkSession).alias("r")).select("doc_id", "kept", "r.logit", "r.language"), "toxic-read")
+    set_thresholds(done, labels, model)
+    over = F.col("logit") - F.element_at(F.array(*[F.lit(float(t)) for t in model.thresholds]), F.col("language") + 1)
+    # At the threshold the score is that of the threshold, without rounding.
+    x = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), over + float(np.log(THRESHOLD / (1 - THRESHOLD)))))
+    scored = done.select("kept.*", F.when(over == 0, THRESHOLD).otherwise(1 / (1 + F.exp(-x))).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
