@@ -16,6 +16,9 @@ from tracehound.llm.shared import staged, table
 from tracehound.llm.toxicity import THRESHOLD, score_documents
 from tracehound.llm.transducer import encode_digests
 
+#: One or two lines of more words than this that stand elsewhere before are a repeated passage.
+LONG_PASSAGE_WORDS = 50
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score under the threshold. The classifier learns from the labelled rows of docs."""
@@ -25,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that stand elsewhere before; a document of which nothing is left goes. n_chars follows."""
-    cut = dedup_lines(docs)
+    cut = dedup_lines(docs, long_words=LONG_PASSAGE_WORDS)
     left = cut.filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
     n_chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.char_length("text"))
     return left.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)

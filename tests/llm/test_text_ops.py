@@ -72,6 +72,16 @@ def test_line_dedup_against_brute_force(spark):
     assert dedup_lines(df.limit(0)).count() == 0
 
 
+def test_long_passages_of_few_lines(spark):
+    long, halves, short = " ".join(f"w{i}" for i in range(51)), [" ".join(f"{c}{i}" for i in range(26)) for c in "uv"], " ".join(f"s{i}" for i in range(50))
+    docs = [(1, f"a\n{long}\nb"), (2, f" {long} "), (3, f"c\n{long}\nd"), (4, "\n".join(["e", *halves, "f"])), (5, "\n".join(halves)), (6, "\n".join(["g", *halves])), (7, short), (8, short), (9, f"{long}x\n{halves[0]}")]
+    docs += [(10, f"k\n{long}z\nl\n{long}z")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(df, long_words=50).collect()}
+    assert got == dict(docs) | {2: "", 3: "c\nd", 5: "", 6: "g", 10: f"k\n{long}z\nl"}
+    assert {r["doc_id"]: r["text"] for r in dedup_lines(df).collect()} == dict(docs)
+
+
 def test_equal_rows_are_one_document_for_line_dedup(spark):
     df = spark.createDataFrame([(1, "p\nq\nr"), (1, "p\nq\nr"), (None, "s\nt\nu")], "doc_id long, text string")
     assert sorted(r["text"] for r in dedup_lines(df).collect()) == ["p\nq\nr", "p\nq\nr", "s\nt\nu"]

@@ -2,6 +2,7 @@
 
 Of all places where a window of lines stands, the first (by doc_id, then position) stays; the lines that the later
 places cover are removed. Windows overlap, so a repeated passage of any length from three lines on goes as a whole.
+Where long_words is given, fewer lines are a passage too if they have more words than that.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .mixing import word_count
 from .shared import staged, text_or_empty
 
 WINDOW_LINES = 3
@@ -36,32 +38,55 @@ def find_windows(docs: DataFrame, width: int = WINDOW_LINES) -> DataFrame:
     return rows.filter(some_text).select("doc_id", "tie", "pos", "h.h1", "h.h2")
 
 
-def covered_lines(docs: DataFrame, width: int = WINDOW_LINES) -> DataFrame:
+def find_long_passages(docs: DataFrame, width: int, long_words: int) -> DataFrame:
+    """(doc_id, tie, pos, n, h1, h2): each n < width consecutive lines of each document with over long_words words."""
+    text = text_or_empty()
+    part = lambda line: F.struct(F.xxhash64(F.trim(line), F.lit(1)).alias("h1"), F.xxhash64(F.trim(line), F.lit(2)).alias("h2"), word_count(line).alias("words"))
+    rows = docs.select("doc_id", F.xxhash64(text, F.lit(3)).alias("tie"), F.transform(lines_of(text), part).alias("parts"))
+
+    def passages(n: int) -> Column:
+        def at(i: Column) -> Column:
+            own = F.slice("parts", i + 1, n)
+            hashes = [F.xxhash64(own[h], F.lit(seed)).alias(h) for seed, h in enumerate(("h1", "h2"), 1)]
+            return F.struct(i.alias("pos"), F.lit(n).alias("n"), *hashes, F.aggregate(own["words"], F.lit(0).cast("long"), lambda a, w: a + w).alias("words"))
+
+        places = F.when(F.size("parts") >= n, F.sequence(F.lit(0), F.size("parts") - n)).otherwise(F.array().cast("array<int>"))
+        return F.filter(F.transform(places, at), lambda p: p["words"] > long_words)
+
+    rows = rows.select("doc_id", "tie", F.explode(F.concat(*[passages(n) for n in range(1, width)])).alias("p"))
+    return rows.select("doc_id", "tie", "p.pos", "p.n", "p.h1", "p.h2")
+
+
+def covered_lines(docs: DataFrame, width: int = WINDOW_LINES, long_words: int | None = None) -> DataFrame:
     """(doc_id, tie, removed): the positions that later occurrences of repeated windows cover, for documents with any."""
-    windows = staged(find_windows(docs, width), "line-windows")
+    windows = find_windows(docs, width).withColumn("n", F.lit(width))
+    if long_words is not None and width > 1:
+        windows = windows.unionByName(find_long_passages(docs, width, long_words))
+    windows = staged(windows, "line-windows")
     place = F.struct("doc_id", "tie", "pos")
     # The same row twice is one document: a window repeats if it stands at two different places.
-    first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    first = staged(first.filter(F.col("first") != F.col("last")).select("h1", "h2", F.col("first.doc_id").alias("first_doc"), F.col("first.tie").alias("first_tie"), F.col("first.pos").alias("first_pos")), "line-first")
+    first = windows.groupBy("n", "h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    first = staged(first.filter(F.col("first") != F.col("last")).select("n", "h1", "h2", F.col("first.doc_id").alias("first_doc"), F.col("first.tie").alias("first_tie"), F.col("first.pos").alias("first_pos")), "line-first")
     same_doc = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("tie") == F.col("first_tie"))
-    later = windows.join(first, ["h1", "h2"]).filter(~(same_doc & (F.col("pos") == F.col("first_pos"))))
+    later = windows.join(first, ["n", "h1", "h2"]).filter(~(same_doc & (F.col("pos") == F.col("first_pos"))))
     # Where a window overlaps its own first occurrence, the first stays whole.
-    begin = F.when(same_doc, F.greatest("pos", F.col("first_pos") + width)).otherwise(F.col("pos"))
-    cover = later.select("doc_id", "tie", F.explode(F.sequence(begin, F.col("pos") + width - 1)).alias("line"))
+    begin = F.when(same_doc, F.greatest("pos", F.col("first_pos") + F.col("n"))).otherwise(F.col("pos"))
+    cover = later.select("doc_id", "tie", F.explode(F.sequence(begin, F.col("pos") + F.col("n") - 1)).alias("line"))
     return cover.groupBy("doc_id", "tie").agg(F.collect_set("line").alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, width: int = WINDOW_LINES) -> DataFrame:
+def dedup_lines(docs: DataFrame, width: int = WINDOW_LINES, long_words: int | None = None) -> DataFrame:
     """docs(doc_id, text, ...) with the repeated passages cut from text; adds n_lines and n_removed (line counts).
 
     Lines are compared without spaces around them; a window of blank lines only is no passage. Documents with fewer
-    than `width` lines stay as they are, and so do null and empty texts. Ties: the row with the smaller doc_id (null
+    than `width` lines stay as they are, and so do null and empty texts. With long_words, one line to width - 1 lines of
+    over so many words are a passage too, also where they are a whole document. Ties: the row with the smaller doc_id (null
     first), then the smaller text hash has the first occurrence; equal rows (same doc_id and text) count as one
     document and are treated alike. A document that loses all its lines keeps an empty text. Other columns pass
     through; an empty table gives an empty one.
     """
     spare = [c for c in ("n_lines", "n_removed") if c in docs.columns]
-    removed = covered_lines(docs, width).withColumnsRenamed({"doc_id": "__doc", "tie": "__tie", "removed": "__removed"})
+    removed = covered_lines(docs, width, long_words).withColumnsRenamed({"doc_id": "__doc", "tie": "__tie", "removed": "__removed"})
     own = docs.drop(*spare).withColumn("__own", F.xxhash64(text_or_empty(), F.lit(3)))
     both = own.join(removed, (F.col("__own") == F.col("__tie")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
     lines = lines_of(F.col("text"))
