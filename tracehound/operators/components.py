@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracehound.sources.staging import staged
+from tracehound.sources.staging import discard, staged
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -22,7 +22,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Large-star ties every larger neighbour of a node to the node's least neighbour, small-star the node itself and its
     smaller neighbours. Neither adds edges; when nothing changes every edge leads to its component. Nulls and loops
-    are left out; repeated edges count once. No edges give no rows.
+    are left out; repeated edges count once. No edges give no rows. The tables of each round are deleted after it.
     """
     edges = staged(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star-edges")
     before = _state(edges)
@@ -31,10 +31,12 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = _least(both)
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.least("least", "u").alias("b"))
         large = staged(large.filter("a != b").distinct(), "star-large")
+        discard(least, edges)
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
         least = _least(down)
         small = down.join(least, "u").filter(F.col("v") != F.col("least")).select(F.col("v").alias("a"), F.col("least").alias("b"))
         edges = staged(small.unionByName(least.select(F.col("u").alias("a"), F.col("least").alias("b"))).filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star-edges")
+        discard(least, large)
         now = _state(edges)
         if now == before:
             break
