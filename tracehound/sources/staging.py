@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -19,19 +20,33 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+#: Rows of a few numbers for which a task of their own is worth while, the fewest tasks, and the most rows of a table that
+#: counts as small.
+TASK_ROWS, LEAST_TASKS, SMALL = 100_000, 8, 1_000_000
+
+
+def staged(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again.
 
     This cuts the lineage: what follows depends on files that outlive any executor, and work that several branches
-    need is done once.
+    need is done once. Where the number of rows is known to be at most `rows`, and these are few, the last stage has no
+    more tasks than they are worth, whatever the number of shuffle partitions is; it should have no sort-merge join, as
+    a task holds the sorted pages of all the partitions it takes.
     """
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    if rows is not None and rows <= SMALL:
+        df = df.coalesce(max(LEAST_TASKS, -(-rows // TASK_ROWS)))
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
 
 
+def near(df: DataFrame, rows: int) -> DataFrame:
+    """df, sent to every task in a join if it has no more rows than a small table; beyond that the join shuffles."""
+    return F.broadcast(df) if rows <= SMALL else df
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Deletes staged tables. Only for those whose every reader has been staged itself: nothing can make them anew."""
     for df in tables:
