@@ -230,3 +230,81 @@ def test_mix_stage_keeps_small_sources(spark, tmp_path):
     even = [(i, " ".join(["w"] * 90), f"s{i % 30:02}") for i in range(30)]
     out = corpus_pipeline.mix(spark, spark.createDataFrame(even, "doc_id long, text string, source string"), "")
     assert {r["source"] for r in out.collect()} == {s for _, _, s in even}
+
+
+def test_near_duplicates_in_a_large_bucket(spark, monkeypatch):
+    """Hundreds of distinct copies of one text, and of texts near the similarity, above one block."""
+    from tracehound.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK", 32)
+    rng = np.random.default_rng(9)
+    vocab = [f"w{i}" for i in range(4000)]
+    base, docs = list(rng.choice(vocab, 150)), []
+    for i in range(160):
+        copy = list(base)
+        for k in rng.choice(150, 4 if i < 80 else 9, replace=False):
+            copy[k] = f"x{rng.integers(10**6)}"
+        docs.append((i, " ".join(copy)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 3, 85).collect()}
+    assert got == brute_components(docs, 3, 85)
+
+
+def test_near_duplicates_of_one_id(spark):
+    """Different texts under one doc_id are different documents; a component's smallest id may have several."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, a), (3, b + " end"), (1, a + " end"), (None, a), (4, "x" * 300_000)]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 7 and {r["component_id"] for r in out} == {1, 4, None}
+    # Two components of smallest id 1: the rows that a pipeline keeps are one of each, the one without id and the long one.
+    assert sorted((r["doc_id"] or 0) for r in out if r["first"]) == [0, 1, 1, 4]
+    assert sum(r["kept"] for r in out) == 5
+
+
+ODD_DOCS = [
+    (1, "a b c d e f g h", "en", "s1", 15), (1, "quite other words stand here now", "en", "s1", 33), (1, "a b c d e f g h", "en", "s1", 15), (None, "left without an id", "de", None, 18), (None, "left without an id", "de", None, 18),
+    (None, None, None, None, None), (2, None, "en", "s2", None), (3, "", "en", "s2", 0), (4, "x" * 300_000, "fr", "s3", 300_000), (5, "A B c d e f g h", "en", "s1", 15), (6, "words\n" * 400, None, "s3", 2400), (7, "one two three four five six", "es", "s4", 27),
+]
+ODD_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def stage_rows(spark, tmp_path, name, docs):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(str(tmp_path / "labels.parquet"))
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path))
+    return out.columns, sorted(map(tuple, out.collect()), key=str)
+
+
+@pytest.mark.parametrize("name", ["toxicity", "line_dedup", "near_dedup", "mixing"])
+def test_stages_on_odd_rows(spark, tmp_path, name):
+    """Nulls everywhere, repeated rows and ids, empty and long texts, columns that clash with the operators' own."""
+    clashing = ["size", "taken", "target", "component_id", "kept", "first", "text_key", "score", "n_removed", "tie", "copies"]
+    docs = spark.createDataFrame(ODD_DOCS, ODD_SCHEMA).withColumns({c: F.lit(c) for c in clashing}).withColumn("m", F.create_map(F.lit("k"), F.col("lang")))
+    columns, rows = stage_rows(spark, tmp_path, name, docs)
+    assert columns == docs.columns and all(r[5:-1] == tuple(clashing) for r in rows)
+    assert rows == stage_rows(spark, tmp_path, name, docs.repartition(3))[1]
+    got = sorted((r[:5] for r in rows), key=str)
+    if name == "toxicity":
+        assert got == sorted(ODD_DOCS, key=str)
+    elif name == "line_dedup":
+        # Of 400 equal lines the first three stay.
+        assert len(got) == len(ODD_DOCS) and {r[1] for r in got if r[0] == 6} == {"words\nwords\nwords\n"}
+        assert [r for r in got if r[0] != 6] == sorted((r for r in ODD_DOCS if r[0] != 6), key=str)
+    elif name == "near_dedup":
+        # The repeated row and the one of 5 are copies; both texts of id 1 stay, and so does every row without id.
+        assert got == sorted([r for i, r in enumerate(ODD_DOCS) if i not in (2, 9)], key=str)
+    else:
+        assert {r for r in got if not r[1]} == {r for r in ODD_DOCS if not r[1]} and set(got) <= set(ODD_DOCS)
+        for r in set(got):
+            assert got.count(r) <= 2 * ODD_DOCS.count(r)
+    empty = spark.createDataFrame([], ODD_SCHEMA)
+    assert stage_rows(spark, tmp_path, name, empty) == (empty.columns, [])
+
+
+def test_tokens_of_odd_rows(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(ODD_DOCS, ODD_SCHEMA).withColumn("n_tokens", F.lit("x"))
+    out = corpus_pipeline.tokens(spark, docs, "").collect()
+    assert len(out) == len(ODD_DOCS) and {r["n_tokens"] for r in out if r["doc_id"] in (2, 3)} == {0}
+    assert corpus_pipeline.tokens(spark, docs.limit(0), "").count() == 0

@@ -1,31 +1,35 @@
 """Near-duplicate documents: universal hash minima, banding, verification on whole shingle sets, components.
 
 Documents with equal shingle sets are one node. Nodes that agree on a band of minima meet in a bucket. A bucket of m
-nodes is not turned into its m * m pairs: first each node is compared with the bucket's leader, in two rounds with
-different leaders; groups of copies collapse into components by that. Buckets whose nodes are still in different
-components are then compared fully, in blocks, by signatures: pairs that agree on too few minima are dropped, and so
-are pairs for which bitmaps of the sets prove too small an intersection. What is left is verified on the sets.
+nodes is not turned into its m * m pairs: first each node is compared with leaders of the bucket; groups of copies
+collapse into components by that. Where a bucket above one block is still divided and leaders have joined something,
+new leaders are taken. Buckets that stay divided are then compared in blocks. In both cases signatures come first: pairs
+that agree on too few minima are dropped, and so are pairs for which bitmaps of the sets prove too small an
+intersection. What is left is verified on the sets. Only the texts of nodes that share a bucket are ever moved.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracehound.operators.components import connected_components
 
-from .shared import staged, text_or_empty
+from .shared import discard, near, staged, text_or_empty
 from .words import documents_words, mix
 
 BANDS, ROWS = 28, 4
-#: Pairs that agree on a smaller share of minima are dropped; at similarity 0.8 that is over 5 standard deviations.
-AGREE = 0.6
+#: Standard deviations below the similarity at which the share of equal minima drops a pair: odds of 6e-8.
+DEVIATIONS = 5.3
+#: Leaders are chosen again if the last ones added this share to the links.
+AGAIN = 0.25
 #: Nodes of one bucket that are compared with one another in one task.
 BLOCK = 1024
 #: Shingles in one run of minima.
@@ -69,29 +73,26 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """A bit for each shingle, at least eight places a shingle; their number is a power of two."""
-    size = max(64, 1 << (8 * len(s) - 1).bit_length())
+    """A bit for each shingle, at least four places a shingle; their number is a power of two."""
+    size = max(64, 1 << (4 * len(s) - 1).bit_length())
     bits = np.zeros(size, dtype=np.uint8)
     bits[(s & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _signatures(width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingles(words, width) for some in documents_words(batch["text"]) for words in some]
+def _signature(text: Column, width: int) -> Column:
+    """(n_shingles, set_key, minima, bits) of a text; the minima are 16-bit numbers, those of a band side by side."""
+
+    @F.pandas_udf("n_shingles long, set_key binary, minima binary, bits binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            sets = [shingles(words, width) for some in documents_words(texts) for words in some]
             full = [s for s in sets if len(s)]
-            m = minima(full) if full else np.empty((0, BANDS * ROWS), dtype=np.uint32)
-            bands = np.zeros((len(m), BANDS), dtype=np.uint64)
-            for r in range(ROWS):
-                bands = mix(bands * _PLACE[5] + m[:, r::ROWS].astype(np.uint64) + _PLACE[6 : 6 + BANDS])
-            at = iter(range(len(full)))
-            rows = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), bands[i].view(np.int64).tolist(), (m[i] & 0xFFFF).astype("<u2").tobytes(), bitmap(s)) if len(s) and (i := next(at)) is not None else (0, None, None, None, None) for s in sets]
-            out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "bands", "minima", "bits"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(dtype=object))
-            yield out
+            m = iter((minima(full) & 0xFFFF).astype("<u2") if full else ())
+            rows = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), next(m).tobytes(), bitmap(s)) if len(s) else (0, None, None, None) for s in sets]
+            yield pd.DataFrame(rows, columns=["n_shingles", "set_key", "minima", "bits"])
 
-    return run
+    return run(text)
 
 
 def _fold(bits: np.ndarray, size: int) -> np.ndarray:
@@ -100,6 +101,12 @@ def _fold(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
+def agreement(percent: int) -> float:
+    """The share of equal minima under which a pair is dropped."""
+    p = percent / 100
+    return p - DEVIATIONS * math.sqrt(p * (1 - p) / (BANDS * ROWS))
+
+
 def least_common(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """The least intersection with which sets of sizes n and m reach the similarity."""
     return -(-percent * (n + m) // (100 + percent))
@@ -112,11 +119,12 @@ def may_link(a: pd.DataFrame, b: pd.DataFrame, percent: int) -> Iterator[tuple[i
     ma = np.stack([np.frombuffer(x, dtype="<u2") for x in a["minima"]])
     mb = np.stack([np.frombuffer(x, dtype="<u2") for x in b["minima"]])
     bits_b = [np.frombuffer(x, dtype=np.uint8) for x in b["bits"]]
-    folded: dict[int, np.ndarray] = {}
+    folded: dict[int, dict[int, np.ndarray]] = {}
+    agree = agreement(percent)
     for i in range(len(a)):
         need = least_common(na[i], nb, percent)
         j = np.flatnonzero((cb != ca[i]) & (need <= np.minimum(na[i], nb)))
-        j = j[(mb[j] == ma[i]).mean(axis=1) >= AGREE] if len(j) else j
+        j = j[(mb[j] == ma[i]).mean(axis=1) >= agree] if len(j) else j
         if not len(j):
             continue
         own = np.frombuffer(a["bits"].iloc[i], dtype=np.uint8)
@@ -147,8 +155,36 @@ def _compare_cells(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough. texts(node, text)."""
+def _sides(pairs: DataFrame, n: int, table: DataFrame, *columns: str) -> DataFrame:
+    """The n pairs(a, b) with a_<c> and b_<c> of table(node, ...). pairs is staged and has each pair once, so the last join
+    has no hot key; a leader's many pairs are in the first, where they are broadcast or can be split."""
+    pairs = near(pairs, n)
+    a, b = (table.join(pairs, table["node"] == pairs[end]).select("a", "b", *[F.col(c).alias(f"{end}_{c}") for c in columns]) for end in "ab")
+    return a.join(b, ["a", "b"])
+
+
+def _likely(percent: int, *columns: Column) -> Column:
+    """Whether sizes, minima and bitmaps of both sides allow a link."""
+
+    @F.pandas_udf("boolean")
+    def run(na: pd.Series, nb: pd.Series, ma: pd.Series, mb: pd.Series, ba: pd.Series, bb: pd.Series) -> pd.Series:
+        out, agree = [], agreement(percent)
+        for x, y, mx, my, bx, by in zip(na, nb, ma, mb, ba, bb):
+            need = int(least_common(x, y, percent))
+            if need > min(x, y) or (np.frombuffer(mx, dtype="<u2") == np.frombuffer(my, dtype="<u2")).mean() < agree:
+                out.append(False)
+                continue
+            p, q = np.frombuffer(bx, dtype=np.uint8), np.frombuffer(by, dtype=np.uint8)
+            size = min(len(p), len(q))
+            p, q = _fold(p, size), _fold(q, size)
+            out.append(min(x - int(np.bitwise_count(p & ~q).sum()), y - int(np.bitwise_count(q & ~p).sum())) >= need)
+        return pd.Series(out, dtype=bool)
+
+    return run(*columns)
+
+
+def _verified(pairs: DataFrame, n: int, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of the n pairs (a, b) those whose whole sets are similar enough. texts(node, text)."""
 
     @F.pandas_udf("boolean")
     def linked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -170,82 +206,111 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                 out.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pd.Series(out, dtype=bool)
 
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
-    return pairs.join(left, "a").join(right, "b").filter(linked("left", "right")).select("a", "b")
+    return _sides(pairs, n, texts, "text").filter(linked("a_text", "b_text")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text, ...).
+    """(doc_id, n_shingles, component_id, kept, text_key, first) for each row of docs(doc_id, text, ...).
 
     Words are runs of characters other than space and the ASCII controls 9 to 13, A-Z lower-cased; a document's set
     holds its distinct shingles of `width` words, the whole sequence if it has fewer, and none without words. Documents
     are linked where 100 * intersection >= percent * union. component_id is the smallest doc_id that can be reached;
-    kept marks it. Banding misses a link at 0.8 with a probability of 4e-7, at 0.85 of 1e-9; nothing else is left out.
+    kept marks it. text_key is the text's xxhash64; first marks the rows of a component's smallest (doc_id, text_key).
+
+    What is left out, by odds: of links at 0.8, banding misses 4e-7 and the agreement of minima 6e-8; at 0.85, 1e-9 and
+    6e-8; of higher ones less. Nothing else is left out.
 
     Null and empty texts have no shingles and are linked with nothing. Equal rows are linked and each is kept if its
-    doc_id is the component's. Rows without doc_id take no part: component_id null, kept true. Other columns are not
-    read; an empty table gives no rows.
+    doc_id is the component's. Rows of one doc_id with different texts are told apart by their texts. Rows without
+    doc_id take no part: component_id null, kept and first true. Other columns are not read; an empty table gives no
+    rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    signed = staged(rows.mapInPandas(_signatures(width), "doc_id long, n_shingles long, set_key binary, bands array<long>, minima binary, bits binary"), "near-rows")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("text_key", F.xxhash64("text"))
+    signed = staged(rows.select("doc_id", "text_key", _signature(F.col("text"), width).alias("s")).select("doc_id", "text_key", "s.*"), "near-rows")
     some = signed.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    # Copies fold before the shuffle; the node is named by its smallest doc_id.
-    nodes = staged(some.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "minima", "bits")).alias("x")).select("set_key", F.col("x.doc_id").alias("node"), "x.n_shingles", "x.bands", "x.minima", "x.bits"), "near-nodes")
-    members = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "value")).select("node", "n_shingles", F.xxhash64("band", "value").alias("bucket"))
+    # Copies fold before the shuffle.
+    nodes = some.groupBy("set_key").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_key", "n_shingles", "minima", "bits")).alias("x"))
+    nodes = staged(nodes.select(F.monotonically_increasing_id().alias("node"), "set_key", "copies", "x.*"), "near-nodes")
+    slim = staged(signed.select("doc_id", "text_key", "n_shingles", "set_key"), "near-slim")
+    discard(signed)
+
+    bucket = F.explode(F.array(*[F.xxhash64(F.lit(b), F.substring("minima", 2 * ROWS * b + 1, 2 * ROWS)) for b in range(BANDS)]))
+    members = nodes.select("node", "n_shingles", bucket.alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     # Bands that bring the same nodes together are one bucket.
     shared = staged(shared.filter("m > 1").groupBy("m", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "m"), "near-buckets")
     members = staged(members.join(shared, "bucket"), "near-members")
+    signs = staged(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_key", "n_shingles", "minima", "bits"), "near-signs")
+    ids = staged(nodes.select("set_key", "node", "doc_id", "text_key", "copies"), "near-ids")
+    discard(nodes, shared)
+
+    # The texts of the nodes that share a bucket: one copy of each, brought together once.
+    n_met, n_members = signs.count(), members.count()
+    wanted = signs.select("node", "doc_id", "text_key")
+    texts = staged(rows.join(near(wanted, n_met), ["doc_id", "text_key"]).select("node", "text").dropDuplicates(["node"]), "near-texts")
+
+    own, components, edges, before = staged(members.withColumn("component", F.col("node")), "near-round", n_members), None, None, 0
+    for round_ in itertools.count():
+        edges = _more_edges(edges, _leader_pairs(own, signs, percent, round_, n_members), texts, width, percent)
+        n = edges.count()
+        discard(components)
+        # These components serve to leave out comparisons, so a part of the way will do.
+        components = connected_components(edges, rounds=2, rows=n)
+        discard(own)
+        own = _divided(members, components, n_members)
+        if n - before <= AGAIN * before or (own.agg(F.max("m")).first()[0] or 0) <= BLOCK:
+            break
+        before = n
+    edges = _more_edges(edges, _pairs_in_blocks(own, signs, percent), texts, width, percent)
+    discard(own, components, members, signs, texts)
+    n = edges.count()
+    components = connected_components(edges, rows=n)
+
+    linked = staged(ids.join(near(components, 2 * n), "node"), "near-linked")
+    least = staged(linked.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("x")), "near-least", n)
+    alone = ids.join(near(components, 2 * n), "node", "left_anti").filter("copies > 1").select("set_key", F.struct("doc_id", "text_key").alias("x"))
+    component_of = staged(linked.join(near(least, n), "component").select("set_key", "x").unionByName(alone), "near-result")
+    discard(edges, linked, least, ids)
+    out = slim.join(component_of, "set_key", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("x.doc_id", "doc_id"))
+    first = F.col("doc_id").isNull() | F.col("x").isNull() | ((F.col("doc_id") == F.col("x.doc_id")) & (F.col("text_key") == F.col("x.text_key")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_key", F.coalesce(first, F.lit(True)).alias("first"))
+
+
+def _divided(members: DataFrame, components: DataFrame, rows: int) -> DataFrame:
+    """members with the components of the nodes, of buckets whose nodes are in more than one."""
+    own = staged(members.join(near(components, rows), "node", "left").withColumn("component", F.coalesce("component", "node")), "near-placed", rows)
+    buckets = own.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
+    out = staged(own.join(near(staged(buckets.select("bucket"), "near-divided", rows), rows), "bucket", "left_semi"), "near-round", rows)
+    discard(own)
+    return out
+
 
-    # The texts of all nodes that share a bucket, brought together once; the merge join keeps the plan the same at
-    # every size.
-    wanted = staged(members.select("node").distinct(), "near-wanted")
-    texts = staged(rows.join(wanted.hint("merge"), rows["doc_id"] == wanted["node"]).select("node", "text").distinct(), "near-texts")
-    components, edges = None, None
-    for round_ in range(2):
-        order = F.col("node") if round_ == 0 else F.xxhash64("node", F.lit(round_))
-        own = _with_components(members, components)
-        if components is not None:
-            own = _divided(own)
-        own = staged(own, "near-round")
-        leaders = staged(own.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "n_shingles", "component")).alias("l")).select("bucket", F.col("l.node").alias("leader"), F.col("l.n_shingles").alias("leader_n"), F.col("l.component").alias("leader_component")), "near-leaders")
-        near = F.least("n_shingles", "leader_n") * 100 >= F.greatest("n_shingles", "leader_n") * percent
-        pairs = own.join(leaders, "bucket").filter((F.col("component") != F.col("leader_component")) & near)
-        pairs = staged(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "near-pairs")
-        edges = _more_edges(edges, pairs, texts, width, percent)
-        components = staged(connected_components(edges), "near-components")
-    own = staged(_divided(_with_components(members, components)), "near-round")
-    pairs = _pairs_in_blocks(own, nodes, percent)
-    edges = _more_edges(edges, pairs, texts, width, percent)
-    components = staged(connected_components(edges), "near-components")
-
-    component_of = nodes.select("set_key", "node").join(components, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
-    component_of = staged(component_of, "near-result")
-    out = signed.select("doc_id", "n_shingles", "set_key").join(component_of, "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-
-
-def _with_components(members: DataFrame, components: DataFrame | None) -> DataFrame:
-    if components is None:
-        return members.withColumn("component", F.col("node"))
-    return members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-
-def _divided(members: DataFrame) -> DataFrame:
-    """The rows of buckets whose nodes are in more than one component."""
-    buckets = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
-    return members.join(staged(buckets.select("bucket"), "near-divided"), "bucket", "left_semi")
+def _leader_pairs(own: DataFrame, signs: DataFrame, percent: int, round_: int, rows: int) -> DataFrame:
+    """Pairs of nodes with the leader of their bucket, another one each round, that signatures allow."""
+    order = F.xxhash64("node", F.lit(round_)).alias("o")
+    leaders = own.groupBy("bucket").agg(F.min(F.struct(order, "node", "n_shingles", "component")).alias("l"))
+    leaders = staged(leaders.select("bucket", F.col("l.node").alias("leader"), F.col("l.n_shingles").alias("leader_n"), F.col("l.component").alias("leader_component")), "near-leaders", rows)
+    alike = F.least("n_shingles", "leader_n") * 100 >= F.greatest("n_shingles", "leader_n") * percent
+    pairs = own.join(near(leaders, rows), "bucket").filter((F.col("component") != F.col("leader_component")) & alike)
+    pairs = staged(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "near-met", rows)
+    discard(leaders)
+    n = pairs.count()
+    sides = _sides(pairs, n, signs, "n_shingles", "minima", "bits")
+    out = staged(sides.filter(_likely(percent, *[F.col(f"{end}_{c}") for c in ("n_shingles", "minima", "bits") for end in "ab"])).select("a", "b"), "near-pairs")
+    discard(pairs)
+    return out
 
 
 def _more_edges(edges: DataFrame | None, pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    found = _verified(pairs, staged(texts.join(wanted, "node", "left_semi"), "near-texts"), width, percent)
-    return staged(found if edges is None else found.unionByName(edges), "near-edges")
+    n = pairs.count()
+    found = staged(_verified(pairs, n, texts, width, percent), "near-found")
+    out = found if edges is None else staged(found.unionByName(edges), "near-edges")
+    discard(pairs, *((edges, found) if edges is not None else ()))
+    return out
 
 
-def _pairs_in_blocks(own: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _pairs_in_blocks(own: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of nodes that share a bucket and are in different components."""
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int")
@@ -253,7 +318,7 @@ def _pairs_in_blocks(own: DataFrame, nodes: DataFrame, percent: int) -> DataFram
     # A node goes to every pair of blocks that its own is in; a bucket within one block has one pair.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     own = own.withColumn("other", other).select("bucket", "node", "component", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
-    own = own.join(nodes.select("node", "n_shingles", "minima", "bits"), "node")
+    own = own.join(signs.select("node", "n_shingles", "minima", "bits"), "node")
     cells = max(1, math.ceil(own.count() / 4096))
     own = own.withColumn("cell", F.pmod(F.xxhash64("bucket", "left", "right"), F.lit(cells)))
     pairs = own.groupBy("cell").applyInPandas(_compare_cells(percent), "a long, b long")
