@@ -10,9 +10,23 @@ from collections.abc import Iterator
 
 import regex
 
+#: Characters of a text that are normalised and split at a time.
+PIECE = 1 << 16
 #: Unicode white space, as the format's \s has it.
 SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
 
+#: Letters and digits that Unicode has had since after version 16, which the library's database is of.
+LATER = [
+    (0x0558, 0x0558), (0x058B, 0x058C), (0x088F, 0x088F), (0x0C5C, 0x0C5C), (0x0CDC, 0x0CDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D),
+    (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DF1, 0x11DF1), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA),
+    (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF),
+    (0x1E6C0, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+]
+
+#: Capitals that the standard library's database does not have yet, and their small letters.
+LATER_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
+LATER_CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+
 
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: printable Latin-1 characters for themselves, the others from 256 on."""
@@ -47,10 +61,32 @@ class Vocabulary:
             self.parts.setdefault(ids[a + b], (ids[a], ids[b], rank))
         self.merges = [(ids[a], ids[b], ids[a + b]) for a, b in merges]
         pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-        self.words = regex.compile(pattern.replace(r"\s", SPACE))
+        self.ascii_words = regex.compile(pattern.replace(r"\s", SPACE))
+        later = "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in LATER)
+        letter, digit = rf"[\p{{L}}--[{later}]]", rf"[\p{{N}}--[{later}]]"
+        pattern = pattern.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^{SPACE}\p{{L}}\p{{N}}]|[{later}])").replace(r"[\p{L}]", letter).replace(r"[\p{N}]", digit)
+        self.words = regex.compile("(?V1)" + pattern)
+        self.decoder = spec["decoder"]
         self.apart = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.hint = next(iter(self.special))[:2] if self.special else ""
 
+    def split(self, text: str) -> Iterator[str]:
+        """The words of a normalised text, one by one."""
+        return (m.group() for m in (self.ascii_words if text.isascii() else self.words).finditer(text))
+
+    def pieces(self, text: str) -> Iterator[str]:
+        """A text in pieces that end before a space, each of PIECE characters if it has spaces: neither words nor
+        special strings nor composed characters reach over one."""
+        start = 0
+        while len(text) - start > PIECE:
+            end = text.rfind(" ", start + 1, start + PIECE)
+            end = text.find(" ", start + PIECE) if end < 0 else end
+            if end < 0:
+                break
+            yield text[start:end]
+            start = end
+        yield text[start:] if start else text
+
     def segments(self, text: str) -> Iterator[tuple[bool, str]]:
         """(special, part): special strings, and between them the text, normalised."""
         parts = self.apart.split(text) if self.apart is not None and self.hint in text else [text]
@@ -59,7 +95,7 @@ class Vocabulary:
                 yield True, part
             elif part:
                 # Each letter by itself: no final sigma.
-                yield False, unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+                yield False, part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").translate(LATER_CAPITALS).lower()
 
     def symbols(self, word: str) -> list[int]:
         data = word.encode("utf-8", "surrogatepass")

@@ -46,11 +46,11 @@ class Counter:
     def __init__(self, v: Vocabulary):
         words = Kept(lambda word: count_word(word, v))
         self.v = v
-        self.chunks = Kept(lambda chunk: sum(map(words.__getitem__, v.words.findall(chunk))))
+        self.chunks = Kept(lambda chunk: sum(map(words.__getitem__, v.split(chunk))))
 
     def count(self, text: str) -> int:
         get = self.chunks.__getitem__
-        return sum(1 if special else sum(map(get, part.replace("\n", " ").split(" "))) for special, part in self.v.segments(text))
+        return sum(1 if special else sum(map(get, part.replace("\n", " ").split(" "))) for piece in self.v.pieces(text) for special, part in self.v.segments(piece))
 
 
 @functools.lru_cache(maxsize=4)

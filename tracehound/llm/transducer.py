@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .bpe import Vocabulary, merge, vocabulary
 from .shared import text_or_empty
-from .token_counts import Kept
+from .token_counts import KEPT_LENGTH, Kept
 
 @functools.lru_cache(maxsize=4)
 def sufficient_lookahead(path: str) -> int:
@@ -90,25 +90,37 @@ def _stream(word: str, v: Vocabulary) -> Iterator[int]:
 
 
 class Encoder:
-    """Little-endian 32-bit ids of texts, chunk by chunk. No word reaches over a space, so what stands between spaces
-    is encoded by itself; the ids of frequent short chunks are kept."""
+    """Little-endian 32-bit ids of texts, chunk by chunk, from bounded pieces of the text. No word reaches over a space,
+    so what stands between spaces is encoded by itself; the ids of frequent short chunks are kept."""
 
     def __init__(self, path: str):
         self.v, self.lookahead = vocabulary(path), sufficient_lookahead(path)
         self.words = Kept(self._word)
-        self.chunks = Kept(lambda chunk: b"".join(map(self.words.__getitem__, self.v.words.findall(chunk))))
-        #: The token strings that the ids of a chunk stand for, parted by spaces.
-        self.strings = Kept(lambda ids: " ".join(map(self.v.strings.__getitem__, array("I", ids))).encode("utf-8"))
+        self.chunks = Kept(lambda chunk: b"".join(map(self.words.__getitem__, self.v.split(chunk))))
 
     def _word(self, word: str) -> bytes:
         return array("I", encode_symbols(_stream(word, self.v), self.v, self.lookahead)).tobytes()
 
-    def encode(self, text: str) -> Iterator[bytes]:
-        for special, part in self.v.segments(text):
-            if special:
-                yield array("I", [self.v.special[part]]).tobytes()
+    def _chunk(self, chunk: str) -> Iterator[bytes]:
+        """Of a chunk too long to be kept the ids go out as they become stable."""
+        if len(chunk) <= KEPT_LENGTH:
+            yield self.chunks[chunk]
+            return
+        for word in self.v.split(chunk):
+            if len(word) <= KEPT_LENGTH:
+                yield self.words[word]
             else:
-                yield from map(self.chunks.__getitem__, part.replace("\n", " ").split(" "))
+                for some in batched(encode_symbols(_stream(word, self.v), self.v, self.lookahead), 4096):
+                    yield array("I", some).tobytes()
+
+    def encode(self, text: str) -> Iterator[bytes]:
+        for piece in self.v.pieces(text):
+            for special, part in self.v.segments(piece):
+                if special:
+                    yield array("I", [self.v.special[part]]).tobytes()
+                else:
+                    for chunk in part.replace("\n", " ").split(" "):
+                        yield from self._chunk(chunk)
 
 
 @functools.lru_cache(maxsize=4)
@@ -137,6 +149,31 @@ class TextDecoder:
         return self.utf8.decode(b"", final=True)
 
 
+class LibraryDecoder:
+    """Ids to what the library's decode gives, in UTF-8, a few at a time. A file without a decoder entry has its token
+    strings parted by spaces: the state is whether a space is due. What frequent short runs of ids give is kept."""
+
+    def __init__(self, v: Vocabulary, kept: dict[bytes, bytes]):
+        if v.decoder is not None:
+            raise ValueError("only vocabulary files without a decoder entry are known")
+        self.kept, self.due = kept, False
+
+    def feed(self, ids: bytes) -> bytes:
+        """ids as the encoder emits them, 4 bytes each."""
+        if not ids:
+            return b""
+        out = b" " + self.kept[ids] if self.due else self.kept[ids]
+        self.due = True
+        return out
+
+
+@functools.lru_cache(maxsize=4)
+def token_runs(path: str) -> dict[bytes, bytes]:
+    """What runs of ids stand for; one in each Python process."""
+    strings = vocabulary(path).strings
+    return Kept(lambda ids: " ".join(map(strings.__getitem__, array("I", ids))).encode("utf-8"))
+
+
 def decode(ids: Iterable[int], v: Vocabulary) -> str:
     d = TextDecoder(v)
     return "".join(map(d.feed, ids)) + d.end()
@@ -169,23 +206,23 @@ def decode_documents(docs: DataFrame, path: str, ids: str = "ids", out: str = "d
 def encode_digests(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep columns + (n_tokens, ids_sha256, decoded_sha256) for each row of docs(text, ...), repeated rows included.
 
-    ids_sha256 is over the ids as little-endian unsigned 32-bit integers; decoded_sha256 over the token strings parted
-    by spaces, which is what the library's decode gives for a file without a decoder. Both digests are fed word by
-    word. Null texts count as empty: no tokens, digests of nothing. Special strings inside a text become their id. An
-    empty table gives no rows.
+    ids_sha256 is over the ids as little-endian unsigned 32-bit integers; decoded_sha256 over what LibraryDecoder gives
+    for them. The ids go from the encoder to both digests and the decoder as they come, and none are gathered; of a
+    text no more than the row itself and one piece is held. Null texts count as empty: no tokens, digests of nothing.
+    Special strings inside a text become their id. An empty table gives no rows.
     """
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = encoder(path)
+        own, kept = encoder(path), token_runs(path)
         for texts in batches:
             rows = []
             for t in texts:
-                n, ids_sha, text_sha = 0, hashlib.sha256(), hashlib.sha256()
-                for some in batched(filter(None, own.encode(t)), 4096):
+                n, ids_sha, text_sha, decoder = 0, hashlib.sha256(), hashlib.sha256(), LibraryDecoder(own.v, kept)
+                for some in batched(own.encode(t), 1024):
                     ids = b"".join(some)
                     ids_sha.update(ids)
-                    text_sha.update((b" " if n else b"") + b" ".join(map(own.strings.__getitem__, some)))
+                    text_sha.update(b"".join(map(decoder.feed, some)))
                     n += len(ids) // 4
                 rows.append((n, ids_sha.hexdigest(), text_sha.hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
