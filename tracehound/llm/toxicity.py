@@ -17,10 +17,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import staged, text_or_empty
-from .words import documents_hashes, separators, word_hashes
+from .words import PIECE_BYTES, cut_text, documents_hashes, separators, word_hashes
 
-#: Labelled rows that the classifier is fitted on, at most, of each label. Thresholds come from all labelled rows.
+#: Labelled rows that the classifier is fitted on, at most, of each label, and the most bytes of a text among them; the
+#: word hashes of this bounded sample are all that comes to the driver. Thresholds have no such bound.
 TRAIN_ROWS = {1: 2500, 0: 5500}
+TRAIN_BYTES = 200_000
+#: One in so many labelled rows sets thresholds and teaches nothing.
+CALIBRATION = 4
+#: Rows that the errors of all languages count for in the threshold of one.
+COMMON_ROWS = 64
+#: Words that are convolved at a time.
+PIECE_WORDS = 20_000
 THRESHOLD = 0.3
 #: Logits are counted in bins of this many a unit, those further out in the last one on either side.
 BINS, FARTHEST = 64, 4096
@@ -51,11 +59,22 @@ def _common() -> np.ndarray:
     return out
 
 
+def _rows(word: np.ndarray, short: np.ndarray, long: np.ndarray) -> np.ndarray:
+    return np.stack([word & np.uint64((1 << WORD_BITS) - 1), (1 << WORD_BITS) + (short & np.uint64((1 << PREFIX_BITS) - 1)), (1 << WORD_BITS) + (1 << PREFIX_BITS) + (long & np.uint64((1 << PREFIX_BITS) - 1))], axis=1).astype(np.uint16)
+
+
 def feature_rows(texts) -> Iterator[np.ndarray]:
-    """For each text its words' rows of the table, an array of three uint16 columns."""
-    for run in documents_hashes(texts, _SEPARATORS, PREFIXES):
-        for word, short, long in run:
-            yield np.stack([word & np.uint64((1 << WORD_BITS) - 1), (1 << WORD_BITS) + (short & np.uint64((1 << PREFIX_BITS) - 1)), (1 << WORD_BITS) + (1 << PREFIX_BITS) + (long & np.uint64((1 << PREFIX_BITS) - 1))], axis=1).astype(np.uint16)
+    """For each text its words' rows of the table, an array of three uint16 columns. Hashes of a long text are made, and
+    become rows, piece by piece."""
+    short: list[str] = []
+    for text in texts:
+        if len(text) <= PIECE_BYTES // 4:
+            short.append(text)
+            continue
+        yield from (_rows(*words) for run in documents_hashes(short, _SEPARATORS, PREFIXES) for words in run)
+        short = []
+        yield np.concatenate([_rows(*word_hashes(piece, _SEPARATORS, PREFIXES)[1:]) for piece in cut_text(text.encode("utf-8", "surrogatepass"), _SEPARATORS)])
+    yield from (_rows(*words) for run in documents_hashes(short, _SEPARATORS, PREFIXES) for words in run)
 
 
 class Classifier:
@@ -91,7 +110,19 @@ class Classifier:
         return np.maximum.reduceat(values, starts, axis=0), rows, values
 
     def logits(self, docs: list[np.ndarray]) -> np.ndarray:
-        return np.maximum(self._pool(docs)[0] + self.bias, 0) @ self.weights + self.shift
+        """Long documents are pooled in pieces that overlap by the widest filter."""
+        pieces = [d[low : low + PIECE_WORDS + PAD] for d in docs for low in range(0, max(len(d), 1), PIECE_WORDS)]
+        owner = np.repeat(np.arange(len(docs)), [max(1, -(-len(d) // PIECE_WORDS)) for d in docs])
+        pooled, low = [], 0
+        while low < len(pieces):
+            high, n = low, 0
+            while high < len(pieces) and (high == low or n + len(pieces[high]) <= PIECE_WORDS):
+                n += len(pieces[high])
+                high += 1
+            pooled.append(self._pool(pieces[low:high])[0])
+            low = high
+        most = np.maximum.reduceat(np.concatenate(pooled), np.searchsorted(owner, np.arange(len(docs))), axis=0)
+        return np.maximum(most + self.bias, 0) @ self.weights + self.shift
 
     def language(self, doc: np.ndarray) -> int:
         return int(np.bincount(self.common[doc[:, 0]], minlength=len(self.thresholds))[1:].argmax()) + 1 if len(doc) and self.common[doc[:, 0]].any() else 0
@@ -116,7 +147,8 @@ class Classifier:
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         fixed, steps = self.table[:, 1] == 0, 0
         moment = [0.0, 0.0]
-        weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6))
+        toxic_share = labels.sum() / max(1, len(labels))
+        weight = np.where(labels == 1, 0.5 / max(toxic_share, 1e-6), 0.5 / max(1 - toxic_share, 1e-6))
         for _ in range(EPOCHS if len(set(labels.tolist())) > 1 else 0):
             for part in np.array_split(rng.permutation(len(docs)), max(1, len(docs) // BATCH)):
                 some = [docs[i] for i in part]
@@ -161,25 +193,27 @@ class Classifier:
         self.set_thresholds(np.array([self.language(d) for d in docs]), bins, labels, np.ones(len(docs), dtype=np.int64))
 
     def set_thresholds(self, language: np.ndarray, bins: np.ndarray, labels: np.ndarray, count: np.ndarray) -> None:
-        """Thresholds with the fewest errors, halfway between the bins on both sides, from counts of rows by language,
-        bin and label; languages with under 8 rows of either label take the threshold of all."""
-
-        def best(pick: np.ndarray) -> float:
-            x, at = np.unique(bins[pick], return_inverse=True)
-            toxic = np.bincount(at, weights=count[pick] * (labels[pick] == 1))
-            clean = np.bincount(at, weights=count[pick] * (labels[pick] == 0))
-            # Toxic rows under the cut, clean rows from it on.
-            wrong = np.concatenate([[0], np.cumsum(toxic)]) + np.concatenate([np.cumsum(clean[::-1])[::-1], [0]])
-            least = np.flatnonzero(wrong == wrong.min())
+        """Thresholds from counts of rows by language, bin and label: each language's has the fewest errors, those of
+        all languages counting for COMMON_ROWS rows beside its own; it lies halfway between the bins on both sides. A
+        language with few rows so takes nearly the common threshold. Without rows of both labels all stay 0."""
+        self.thresholds[:] = 0
+        if len(set(labels[count > 0].tolist())) < 2:
+            return
+        x, at = np.unique(bins, return_inverse=True)
+
+        def errors(pick: np.ndarray) -> np.ndarray:
+            """For each cut the toxic rows under it and the clean rows from it on."""
+            toxic = np.bincount(at, weights=count * (pick & (labels == 1)), minlength=len(x))
+            clean = np.bincount(at, weights=count * (pick & (labels == 0)), minlength=len(x))
+            return np.concatenate([[0], np.cumsum(toxic)]) + np.concatenate([np.cumsum(clean[::-1])[::-1], [0]])
+
+        everything = errors(np.ones(len(at), dtype=bool))
+        for k in range(len(self.thresholds)):
+            wrong = errors(language == k) + everything * (COMMON_ROWS / count.sum())
+            least = np.flatnonzero(wrong <= wrong.min() + 1e-9)
             cut = int(least[len(least) // 2])
             low, high = x[max(cut - 1, 0)] + (cut > 0), x[min(cut, len(x) - 1)] + (cut == len(x))
-            return float(low + high) / (2 * BINS)
-
-        self.thresholds[:] = best(count > 0) if len(set(labels.tolist())) > 1 else 0
-        for k in range(1, len(self.thresholds)):
-            pick = language == k
-            if min(count[pick & (labels == 1)].sum(), count[pick & (labels == 0)].sum()) >= 8:
-                self.thresholds[k] = best(pick)
+            self.thresholds[k] = float(low + high) / (2 * BINS)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -192,15 +226,22 @@ def _known(labels: DataFrame) -> DataFrame:
     return known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("doc_id")))
 
 
+def calibrates(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id, F.lit(5)), F.lit(CALIBRATION)) == 0
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     """A classifier without thresholds from labels(doc_id, toxic) and docs(doc_id, text).
 
-    Only rows that are not held out teach it, at most TRAIN_ROWS of each label, taken by hash; their word hashes, which
-    that bounds to some thousand documents, come to the driver. Of two rows of one doc_id one counts. Without labels of
-    both kinds every text gets the same score.
+    Only rows that are neither held out nor set aside for the thresholds teach it: at most TRAIN_ROWS of each label,
+    taken by hash, of texts up to TRAIN_BYTES. Of rows that repeat a doc_id the one with the least text hash counts.
+    Without labels of both kinds every text gets the same score.
     """
-    known = _known(labels)
-    chosen = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in TRAIN_ROWS.items()]
+    known = _known(labels).filter(~calibrates(F.col("doc_id")))
+    text = text_or_empty()
+    sizes = docs.select("doc_id", F.xxhash64(text).alias("key"), F.octet_length(text).alias("n")).join(known, "doc_id").filter(F.col("n") <= TRAIN_BYTES)
+    sizes = staged(sizes.groupBy("doc_id").agg(F.min("key").alias("key"), F.max("toxic").alias("toxic")), "toxic-known")
+    chosen = [sizes.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in TRAIN_ROWS.items()]
     chosen = staged(chosen[0].unionByName(chosen[1]), "toxic-sample")
 
     @F.pandas_udf("binary")
@@ -208,7 +249,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
         for texts in batches:
             yield pd.Series([x.tobytes() for x in feature_rows(texts)], dtype=object)
 
-    own = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+    own = docs.select("doc_id", text.alias("text")).withColumn("key", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "key"])
+    # Rows with one doc_id and text have the same features.
     rows = {r["doc_id"]: (r["x"], r["toxic"]) for r in own.select("doc_id", "toxic", features("text").alias("x")).toLocalIterator()}
     rows = [rows[k] for k in sorted(rows)]
     data = [np.frombuffer(x, dtype=np.uint16).reshape(-1, 3) for x, _ in rows]
@@ -230,7 +272,7 @@ def read(text: Column, model: Classifier, spark) -> Column:
                 run.append(x)
                 size += len(x)
                 languages.append(own.language(x))
-                if size > 20_000:
+                if size > PIECE_WORDS:
                     logits.append(own.logits(run))
                     run, size = [], 0
             if run:
@@ -241,17 +283,18 @@ def read(text: Column, model: Classifier, spark) -> Column:
 
 
 def set_thresholds(read_docs: DataFrame, labels: DataFrame, model: Classifier) -> None:
-    """The model's thresholds from all labelled rows that are not held out, in read_docs(doc_id, logit, language).
+    """The model's thresholds from all labelled rows set aside for that, in read_docs(doc_id, key, logit, language).
 
-    At their own class ratio, whatever the ratio in the sample that taught it. Of two rows of one doc_id one counts. What
-    comes to the driver is bounded by languages, bins and labels.
+    At their own class ratio, whatever the ratio in the sample that taught it. Of rows that repeat a doc_id the one
+    with the least text hash counts. What comes to the driver is bounded by languages, bins and labels.
     """
     bin_ = F.greatest(F.lit(-FARTHEST), F.least(F.lit(FARTHEST), F.floor(F.col("logit") * BINS)))
-    rows = read_docs.select("doc_id", "language", bin_.cast("int").alias("bin")).join(_known(labels), "doc_id")
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct("language", "bin", "toxic")).alias("r"))
+    known = _known(labels).filter(calibrates(F.col("doc_id")))
+    rows = read_docs.select("doc_id", "key", "language", bin_.cast("int").alias("bin")).join(known, "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("key", "language", "bin", "toxic")).alias("r"))
     counts = rows.groupBy("r.language", "r.bin", "r.toxic").count().collect()
     if counts:
-        model.set_thresholds(*(np.array([r[i] for r in counts], dtype=np.int64) for i in range(2)), np.array([r[2] for r in counts], dtype=np.int64), np.array([r[3] for r in counts], dtype=np.int64))
+        model.set_thresholds(*(np.array([r[i] for r in counts], dtype=np.int64) for i in range(4)))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -263,7 +306,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] =
     model = train(docs, labels)
     # The kept columns go along, so that texts are read by the model once.
     kept = F.struct(*[F.col(c) for c in keep]).alias("kept")
-    done = staged(docs.select("doc_id", kept, read(F.col("text"), model, docs.sparkSession).alias("r")).select("doc_id", "kept", "r.logit", "r.language"), "toxic-read")
+    done = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("key"), kept, read(F.col("text"), model, docs.sparkSession).alias("r"))
+    done = staged(done.select("doc_id", "key", "kept", "r.logit", "r.language"), "toxic-read")
     set_thresholds(done, labels, model)
     over = F.col("logit") - F.element_at(F.array(*[F.lit(float(t)) for t in model.thresholds]), F.col("language") + 1)
     # At the threshold the score is that of the threshold, without rounding.

@@ -44,7 +44,7 @@ def word_hashes(piece: bytes, separator: np.ndarray = _SPACE, prefixes: tuple[in
     return tuple(out)
 
 
-def _cut(text: bytes, separator: np.ndarray) -> Iterator[bytes]:
+def cut_text(text: bytes, separator: np.ndarray) -> Iterator[bytes]:
     """A long text in pieces that end between words."""
     start = 0
     while len(text) - start > PIECE_BYTES:
@@ -72,7 +72,7 @@ def documents_hashes(texts: Iterable[str | None], separator: np.ndarray = _SPACE
             yield of_run()
             run, size = [], 0
         if len(data) > PIECE_BYTES:
-            pieces = [word_hashes(piece, separator, prefixes)[1:] for piece in _cut(data, separator)]
+            pieces = [word_hashes(piece, separator, prefixes)[1:] for piece in cut_text(data, separator)]
             yield [tuple(map(np.concatenate, zip(*pieces)))]
         else:
             run.append(data)
