@@ -1,7 +1,11 @@
 """Fingerprints, line dedup, sharding, URL filters and mixing on small tables, against plain Python."""
 
 import hashlib
+import math
+import os
+import re
 import unicodedata
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -10,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tracehound.llm.fingerprints import canonical_text, fingerprint_documents, with_next
 from tracehound.llm.line_dedup import dedup_lines
-from tracehound.llm.mixing import fill_targets, highest_quotients, mix_sources
+from tracehound.llm.mixing import highest_quotients, mix_sources, with_targets
 from tracehound.llm.sharding import difference, shard_documents
 from tracehound.llm.url_filters import match_urls
 
@@ -152,9 +156,75 @@ def test_highest_quotients_against_playing_all_seats():
         assert (highest_quotients(w, seats, most) == got).all()
 
 
-def test_targets_fill_up():
-    t = fill_targets(np.array([100, 10, 10]), np.array([1, 5, 2]), 1.5, 2)
-    assert t.sum() == pytest.approx(180) and t[1] == 20 and t[2] == 20 and (t <= np.array([200, 20, 20])).all()
+def test_targets_fill_up(spark):
+    sizes = spark.createDataFrame([(100, 0), (10, 1), (10, 2), (0, 3)], "source_size long, rank long")
+    t = [r["target"] for r in with_targets(sizes, (1, 5, 2), 1.5, 2).orderBy("rank").collect()]
+    assert sum(t) == pytest.approx(180) and t[1:] == [20, 20, 0]
+    assert with_targets(sizes.limit(0), (1, 5, 2), 1.5, 2).count() == 0
+
+
+def brute_mix(docs, seed=17):
+    """The whole mix by plain loops, for sources of one shard each and distinct doc_ids."""
+    size = {d: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t, _ in docs}
+    names = sorted({s for *_, s in docs}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size[d] for d, _, x in docs if x == s) for s in names}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, left, open_ = {}, 1.5 * sum(total.values()), list(names)
+    while True:
+        over = [s for s in open_ if left * weight[s] / sum(weight[x] for x in open_) >= 2 * total[s]]
+        if not over:
+            break
+        target |= {s: 2 * total[s] for s in over}
+        left -= sum(2 * total[s] for s in over)
+        open_ = [s for s in open_ if s not in over]
+    target |= {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+    block = min(max(min(n for n in total.values() if n) // 1000, 1), 64)
+    seats, most = dict.fromkeys(names, 0), {s: 2 * total[s] // block + (total[s] > 0) for s in names}
+    for _ in range(round(1.5 * sum(total.values()) / block)):
+        best = max((s for s in names if seats[s] < most[s]), key=lambda s: target[s] / (2 * seats[s] + 1))
+        seats[best] += 1
+    out = {}
+    for s in names:
+        n = max(1, -(-total[s] // block))
+        quota = min(seats[s], 2 * -(-total[s] // block))
+        step, shift = 1 + zlib.crc32(f"{seed}:{s}:0:step".encode()) % n, zlib.crc32(f"{seed}:{s}:0:shift".encode())
+        while math.gcd(step, n) > 1:
+            step += 1
+        times = [quota // n + ((j * step + shift) % n < quota % n) for j in range(n)]
+        at = 0
+        for d, _, _ in sorted((x for x in docs if x[2] == s), key=lambda x: x[0]):
+            out[d] = (size[d], total[s], pytest.approx(target[s]), sum(times[w // block] for w in range(at, at + size[d])))
+            at += size[d]
+    return out
+
+
+def test_mix_against_brute_force(spark, tmp_path):
+    """op10 on a small table: every column of every row."""
+    from tracehound.llm.queries import op10_mixing
+
+    rng = np.random.default_rng(14)
+    docs = [(i, " ".join(["w"] * int(rng.integers(0, 40))), f"s{i % 5}" if i % 9 else None) for i in range(160)] + [(900, None, "s1"), (901, "", "zz"), (902, "\u00e9 \u3000x", "\U0001f600")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").withColumns({"size": F.lit("x"), "copies": F.lit(1), "shard": F.lit(2)}).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["size"], r["source_size"], r["target"], r["taken"]) for r in op10_mixing(spark, str(tmp_path)).collect()}
+    assert got == brute_mix(docs)
+
+
+def test_mix_of_equal_rows(spark, monkeypatch):
+    """A row that makes up most of the table, in many lots and shards, and seats dealt in more than one group."""
+    from tracehound.llm import mixing
+
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 400)
+    monkeypatch.setattr(mixing, "DEALT_TOGETHER", 3)
+    monkeypatch.setattr(mixing, "LOT", 50)
+    docs = [(None, "a b c", "s1")] * 3000 + [(7, "a b", "s1")] * 200 + [(i, "w " * 30, f"t{i % 11:02}") for i in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    out, again = (mix_sources(x).toPandas() for x in (df, df.repartition(5)))
+    key = lambda d: sorted(map(tuple, d.astype(str).to_numpy()))
+    assert len(out) == len(docs) and key(out) == key(again)
+    assert (out["taken"] <= 2 * out["size"]).all()
+    for _, g in out.groupby(["source_size", "target"]):
+        # A dozen sources, some of equal size and target.
+        assert abs(g["taken"].sum() - g["target"].iloc[0] * (g["size"].sum() / g["source_size"].iloc[0])) <= 0.05 * g["taken"].sum() + 30
 
 
 @pytest.mark.parametrize("whole", [False, True])

@@ -18,6 +18,10 @@ WEIGHTS = (5, 2, 1)
 BROADCAST_SOURCES = 50_000
 #: Words in a shard of a source, in which the blocks are chosen.
 SHARD_WORDS = 500_000
+#: Sources, or shards of a source, among which seats are dealt in one task; more are dealt to in groups of so many first.
+DEALT_TOGETHER = 4096
+#: Equal rows that are placed together; more are cut into lots that are placed each by itself.
+LOT = 1000
 
 
 def word_count(text: Column) -> Column:
@@ -61,56 +65,92 @@ def highest_quotients(weights: np.ndarray, seats: int, most: np.ndarray) -> np.n
     return got
 
 
-def fill_targets(sizes: np.ndarray, weights: np.ndarray, share: float, stop: float) -> np.ndarray:
-    """Targets by weight that sum to share * all sizes; none is above stop * its size, the excess goes to the others."""
-    sizes, weights = np.asarray(sizes, dtype=float), np.asarray(weights, dtype=float)
-    target, left = np.zeros(len(sizes)), share * sizes.sum()
-    open_ = np.ones(len(sizes), dtype=bool)
-    while open_.any():
-        part = left * weights / weights[open_].sum()
-        over = open_ & (part >= stop * sizes)
-        if not over.any():
-            target[open_] = part[open_]
-            break
-        target[over] = stop * sizes[over]
-        left -= target[over].sum()
-        open_ &= ~over
-    return target
-
-
-def _plan_sources(weights: tuple[int, ...], share: float, stop: float, least_block: int):
-    def run(sources: pd.DataFrame) -> pd.DataFrame:
-        # UTF-8 bytes sort as code points; null comes last.
-        sources = sources.assign(order=[(x is None, (x or "").encode("utf-8", "surrogatepass")) for x in sources["source"]]).sort_values("order")
-        sizes = sources["source_size"].to_numpy(dtype=np.int64)
-        target = fill_targets(sizes, np.resize(np.array(weights), len(sizes)), share, stop)
-        small = sizes[sizes > 0].min() if (sizes > 0).any() else 1
-        block = int(min(max(small // 1000, 1), 64)) if least_block < 1 else least_block
-        most = np.floor(stop * sizes / block).astype(np.int64) + (sizes > 0)
-        blocks = highest_quotients(target, int(round(target.sum() / block)), most)
-        return pd.DataFrame({"source": sources["source"], "source_size": sizes, "target": target, "block": block, "blocks": blocks})
-
-    return run
-
-
-def _spread(n: int) -> int:
-    """A number prime to n, near n / the golden ratio: its multiples modulo n visit all of 0 to n - 1, evenly spread."""
-    step = max(1, int(n * 0.6180339887498949))
-    while math.gcd(step, n) > 1:
-        step += 1
-    return step
+def deal_seats(items: DataFrame, owner: str, order: str) -> DataFrame:
+    """items(owner, order, weight, most, seats, ...) + own_seats: the owner's seats by highest quotients of weight.
 
-
-def _plan_shards(stop: int, seed: int):
-    def run(shards: pd.DataFrame) -> pd.DataFrame:
-        words, block = shards["words"].to_numpy(dtype=np.int64), int(shards["block"].iloc[0])
-        own = -(-words // block)
-        quota = highest_quotients(words, int(shards["blocks"].iloc[0]), stop * own)
-        step = [_spread(int(n)) for n in own]
-        shift = [zlib.crc32(f"{seed}:{source}:{shard}".encode("utf-8", "surrogatepass")) for source, shard in zip(shards["source"], shards["shard"])]
-        return shards[["source", "shard"]].assign(own=own, quota=quota, step=step, shift=shift)
-
-    return run
+    Items are dealt to in groups of DEALT_TOGETHER by their order (0, 1, ...): first the owner's seats to its groups, then
+    a group's to its items, so that no task holds more than that many items or groups.
+    """
+    items = staged(items.withColumn("group", F.floor(F.col(order) / DEALT_TOGETHER)), "mix-items")
+
+    def run(key: str, out: str):
+        def deal(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values(key, kind="stable")
+            got = highest_quotients(group["weight"].to_numpy(), int(group["seats"].iloc[0]), group["most"].to_numpy(dtype=np.int64)) if len(group) else []
+            return group.assign(**{out: got})[["owner", "group", *([key] if key != "group" else []), out]]
+
+        return deal
+
+    items = items.withColumn("owner", F.col(owner))
+    groups = items.groupBy("owner", "group", "seats").agg(F.sum(F.floor("weight")).cast("double").alias("weight"), F.sum("most").alias("most"))
+    kind = dict(items.dtypes)["owner"]
+    groups = staged(groups.groupBy("owner").applyInPandas(run("group", "group_seats"), f"owner {kind}, group long, group_seats long").withColumnsRenamed({"owner": "__owner", "group": "__group"}), "mix-groups")
+    within = items.join(groups, F.col("owner").eqNullSafe(F.col("__owner")) & (F.col("group") == F.col("__group"))).withColumn("seats", F.col("group_seats")).select("owner", "group", F.col(order).alias("order"), "weight", "most", "seats")
+    dealt = within.groupBy("owner", "group").applyInPandas(run("order", "own_seats"), f"owner {kind}, group long, order long, own_seats long").withColumnsRenamed({"owner": "__owner", "order": "__order"}).drop("group")
+    return items.join(dealt, F.col("owner").eqNullSafe(F.col("__owner")) & (F.col(order) == F.col("__order"))).drop("__owner", "__order", "owner", "group")
+
+
+def ranked(sources: DataFrame) -> DataFrame:
+    """sources(source, ...) + rank: 0, 1, ... by code point, null last; one row a source. Ranges of the order are numbered
+    apart from one another; only their lengths meet in one task."""
+    order = [F.col("source").isNull(), F.col("source")]
+    n = sources.count()
+    ranged = staged(sources.repartitionByRange(max(1, -(-n // 100_000)), *order).withColumn("range", F.spark_partition_id()), "mix-ranges")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("range").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    own = ranged.withColumn("at", F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1)
+    return own.join(starts, "range").withColumn("rank", (F.col("start") + F.col("at")).cast("long")).drop("range", "start", "at")
+
+
+def with_targets(sources: DataFrame, weights: tuple[int, ...], share: float, stop: int) -> DataFrame:
+    """sources(source_size, rank) + target: share * all words by weight; what is above stop * source_size goes to the others.
+
+    A target is the lesser of stop * source_size and weight * level. The level rises until no more targets stop; only
+    whole sums of sizes and weights decide it.
+    """
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("long")
+    sources = staged(sources.withColumn("weight", weight), "mix-ranked")
+    total, open_ = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    left, stopped = share * total, 0
+    while open_:
+        full = F.col("weight") * left / open_ >= F.col("source_size") * stop
+        n, size, still = sources.agg(F.count_if(full), F.coalesce(F.sum(F.when(full, F.col("source_size"))), F.lit(0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0))).first()
+        if n == stopped:
+            break
+        stopped, left, open_ = n, share * total - stop * size, still
+    level = F.col("weight") * left / open_ if open_ else F.lit(float("inf"))
+    return sources.withColumn("target", F.least(level, (F.col("source_size") * stop).cast("double"))).drop("weight")
+
+
+def _plan_sources(sources: DataFrame, weights: tuple[int, ...], share: float, stop: int, block_words: int) -> DataFrame:
+    """sources(source, source_size) -> (source, source_size, target, block, blocks)."""
+    sources = staged(with_targets(ranked(sources), weights, share, stop), "mix-targets")
+    total, small = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.min(F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(1))).first()
+    block = min(max(small // 1000, 1), 64) if block_words < 1 else block_words
+    most = F.floor(F.col("source_size") * stop / block) + (F.col("source_size") > 0).cast("int")
+    items = sources.withColumns({"all": F.lit(0), "weight": F.col("target"), "most": most.cast("long"), "seats": F.lit(round(min(share, stop) * total / block)).cast("long")})
+    return deal_seats(items, "all", "rank").select("source", "source_size", "target", F.lit(block).cast("long").alias("block"), F.col("own_seats").alias("blocks"))
+
+
+def _plan_shards(shards: DataFrame, stop: int, seed: int) -> DataFrame:
+    """shards(source, shard, block, blocks, words) -> (source, shard, own, quota, step, shift)."""
+    own = F.ceil(F.col("words") / F.col("block"))
+    items = shards.withColumns({"own": own, "weight": F.col("words").cast("double"), "most": own * stop, "seats": F.col("blocks")})
+
+    @F.pandas_udf("step long, shift long")
+    def permutation(source: pd.Series, shard: pd.Series, own: pd.Series) -> pd.DataFrame:
+        """Multiples of a number prime to n visit all of 0 to n - 1 once; the seed chooses the number and the start."""
+        rows = []
+        for name, k, n in zip(source, shard, own):
+            drawn = [zlib.crc32(f"{seed}:{name}:{k}:{what}".encode("utf-8", "surrogatepass")) for what in ("step", "shift")]
+            step = 1 + drawn[0] % max(n, 1)
+            while math.gcd(step, max(n, 1)) > 1:
+                step += 1
+            rows.append((step, drawn[1]))
+        return pd.DataFrame(rows, columns=["step", "shift"])
+
+    dealt = deal_seats(items, "source", "shard").withColumn("p", permutation("source", "shard", "own"))
+    return dealt.select("source", "shard", "own", F.col("own_seats").alias("quota"), "p.step", "p.shift")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, stop: int = 2, seed: int = 17, block_words: int = 0, whole: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -128,10 +168,14 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     empty table gives no rows. Reruns agree: shard, order and choice depend on doc_id, text key and seed only.
     """
     same = F.xxhash64("doc_id", text_or_empty(), F.lit(seed))
-    rows = staged(docs.select("doc_id", "source", word_count(text_or_empty()).alias("size"), same.alias("tie"), *keep), "mix-rows")
+    rows = docs.select("doc_id", "source", word_count(text_or_empty()).alias("size"), same.alias("tie"), *keep)
+    # Equal rows are one from here on, in lots, so that a row that a third of the table repeats is placed like any other.
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+    lots = rows.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / LOT))))
+    rows = staged(lots.withColumn("copies", F.least(F.lit(LOT), F.col("copies") - F.col("lot") * LOT)), "mix-rows")
     # One row for each source from here: a table of sources, not of documents.
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = sources.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_plan_sources(weights, share, stop, block_words), "source string, source_size long, target double, block long, blocks long")
+    sources = staged(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size")), "mix-sizes")
+    plan = _plan_sources(sources, weights, share, stop, block_words)
     plan = staged(plan.withColumn("shards", F.greatest(F.ceil(F.col("source_size") / SHARD_WORDS), F.lit(1))), "mix-sources")
     small = plan.count() <= BROADCAST_SOURCES
     near = (lambda df: F.broadcast(df)) if small else (lambda df: df)
@@ -144,14 +188,16 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
             cond = cond & (F.col(c) == F.col(f"own_{c}"))
         return df.join(near(side), cond).drop("own_source", *(f"own_{c}" for c in on))
 
-    sharded = with_sources(rows, plan).withColumn("shard", F.pmod(F.col("tie"), F.col("shards")))
-    in_shard = Window.partitionBy("source", "shard").orderBy("doc_id", "tie")
-    placed = staged(sharded.withColumn("start", F.sum("size").over(in_shard) - F.col("size")), "mix-placed")
-    quotas = placed.groupBy("source", "shard", "block", "blocks").agg(F.sum("size").alias("words"))
-    quotas = staged(quotas.groupBy("source").applyInPandas(_plan_shards(stop, seed), "source string, shard long, own long, quota long, step long, shift long"), "mix-quotas")
+    sharded = with_sources(rows, plan).withColumn("shard", F.pmod(F.xxhash64("tie", "lot"), F.col("shards")))
+    in_shard = Window.partitionBy("source", "shard").orderBy("doc_id", "tie", "lot", *keep)
+    words = F.col("size") * F.col("copies")
+    placed = staged(sharded.withColumn("start", F.sum(words).over(in_shard) - words), "mix-placed")
+    quotas = placed.groupBy("source", "shard", "block", "blocks").agg(F.sum(words).alias("words"))
+    quotas = staged(_plan_shards(quotas, stop, seed), "mix-quotas")
     small = quotas.count() <= BROADCAST_SOURCES
-    chosen = with_sources(placed, quotas, "shard")
-
+    # Each copy of a lot has its own words.
+    chosen = with_sources(placed, quotas, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    chosen = chosen.withColumn("start", F.col("start") + F.col("copy") * F.col("size"))
     chosen = chosen.withColumns({"n": F.greatest("own", F.lit(1)), "rest": F.when(F.col("own") > 0, F.col("quota") % F.col("own")).otherwise(0)})
     base = F.when(F.col("own") > 0, F.floor(F.col("quota") / F.col("n"))).otherwise(0)
     if whole:
