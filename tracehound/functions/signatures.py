@@ -7,31 +7,81 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import matches, severity_rank
+from .scalars import severity_rank
 from .tables import COMMAND_SIGNATURES, PATH_SIGNATURES, WINDOWS_ROOT_NAMES
 
 Signature = tuple[str, str, str]  # pattern, label, severity
 
 
+SCHEMA = "array<struct<n:int,label:string,severity:string,pattern:string,gates:array<string>>>"
+#: The least length of a literal that stands in front of a pattern.
+LEAST_GATE = 3
+
+
+def gates(pattern: str) -> list[str]:
+    """Lower-case literals of which a text that the pattern matches holds one at least; none if that is not to be told.
+
+    Of each alternative the longest run of plain characters that no quantifier makes optional, outside groups and
+    classes.
+    """
+    alternatives, runs, run, depth, i = [], [], "", 0, 0
+
+    def close() -> None:
+        nonlocal run
+        runs.append(run)
+        run = ""
+
+    while i < len(pattern):
+        c, step = pattern[i], 1
+        if c == "\\":
+            step = 2
+            c = pattern[i + 1] if not pattern[i + 1].isalnum() else ""
+        elif c == "[":
+            step, c = pattern.index("]", i + 2) + 1 - i, ""
+        elif c == "(":
+            depth, c = depth + 1, ""
+        elif c == ")":
+            depth, c = depth - 1, ""
+        elif c == "|" and depth == 0:
+            close()
+            alternatives.append(max(runs, key=len))
+            runs, c = [], None
+        elif c in ".^$|?*+{":
+            if c in "?*{":
+                run = run[:-1]
+            step, c = (pattern.index("}", i) + 1 - i, "") if c == "{" else (1, "")
+        i += step
+        if c is None:
+            continue
+        if c and depth == 0:
+            run += c.lower()
+        else:
+            close()
+    close()
+    alternatives.append(max(runs, key=len))
+    return alternatives if all(len(a) >= LEAST_GATE for a in alternatives) else []
+
+
 def _table(table: tuple[Signature, ...]) -> Column:
     """The table as one literal, which Catalyst folds once."""
-    rows = [{"n": n, "label": label, "severity": severity, "pattern": f"(?i){pattern}"} for n, (pattern, label, severity) in enumerate(table)]
-    return F.from_json(F.lit(json.dumps(rows)), "array<struct<n:int,label:string,severity:string,pattern:string>>")
+    rows = [{"n": n, "label": label, "severity": severity, "pattern": f"(?i){pattern}", "gates": gates(pattern)} for n, (pattern, label, severity) in enumerate(table)]
+    return F.from_json(F.lit(json.dumps(rows)), SCHEMA)
 
 
 def all_matches(text: Column, table: tuple[Signature, ...] = COMMAND_SIGNATURES, least: int = 0) -> Column:
     """array<struct<n, label, severity, pattern>> of the signatures found in the text, in table order.
 
-    With `least`, a signature counts only if its first match has that many characters. One alternation of all patterns
-    stands in front, compiled once, so that the few texts with any match alone are tried pattern by pattern.
+    With `least`, a signature counts only if its first match has that many characters. The text is lower-cased once, and
+    a pattern is tried only where the text holds a literal that its matches must hold; few texts do.
     """
 
-    def hit(s: Column) -> Column:
+    def hit(s: Column, low: Column) -> Column:
         found = F.regexp_like(text, s["pattern"])
-        return found & (F.char_length(F.call_function("regexp_extract", text, s["pattern"], F.lit(0))) >= least) if least else found
+        found = found & (F.char_length(F.call_function("regexp_extract", text, s["pattern"], F.lit(0))) >= least) if least else found
+        return ((F.size(s["gates"]) == 0) | F.exists(s["gates"], lambda g: F.contains(low, g))) & found
 
-    any_ = "|".join(f"(?:{p})" for p, _, _ in table)
-    return F.when(matches(text, f"(?:{any_})"), F.filter(_table(table), hit)).otherwise(F.from_json(F.lit("[]"), "array<struct<n:int,label:string,severity:string,pattern:string>>"))
+    hits = F.get(F.transform(F.array(F.lower(text)), lambda low: F.filter(_table(table), lambda s: hit(s, low))), 0)
+    return F.transform(hits, lambda s: F.struct(s["n"].alias("n"), s["label"].alias("label"), s["severity"].alias("severity"), s["pattern"].alias("pattern")))
 
 
 def first_match(text: Column, table: tuple[Signature, ...] = COMMAND_SIGNATURES, least: int = 0, among: tuple[str, ...] = ()) -> Column:

@@ -14,8 +14,9 @@ from tracehound.functions.tables import (
     SPECIFIC_CONTENT_RULES, SYSMON_PARENT_CHILDREN, SYSTEM_PROCESS_PATHS, VENDOR_PATHS, WATCHED_PORTS,
 )
 from tracehound.sources.canonical import ROUTES, canonical, family_of, row_text
+from tracehound.sources.staging import staged
 
-from .findings import emit, union
+from .findings import branch, emit, union
 from .lineage import with_parent
 from .ordered import failures_then_success, first_of_each, off_hours
 
@@ -40,15 +41,19 @@ FILE_MASKS = r"\.(pdf|doc|docx|xls|xlsx|jpg|png|txt|zip)\.(exe|scr|bat|cmd|ps1|v
 DATA_PLACES = r"\\temp\\|\\appdata\\|\\programdata\\|\\users\\public\\|\\downloads\\"
 
 
-def _by(rows: DataFrame, matches: Column) -> DataFrame:
-    """A row for each match, as column m."""
-    return rows.withColumn("m", F.explode(matches))
+def _at_most_one(match: Column) -> Column:
+    return F.when(match.isNotNull(), F.array(match))
 
 
 def _first(rows: DataFrame, match: Column) -> DataFrame:
     return rows.withColumn("m", match).filter("m is not null")
 
 
+def _place(path: Column, name: Column) -> Column:
+    """The first suspicious place of a path that is of medium severity at least."""
+    return F.try_element_at(F.filter(path_matches(path, name), lambda m: at_least(m)), lit(1))
+
+
 def _one_of(path: Column, parts) -> Column:
     return S.any_of([F.contains(F.lower(path), lit(p.lower())) for p in parts])
 
@@ -69,10 +74,10 @@ def processes(p: DataFrame) -> DataFrame:
     disguised = S.any_of([(c("name") == n) & (c("path") != "") & ~S.matches(c("path"), pattern) & F.contains(c("path"), lit("\\")) for n, pattern in SYSTEM_PROCESS_PATHS.items()])
     ev = {k: c(k) for k in ("pid", "ppid", "name", "path", "cmdline")}
     return union(
-        emit(p, "process_anomaly", "high", F.concat(lit("Suspicious parent-child: "), c("parent_name"), lit(" > "), child), F.concat_ws(" ", c("parent_name"), lit("started"), child), 80, "T1566.001", ev, pairs),
-        emit(_by(p, all_matches(text)), "process_anomaly", sev, F.concat(lit("Suspicious process command: "), c("m.label")), c("cmdline"), _score(sev, 80, 50), "T1059", ev),
-        emit(_by(p, path_matches(c("path"), child)), "process_anomaly", sev, F.concat(lit("Process from suspicious location: "), c("m.label")), c("path"), 60, "T1036", ev),
-        emit(p, "process_anomaly", "critical", F.concat(lit("Process masquerading: "), c("name")), c("path"), 90, "T1036.005", ev, disguised),
+        branch(p, "process_anomaly", "high", F.concat(lit("Suspicious parent-child: "), c("parent_name"), lit(" > "), child), F.concat_ws(" ", c("parent_name"), lit("started"), child), 80, "T1566.001", ev, pairs),
+        branch(p, "process_anomaly", sev, F.concat(lit("Suspicious process command: "), c("m.label")), c("cmdline"), _score(sev, 80, 50), "T1059", ev, matches=all_matches(text)),
+        branch(p, "process_anomaly", sev, F.concat(lit("Process from suspicious location: "), c("m.label")), c("path"), 60, "T1036", ev, matches=path_matches(c("path"), child)),
+        branch(p, "process_anomaly", "critical", F.concat(lit("Process masquerading: "), c("name")), c("path"), 90, "T1036.005", ev, disguised),
     )
 
 
@@ -81,15 +86,14 @@ def lolbin_uses(p: DataFrame) -> DataFrame:
 
 
 def network(n: DataFrame) -> DataFrame:
-    watched = n.filter(c("remote_port").isin(*WATCHED_PORTS))
     use = F.element_at(F.create_map(*[lit(x) for kv in WATCHED_PORTS.items() for x in kv]), c("remote_port"))
     ev = {k: c(k) for k in ("local", "remote", "state", "pid", "process")}
     held = n.filter(F.contains(F.upper("state"), lit("ESTABLISHED")) & (c("remote_ip") != "") & ~c("remote_ip").rlike(r"^(127\.|0\.0|::|\[::)"))
     counts = held.groupBy("host", "artifact", "remote_ip").agg(F.count("*").alias("n"))
     top = first_of_each(counts, ["host", "artifact"], [F.desc("n"), "remote_ip"], 10).filter("n >= 5")
     return union(
-        emit(watched, "network_anomaly", "high", F.concat(lit("Connection to suspicious port "), c("remote_port").cast("string")), F.concat_ws(" ", "process", "remote", use), 70, "T1571", ev),
-        emit(top, "network_anomaly", "medium", F.concat(lit("Potential beaconing to "), c("remote_ip")), F.concat(c("n").cast("string"), lit(" connections")), 55, "T1071", {"remote": c("remote_ip"), "connection_count": c("n")}),
+        branch(n, "network_anomaly", "high", F.concat(lit("Connection to suspicious port "), c("remote_port").cast("string")), F.concat_ws(" ", "process", "remote", use), 70, "T1571", ev, c("remote_port").isin(*WATCHED_PORTS)),
+        branch(top, "network_anomaly", "medium", F.concat(lit("Potential beaconing to "), c("remote_ip")), F.concat(c("n").cast("string"), lit(" connections")), 55, "T1071", {"remote": c("remote_ip"), "connection_count": c("n")}),
     )
 
 
@@ -104,8 +108,8 @@ def dns(d: DataFrame) -> DataFrame:
 
     missing = S.matches(c("rcode"), "nxdomain") | (c("rcode") == "3")
     return union(
-        emit(open_, "network_anomaly", "low", F.concat(lit("Generated-looking domain: "), c("domain")), c("label"), 40, "T1568.002", {"domain": c("domain"), "entropy": F.round(S.entropy(c("label")), 2), "max_consonant_run": S.consonant_run(c("label"))}, S.looks_generated(c("label"))),
-        emit(open_, "network_anomaly", "medium", F.concat(lit("Very long DNS label: "), c("registered")), c("domain"), 50, "T1071.004", {"domain": c("domain")}, F.char_length("label") > 50),
+        branch(open_, "network_anomaly", "low", F.concat(lit("Generated-looking domain: "), c("domain")), c("label"), 40, "T1568.002", {"domain": c("domain"), "entropy": F.round(S.entropy(c("label")), 2), "max_consonant_run": S.consonant_run(c("label"))}, S.looks_generated(c("label"))),
+        branch(open_, "network_anomaly", "medium", F.concat(lit("Very long DNS label: "), c("registered")), c("domain"), 50, "T1071.004", {"domain": c("domain")}, F.char_length("label") > 50),
         frequent(open_.filter(missing), 10, "NXDOMAIN burst: ", "T1568.002", 55),
         frequent(open_.filter(F.upper("qtype").isin("TXT", "16")), 20, "High volume of TXT queries: ", "T1071.004", 55),
     )
@@ -117,12 +121,12 @@ def services(s: DataFrame) -> DataFrame:
     s = s.filter((c("path") != "") & ~good)
     binary = F.substring_index(S.base_name(c("path")), " ", 1)
     ev, sev = {k: c(k) for k in ("name", "path", "account", "start_mode")}, c("m.severity")
-    placed = _first(s, F.try_element_at(path_matches(c("path"), binary), lit(1))).filter(at_least(c("m")))
+    placed = F.filter(F.slice(path_matches(c("path"), binary), 1, 1), lambda m: at_least(m))
     before = F.substring_index(path, ".exe", 1)
     return union(
-        emit(placed, "persistence", sev, "Service binary in suspicious location", c("path"), F.when(sev == "critical", 90).when(sev == "high", 75).otherwise(50), "T1543.003", ev),
-        emit(_first(s, first_match(c("path"), least=4)), "persistence", F.when(sev.isin("critical", "high"), sev).otherwise("medium"), F.concat(lit("Service with suspicious command: "), c("m.label")), c("path"), 70, "T1543.003", ev),
-        emit(s, "persistence", "medium", "Unquoted service path", c("path"), 40, "T1574.009", ev, ~c("path").startswith('"') & F.contains(path, lit(".exe")) & F.contains(before, lit(" "))),
+        branch(s, "persistence", sev, "Service binary in suspicious location", c("path"), F.when(sev == "critical", 90).when(sev == "high", 75).otherwise(50), "T1543.003", ev, matches=placed),
+        branch(s, "persistence", F.when(sev.isin("critical", "high"), sev).otherwise("medium"), F.concat(lit("Service with suspicious command: "), c("m.label")), c("path"), 70, "T1543.003", ev, matches=_at_most_one(first_match(c("path"), least=4))),
+        branch(s, "persistence", "medium", "Unquoted service path", c("path"), 40, "T1574.009", ev, ~c("path").startswith('"') & F.contains(path, lit(".exe")) & F.contains(before, lit(" "))),
     )
 
 
@@ -130,8 +134,8 @@ def tasks(t: DataFrame) -> DataFrame:
     t = t.withColumn("full", F.concat_ws(" ", "command", "args"))
     ev = {k: c(k) for k in ("name", "command", "args")}
     return union(
-        emit(_by(t, all_matches(c("full"))), "persistence", c("m.severity"), F.concat(lit("Scheduled task with suspicious command: "), c("m.label")), c("full"), 80, "T1053.005", ev),
-        emit(_by(t, path_matches(c("full"), F.substring_index(S.base_name(c("command")), " ", 1))), "persistence", "medium", "Scheduled task references suspicious path", c("full"), 50, "T1053.005", ev),
+        branch(t, "persistence", c("m.severity"), F.concat(lit("Scheduled task with suspicious command: "), c("m.label")), c("full"), 80, "T1053.005", ev, matches=all_matches(c("full"))),
+        branch(t, "persistence", "medium", "Scheduled task references suspicious path", c("full"), 50, "T1053.005", ev, matches=path_matches(c("full"), F.substring_index(S.base_name(c("command")), " ", 1))),
     )
 
 
@@ -154,22 +158,22 @@ def events(e: DataFrame) -> DataFrame:
     system = F.contains(channel, lit("security")) | F.contains(channel, lit("system")) | F.contains(channel, lit("eventlog")) | F.contains(F.lower("provider"), lit("eventlog")) | artifact.endswith("security") | artifact.endswith("system") | artifact.rlike("evtx_(security|system)")
     defender = F.contains(channel, lit("defender")) | F.contains(artifact, lit("defender")) | F.contains(F.lower("provider"), lit("defender"))
     service = S.matches(c("data"), PAYLOAD)
-    plain = [emit(e, *f[:2], f[2], when, f[3], f[4], ev, eid.isin(*ids)) for ids, f in PLAIN_EVENTS.items()]
-    plain += [emit(e, *f[:2], f[2], when, f[3], f[4], ev, eid.isin(*ids) & defender) for ids, f in DEFENDER_EVENTS.items()]
+    plain = [branch(e, *f[:2], f[2], when, f[3], f[4], ev, eid.isin(*ids)) for ids, f in PLAIN_EVENTS.items()]
+    plain += [branch(e, *f[:2], f[2], when, f[3], f[4], ev, eid.isin(*ids) & defender) for ids, f in DEFENDER_EVENTS.items()]
     threat = F.regexp_extract("data", r"(?i)([A-Za-z]+:[A-Za-z0-9]+/[A-Za-z0-9_.!-]+)", 1)
     allowed = S.matches(c("data"), r"\bAllow\b")
     failed = e.filter(eid == 4625).withColumn("source", F.coalesce(S.ipv4(c("data")), lit("unknown")))
     brute = failed.groupBy("host", "artifact", "source").agg(F.count("*").alias("n")).filter("n >= 5")
-    script = lambda kind, title, score, mitre: emit(_first(e.filter(eid == kind), first_match(c("data"))), "execution", c("m.severity"), F.concat(lit(title), c("m.label")), when, score, mitre, ev)
+    script = lambda kind, title, score, mitre: branch(e, "execution", c("m.severity"), F.concat(lit(title), c("m.label")), when, score, mitre, ev, eid == kind, _at_most_one(first_match(c("data"))))
     return union(
-        emit(e, "defense_evasion", "critical", "Security audit log cleared", when, 95, "T1070.001", ev, (eid == 1102) & security),
-        emit(e, "defense_evasion", "high", "Event log cleared", when, 75, "T1070.001", ev, (eid == 104) & system),
+        branch(e, "defense_evasion", "critical", "Security audit log cleared", when, 95, "T1070.001", ev, (eid == 1102) & security),
+        branch(e, "defense_evasion", "high", "Event log cleared", when, 75, "T1070.001", ev, (eid == 104) & system),
         *plain,
-        emit(e, "persistence", F.when(service, "high").otherwise("medium"), "New service installed", when, F.when(service, 75).otherwise(50), "T1543.003", ev, eid.isin(4697, 7045)),
+        branch(e, "persistence", F.when(service, "high").otherwise("medium"), "New service installed", when, F.when(service, 75).otherwise(50), "T1543.003", ev, eid.isin(4697, 7045)),
         script(4104, "Suspicious PowerShell script block: ", 75, "T1059.001"), script(4688, "Suspicious process creation: ", 70, "T1059"),
-        emit(e, "malware", "critical", F.concat(lit("Windows Defender detected: "), F.when(threat != "", threat).otherwise("unknown threat")), when, 95, "T1204", ev, (eid == 1116) & defender),
-        emit(e, "malware", F.when(allowed, "critical").otherwise("high"), F.concat(lit("Defender action taken on detected threat"), F.when(allowed, " (allowed)").otherwise("")), when, F.when(allowed, 95).otherwise(80), "T1204", ev, (eid == 1117) & defender),
-        emit(brute, "credential_access", "high", F.concat(lit("Possible brute-force from "), c("source")), F.concat(c("n").cast("string"), lit(" failed logons")), 65, "T1110", {"source": c("source"), "attempt_count": c("n")}),
+        branch(e, "malware", "critical", F.concat(lit("Windows Defender detected: "), F.when(threat != "", threat).otherwise("unknown threat")), when, 95, "T1204", ev, (eid == 1116) & defender),
+        branch(e, "malware", F.when(allowed, "critical").otherwise("high"), F.concat(lit("Defender action taken on detected threat"), F.when(allowed, " (allowed)").otherwise("")), when, F.when(allowed, 95).otherwise(80), "T1204", ev, (eid == 1117) & defender),
+        branch(brute, "credential_access", "high", F.concat(lit("Possible brute-force from "), c("source")), F.concat(c("n").cast("string"), lit(" failed logons")), 65, "T1110", {"source": c("source"), "attempt_count": c("n")}),
     )
 
 
@@ -179,39 +183,38 @@ def auth(e: DataFrame) -> DataFrame:
     success = e.filter("event_id = 4624")
     guessed = failures_then_success(e.withColumn("who", F.struct("host", "artifact", "account")), "who", "ts", "row_index", c("event_id") == 4625, c("event_id") == 4624).select("who.*", "ts", "row_index", "failures")
     sources = success.filter("source_ip is not null").groupBy("host", "artifact", "account").agg(F.sort_array(F.collect_set("source_ip")).alias("ips")).filter(F.size("ips") >= 3)
-    late = success.filter(c("logon_type").isin("2", "10") & off_hours(c("ts")))
+    late = (c("event_id") == 4624) & c("logon_type").isin("2", "10") & off_hours(c("ts"))
     return union(
-        emit(guessed, "credential_access", "high", F.concat(lit("Successful logon for '"), c("account"), lit("' after "), c("failures").cast("string"), lit(" failed attempts")), c("ts").cast("string"), 85, "T1110", {"account": c("account"), "failed_attempts": c("failures")}),
-        emit(sources, "credential_access", "medium", F.concat(lit("Account '"), c("account"), lit("' logged on from "), F.size("ips").cast("string"), lit(" distinct sources")), F.array_join(F.slice("ips", 1, 5), ", "), 50, "T1078", {"account": c("account")}),
-        emit(late, "credential_access", "low", F.concat(lit("Off-hours privileged logon for '"), c("account"), lit("'")), c("ts").cast("string"), 30, "T1078", {"account": c("account"), "hour": F.hour("ts"), "logon_type": c("logon_type")}),
+        branch(guessed, "credential_access", "high", F.concat(lit("Successful logon for '"), c("account"), lit("' after "), c("failures").cast("string"), lit(" failed attempts")), c("ts").cast("string"), 85, "T1110", {"account": c("account"), "failed_attempts": c("failures")}),
+        branch(sources, "credential_access", "medium", F.concat(lit("Account '"), c("account"), lit("' logged on from "), F.size("ips").cast("string"), lit(" distinct sources")), F.array_join(F.slice("ips", 1, 5), ", "), 50, "T1078", {"account": c("account")}),
+        branch(e, "credential_access", "low", F.concat(lit("Off-hours privileged logon for '"), c("account"), lit("'")), c("ts").cast("string"), 30, "T1078", {"account": c("account"), "hour": F.hour("ts"), "logon_type": c("logon_type")}, late),
     )
 
 
 def sysmon(s: DataFrame) -> DataFrame:
     eid, image = c("event_id"), _image("Image")
     ev = {"name": image, "path": c("Image"), "cmdline": c("CommandLine"), "pid": c("ProcessId")}
-    of = lambda *ids: s.filter(eid.isin(*ids))
     sev, parent = c("m.severity"), _image("ParentImage")
-    created, text = of(1), F.concat_ws(" ", "Image", "CommandLine")
+    created, text = eid == 1, F.concat_ws(" ", "Image", "CommandLine")
     pairs = S.any_of([(parent == p) & image.isin(*children) for p, children in SYSMON_PARENT_CHILDREN.items()])
-    net, watched = of(3), c("port").isin(*WATCHED_PORTS)
+    net, watched = eid == 3, F.coalesce(c("port").isin(*WATCHED_PORTS), lit(False))
     outside = (c("DestinationIp") != "") & ~c("DestinationIp").rlike(r"^(127\.|::1|0\.0|169\.254|fe80)")
-    reader = of(10).filter((_image("TargetImage") == "lsass.exe") & ~_image("SourceImage").isin(*LSASS_READERS))
+    reader = (eid == 10) & (_image("TargetImage") == "lsass.exe") & ~_image("SourceImage").isin(*LSASS_READERS)
     unknown = F.contains(F.lower("CallTrace"), lit("unknown"))
-    dropped = _first(of(11).filter(S.matches(c("TargetFilename"), SCRIPT_ENDINGS)), F.try_element_at(F.filter(path_matches(c("TargetFilename"), S.base_name(c("TargetFilename"))), lambda m: at_least(m)), lit(1)))
+    dropped = (eid == 11) & S.matches(c("TargetFilename"), SCRIPT_ENDINGS)
     return union(
-        emit(_first(created, first_match(text)), "process_anomaly", sev, F.concat(lit("Sysmon: suspicious process command ("), c("m.label"), lit(")")), c("CommandLine"), _score(sev, 80, 50), "T1059", ev),
-        emit(_first(created, F.try_element_at(path_matches(c("Image"), image), lit(1))), "process_anomaly", sev, F.concat(lit("Sysmon: process from suspicious location ("), c("m.label"), lit(")")), c("Image"), 60, "T1036", ev),
-        emit(created, "process_anomaly", "high", F.concat(lit("Sysmon: suspicious parent-child ("), parent, lit(" > "), image, lit(")")), c("CommandLine"), 80, "T1566.001", ev, pairs),
-        emit(net, "network_anomaly", "high", F.concat(lit("Sysmon: connection to suspicious port "), c("port").cast("string")), c("DestinationIp"), 70, "T1571", ev | {"remote": F.concat_ws(":", "DestinationIp", "DestinationPort")}, watched),
-        emit(net, "network_anomaly", "high", F.concat(lit("Sysmon: LOLBin '"), image, lit("' made a network connection")), c("DestinationIp"), 70, "T1105", ev | {"remote": F.concat_ws(":", "DestinationIp", "DestinationPort")}, ~F.coalesce(watched, lit(False)) & image.isin(*LOLBINS) & outside),
-        emit(of(8), "defense_evasion", "high", F.concat(lit("Sysmon: remote thread injection ("), _image("SourceImage"), lit(" > "), _image("TargetImage"), lit(")")), c("SourceImage"), 80, "T1055", {"name": _image("SourceImage"), "target": _image("TargetImage")}),
-        emit(reader, "credential_access", F.when(unknown, "critical").otherwise("high"), F.concat(lit("Sysmon: lsass.exe memory access by '"), _image("SourceImage"), lit("'")), c("GrantedAccess"), F.when(unknown, 90).otherwise(78), "T1003.001", {"name": _image("SourceImage"), "call_trace": c("CallTrace")}),
-        emit(dropped, "execution", "medium", "Sysmon: executable/script dropped in suspicious location", c("TargetFilename"), 45, "T1105", {"path": c("TargetFilename"), "creator": image}),
-        emit(_first(of(17, 18), first_match(c("PipeName"), BAD_PIPES)), "lateral_movement", "high", F.concat(lit("Sysmon: suspicious named pipe ("), c("m.label"), lit(")")), c("PipeName"), 72, "T1021.002", {"name": image, "pipe": c("PipeName")}),
-        emit(of(25), "defense_evasion", "high", F.concat(lit("Sysmon: process tampering detected ("), c("Type"), lit(")")), c("Image"), 82, "T1055.012", ev),
-        emit(of(12, 13), "persistence", "medium", "Sysmon: autorun/persistence registry modification", c("TargetObject"), 55, "T1547.001", {"name": image, "key": c("TargetObject"), "value": c("Details")}, _one_of(c("TargetObject"), SYSMON_AUTORUNS)),
-        emit(of(6), "defense_evasion", "high", F.concat(lit("Sysmon: unsigned driver loaded ("), _image("ImageLoaded"), lit(")")), c("ImageLoaded"), 70, "T1014", {"path": c("ImageLoaded"), "signature": c("Signature")}, F.lower("Signed") == "false"),
+        branch(s, "process_anomaly", sev, F.concat(lit("Sysmon: suspicious process command ("), c("m.label"), lit(")")), c("CommandLine"), _score(sev, 80, 50), "T1059", ev, created, matches=_at_most_one(first_match(text))),
+        branch(s, "process_anomaly", sev, F.concat(lit("Sysmon: process from suspicious location ("), c("m.label"), lit(")")), c("Image"), 60, "T1036", ev, created, matches=_at_most_one(F.try_element_at(path_matches(c("Image"), image), lit(1)))),
+        branch(s, "process_anomaly", "high", F.concat(lit("Sysmon: suspicious parent-child ("), parent, lit(" > "), image, lit(")")), c("CommandLine"), 80, "T1566.001", ev, (created) & (pairs)),
+        branch(s, "network_anomaly", "high", F.concat(lit("Sysmon: connection to suspicious port "), c("port").cast("string")), c("DestinationIp"), 70, "T1571", ev | {"remote": F.concat_ws(":", "DestinationIp", "DestinationPort")}, (net) & (watched)),
+        branch(s, "network_anomaly", "high", F.concat(lit("Sysmon: LOLBin '"), image, lit("' made a network connection")), c("DestinationIp"), 70, "T1105", ev | {"remote": F.concat_ws(":", "DestinationIp", "DestinationPort")}, (net) & (~F.coalesce(watched, lit(False)) & image.isin(*LOLBINS) & outside)),
+        branch(s, "defense_evasion", "high", F.concat(lit("Sysmon: remote thread injection ("), _image("SourceImage"), lit(" > "), _image("TargetImage"), lit(")")), c("SourceImage"), 80, "T1055", {"name": _image("SourceImage"), "target": _image("TargetImage")}, eid == 8),
+        branch(s, "credential_access", F.when(unknown, "critical").otherwise("high"), F.concat(lit("Sysmon: lsass.exe memory access by '"), _image("SourceImage"), lit("'")), c("GrantedAccess"), F.when(unknown, 90).otherwise(78), "T1003.001", {"name": _image("SourceImage"), "call_trace": c("CallTrace")}, reader),
+        branch(s, "execution", "medium", "Sysmon: executable/script dropped in suspicious location", c("TargetFilename"), 45, "T1105", {"path": c("TargetFilename"), "creator": image}, dropped, matches=_at_most_one(_place(c("TargetFilename"), S.base_name(c("TargetFilename"))))),
+        branch(s, "lateral_movement", "high", F.concat(lit("Sysmon: suspicious named pipe ("), c("m.label"), lit(")")), c("PipeName"), 72, "T1021.002", {"name": image, "pipe": c("PipeName")}, eid.isin(17, 18), matches=_at_most_one(first_match(c("PipeName"), BAD_PIPES))),
+        branch(s, "defense_evasion", "high", F.concat(lit("Sysmon: process tampering detected ("), c("Type"), lit(")")), c("Image"), 82, "T1055.012", ev, eid == 25),
+        branch(s, "persistence", "medium", "Sysmon: autorun/persistence registry modification", c("TargetObject"), 55, "T1547.001", {"name": image, "key": c("TargetObject"), "value": c("Details")}, (eid.isin(12, 13)) & (_one_of(c("TargetObject"), SYSMON_AUTORUNS))),
+        branch(s, "defense_evasion", "high", F.concat(lit("Sysmon: unsigned driver loaded ("), _image("ImageLoaded"), lit(")")), c("ImageLoaded"), 70, "T1014", {"path": c("ImageLoaded"), "signature": c("Signature")}, (eid == 6) & (F.lower("Signed") == "false")),
     )
 
 
@@ -220,27 +223,27 @@ def registry(r: DataFrame) -> DataFrame:
     r = r.withColumn("autorun", autorun)
     ev, sev = {k: c(k) for k in ("key", "name", "value")}, c("m.severity")
     binary = F.substring_index(S.base_name(c("value")), " ", 1)
-    placed = _first(r.filter("autorun and value <> ''"), F.try_element_at(F.filter(path_matches(c("value"), binary), lambda m: at_least(m)), lit(1)))
+    placed = _at_most_one(_place(c("value"), binary))
     return union(
-        emit(_first(r.filter(F.char_length("value") >= 6), first_match(c("value"), least=4)), "persistence", F.when(sev.isin("critical", "high") & c("autorun"), sev).otherwise("medium"), F.concat(lit("Suspicious registry value: "), c("m.label")), c("value"), F.when(c("autorun"), 70).otherwise(45), "T1547.001", ev),
-        emit(placed, "persistence", "medium", "Registry autorun from suspicious path", c("value"), 55, "T1547.001", ev),
+        branch(r, "persistence", F.when(sev.isin("critical", "high") & c("autorun"), sev).otherwise("medium"), F.concat(lit("Suspicious registry value: "), c("m.label")), c("value"), F.when(c("autorun"), 70).otherwise(45), "T1547.001", ev, F.char_length("value") >= 6, matches=_at_most_one(first_match(c("value"), least=4))),
+        branch(r, "persistence", "medium", "Registry autorun from suspicious path", c("value"), 55, "T1547.001", ev, c("autorun") & (c("value") != ""), placed),
     )
 
 
 def links(x: DataFrame) -> DataFrame:
     text = F.concat_ws(" ", "target", "args")
-    return emit(_by(x, all_matches(text)), "execution", c("m.severity"), F.concat(lit("Shortcut with suspicious target: "), c("m.label")), text, 65, "T1204.002", {"target": c("target"), "args": c("args")})
+    return union(branch(x, "execution", c("m.severity"), F.concat(lit("Shortcut with suspicious target: "), c("m.label")), text, 65, "T1204.002", {"target": c("target"), "args": c("args")}, matches=all_matches(text)))
 
 
 def execution(x: DataFrame) -> DataFrame:
-    return emit(_by(x, path_matches(c("path"), c("name"))), "execution_evidence", c("m.severity"), F.concat(lit("Execution evidence: "), c("m.label")), c("path"), 45, "T1204", {"name": c("name"), "path": c("path")})
+    return union(branch(x, "execution_evidence", c("m.severity"), F.concat(lit("Execution evidence: "), c("m.label")), c("path"), 45, "T1204", {"name": c("name"), "path": c("path")}, matches=path_matches(c("path"), c("name"))))
 
 
 def _cache(x: DataFrame, kind: str, table, scores: tuple[int, int], mitre: str, mask: tuple[str, int, str] | None, category: str = "execution_evidence") -> DataFrame:
     ev, sev = {"path": c("path")}, c("m.severity")
     x = x.filter("path <> ''")
-    out = emit(_first(x, first_match(c("path"), table)), category, sev, F.concat(lit(f"{kind}: "), c("m.label")), c("path"), F.when(sev == "medium", scores[0]).otherwise(scores[1]), mitre, ev)
-    return out if mask is None else union(out, emit(x, category, "high", mask[0], c("path"), mask[1], mask[2], ev, S.double_extension(c("path"))))
+    out = branch(x, category, sev, F.concat(lit(f"{kind}: "), c("m.label")), c("path"), F.when(sev == "medium", scores[0]).otherwise(scores[1]), mitre, ev, matches=_at_most_one(first_match(c("path"), table)))
+    return union(out) if mask is None else union(out, branch(x, category, "high", mask[0], c("path"), mask[1], mask[2], ev, S.double_extension(c("path"))))
 
 
 def shimcache(x: DataFrame) -> DataFrame:
@@ -262,9 +265,9 @@ def files(x: DataFrame, most_masked: int = 50, most_placed: int = 100) -> DataFr
     many = placed.groupBy("host", "artifact").agg(F.count("*").alias("n")).filter(c("n") > most_placed)
     ev = {"path": c("path")}
     return union(
-        emit(masked, "defense_evasion", "high", "Double extension file (masquerading)", c("path"), 70, "T1036.007", ev),
-        emit(first_of_each(placed, ["host", "artifact"], ["row_index"], most_placed), "suspicious_file", "medium", "Executable in suspicious location", c("path"), 45, "T1036", ev),
-        emit(many, "suspicious_file", "high", F.concat(c("n").cast("string"), lit(" executables in suspicious locations")), "", 60, "T1036", {"total_count": c("n")}),
+        branch(masked, "defense_evasion", "high", "Double extension file (masquerading)", c("path"), 70, "T1036.007", ev),
+        branch(first_of_each(placed, ["host", "artifact"], ["row_index"], most_placed), "suspicious_file", "medium", "Executable in suspicious location", c("path"), 45, "T1036", ev),
+        branch(many, "suspicious_file", "high", F.concat(c("n").cast("string"), lit(" executables in suspicious locations")), "", 60, "T1036", {"total_count": c("n")}),
     )
 
 
@@ -276,10 +279,10 @@ def av_log(a: DataFrame) -> DataFrame:
     local, many = path.rlike(DATA_PLACES), n >= 1000
     reason = F.when(share, "accessed many files of a network share").when(many & ~local, "accessed an unusually high number of files").otherwise("accessed a file in a suspicious location")
     return union(
-        emit(a, "malware", "critical", F.concat(lit("MPLog: Defender detected "), c("threat_name")), c("file"), 90, "T1204", ev, kind == "detection"),
-        emit(a, "malware", "critical", F.concat(lit("MPLog: memory scan detected "), c("threat_name")), c("pid"), 92, "T1055", ev, kind == "ems_detection"),
-        emit(a, "execution_evidence", "low", F.concat(lit("MPLog: cloud lookup of "), S.base_name(c("file"))), c("sha256"), 35, "T1204", ev, kind == "sdn"),
-        emit(a, "execution", F.when(share | many, "high").otherwise("low"), F.concat_ws(" ", lit("MPLog:"), "process", reason), c("max_time_file"), F.when(share | many, 70).otherwise(40), F.when(share, "T1567").otherwise("T1204"), ev, (kind == "estimated_impact") & (local | share | many)),
+        branch(a, "malware", "critical", F.concat(lit("MPLog: Defender detected "), c("threat_name")), c("file"), 90, "T1204", ev, kind == "detection"),
+        branch(a, "malware", "critical", F.concat(lit("MPLog: memory scan detected "), c("threat_name")), c("pid"), 92, "T1055", ev, kind == "ems_detection"),
+        branch(a, "execution_evidence", "low", F.concat(lit("MPLog: cloud lookup of "), S.base_name(c("file"))), c("sha256"), 35, "T1204", ev, kind == "sdn"),
+        branch(a, "execution", F.when(share | many, "high").otherwise("low"), F.concat_ws(" ", lit("MPLog:"), "process", reason), c("max_time_file"), F.when(share | many, 70).otherwise(40), F.when(share, "T1567").otherwise("T1204"), ev, (kind == "estimated_impact") & (local | share | many)),
     )
 
 
@@ -292,8 +295,8 @@ def content(x: DataFrame) -> DataFrame:
     score = F.element_at(F.create_map(*[lit(v) for kv in {"critical": 92, "high": 78, "medium": 55, "low": 30, "info": 15}.items() for v in kv]), F.lower("level"))
     ev = {"rule": c("rule"), "path": c("filename"), "matched_strings": c("matched")}
     return union(
-        emit(x, "yara_match", c("level"), F.concat(lit("Content rule match: "), c("rule")), c("description"), F.coalesce(score, lit(55)), F.when(changed, c("family.mitre")).otherwise(c("mitre")), ev, ~vendor),
-        emit(x, "yara_match", F.when(c("level").isin("critical", "high"), "low").otherwise("info"), F.concat(lit("Content rule match in vendor folder: "), c("rule")), c("description"), 15, c("mitre"), ev, vendor),
+        branch(x, "yara_match", c("level"), F.concat(lit("Content rule match: "), c("rule")), c("description"), F.coalesce(score, lit(55)), F.when(changed, c("family.mitre")).otherwise(c("mitre")), ev, ~vendor),
+        branch(x, "yara_match", F.when(c("level").isin("critical", "high"), "low").otherwise("info"), F.concat(lit("Content rule match in vendor folder: "), c("rule")), c("description"), 15, c("mitre"), ev, vendor),
     )
 
 
@@ -335,11 +338,15 @@ class Engine:
         self.raw.append((tuple(artifact_parts), detector))
 
     def run(self, rows: DataFrame, ioc: DataFrame | None = None) -> DataFrame:
-        """All findings of rows(host, artifact, row_index, source_file, row)."""
+        """All findings of rows(host, artifact, row_index, source_file, row).
+
+        The routed rows are written once, a folder for each family, so that a family's detectors read its rows only;
+        all its row detectors share one pass, and only grouped and ordered ones read the rows again.
+        """
         from .textlogs import text_logs
 
         own = S.any_of([F.contains(F.lower("artifact"), lit(p)) for parts, family in self.routes if family.startswith("own:") for p in parts]) if self.raw else lit(False)
-        placed = rows.withColumn("family", F.when(own, "own").otherwise(family_of(c("artifact"))))
+        placed = staged(rows.withColumn("family", F.when(own, "own").otherwise(family_of(c("artifact")))), "routed", by="family")
         parts = [detect(canonical(placed.filter(c("family") == family), family)) for family, found in self.detectors.items() for detect in found]
         parts += [text_logs(placed.filter(c("family") == "textlog")), generic(placed.filter(c("family") == "generic"))]
         parts += [detect(placed.filter(S.any_of([F.contains(F.lower("artifact"), lit(p)) for p in names]))) for names, detect in self.raw]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,26 +18,76 @@ def _column(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
+def _fields(category, severity, title, description, score, mitre, evidence: dict[str, Column] | None) -> dict[str, Column]:
+    pairs = [F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in (evidence or {}).items()]
+    kept = F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull() & (p["value"] != ""))) if pairs else F.create_map().cast("map<string,string>")
+    return {"category": _column(category), "severity": _column(severity), "title": _column(title), "description": _column(description), "evidence": kept, "score": _column(score).cast("int"), "mitre": _column(mitre)}
+
+
+def _placed(rows: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    place = {c: F.col(c) if c in rows.columns else F.lit(None) for c in ("host", "artifact", "row_index", "source_file")}
+    fields = fields | {"artifact": place["artifact"].cast("string"), "host": place["host"].cast("string"), "row_index": place["row_index"].cast("long"), "source_file": place["source_file"].cast("string")}
+    return rows.select(*[fields[c].alias(c) for c in COLUMNS])
+
+
 def emit(rows: DataFrame, category, severity, title, description, score, mitre="", evidence: dict[str, Column] | None = None, where: Column | None = None) -> DataFrame:
     """One finding for each row (for which `where` holds) of rows with host, artifact, row_index, source_file.
 
     Evidence values are strings; absent and empty ones are left out.
     """
     rows = rows if where is None else rows.filter(where)
-    pairs = [F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in (evidence or {}).items()]
-    kept = F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull() & (p["value"] != ""))) if pairs else F.create_map().cast("map<string,string>")
-    place = {c: (F.col(c) if c in rows.columns else F.lit(None)) for c in ("host", "artifact", "row_index", "source_file")}
-    return rows.select(
-        _column(category).alias("category"), _column(severity).alias("severity"), _column(title).alias("title"), _column(description).alias("description"),
-        place["artifact"].cast("string").alias("artifact"), kept.alias("evidence"), _column(score).cast("int").alias("score"), _column(mitre).alias("mitre"),
-        place["host"].cast("string").alias("host"), place["row_index"].cast("long").alias("row_index"), place["source_file"].cast("string").alias("source_file"),
-    )
-
-
-def union(*parts: DataFrame) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
+    return _placed(rows, _fields(category, severity, title, description, score, mitre, evidence))
+
+
+@dataclass
+class Branch:
+    """Findings of rows that are still to be emitted: for each row one, or one for each of `matches`, which the fields
+    call m; see branch()."""
+
+    rows: DataFrame
+    fields: dict[str, Column]
+    where: Column
+    matches: Column | None
+
+
+def branch(rows: DataFrame, category, severity, title, description, score, mitre="", evidence: dict[str, Column] | None = None, where: Column | None = None, matches: Column | None = None) -> Branch:
+    """As emit(), but left to union(), which emits all branches of the same rows in one pass. matches is an array of
+    signature matches; without any there is no finding."""
+    return Branch(rows, _fields(category, severity, title, description, score, mitre, evidence), F.coalesce(where, F.lit(False)) if where is not None else F.lit(True), matches)
+
+
+MATCH = "struct<n:int,label:string,severity:string,pattern:string>"
+
+
+def _one_pass(branches: list[Branch]) -> DataFrame:
+    """One array of (branch, match) a row, exploded once; then each field by its branch."""
+    none = F.lit(None).cast(MATCH)
+
+    def hits(i: int, b: Branch) -> Column:
+        one = F.array(F.struct(F.lit(i).alias("k"), none.alias("m"))) if b.matches is None else F.transform(b.matches, lambda m: F.struct(F.lit(i).alias("k"), m.cast(MATCH).alias("m")))
+        return F.coalesce(F.when(b.where, one), F.array().cast(f"array<struct<k:int,m:{MATCH}>>"))
+
+    rows = branches[0].rows.withColumn("__hit", F.explode(F.flatten(F.array(*[hits(i, b) for i, b in enumerate(branches)]))))
+    rows = rows.withColumns({"__k": F.col("__hit.k"), "m": F.col("__hit.m")}).drop("__hit")
+    fields = {}
+    for name in branches[0].fields:
+        out = None
+        for i, b in enumerate(branches):
+            out = (F if out is None else out).when(F.col("__k") == i, b.fields[name])
+        fields[name] = out
+    return _placed(rows, fields)
+
+
+def union(*parts: DataFrame | Branch) -> DataFrame:
+    """All findings of tables and branches; rows that several branches share are read once."""
+    tables, passes = [p for p in parts if isinstance(p, DataFrame)], {}
+    for p in parts:
+        if isinstance(p, Branch):
+            passes.setdefault(id(p.rows), []).append(p)
+    tables += [_one_pass(branches) for branches in passes.values()]
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
     return out
 
 

@@ -25,18 +25,19 @@ def shared_folder(spark: SparkSession) -> str:
 TASK_ROWS, LEAST_TASKS, SMALL = 100_000, 8, 1_000_000
 
 
-def staged(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+def staged(df: DataFrame, label: str, rows: int | None = None, by: str | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again.
 
     This cuts the lineage: what follows depends on files that outlive any executor, and work that several branches
     need is done once. Where the number of rows is known to be at most `rows`, and these are few, the last stage has no
     more tasks than they are worth, whatever the number of shuffle partitions is; it should have no sort-merge join, as
-    a task holds the sorted pages of all the partitions it takes.
+    a task holds the sorted pages of all the partitions it takes. With `by`, a filter on that string column reads its
+    own files only.
     """
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     if rows is not None and rows <= SMALL:
         df = df.coalesce(max(LEAST_TASKS, -(-rows // TASK_ROWS)))
-    df.write.parquet(path)
+    (df.write if by is None else df.write.partitionBy(by)).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
