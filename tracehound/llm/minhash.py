@@ -1,17 +1,16 @@
 """Near-duplicate documents: universal hash minima, banding, verification on whole shingle sets, components.
 
 Documents with equal shingle sets are one node. Nodes that agree on a band of minima meet in a bucket. A bucket of m
-nodes is not turned into its m * m pairs: first each node is compared with leaders of the bucket; groups of copies
-collapse into components by that. Where a bucket above one block is still divided and leaders have joined something,
-new leaders are taken. Buckets that stay divided are then compared in blocks. In both cases signatures come first: pairs
-that agree on too few minima are dropped, and so are pairs for which bitmaps of the sets prove too small an
-intersection. What is left is verified on the sets. Only the texts of nodes that share a bucket are ever moved.
+nodes is not turned into its m * m pairs: first each node is compared with the bucket's leader, then, in blocks, with the
+few nodes whose minima agree most with its own; groups of copies collapse into components by that. Buckets that stay
+divided are then compared in blocks as a whole. Signatures always come first: pairs that agree on too few minima are
+dropped, and so are pairs for which bitmaps of the sets prove too small an intersection. What is left is verified on
+the sets. Only the texts of nodes that share a bucket are ever moved.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -28,8 +27,8 @@ from .words import documents_words, mix
 BANDS, ROWS = 28, 4
 #: Standard deviations below the similarity at which the share of equal minima drops a pair: odds of 6e-8.
 DEVIATIONS = 5.3
-#: Leaders are chosen again if the last ones added this share to the links.
-AGAIN = 0.25
+#: Partners of a node that are tried in a block before all are.
+BEST = 4
 #: Nodes of one bucket that are compared with one another in one task.
 BLOCK = 1024
 #: Shingles in one run of minima.
@@ -112,8 +111,9 @@ def least_common(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def may_link(a: pd.DataFrame, b: pd.DataFrame, percent: int) -> Iterator[tuple[int, int]]:
-    """Positions (in a, in b) of pairs in different components that sizes, minima and bitmaps allow to be linked."""
+def may_link(a: pd.DataFrame, b: pd.DataFrame, percent: int, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Positions (in a, in b) of pairs in different components that sizes, minima and bitmaps allow to be linked; with
+    `most`, of each in a those with the so many in b whose minima agree best."""
     na, nb = a["n_shingles"].to_numpy(dtype=np.int64), b["n_shingles"].to_numpy(dtype=np.int64)
     ca, cb = a["component"].to_numpy(), b["component"].to_numpy()
     ma = np.stack([np.frombuffer(x, dtype="<u2") for x in a["minima"]])
@@ -124,9 +124,12 @@ def may_link(a: pd.DataFrame, b: pd.DataFrame, percent: int) -> Iterator[tuple[i
     for i in range(len(a)):
         need = least_common(na[i], nb, percent)
         j = np.flatnonzero((cb != ca[i]) & (need <= np.minimum(na[i], nb)))
-        j = j[(mb[j] == ma[i]).mean(axis=1) >= agree] if len(j) else j
+        share = (mb[j] == ma[i]).mean(axis=1) if len(j) else np.empty(0)
+        j, share = j[share >= agree], share[share >= agree]
         if not len(j):
             continue
+        if most is not None:
+            j = j[np.argsort(-share, kind="stable")[:most]]
         own = np.frombuffer(a["bits"].iloc[i], dtype=np.uint8)
         for size in {min(len(own), len(bits_b[k])) for k in j}:
             k = j[[min(len(own), len(bits_b[x])) == size for x in j]]
@@ -137,19 +140,19 @@ def may_link(a: pd.DataFrame, b: pd.DataFrame, percent: int) -> Iterator[tuple[i
                     folded[size][x] = _fold(bits_b[x], size).view(np.uint64)
             other, mine = np.stack([folded[size][x] for x in k]), _fold(own, size).view(np.uint64)
             # Every bit of one that the other lacks is a shingle that is not common.
-            most = np.minimum(na[i] - np.bitwise_count(mine & ~other).sum(axis=1, dtype=np.int64), nb[k] - np.bitwise_count(other & ~mine).sum(axis=1, dtype=np.int64))
-            for x in k[most >= need[k]]:
+            largest = np.minimum(na[i] - np.bitwise_count(mine & ~other).sum(axis=1, dtype=np.int64), nb[k] - np.bitwise_count(other & ~mine).sum(axis=1, dtype=np.int64))
+            for x in k[largest >= need[k]]:
                 yield i, int(x)
 
 
-def _compare_cells(percent: int):
+def _compare_cells(percent: int, most: int | None):
     def run(cell: pd.DataFrame) -> pd.DataFrame:
         found = set()
         for _, group in cell.groupby(["bucket", "left", "right"], sort=False):
             left, right = group["left"].iloc[0], group["right"].iloc[0]
             a, b = group[group["block"] == left], group[group["block"] == right]
             ids_a, ids_b = a["node"].to_numpy(), b["node"].to_numpy()
-            found.update((int(min(ids_a[i], ids_b[j])), int(max(ids_a[i], ids_b[j]))) for i, j in may_link(a, b, percent))
+            found.update((int(min(ids_a[i], ids_b[j])), int(max(ids_a[i], ids_b[j]))) for i, j in (*may_link(a, b, percent, most), *((i, j) for j, i in (may_link(b, a, percent, most) if most is not None and left != right else ()))))
         return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
     return run
@@ -249,22 +252,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     wanted = signs.select("node", "doc_id", "text_key")
     texts = staged(rows.join(near(wanted, n_met), ["doc_id", "text_key"]).select("node", "text").dropDuplicates(["node"]), "near-texts")
 
-    own, components, edges, before = staged(members.withColumn("component", F.col("node")), "near-round", n_members), None, None, 0
-    for round_ in itertools.count():
-        edges = _more_edges(edges, _leader_pairs(own, signs, percent, round_, n_members), texts, width, percent)
+    own = staged(members.withColumn("component", F.col("node")), "near-round", n_members)
+    edges, components = None, None
+    for search in (_leader_pairs, _best_pairs, _all_pairs):
+        pairs = search(own, signs, percent, n_members)
+        discard(own, components)
+        edges = _more_edges(edges, pairs, texts, width, percent)
         n = edges.count()
-        discard(components)
-        # These components serve to leave out comparisons, so a part of the way will do.
-        components = connected_components(edges, rounds=2, rows=n)
-        discard(own)
-        own = _divided(members, components, n_members)
-        if n - before <= AGAIN * before or (own.agg(F.max("m")).first()[0] or 0) <= BLOCK:
-            break
-        before = n
-    edges = _more_edges(edges, _pairs_in_blocks(own, signs, percent), texts, width, percent)
-    discard(own, components, members, signs, texts)
-    n = edges.count()
-    components = connected_components(edges, rows=n)
+        components = connected_components(edges, rows=n)
+        own = _divided(members, components, n_members) if search is not _all_pairs else None
+    discard(members, signs, texts)
 
     linked = staged(ids.join(near(components, 2 * n), "node"), "near-linked")
     least = staged(linked.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("x")), "near-least", n)
@@ -286,10 +283,9 @@ def _divided(members: DataFrame, components: DataFrame, rows: int) -> DataFrame:
     return out
 
 
-def _leader_pairs(own: DataFrame, signs: DataFrame, percent: int, round_: int, rows: int) -> DataFrame:
-    """Pairs of nodes with the leader of their bucket, another one each round, that signatures allow."""
-    order = F.xxhash64("node", F.lit(round_)).alias("o")
-    leaders = own.groupBy("bucket").agg(F.min(F.struct(order, "node", "n_shingles", "component")).alias("l"))
+def _leader_pairs(own: DataFrame, signs: DataFrame, percent: int, rows: int) -> DataFrame:
+    """Pairs of nodes with the leader of their bucket that signatures allow."""
+    leaders = own.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node").alias("o"), "node", "n_shingles", "component")).alias("l"))
     leaders = staged(leaders.select("bucket", F.col("l.node").alias("leader"), F.col("l.n_shingles").alias("leader_n"), F.col("l.component").alias("leader_component")), "near-leaders", rows)
     alike = F.least("n_shingles", "leader_n") * 100 >= F.greatest("n_shingles", "leader_n") * percent
     pairs = own.join(near(leaders, rows), "bucket").filter((F.col("component") != F.col("leader_component")) & alike)
@@ -310,8 +306,17 @@ def _more_edges(edges: DataFrame | None, pairs: DataFrame, texts: DataFrame, wid
     return out
 
 
-def _pairs_in_blocks(own: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of nodes that share a bucket and are in different components."""
+def _best_pairs(own: DataFrame, signs: DataFrame, percent: int, rows: int) -> DataFrame:
+    return _pairs_in_blocks(own, signs, percent, BEST)
+
+
+def _all_pairs(own: DataFrame, signs: DataFrame, percent: int, rows: int) -> DataFrame:
+    return _pairs_in_blocks(own, signs, percent, None)
+
+
+def _pairs_in_blocks(own: DataFrame, signs: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """Candidate pairs of nodes that share a bucket and are in different components: in each block all, or the best of
+    each node."""
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int")
     own = own.withColumns({"blocks": blocks, "block": block})
@@ -321,5 +326,5 @@ def _pairs_in_blocks(own: DataFrame, signs: DataFrame, percent: int) -> DataFram
     own = own.join(signs.select("node", "n_shingles", "minima", "bits"), "node")
     cells = max(1, math.ceil(own.count() / 4096))
     own = own.withColumn("cell", F.pmod(F.xxhash64("bucket", "left", "right"), F.lit(cells)))
-    pairs = own.groupBy("cell").applyInPandas(_compare_cells(percent), "a long, b long")
+    pairs = own.groupBy("cell").applyInPandas(_compare_cells(percent, most), "a long, b long")
     return staged(pairs.distinct(), "near-pairs")
