@@ -115,7 +115,7 @@ def test_neighbours(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(2500, 16)).astype(np.float32)
     x[100:400] = x[100]
-    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)] + [(9000, None, 0), (9020, [0.0] * 16, 0), (9040, [float("nan")] * 16, 0), (9060, [1.0], 0), (None, [1.0] * 16, 0)]
+    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)] + [(20, [float(v) for v in x[20]], 1), (40, [9.0] * 16, 1), (9000, None, 0), (9020, [0.0] * 16, 0), (9040, [float("nan")] * 16, 0), (9060, [1.0], 0), (None, [1.0] * 16, 0)]
     out = search(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), lambda i: i % 20 == 0, k=20).toPandas()
     assert set(out["query_id"]) == set(range(0, 2500, 20))
     hits = []
@@ -126,25 +126,30 @@ def test_neighbours(spark):
         assert g["rank"].tolist() == list(range(1, 21)) and np.allclose(g["score"], s[g["vec_id"]])
         hits.append(len(set(best) & set(g["vec_id"])) / 20)
     assert np.mean(hits) >= 0.9
+    same = search(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), lambda i: i % 20 == 0, k=20, exact=True).toPandas()
+    for q, g in same.groupby("query_id"):
+        s = x.astype(float) @ x[q].astype(float)
+        assert g.sort_values("rank")["vec_id"].tolist() == [i for i in np.lexsort((np.arange(len(s)), -s)) if i != q][:20]
     few = search(spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>, label int"), lambda i: i == 0)
     assert sorted(few.toPandas()["vec_id"]) == [1, 2]
     assert search(spark.createDataFrame([], "vec_id long, embedding array<float>"), lambda i: i == 0).count() == 0
 
 
-def test_neighbours_beside_long_vectors(spark):
+@pytest.mark.parametrize("n", [300, 2600])
+def test_neighbours_of_unequal_norms(spark, n):
+    """Norms over three decades, at a size of one cell and above; columns with the names that the graph uses."""
     rng = np.random.default_rng(7)
-    x = rng.normal(size=(2600, 24))
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    x[[3, 500, 1001, 1700, 2500]] *= np.array([10, 40, 100, 400, 1000])[:, None]
+    x = rng.normal(size=(n, 24))
+    x *= (10 ** rng.uniform(0, 3, n) / np.linalg.norm(x, axis=1))[:, None]
     x = x.astype(np.float32).astype(float)
-    rows = [(i, r.tolist()) for i, r in enumerate(x)]
-    out = search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), lambda i: i % 20 == 0, k=20).toPandas()
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>").withColumns({c: F.lit(c) for c in ("node", "id", "rank", "q", "cell", "side")})
+    out = search(rows, lambda i: i % 20 == 0, k=20).toPandas()
     hits = []
     for q, g in out.groupby("query_id"):
         s = x @ x[q]
         s[q] = -np.inf
         hits.append(len(set(np.argsort(-s)[:20]) & set(g["vec_id"])) / 20)
-    assert len(hits) == 130 and np.mean(hits) >= 0.9
+    assert len(hits) == n // 20 and np.mean(hits) >= 0.9
 
 
 def test_classifier_learns_and_reads_whole_texts():

@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by largest inner product: a neighbour graph by NN-descent, searched greedily.
 
-Equal vectors are one node. Each node starts with the best of two random cells of nodes; then, round by round, the
-neighbours of a node (those it names and some of those that name it) are brought together by joins, and every two of
-them, one at least being new, are proposed to each other. The search keeps a beam of nodes for each query and expands
+Equal vectors are one node. Each node starts with the best of three cells of nodes, two of similar directions and a
+random one; then, round by round, the neighbours of a node (those it names and some of those that name it) are brought
+together by joins, and every two of them, one at least being new, are proposed to each other, until a round changes
+hardly an edge. The search keeps a beam of nodes for each query and expands
 the best unexpanded ones by joins with the graph. Graph and search use vectors of 8-bit components, each with a scale of
 its own, so that a long vector takes nothing from the others. For the graph they are lengthened by one component, kept
 apart, to equal norm, so that inner product and distance agree; scores are computed from the original vectors.
@@ -10,6 +11,7 @@ apart, to equal norm, so that inner product and distance agree; scores are compu
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,16 +21,17 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import DoubleType
 
-from .shared import staged
+from .shared import discard, near, staged
 
 DEGREE = 24
 REVERSE = 16
-ROUNDS = 8
 #: Share of new edges at which the rounds end.
 SETTLED = 0.03
 #: Proposals that a node gets in one place of meeting.
 PROPOSALS = 8
-CELL = 1024
+CELL = 512
+#: Queries and rows that are compared at a time where the search is exact.
+EXACT_QUERIES, EXACT_ROWS = 2048, 8192
 #: Longest nodes, at which each search begins besides its own node: they are near all queries, but few edges lead to them.
 ENTRIES = 64
 
@@ -96,7 +99,7 @@ def _start(degree: int):
             sims[np.arange(len(sims)), low + np.arange(len(sims))] = -np.inf
             k = min(degree, len(ids) - 1)
             if k < 1:
-                continue
+                break
             best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
             out.append(pd.DataFrame({"u": np.repeat(ids[low : low + 1024], k), "c": ids[best].ravel(), "s": np.take_along_axis(sims, best, 1).ravel(), "fresh": True}))
         return pd.concat(out) if out else pd.DataFrame({"u": [], "c": [], "s": [], "fresh": []}).astype({"u": "int64", "c": "int64", "s": "float64", "fresh": bool})
@@ -142,26 +145,51 @@ def _merge(degree: int):
     return run
 
 
-def neighbour_graph(vectors: DataFrame, degree: int = DEGREE, reverse: int = REVERSE, rounds: int = ROUNDS) -> DataFrame:
-    """(u, c, s, fresh) by NN-descent: at most `degree` neighbours c of each node u of vectors(node, q)."""
+def _cells(vectors: DataFrame, n: int, seed: int) -> DataFrame:
+    """(node, q, cell): cells of at most about CELL nodes whose vectors lie on the same side of random planes; those of
+    one side that are too many are dealt out at random."""
+    bits = max(1, int(2 * n / CELL).bit_length() - 1)
+
+    @F.pandas_udf("long")
+    def side(qs: pd.Series) -> pd.Series:
+        m = _vectors(qs)[:, :-1] if len(qs) else np.empty((0, 1))
+        planes = np.random.default_rng(seed).normal(size=(m.shape[1], bits))
+        return pd.Series(((m @ planes > 0) @ (np.int64(1) << np.arange(bits, dtype=np.int64))).astype(np.int64))
+
+    sided = staged(vectors.select("node", "q", side("q").alias("side")), "graph-sides")
+    parts = sided.groupBy("side").agg(F.ceil(F.count("*") / CELL).alias("parts"))
+    # At most 2 ** bits rows.
+    dealt = sided.join(near(parts, 2**bits), "side")
+    return dealt.select("node", "q", F.xxhash64("side", F.pmod(F.xxhash64("node", F.lit(seed)), F.col("parts"))).alias("cell"))
+
+
+def neighbour_graph(vectors: DataFrame, degree: int = DEGREE, reverse: int = REVERSE, rounds: int | None = None) -> DataFrame:
+    """(u, c, s, fresh) by NN-descent: at most `degree` neighbours c of each node u of vectors(node, q). It ends when a round
+    changes hardly an edge, or after `rounds`."""
     n = vectors.count()
-    cells = max(1, n // CELL)
+    cells = max(2, n // CELL)
     schema = "u long, c long, s double, fresh boolean"
     cell = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.lit(cells))
-    # Two ways of dealing nodes to cells tie the cells to one another; else no round could leave a cell.
-    starts = [vectors.groupBy(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(cells)).alias("cell")).applyInPandas(_start(degree if cells == 1 else degree // 2), schema) for seed in ([2] if cells == 1 else [2, 3])]
-    graph = starts[0] if cells == 1 else starts[0].unionByName(starts[1]).groupBy(cell("u").alias("cell")).applyInPandas(_merge(degree), schema)
+    by_chance = vectors.withColumn("cell", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(cells)))
+    # Different ways of dealing nodes to cells tie the cells to one another; else no round could leave a cell.
+    starts = [dealt.groupBy("cell").applyInPandas(_start(degree // 2), schema) for dealt in (_cells(vectors, n, 3), _cells(vectors, n, 4), by_chance)]
+    graph = starts[0].unionByName(starts[1]).unionByName(starts[2]).groupBy(cell("u").alias("cell")).applyInPandas(_merge(degree), schema)
     graph = staged(graph, "graph")
-    for round_ in range(rounds if cells > 1 else 0):
-        order = Window.partitionBy("v").orderBy(F.xxhash64("u", F.lit(round_)), "u")
+    for round_ in itertools.count() if rounds is None else range(rounds):
+        order = Window.partitionBy("v").orderBy(F.desc("fresh"), F.xxhash64("u", F.lit(round_)), "u")
         back = graph.select(F.col("c").alias("v"), F.col("u"), "fresh").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= reverse).drop("r")
         meeting = graph.select(F.col("u").alias("v"), F.col("c").alias("u"), "fresh").unionByName(back).groupBy("v", "u").agg(F.max("fresh").alias("fresh"))
+        # Where nobody is new, all have met.
+        at = staged(meeting, "graph-meeting")
+        lively = staged(at.filter("fresh").select("v").distinct(), "graph-lively")
+        meeting = at.join(near(lively, n), "v", "left_semi")
         worst = graph.groupBy("u").agg(F.when(F.count("*") >= degree, F.min("s")).otherwise(F.lit(float("-inf"))).alias("worst"))
         known = staged(vectors.join(worst, vectors["node"] == worst["u"], "left").select("node", "q", F.coalesce("worst", F.lit(float("-inf"))).alias("worst")), "graph-known")
         met = meeting.join(known, meeting["u"] == known["node"]).select("v", "u", "fresh", "worst", "q")
         proposals = met.groupBy(cell("v").alias("cell")).applyInPandas(_meet, "u long, c long, s double")
         both = graph.withColumn("fresh", F.lit(False)).unionByName(proposals.withColumn("fresh", F.lit(True)))
-        graph = staged(both.groupBy(cell("u").alias("cell")).applyInPandas(_merge(degree), schema), "graph")
+        before, graph = graph, staged(both.groupBy(cell("u").alias("cell")).applyInPandas(_merge(degree), schema), "graph")
+        discard(before, at, lively, known)
         # Done when a round changes hardly an edge.
         fresh, edges = graph.agg(F.count_if("fresh"), F.count("*")).first()
         if fresh <= SETTLED * edges:
@@ -180,7 +208,7 @@ def _exact(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((np.array(a.tolist(), dtype=np.float64) * np.array(b.tolist(), dtype=np.float64)).sum(axis=1) if len(a) else np.empty(0))
 
 
-def greedy_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, longest: DataFrame, beam: int, expand: int, hops: int) -> DataFrame:
+def greedy_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, longest: DataFrame, beam: int, expand: int) -> DataFrame:
     """(node, found): for each query node of queries(node), the beam of the best nodes found, itself included. Searches
     begin at the query and at the first of longest(node, square)."""
     # Edges serve both ways: a node also leads to some of those that name it.
@@ -193,7 +221,7 @@ def greedy_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, long
     longest = F.broadcast(staged(longest.orderBy(F.desc("square"), "node").limit(ENTRIES).select("node").join(vectors, "node"), "search-entries"))
     met = own.crossJoin(longest).filter(F.col("node") != F.col("query")).select("query", F.col("node").alias("found"), _inner("q", "query_q").alias("s"), F.lit(False).alias("done"))
     state = state.unionByName(met)
-    for _ in range(hops):
+    while True:
         by_best = Window.partitionBy("query").orderBy("done", F.desc("s"), "found")
         state = staged(state.withColumn("now", ~F.col("done") & (F.row_number().over(by_best) <= expand)), "search-beam")
         if not state.filter("now").head(1):
@@ -207,17 +235,46 @@ def greedy_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, long
     return state.select(F.col("query").alias("node"), "found")
 
 
-def search(rows: DataFrame, is_query, k: int = 20, id_column: str = "vec_id", vector: str = "embedding", beam: int = 200, expand: int = 32, hops: int = 8) -> DataFrame:
+def exact_neighbours(good: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k nearest of all good(id, v) for each of asked(id, v), by blocks of queries against
+    blocks of rows: the way to whole results where an index may not miss any."""
+    q_blocks, r_blocks = max(1, -(-asked.count() // EXACT_QUERIES)), max(1, -(-good.count() // EXACT_ROWS))
+
+    def best(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        ids, out = rows["id"].to_numpy(dtype=np.int64), []
+        m = np.array(rows["v"].tolist(), dtype=np.float64)
+        for low in range(0, len(queries) if len(rows) else 0, 256):
+            some = queries.iloc[low : low + 256]
+            own = some["id"].to_numpy(dtype=np.int64)
+            scores = np.array(some["v"].tolist(), dtype=np.float64) @ m.T
+            scores[own[:, None] == ids[None, :]] = -np.inf
+            for i, query in enumerate(own):
+                top = np.lexsort((ids, -scores[i]))[:k]
+                top = top[scores[i, top] > -np.inf]
+                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[top], "score": scores[i, top]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    queries = asked.withColumns({"qb": block(q_blocks), "rb": F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1)))}).groupBy("qb", "rb")
+    rows = good.withColumns({"rb": block(r_blocks), "qb": F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))}).groupBy("qb", "rb")
+    found = queries.cogroup(rows).applyInPandas(best, "query_id long, vec_id long, score double")
+    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def search(rows: DataFrame, is_query, k: int = 20, id_column: str = "vec_id", vector: str = "embedding", beam: int = 200, expand: int = 32, exact: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of `rows` for which is_query(id column) holds, the k nearest found
     among all other rows, by inner product in double precision, nearest first, ties to the smaller id.
 
     Null, zero and non-finite vectors, vectors with null components or of another length than most, and rows without
-    id take no part. Rows with equal vectors are one node of the graph, found together; only the k + 1 smallest ids
-    of a node can be among anyone's k nearest with ties to smaller ids, and these are kept. Rows that repeat an id
-    and vector count once. Fewer than k candidates are all returned; an empty table gives no rows.
+    id take no part. Of rows that repeat an id the one with the least vector counts. Rows with equal vectors are one
+    node of the graph, found together; only the k + 1 smallest ids of a node can be among anyone's k nearest with ties
+    to smaller ids, and these are kept. Fewer than k candidates are all returned; an empty table gives no rows. A
+    search ends when all of a query's `beam` best nodes are expanded. exact: all rows instead of the index.
     """
-    good = usable(rows, id_column, vector).distinct()
-    good = staged(good, "ann-rows")
+    good = staged(usable(rows, id_column, vector).groupBy("id").agg(F.min("v").alias("v")), "ann-rows")
+    if exact:
+        return exact_neighbours(good, good.filter(is_query(F.col("id"))), k)
     by_vector = Window.partitionBy("v").orderBy("id")
     members = good.withColumn("r", F.row_number().over(by_vector)).filter(F.col("r") <= k + 1)
     nodes = staged(members.groupBy("v").agg(F.min("id").alias("node"), F.sort_array(F.collect_list("id")).alias("ids")), "ann-nodes")
@@ -226,7 +283,7 @@ def search(rows: DataFrame, is_query, k: int = 20, id_column: str = "vec_id", ve
     longest = nodes.select("node", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("square"))
     asked = good.filter(is_query(F.col("id"))).select("id", "v").join(nodes.select("node", F.col("v").alias("nv")), F.col("v") == F.col("nv")).select("id", "node")
     asked = staged(asked, "ann-queries")
-    found = staged(greedy_search(graph, vectors, asked.select("node").distinct(), longest, beam, expand, hops), "ann-found")
+    found = staged(greedy_search(graph, vectors, asked.select("node").distinct(), longest, beam, expand), "ann-found")
     # Exact scores of the beam by node, then the members of the nodes for each query.
     a, b = nodes.select("node", F.col("v").alias("query_v")), nodes.select(F.col("node").alias("found"), "v", "ids")
     scored = found.join(a, "node").join(b, "found").select("node", "ids", _exact("v", "query_v").alias("score"))
