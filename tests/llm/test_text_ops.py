@@ -244,14 +244,79 @@ def test_mix(spark, whole):
     assert mix_sources(df.limit(0)).count() == 0
 
 
-def test_edited_digest_definition(spark, tmp_path):
-    """op1's edited text: the last half replaced by the beginning of the next document."""
+def brute_edited(docs):
+    ordered, out = [(d, t or "") for d, t in sorted(docs, key=lambda x: x[0])], {}
+    for i, (d, t) in enumerate(ordered):
+        k, after = len(t) // 2, ordered[(i + 1) % len(ordered)][1]
+        e = t[: len(t) - k] + after[:k]
+        out[d] = (len(t), hashlib.sha256(e.encode()).hexdigest(), float(plain(t) == plain(e)), float(plain(t) == plain(after)))
+    return out
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_op1_against_brute_force(spark, tmp_path, monkeypatch, weak):
+    """Every column but the fingerprints themselves, which must be equal where canonical texts are; also with a hash of
+    16 values, so that nearly all texts collide, edited ones with others too."""
+    from tracehound.llm import fingerprints, queries
+
+    if weak:
+        monkeypatch.setattr(queries, "wide_hash", lambda c: F.substring(F.hex(F.xxhash64(c)), 1, 1))
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 64)
+    docs = [(3, "abcdef"), (1, "xy"), (7, None), (9, "\U0001f600bcd"), (12, "Same text"), (13, "same  TEXT"), (14, "aa"), (15, "aa"), (16, "q" * 5000), (17, ""), (40, "abab"), (41, "ab"), (-5, "caf\u00e9"), (50, "cafe\u0301 CAFE\u0301")]
+    docs += [(100 + i, f"text number {i % 17} of {i % 5}") for i in range(60)]
+    clash = {c: F.lit(c) for c in ("fingerprint", "check", "tie", "next_text", "canonical", "edited", "number")}
+    spark.createDataFrame(docs, "doc_id long, text string").withColumns(clash).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op1_fingerprints(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]) for r in rows} == brute_edited(docs)
+    texts = dict(docs)
+    by = {r["doc_id"]: r["fingerprint"] for r in rows}
+    assert all((by[a] == by[b]) == (plain(texts[a]) == plain(texts[b])) for a in by for b in by)
+
+
+def test_op1_of_an_empty_table(spark, tmp_path):
     from tracehound.llm.queries import op1_fingerprints
 
-    docs = [(3, "abcdef"), (1, "xy"), (7, None), (9, "\U0001f600bcd")]
-    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["doc_id"]: r["edited_sha256"] for r in op1_fingerprints(spark, str(tmp_path)).collect()}
-    ordered = [(d, t or "") for d, t in sorted(docs, key=lambda x: x[0])]
-    for i, (d, t) in enumerate(ordered):
-        k = len(t) // 2
-        assert got[d] == hashlib.sha256((t[: len(t) - k] + ordered[(i + 1) % len(ordered)][1][:k]).encode()).hexdigest()
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert op1_fingerprints(spark, str(tmp_path)).count() == 0
+
+
+def test_sharding_near_the_optimum(spark):
+    """Small sets, every way of dealing tried: differencing in one block is within a few percent of the best."""
+    from itertools import product
+
+    rng = np.random.default_rng(11)
+    for _ in range(8):
+        sizes = rng.integers(1, 60, 8)
+        best = min(max(np.bincount(ways, weights=sizes, minlength=3)) for ways in product(range(3), repeat=8))
+        assert np.bincount(difference(sizes, 3), weights=sizes, minlength=3).max() <= 1.2 * best
+    docs = [(i, "w" * int(n)) for i, n in enumerate(sizes)] + [(99, "long " * 200_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("id", "size", "shard", "cell", "slot", "at")})
+    out = shard_documents(df).toPandas()
+    assert sorted(out["size"]) == sorted(len(t) + 1 for _, t in docs)
+    assert all(r.text_crc32 == zlib.crc32(dict(docs)[r.doc_id].encode()) for r in out.itertuples())
+    assert out.loc[out["doc_id"] == 99, "slot"].tolist() == [0] and (out.groupby("shard")["doc_id"].count() > 0).all()
+
+
+def test_a_window_in_a_third_of_all_rows(spark):
+    """A passage that stands in every third document, and a text of many lines."""
+    docs = [(i, f"own {i}\np\nq\nr\nend {i}" if i % 3 == 0 else f"x{i}\ny{i}\nz{i}") for i in range(300)] + [(500, "\n".join(f"line {i}" for i in range(30_000)))]
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == dict(docs) | {i: f"own {i}\nend {i}" for i in range(3, 300, 3)}
+
+
+@pytest.mark.parametrize("keys", [3, 100_000])
+def test_urls_in_many_sweeps(spark, monkeypatch, keys):
+    from tracehound.llm import url_filters
+
+    monkeypatch.setattr(url_filters, "SWEEP_KEYS", keys)
+    rules = [("com", "/a", "block"), ("com", "/a/b", "allow"), ("x.com", "/", "block"), ("x.com", "/a/b/c", "allow"), ("org", "", "block")]
+    urls = [f"http://{h}/{p}" for h in ("com", "x.com", "y.x.com", "z.org", "net") for p in ("", "a", "a/b", "a/b/c", "a/b/cd", "a/z", "b")] + [None] * 40
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({c: F.lit(c) for c in ("key", "sweep", "stack", "open", "best")})
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in match_urls(df, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    assert len(got) == len(urls)
+    for i, url in enumerate(urls):
+        host, _, path = (url or "://").split("://")[1].partition("/")
+        path = "/" + path if url else ""
+        fits = [(len(h + p), len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=(0, 0, None, "allow"))
+        assert got[i] == (best[2], best[3]), url

@@ -15,9 +15,10 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import staged, text_or_empty
+from .shared import near, staged, text_or_empty
 
-MOST_RANGES = 8192
+#: Bytes of text in one range of doc_ids, and the most ranges.
+RANGE_BYTES, MOST_RANGES = 8 << 20, 65_536
 
 
 @functools.cache
@@ -128,12 +129,27 @@ def fingerprint_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",))
     tables give none.
     """
     rows = docs.select(*keep, canonical_text(F.col("text")).alias("canonical")).withColumn("fingerprint", wide_hash(F.col("canonical")))
-    return numbered(rows.withColumn("check", F.sha2("canonical", 256)), rows, {"fingerprint": "check"}).drop("check", "canonical")
+    return numbered(rows.withColumn("check", F.sha2("canonical", 256)).drop("canonical"), [rows], {"fingerprint": "check"}).drop("check")
 
 
-def numbered(rows: DataFrame, texts: DataFrame, checks: dict[str, str]) -> DataFrame:
-    """rows with the numbers of collided texts put to their fingerprints; checks: fingerprint column -> check column."""
-    found = staged(collisions(texts.select("fingerprint", "canonical")), "fingerprint-collisions")
+def numbered(rows: DataFrame, texts: list[DataFrame], checks: dict[str, str], fingerprints: list[DataFrame] | None = None) -> DataFrame:
+    """rows with the numbers of collided texts put to their fingerprints.
+
+    texts: tables of (fingerprint, canonical), which together hold every text that rows has a fingerprint of; checks:
+    fingerprint column -> check column; fingerprints: those of texts, where they are already made. Bytes are compared
+    within buckets of two rows or more, so that only these are moved.
+    """
+    tables = fingerprints or texts
+    buckets = tables[0].select("fingerprint")
+    for more in tables[1:]:
+        buckets = buckets.unionByName(more.select("fingerprint"))
+    shared = staged(buckets.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1").select("fingerprint"), "fingerprint-shared")
+    sent = near(shared, shared.count())
+    held = [t.select("fingerprint", "canonical").join(sent, "fingerprint", "left_semi") for t in texts]
+    found = held[0]
+    for more in held[1:]:
+        found = found.unionByName(more)
+    found = staged(collisions(found), "fingerprint-collisions")
     if not found.head(1):
         return rows
     for name, check in checks.items():
@@ -151,12 +167,12 @@ def with_next(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     before, so the text moves once and no range waits for another.
     """
     spark = docs.sparkSession
-    n = docs.count()
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     if n == 0:
         return docs.withColumns({f"next_{c}": F.col(c) for c in columns})
-    ranges = min(MOST_RANGES, max(1, min(-(-n // 500), int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)))
+    ranges = min(MOST_RANGES, n, max(1, -(-(size or 0) // RANGE_BYTES)))
     at = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))
-    cuts = docs.select(F.percentile_approx(at, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("q")).first()["q"] if ranges > 1 else []
+    cuts = docs.select(F.percentile_approx(at, [i / ranges for i in range(1, ranges)], max(10_000, 4 * ranges)).alias("q")).first()["q"] if ranges > 1 else []
     inner = sorted({c for c in cuts or [] if c != float("-inf")})
     split = Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol="__at", outputCol="__range", handleInvalid="keep") if inner else None
     rows = docs.withColumn("__at", at)

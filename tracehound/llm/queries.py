@@ -13,7 +13,7 @@ from .line_dedup import dedup_lines
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .neighbours import search
-from .shared import table, text_or_empty
+from .shared import staged, table, text_or_empty
 from .sharding import shard_documents
 from .token_counts import count_documents
 from .toxicity import held_out, score_documents
@@ -29,19 +29,24 @@ def _sha256(column) -> F.Column:
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"))
-
-    def hashed(df: DataFrame, text: str, prefix: str) -> DataFrame:
-        df = df.withColumn("__canonical", canonical_text(F.col(text)))
-        return df.withColumns({f"{prefix}fingerprint": wide_hash(F.col("__canonical")), f"{prefix}check": F.sha2("__canonical", 256)}).drop("__canonical")
-
-    rows = with_next(hashed(docs, "text", "").withColumn("tie", F.xxhash64("text")), ("text", "fingerprint", "check"))
-    n, next_n = F.char_length("text"), F.floor(F.char_length("text") / 2)
-    edited = F.concat(F.substring("text", F.lit(1), (n - next_n).cast("int")), F.substring("next_text", F.lit(1), next_n.cast("int")))
-    rows = hashed(rows.withColumn("edited", edited), "edited", "edited_")
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), _sha256("edited").alias("edited_sha256"), "fingerprint", "check", "edited_fingerprint", "edited_check", "next_fingerprint", "next_check")
-    texts = docs.withColumn("canonical", canonical_text(F.col("text"))).withColumn("fingerprint", wide_hash(F.col("canonical")))
-    rows = numbered(rows, texts, {"fingerprint": "check", "edited_fingerprint": "edited_check", "next_fingerprint": "next_check"})
+    docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text")).withColumn("tie", F.xxhash64("text"))
+
+    def hashed(df: DataFrame, text: str) -> DataFrame:
+        return df.withColumn("canonical", canonical_text(F.col(text))).withColumns({"fingerprint": wide_hash(F.col("canonical")), "check": F.sha2("canonical", 256)})
+
+    def edited(df: DataFrame) -> DataFrame:
+        n, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")
+        return df.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
+
+    own = hashed(docs, "text").drop("canonical")
+    rows = edited(with_next(own, ("text", "fingerprint", "check"))).withColumnsRenamed({"fingerprint": "own_fingerprint", "check": "own_check"})
+    rows = hashed(rows, "edited").withColumnsRenamed({"fingerprint": "edited_fingerprint", "check": "edited_check", "own_fingerprint": "fingerprint", "own_check": "check"})
+    rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), _sha256("edited").alias("edited_sha256"), "fingerprint", "check", "edited_fingerprint", "edited_check", "next_fingerprint", "next_check")
+    rows = staged(rows, "op1-hashed")
+    # The texts behind the fingerprints, made again for the buckets that several rows share.
+    buckets = [rows.select("fingerprint"), rows.select(F.col("edited_fingerprint").alias("fingerprint"))]
+    texts = [hashed(docs, "text"), hashed(edited(with_next(docs, ("text",))), "edited")]
+    rows = numbered(rows, texts, {"fingerprint": "check", "edited_fingerprint": "edited_check", "next_fingerprint": "next_check"}, buckets)
     like = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
     return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint").alias("near_edited"), like("next_fingerprint").alias("near_next"))
 
