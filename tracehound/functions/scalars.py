@@ -144,8 +144,8 @@ def parse_time(text: Column, formats: tuple[str, ...] = TIMESTAMP_FORMATS) -> Co
     offset = F.regexp_extract(text, r"([+-]\d{2}):?(\d{2})$", 0)
     plain = F.trim(F.regexp_replace(text, r"\s*([+-]\d{2}:?\d{2}|Z|UTC)$", ""))
     tried = F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in formats]).cast("timestamp_ntz")
-    minutes = F.regexp_extract(text, r"([+-]\d{2}):?(\d{2})$", 1).try_cast("int") * 60
-    minutes = minutes + F.when(minutes < 0, -1).otherwise(1) * F.regexp_extract(text, r"([+-]\d{2}):?(\d{2})$", 2).try_cast("int")
+    part = lambda i: F.regexp_extract(text, r"[+-](\d{2}):?(\d{2})$", i).try_cast("int")
+    minutes = F.when(offset.startswith("-"), -1).otherwise(1) * (part(1) * 60 + part(2))
     return F.when(offset == "", tried).otherwise(tried - F.make_dt_interval(mins=minutes))
 
 

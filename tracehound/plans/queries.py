@@ -516,3 +516,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = n.withColumns({"artifact": F.lit("events"), "host": F.col("user_id").cast("string"), "row_index": F.lit(None).cast("long")})
     found = fi.emit(rows, "credential_access", "high", F.concat(F.lit("Possible brute force on account "), F.col("user_id").cast("string")), F.concat(F.col("n").cast("string"), F.lit(" failed attempts")), 65, "T1110", {"attempts": F.col("n")})
     return fi.in_order(fi.identity(found))
+
+
+from tracehound.plans import detector_queries  # noqa: E402
+
+QUERIES |= detector_queries.QUERIES
+ORACLES |= detector_queries.ORACLES
