@@ -14,7 +14,7 @@ from .bpe import Vocabulary, merge, vocabulary
 from .shared import text_or_empty
 
 #: Words and strings between spaces whose counts a Python process keeps, and the longest such.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 100_000
 KEPT_LENGTH = 40
 
 

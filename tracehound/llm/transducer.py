@@ -101,11 +101,8 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         return array("I", encode_symbols(_stream(word, self.v), self.v, self.lookahead)).tobytes()
 
-    def _chunk(self, chunk: str) -> Iterator[bytes]:
+    def _long(self, chunk: str) -> Iterator[bytes]:
         """Of a chunk too long to be kept the ids go out as they become stable."""
-        if len(chunk) <= KEPT_LENGTH:
-            yield self.chunks[chunk]
-            return
         for word in self.v.split(chunk):
             if len(word) <= KEPT_LENGTH:
                 yield self.words[word]
@@ -114,13 +111,17 @@ class Encoder:
                     yield array("I", some).tobytes()
 
     def encode(self, text: str) -> Iterator[bytes]:
+        kept = self.chunks
         for piece in self.v.pieces(text):
             for special, part in self.v.segments(piece):
                 if special:
                     yield array("I", [self.v.special[part]]).tobytes()
                 else:
                     for chunk in part.replace("\n", " ").split(" "):
-                        yield from self._chunk(chunk)
+                        if len(chunk) <= KEPT_LENGTH:
+                            yield kept[chunk]
+                        else:
+                            yield from self._long(chunk)
 
 
 @functools.lru_cache(maxsize=4)
@@ -158,13 +159,13 @@ class LibraryDecoder:
             raise ValueError("only vocabulary files without a decoder entry are known")
         self.kept, self.due = kept, False
 
-    def feed(self, ids: bytes) -> bytes:
-        """ids as the encoder emits them, 4 bytes each."""
-        if not ids:
-            return b""
-        out = b" " + self.kept[ids] if self.due else self.kept[ids]
-        self.due = True
-        return out
+    def feed(self, runs: Iterable[bytes]) -> bytes:
+        """Runs of ids as the encoder emits them, 4 bytes each."""
+        out = b" ".join(map(self.kept.__getitem__, filter(None, runs)))
+        if not out:
+            return out
+        due, self.due = self.due, True
+        return b" " + out if due else out
 
 
 @functools.lru_cache(maxsize=4)
@@ -222,7 +223,7 @@ def encode_digests(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id"
                 for some in batched(own.encode(t), 1024):
                     ids = b"".join(some)
                     ids_sha.update(ids)
-                    text_sha.update(b"".join(map(decoder.feed, some)))
+                    text_sha.update(decoder.feed(some))
                     n += len(ids) // 4
                 rows.append((n, ids_sha.hexdigest(), text_sha.hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
