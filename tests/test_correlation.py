@@ -23,7 +23,7 @@ def test_correlation(spark):
     assert [r["title"] for r in C.hash_mismatches(p).collect()] == ["System program with several hashes: svchost.exe"]
     nodes, edges = C.entity_graph(p, n, d, of("registry", "registry"), of("tasks", "task"), of("services", "service"), found)
     kinds = {r["type"] for r in nodes.collect()}
-    assert kinds == {"process", "user", "ip", "domain", "registry_key"}
+    assert kinds == {"process", "user", "ip", "domain", "registry_key", "file"}
     rels = {(r["source"], r["target"], r["rel"]) for r in edges.collect()}
     assert ("process:h/0", "process:h/1", "spawned") in rels and ("process:h/1", "ip:8.8.8.8", "connected") in rels and ("process:h/1", "registry_key:h/HKLM\\Run", "created") in rels and ("user:bob", "process:h/3", "ran") in rels
     kept, inside = trim(nodes, edges, 3)

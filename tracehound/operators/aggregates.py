@@ -44,6 +44,26 @@ def stack_counts(rows: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
     return rows.select(F.explode(parts).alias("p")).select("p.*").filter(F.col("value").isNotNull() & (F.col("value") != "")).groupBy("dimension", "value").agg(F.count("*").alias("n"))
 
 
+def stack_samples(rows: DataFrame, dimensions: dict[str, Column], order: str, n_samples: int = 5) -> DataFrame:
+    """(dimension, value, n, samples): stack counts with the `order` values of the first rows of each value."""
+    parts = F.array(*[F.struct(F.lit(d).alias("dimension"), v.cast("string").alias("value")) for d, v in dimensions.items()])
+    held = rows.select(F.col(order).alias("at"), F.explode(parts).alias("p")).select("p.*", "at").filter(F.col("value").isNotNull() & (F.col("value") != ""))
+    first = held.withColumn("__n", F.row_number().over(Window.partitionBy("dimension", "value").orderBy("at"))).filter(F.col("__n") <= n_samples)
+    few = first.groupBy("dimension", "value").agg(F.sort_array(F.collect_list("at")).alias("samples"))
+    return held.groupBy("dimension", "value").agg(F.count("*").alias("n")).join(few, ["dimension", "value"])
+
+
+def top_techniques(findings: DataFrame, top: int = 15) -> DataFrame:
+    """(mitre, n) of the most frequent techniques."""
+    return top_then_least(findings.filter(F.coalesce("mitre", F.lit("")) != ""), "mitre", top, 1)
+
+
+def technique_titles(findings: DataFrame, most: int = 3) -> DataFrame:
+    """(mitre, titles): the first distinct titles of each technique by alphabet."""
+    titles = findings.select("mitre", "title").distinct().withColumn("__n", F.row_number().over(Window.partitionBy("mitre").orderBy("title")))
+    return titles.filter(F.col("__n") <= most).groupBy("mitre").agg(F.sort_array(F.collect_list("title")).alias("titles"))
+
+
 def rare(counts: DataFrame, n: int = 1) -> DataFrame:
     return counts.filter(F.col("n") <= n)
 

@@ -13,7 +13,7 @@ from tracehound.functions.tables import (
     AUTORUN_KEYS, BROWSE_PATHS, EXECUTION_PATHS, HASH_FIELDS, KNOWN_GOOD_SERVICE_NAMES, KNOWN_GOOD_SERVICE_PATHS, LOLBINS, LSASS_READERS, MALWARE_FAMILIES,
     SPECIFIC_CONTENT_RULES, SYSMON_PARENT_CHILDREN, SYSTEM_PROCESS_PATHS, VENDOR_PATHS, WATCHED_PORTS,
 )
-from tracehound.sources.canonical import ROUTES, canonical, family_of, row_text
+from tracehound.sources.canonical import ROUTES, canonical, family_of, normalised, row_text
 from tracehound.sources.staging import staged
 
 from .findings import branch, emit, union
@@ -346,7 +346,7 @@ class Engine:
         from .textlogs import text_logs
 
         own = S.any_of([F.contains(F.lower("artifact"), lit(p)) for parts, family in self.routes if family.startswith("own:") for p in parts]) if self.raw else lit(False)
-        placed = staged(rows.withColumn("family", F.when(own, "own").otherwise(family_of(c("artifact")))), "routed", by="family")
+        placed = staged(normalised(rows).withColumn("family", F.when(own, "own").otherwise(family_of(c("artifact")))), "routed", by="family")
         parts = [detect(canonical(placed.filter(c("family") == family), family)) for family, found in self.detectors.items() for detect in found]
         parts += [text_logs(placed.filter(c("family") == "textlog")), generic(placed.filter(c("family") == "generic"))]
         parts += [detect(placed.filter(S.any_of([F.contains(F.lower("artifact"), lit(p)) for p in names]))) for names, detect in self.raw]

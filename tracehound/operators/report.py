@@ -57,6 +57,60 @@ def merge_new(known: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return known.unionByName(new.dropDuplicates([key]).join(known.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
+def executive_metrics(findings: DataFrame, iocs: DataFrame, chains: DataFrame) -> DataFrame:
+    """metrics() with the numbers of indicators, malicious ones among them, and of chains that show."""
+    one = metrics(findings)
+    seen = iocs.agg(F.count("*").alias("iocs"), F.count_if("malicious").alias("malicious_iocs"))
+    return one.crossJoin(seen).crossJoin(chains.agg(F.coalesce(F.sum(F.size("chains")), F.lit(0)).alias("chains")))  # One row each.
+
+
+def in_scope(findings: DataFrame, severities: tuple[str, ...]) -> DataFrame:
+    """The findings of these severities; all of them if there is none."""
+    hit = F.lower("severity").isin(*severities)
+    some = findings.agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("__some"))  # One row.
+    return findings.crossJoin(F.broadcast(some)).filter(hit | ~F.col("__some")).drop("__some")
+
+
+def with_status(findings: DataFrame, triage: DataFrame, statuses: tuple[str, ...] = (), default: str = "new") -> DataFrame:
+    """findings(id, ...) with the status of triage(id, status), `default` where there is none, of these statuses only if any
+    are given."""
+    out = findings.join(triage.select("id", "status"), "id", "left").withColumn("status", F.coalesce("status", F.lit(default)))
+    return out.filter(F.col("status").isin(*statuses)) if statuses else out
+
+
+def matching(findings: DataFrame, severity: str | None = None, needle: str = "") -> DataFrame:
+    """The findings of a severity that hold a text in title, description, category, technique or artifact."""
+    out = findings if severity is None else findings.filter(F.lower("severity") == severity.lower())
+    text = F.lower(F.concat_ws(" ", "title", "description", "category", "mitre", "artifact"))
+    return out.filter(F.contains(text, F.lit(needle.lower())))
+
+
+def clusters_of_batches(clusters: DataFrame, batch_ids: DataFrame) -> DataFrame:
+    """(batch, cluster) where a cluster(cluster, ids) has a finding of a batch(id, batch); joined by id, each pair once."""
+    return clusters.select("cluster", F.explode("ids").alias("id")).join(batch_ids, "id").select("batch", "cluster").distinct()
+
+
+def count_by_category(mapping: DataFrame) -> DataFrame:
+    """(category, n) of a redaction mapping."""
+    return mapping.groupBy("category").agg(F.count("*").alias("n"))
+
+
+#: Rows of a case that its report shows; everything is kept beside them.
+SHOWN = {"findings": 2000, "timeline": 200, "clusters": 20, "chains": 30}
+
+
+def persist_case(tables: dict[str, DataFrame], orders: dict[str, list], path: str) -> DataFrame:
+    """Writes each table whole, and beside it the first rows by its order that the report shows. (name, total, shown)."""
+    spark, out = next(iter(tables.values())).sparkSession, []
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        kept = spark.read.schema(df.schema).parquet(f"{path}/{name}")
+        kept.orderBy(*orders[name]).limit(SHOWN.get(name, 2000)).write.mode("overwrite").parquet(f"{path}/{name}_shown")
+        total = kept.count()
+        out.append((name, total, min(total, SHOWN.get(name, 2000))))
+    return spark.createDataFrame(out, "name string, total long, shown long")
+
+
 def sections(findings: DataFrame, coverage: DataFrame) -> dict[str, DataFrame]:
     """The tables of a report by name."""
     m = bottom_line(metrics(findings))

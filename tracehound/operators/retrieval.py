@@ -51,3 +51,16 @@ def contains(rows: DataFrame, columns: list[str], needle: str) -> DataFrame:
 
 def frequency_class(n: Column) -> Column:
     return F.when(n <= 3, "rare").when(n <= 20, "uncommon").otherwise("common")
+
+
+def finding_text(findings: DataFrame) -> Column:
+    """A finding as one searchable text: title, description, category, technique, severity and evidence values, each cut at
+    100 characters."""
+    evidence = F.transform(F.map_values("evidence"), lambda v: F.substring(v, 1, 100))
+    parts = F.concat(F.array("title", "description", "category", "mitre", "severity"), F.coalesce(evidence, F.array().cast("array<string>")))
+    return F.array_join(F.filter(parts, lambda p: p.isNotNull() & (p != "")), " ")
+
+
+def finding_index(findings: DataFrame, key: str = "id") -> DataFrame:
+    """The term index of findings by their text."""
+    return keyword_index(findings.withColumn("__text", finding_text(findings)), key, "__text")

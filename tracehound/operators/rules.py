@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracehound.functions.scalars import all_of, any_of
@@ -18,6 +18,9 @@ from tracehound.functions.tables import FIELD_ALIASES, LOGSOURCE_ARTIFACTS
 #: Score by level, and the highest severity that a rule alone gives.
 LEVEL_SCORES = {"critical": 70, "high": 60, "medium": 45, "low": 25, "informational": 10}
 LEVEL_SEVERITIES = {"critical": "high", "high": "high", "medium": "medium", "low": "low", "informational": "info"}
+#: Parts of file names, and whole descriptions, of rules that only say that an event took place.
+NOISE_FILES = ("_rulealert", "rulealert.yml", "sysmon_1_high_procexec", "sysmon_1_high_proc", "_nonexeprocexec", "_sysmonalert")
+NOISE_DESCRIPTIONS = ("sysmon process creation", "sysmon file create", "sysmon dll load", "sysmon network connection", "sysmon registry event", "sysmon process access", "sysmon raw access read", "sysmon pipe created", "sysmon image loaded")
 #: Fields that fall back to the whole row's text.
 WHOLE_ROW_FIELDS = ("CommandLine", "Image", "ScriptBlockText")
 
@@ -61,11 +64,11 @@ class Rule:
         return found
 
 
-def load_rules(text: str) -> tuple[list[Rule], dict[str, int]]:
-    """Rules of a multi-document YAML text, and how many were left out and why."""
+def load_rules(text: str, file: str = "") -> tuple[list[Rule], dict[str, int]]:
+    """Rules of a multi-document YAML text, and how many were left out and why; file is the name it was read from."""
     import yaml
 
-    rules, left = [], {"empty": 0, "no condition": 0, "aggregation": 0}
+    rules, left = [], {"empty": 0, "no condition": 0, "aggregation": 0, "noise": 0}
     for doc in yaml.safe_load_all(text):
         if not isinstance(doc, dict) or not isinstance(doc.get("detection"), dict):
             left["empty"] += 1
@@ -75,11 +78,30 @@ def load_rules(text: str) -> tuple[list[Rule], dict[str, int]]:
             left["no condition"] += 1
         elif rule.aggregates:
             left["aggregation"] += 1
+        elif any(part in file.lower() for part in NOISE_FILES) or str(doc.get("description", "")).lower().strip() in NOISE_DESCRIPTIONS:
+            left["noise"] += 1
         else:
             rules.append(rule)
     return rules, left
 
 
+def read_rules(spark: SparkSession, folder: str) -> tuple[list[Rule], dict[str, int]]:
+    """The rules of all *.yml and *.yaml files of a folder, which may be changed and read again; rule files are few and
+    small, and come to the driver, where plans are made."""
+    rules, left = [], {}
+    for r in spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{yml,yaml}").text(folder).select("value", F.col("_metadata.file_name").alias("file")).orderBy("file").toLocalIterator():
+        some, without = load_rules(r["value"], r["file"])
+        rules += some
+        left = {k: left.get(k, 0) + n for k, n in without.items()}
+    return rules, left
+
+
+def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """(title, id, level, severity, score, mitre, logsource) of rules, for a listing."""
+    rows = [(r.title, r.id, r.level, LEVEL_SEVERITIES.get(r.level, "medium"), LEVEL_SCORES.get(r.level, 45), r.technique, {str(k): str(v) for k, v in r.logsource.items()}) for r in rules]
+    return spark.createDataFrame(rows, "title string, id string, level string, severity string, score int, mitre string, logsource map<string,string>")
+
+
 class Fields:
     """Field access for a table: typed columns by (case-insensitive) name or alias, or a map column of raw fields."""
 

@@ -518,7 +518,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fi.in_order(fi.identity(found))
 
 
-from tracehound.plans import detector_queries  # noqa: E402
+from tracehound.plans import case_queries, detector_queries  # noqa: E402
 
-QUERIES |= detector_queries.QUERIES
-ORACLES |= detector_queries.ORACLES
+QUERIES |= detector_queries.QUERIES | case_queries.QUERIES
+ORACLES |= detector_queries.ORACLES | case_queries.ORACLES

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,15 +21,15 @@ FAMILIES: dict[str, dict[str, tuple[str, ...]]] = {
         "remote": ("Raddr", "RemoteAddress", "remote", "remote_address", "ForeignAddress"), "remote_port": ("remote_port", "RemotePort"), "local": ("Laddr", "LocalAddress", "local", "local_address"),
         "state": ("Status", "State", "state"), "pid": ("Pid", "pid", "OwningProcess"), "process": ("Name", "Process", "process_name"),
     },
-    "dns": {"domain": ("domain", "Domain", "QueryName", "query", "hostname", "name"), "rcode": ("rcode", "ResponseCode", "status"), "qtype": ("type", "QueryType", "qtype_name")},
-    "service": {"name": ("Name", "name", "ServiceName", "DisplayName"), "path": ("PathName", "ImagePath", "image_path", "Exe", "path", "CommandLine"), "account": ("StartName", "account", "ServiceAccount"), "start_mode": ("StartMode", "start_type", "StartType")},
-    "task": {"name": ("Name", "name", "TaskName"), "command": ("Command", "command", "Action", "action", "Exe", "Arguments"), "args": ("Arguments", "args", "Args")},
+    "dns": {"domain": ("domain", "Domain", "QueryName", "query", "hostname", "name"), "rcode": ("rcode", "ResponseCode", "status"), "qtype": ("type", "QueryType", "qtype_name"), "pid": ("Pid", "pid", "ProcessId")},
+    "service": {"name": ("Name", "name", "ServiceName", "DisplayName"), "path": ("PathName", "ImagePath", "image_path", "Exe", "path", "CommandLine"), "account": ("StartName", "account", "ServiceAccount"), "start_mode": ("StartMode", "start_type", "StartType"), "pid": ("Pid", "pid", "ProcessId")},
+    "task": {"name": ("Name", "name", "TaskName"), "command": ("Command", "command", "Action", "action", "Exe", "Arguments"), "args": ("Arguments", "args", "Args"), "pid": ("Pid", "pid", "ProcessId")},
     "event": {
         "event_id": ("EventID", "event_id", "Id", "ID", "id"), "time": ("TimeCreated", "timestamp", "Timestamp", "time"), "channel": ("Channel", "channel", "LogName"), "provider": ("provider", "Provider", "SourceName"),
         "account": ("TargetUserName", "account", "User", "Username"), "logon_type": ("LogonType",),
     },
     "sysmon": {c: (c,) for c in ("Image", "CommandLine", "ParentImage", "ParentCommandLine", "ProcessId", "Hashes", "DestinationIp", "DestinationPort", "SourceImage", "TargetImage", "GrantedAccess", "CallTrace", "TargetFilename", "PipeName", "Type", "TargetObject", "Details", "ImageLoaded", "Signed", "Signature")} | {"event_id": ("EventID", "event_id", "Id", "ID", "id")},
-    "registry": {"key": ("key", "Key", "FullPath", "path", "location"), "value": ("value", "Value", "Data"), "name": ("name", "Name", "ValueName")},
+    "registry": {"key": ("key", "Key", "FullPath", "path", "location"), "value": ("value", "Value", "Data"), "name": ("name", "Name", "ValueName"), "pid": ("Pid", "pid", "ProcessId")},
     "lnk": {"target": ("target", "Target", "TargetPath", "RelativePath", "LocalPath"), "args": ("args", "Arguments", "CommandLineArguments")},
     "execution": {"name": ("Name", "name", "Executable", "executable", "FileName"), "path": ("Path", "path", "FullPath")},
     "shimcache": {"path": ("path",), "last_modified": ("last_modified",)},
@@ -64,10 +66,33 @@ def row_text(row: Column, most: int | None = None) -> Column:
     return text if most is None else F.substring(text, 1, most)
 
 
+#: Normalisers of a user's own: (parts of artifact names, function from raw rows to canonical ones).
+NORMALISERS: list[tuple[tuple[str, ...], Callable[[DataFrame], DataFrame]]] = []
+
+
+def register_normaliser(artifact_parts: tuple[str, ...], normalise: Callable[[DataFrame], DataFrame]) -> None:
+    """Raw rows of artifacts with one of these parts in their names are passed through the function before any family's
+    columns are taken from them; the last one registered comes first."""
+    NORMALISERS.insert(0, (tuple(artifact_parts), normalise))
+
+
+def normalised(rows: DataFrame) -> DataFrame:
+    """rows(host, artifact, row_index, source_file, row) after the registered normalisers, each row by the first that claims
+    its artifact."""
+    if not NORMALISERS:
+        return rows
+    claims = [any_of([F.contains(F.lower("artifact"), F.lit(p.lower())) for p in parts]) for parts, _ in NORMALISERS]
+    claimed = rows.withColumn("__by", F.coalesce(*[F.when(hit, i) for i, hit in enumerate(claims)], F.lit(-1)))
+    out = claimed.filter("__by = -1").drop("__by")
+    for i, (_, normalise) in enumerate(NORMALISERS):
+        out = out.unionByName(normalise(claimed.filter(F.col("__by") == i).drop("__by")).select(*out.columns))
+    return out
+
+
 def canonical(rows: DataFrame, family: str) -> DataFrame:
     """The family's columns as strings (empty if absent) with the place of the row; typed where the family has types."""
     row = F.col("row")
-    out = rows.select(*PLACE, *[alias(row, *names).alias(c) for c, names in FAMILIES[family].items()], row_text(row, 500).alias("data"), "row")
+    out = rows.select(*PLACE, *[alias(row, *names).alias(c) for c, names in FAMILIES[family].items()], row_text(row).alias("data"), "row")
     if family == "process":
         out = out.withColumn("name", F.lower("name"))
     elif family == "network":

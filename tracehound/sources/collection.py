@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracehound.functions.scalars import alias
+from tracehound.operators.ordered import first_of_each
+
 SCHEMA = "host string, artifact string, row_index long, source_file string, row map<string,string>"
 MAP = "map<string,string>"
 #: Parts of a text log's file name and the artifact that it becomes.
@@ -191,3 +194,26 @@ def audit_totals(spark: SparkSession, path: str) -> DataFrame:
 
 def list_incidents(incidents: DataFrame) -> DataFrame:
     return incidents.orderBy(F.desc("updated_at"), "id")
+
+
+def count_incidents(incidents: DataFrame) -> DataFrame:
+    return incidents.agg(F.count("*").alias("n"))
+
+
+def get_incident(incidents: DataFrame, id_: str) -> DataFrame:
+    return incidents.filter(F.col("id") == id_)
+
+
+def collection_log(rows: DataFrame, most: int | None = 20) -> DataFrame:
+    """(level, row_index, message): the first warnings and the first errors of rows(row_index, row) of a collector's log."""
+    row = F.col("row")
+    level = F.lower(alias(row, "level", "Level", "severity"))
+    kind = F.when(level.isin("error", "err", "fatal", "critical"), "error").when(level.isin("warn", "warning"), "warning")
+    told = rows.select(kind.alias("level"), "row_index", alias(row, "message", "Message", "msg").alias("message")).filter("level is not null")
+    return told if most is None else first_of_each(told, ["level"], ["row_index"], most)
+
+
+def collection_metadata(rows: DataFrame) -> DataFrame:
+    """(key, value) of the collection's own description: its host, client, flow, times and artifacts; the first of each."""
+    held = rows.select("row_index", F.explode("row").alias("key", "value")).filter(F.lower("key").isin("client_id", "session_id", "flow_id", "hostname", "fqdn", "os", "create_time", "start_time", "active_time", "artifacts", "state", "total_collected_rows", "total_uploaded_files"))
+    return held.groupBy(F.lower("key").alias("key")).agg(F.min_by("value", "row_index").alias("value"))
