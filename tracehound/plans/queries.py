@@ -20,6 +20,7 @@ from tracehound.operators import graph as G
 from tracehound.operators import lineage as L
 from tracehound.operators import ordered as O
 from tracehound.operators import redaction as X
+from tracehound.operators import report as P
 from tracehound.operators import retrieval as R
 from tracehound.operators import rules as U
 from tracehound.operators import triage as T
@@ -288,14 +289,15 @@ def q_long_token(spark, sf_dir):
 
 @query(f"with {_HOSTS_SQL}, f as (select page_id, host, regexp_extract(replace(host || path, '/', '\\'), '^(.*)\\\\[^\\\\]*$', 1) as folder from hosts) select folder, count(*)::bigint as n, min(page_id) as first_page from f where length(folder) >= 15 group by folder having count(*) >= 2")
 def q_folder_clusters(spark, sf_dir):
-    rows = _hosts(spark, sf_dir).withColumn("folder", S.parent_folder(F.concat("host", "path")))
-    return rows.filter(F.char_length("folder") >= 15).groupBy("folder").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page")).filter("n >= 2")
+    rows = _hosts(spark, sf_dir).select(F.col("page_id").alias("id"), F.create_map(F.lit("path"), F.concat("host", "path")).alias("evidence"))
+    return P.folder_clusters(rows).select("folder", "n", F.array_min("ids").alias("first_page"))
 
 
 @query(f"with {_HOSTS_SQL}, f as (select page_id, regexp_replace(split_part(host, '.', 1), '[^a-z]', '', 'g') as token from hosts) select token, count(*)::bigint as n from f where length(token) >= 5 group by token having count(*) >= 2")
 def q_token_clusters(spark, sf_dir):
-    rows = _hosts(spark, sf_dir).withColumn("token", S.tool_token(F.concat(F.regexp_extract("host", r"^([^.]*)", 1), F.lit("/x"))))
-    return rows.filter("token is not null").groupBy("token").agg(F.count("*").alias("n")).filter("n >= 2")
+    path = F.concat(F.regexp_extract("host", r"^([^.]*)", 1), F.lit("/x"))
+    rows = _hosts(spark, sf_dir).select(F.col("page_id").alias("id"), F.create_map(F.lit("path"), path).alias("evidence"))
+    return P.tool_clusters(rows).select("token", "n")
 
 
 @query("select doc_id, lang from documents where lower(concat_ws(' ', text, lang, source)) like '%licensed under%'")
@@ -323,10 +325,12 @@ def q_redact_dictionary(spark, sf_dir):
     return X.dictionary(X.candidates(table(spark, sf_dir, "documents"), "doc_id", "text", _EMAIL))
 
 
-@query("select doc_id, md5(text) as restored_md5 from documents")
+@query(r"select doc_id, md5(text) as restored_md5, 0::bigint as left_over, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))::bigint as hidden from documents")
 def q_redact_and_restore(spark, sf_dir):
+    """Restored texts, and how many addresses and placeholders the redacted ones hold."""
     hidden, mapping = X.redact(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", patterns=_EMAIL)
-    return X.restore(hidden.select("doc_id", "redacted"), "doc_id", "redacted", mapping).select("doc_id", F.md5("restored").alias("restored_md5"))
+    counts = hidden.select("doc_id", F.regexp_count("redacted", F.lit(_EMAIL[0][1])).cast("long").alias("left_over"), F.regexp_count("redacted", F.lit(r"\[EMAIL_\d+\]")).cast("long").alias("hidden"))
+    return X.restore(hidden.select("doc_id", "redacted"), "doc_id", "redacted", mapping).select("doc_id", F.md5("restored").alias("restored_md5")).join(counts, "doc_id")
 
 
 @query("select doc_id, lang, used from (select doc_id, lang, (sum(length(text) + 1) over (partition by lang order by doc_id))::bigint as used from documents) where used <= 60000")
