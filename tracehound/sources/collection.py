@@ -75,14 +75,29 @@ def sniff_separator(sample: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, host: str = "", separator: str | None = None, artifact: str = "siem_export") -> DataFrame:
-    """Rows by the header's names; the separator is told from the first lines of the first file if not given."""
-    if separator is None:
-        separator = sniff_separator("\n".join(r["value"] for r in spark.read.text(path).limit(20).collect()))
-    df = spark.read.option("header", "true").option("sep", separator).option("mode", "PERMISSIVE").csv(path)
-    names = list(df.columns)
-    row = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.col(f"`{n}`") for n in names])), lambda _, v: v.isNotNull())
-    lines = df.select(row.alias("r"), F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    return _placed(lines, F.col("r"), F.lit(artifact), host)
+    """Rows by the header's names. Files may differ in separator and header: those that begin with the same line are read
+    together, and the separator is told from that line if not given. The first lines of the files come to the driver, one
+    for each different one. Where a file's first line holds no separator its lines are kept as {raw: line}."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    heads = lines.filter((F.col("block") == 0) & (F.trim("value") != "")).groupBy("file").agg(F.min_by("value", "at").alias("head"))
+    groups = heads.groupBy("head").agg(F.collect_set("file").alias("files"))
+    parts = []
+    for r in groups.orderBy("head").toLocalIterator():
+        own = separator or sniff_separator(r["head"])
+        if own not in r["head"]:
+            raw = lines.filter(F.col("file").isin(*r["files"]) & (F.trim("value") != "")).select(F.create_map(F.lit("raw"), F.col("value")).alias("r"), F.col("file").alias("source_file"), "block", "at")
+            parts.append(raw)
+            continue
+        df = spark.read.option("header", "true").option("sep", own).option("mode", "PERMISSIVE").csv([unquote(f) for f in r["files"]])
+        names = list(df.columns)
+        row = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.col(f"`{n}`") for n in names])), lambda _, v: v.isNotNull())
+        parts.append(df.select(row.alias("r"), F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")))
+    if not parts:
+        return spark.createDataFrame([], SCHEMA)
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    return _placed(both, F.col("r"), F.lit(artifact), host)
 
 
 def text_artifact(path: Column) -> Column:

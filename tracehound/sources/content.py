@@ -18,7 +18,8 @@ MOST_BYTES = 50 * 1024 * 1024
 
 @dataclass(frozen=True)
 class ContentRule:
-    """Named strings, and alternatives of conjunctions of (names, least number of them found)."""
+    """Named strings, and alternatives of conjunctions of (names, least number of them found). nocase and wide hold for all
+    strings but those named in `exact`, which are looked for as they stand."""
 
     name: str
     severity: str
@@ -29,6 +30,7 @@ class ContentRule:
     nocase: bool = True
     wide: bool = True
     tags: tuple[str, ...] = ()
+    exact: tuple[str, ...] = ()
 
 
 def _any(*names: str) -> tuple[tuple[str, ...], int]:
@@ -39,7 +41,7 @@ def _any(*names: str) -> tuple[tuple[str, ...], int]:
 RULES = (
     ContentRule("SUSP_PowerShell_Encoded_Command_In_File", "high", "T1059.001", "Encoded PowerShell command with execution", {"enc1": "-EncodedCommand", "enc2": "-enc ", "enc3": "FromBase64String", "iex": "Invoke-Expression"}, ((_any("enc1", "enc2", "enc3"), _any("iex")),)),
     ContentRule("SUSP_Mimikatz_Strings", "critical", "T1003.001", "Credential dumping strings", {"a": "sekurlsa", "b": "mimikatz", "c": "lsadump", "d": "kerberos::", "e": "crypto::"}, (((("a", "b", "c", "d", "e"), 2),),)),
-    ContentRule("SUSP_CobaltStrike_Beacon_Indicators", "critical", "T1071.001", "Beacon configuration markers", {"a": "beacon.dll", "b": "%s as %s\\%s: %d", "c": "ReflectiveLoader", "d": "%%IMPORT%%"}, (((("a", "b", "c", "d"), 2),),)),
+    ContentRule("SUSP_CobaltStrike_Beacon_Indicators", "critical", "T1071.001", "Beacon configuration markers", {"a": "beacon.dll", "b": "%s as %s\\%s: %d", "c": "ReflectiveLoader", "d": "%%IMPORT%%"}, (((("a", "b", "c", "d"), 2),),), exact=("b", "d")),
     ContentRule("SUSP_Webshell_Common_Patterns", "high", "T1505.003", "Web shell execution patterns", {"php1": "eval($_POST", "php2": "eval($_GET", "php3": "system($_REQUEST", "asp1": "eval(Request", "jsp1": "Runtime.getRuntime().exec(request"}, ((_any("php1", "php2", "php3", "asp1", "jsp1"),),), wide=False),
     ContentRule("SUSP_Ransomware_Note_Indicators", "high", "T1486", "Ransom note language with a payment channel", {"a": "your files have been encrypted", "b": "all your files", "c": "to decrypt your files", "d": "bitcoin", "e": ".onion"}, ((_any("a", "b", "c"), _any("d", "e")),)),
 )
@@ -66,8 +68,9 @@ def scan_files(files: DataFrame, rules: tuple[ContentRule, ...] = RULES) -> Data
         out = {}
         for name, text in rule.strings.items():
             plain = text.encode("utf-8")
-            options = [re.escape(plain)] + ([re.escape(b"".join(bytes([b, 0]) for b in plain))] if rule.wide else [])
-            out[name] = re.compile(b"|".join(options), re.I if rule.nocase else 0)
+            exact = name in rule.exact
+            options = [re.escape(plain)] + ([re.escape(b"".join(bytes([b, 0]) for b in plain))] if rule.wide and not exact else [])
+            out[name] = re.compile(b"|".join(options), re.I if rule.nocase and not exact else 0)
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
