@@ -20,6 +20,7 @@ from tracehound.sources.canonical import canonical
 from tracehound.sources.staging import shared_folder, table
 
 from .detector_queries import COMMANDS, FOLDERS, NAMES, base, pick, quoted, telemetry, telemetry_sql, text
+from .later import E
 from .queries import _KINDS_SQL, event_findings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,7 +39,7 @@ def query(sql: str):
 # The rules that come with the library
 
 _rows = {
-    "Image": (F.concat(pick(FOLDERS, 2)[0], pick(NAMES)[0]), f"{pick(FOLDERS, 2)[1]} || {pick(NAMES)[1]}"), "CommandLine": pick([*COMMANDS, "rundll32 url.dll,x", "psexec \\\\\\\\srv -u bob -accepteula", "x -e abc", "Add-MpPreference -ExclusionPath C:\\", "wmic shadowcopy delete", "IEX (New-Object Net.WebClient)"], 3), "ParentImage": (F.concat(F.lit("C:\\p\\"), pick(NAMES, 4)[0]), f"'C:\\p\\' || {pick(NAMES, 4)[1]}"),
+    "Image": (E.concat(pick(FOLDERS, 2)[0], pick(NAMES)[0]), f"{pick(FOLDERS, 2)[1]} || {pick(NAMES)[1]}"), "CommandLine": pick([*COMMANDS, "rundll32 url.dll,x", "psexec \\\\\\\\srv -u bob -accepteula", "x -e abc", "Add-MpPreference -ExclusionPath C:\\", "wmic shadowcopy delete", "IEX (New-Object Net.WebClient)"], 3), "ParentImage": (E.concat(E.lit("C:\\p\\"), pick(NAMES, 4)[0]), f"'C:\\p\\' || {pick(NAMES, 4)[1]}"),
     "ServiceFileName": pick(["C:\\Users\\Public\\s.exe", "C:\\Windows\\s.exe"], 5), "TargetObject": pick(["HKLM\\Software\\Microsoft\\Windows\\CurrentVersion\\Run\\x", "HKLM\\y"], 7), "Details": pick(["C:\\Temp\\z.exe", "ok"], 2), "EventID": pick(["1102", "104", "1", "4688"], 11), "CommandName": pick(["powershell x", "calc"], 6),
 }
 
@@ -73,7 +74,7 @@ _last = lambda v: f"regexp_extract({v}, '([^\\\\]*)$', 1)"
 when artifact = 'scheduledtasks' then 'Task: ' || Name[1:40] when artifact = 'netstat' then 'Conn: ' || remote when contains(artifact, 'registry') then 'Registry: ' || right({_key}, 50) when artifact = 'shimcache' then case when path = '' then 'Shimcache entry' else 'Shimcache exec: ' || {_last('path')}[1:40] end
 when artifact = 'userassist' then case when path = '' then 'UserAssist entry' else 'GUI launch: ' || {_last('path')}[1:40] end when artifact = 'shellbags' then case when path = '' then 'Shellbag entry' else 'Browsed: ' || right(path, 40) end else artifact[1:30] end as description from t""")
 def q_event_descriptions(spark, sf_dir):
-    rows = telemetry(spark, sf_dir, "x", {k: v for k, v in _told.items() if k not in ("artifact", "time")} | {"timestamp": _told["time"]}).withColumn("event_id", F.col("row_index")).withColumn("artifact", _artifacts[0]).drop("event_id")
+    rows = telemetry(spark, sf_dir, "x", {k: v for k, v in _told.items() if k not in ("artifact", "time")} | {"timestamp": _told["time"]}).withColumn("event_id", F.col("row_index")).withColumn("artifact", _artifacts[0].make()).drop("event_id")
     return C.timeline(rows, event_findings(spark, sf_dir).limit(0)).select("row_index", "description")
 
 
@@ -96,7 +97,7 @@ def q_stack_samples(spark, sf_dir):
     return A.stack_samples(table(spark, sf_dir, "part"), {"brand": F.col("p_brand"), "size": F.col("p_size")}, "p_partkey").withColumn("samples", F.array_join(F.transform("samples", lambda x: x.cast("string")), ","))
 
 
-_seen = {"Name": pick(NAMES), "Exe": (F.concat(pick(FOLDERS, 3)[0], F.col("event_id").cast("string")), f"{pick(FOLDERS, 3)[1]} || event_id"), "remote": (F.concat(F.lit("10.0.0."), (F.col("event_id") * F.col("event_id") % 61).cast("string"), F.lit(":443")), "'10.0.0.' || (event_id * event_id % 61) || ':443'")}
+_seen = {"Name": pick(NAMES), "Exe": (E.concat(pick(FOLDERS, 3)[0], E.col("event_id").cast("string")), f"{pick(FOLDERS, 3)[1]} || event_id"), "remote": (E.concat(E.lit("10.0.0."), (E.col("event_id") * E.col("event_id") % 61).cast("string"), E.lit(":443")), "'10.0.0.' || (event_id * event_id % 61) || ':443'")}
 
 
 @query(f"""with {telemetry_sql(_seen)}, u as (select 'process' as dimension, Name as value from t union all select 'path', lower(Exe) from t union all select 'remote', regexp_replace(remote, ':\\d+$', '') from t), k as (select dimension, value, count(*) as n from u group by 1, 2),
@@ -152,7 +153,7 @@ def q_executive_metrics(spark, sf_dir):
 
 # What is written as a collection is read again
 
-_logged = {"level": pick(["info", "WARN", "error", "debug", "fatal"]), "message": (F.concat(F.lit("m"), F.col("event_id").cast("string")), "'m' || event_id")}
+_logged = {"level": pick(["info", "WARN", "error", "debug", "fatal"]), "message": (E.concat(E.lit("m"), E.col("event_id").cast("string")), "'m' || event_id")}
 
 
 @query(f"with {telemetry_sql(_logged)}, k as (select row_index, message, case when lower(level) in ('error', 'fatal') then 'error' when lower(level) = 'warn' then 'warning' end as kind from t) select kind as level, row_index, message from k where kind is not null qualify row_number() over (partition by kind order by row_index) <= 20")
@@ -218,8 +219,8 @@ def q_incident_listing(spark, sf_dir):
 # The entity graph
 
 _proc = {"Pid": text("event_id % 200"), "Ppid": text("event_id % 50"), "Name": pick(NAMES), "User": pick(["bob", "eve", ""], 3), "CommandLine": pick(COMMANDS, 2)}
-_look = {"domain": (F.concat(F.lit("d"), (F.col("event_id") % 37).cast("string"), F.lit(".com")), "'d' || event_id % 37 || '.com'"), "Pid": text("event_id % 300")}
-_plan = {"Name": (F.concat(F.lit("task"), (F.col("event_id") % 90).cast("string")), "'task' || event_id % 90"), "Command": pick(["C:\\x\\cmd.exe", "notepad.exe", "nothing.exe"], 2), "Pid": text("event_id % 400")}
+_look = {"domain": (E.concat(E.lit("d"), (E.col("event_id") % 37).cast("string"), E.lit(".com")), "'d' || event_id % 37 || '.com'"), "Pid": text("event_id % 300")}
+_plan = {"Name": (E.concat(E.lit("task"), (E.col("event_id") % 90).cast("string")), "'task' || event_id % 90"), "Command": pick(["C:\\x\\cmd.exe", "notepad.exe", "nothing.exe"], 2), "Pid": text("event_id % 400")}
 
 
 def _as(name: str, sql: str) -> str:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracehound.functions import tables as V
@@ -18,6 +18,8 @@ from tracehound.operators.textlogs import ALERT_PREFIXES, EXPORT_WORDS, SUSPICIO
 from tracehound.sources.canonical import canonical, family_of
 from tracehound.sources.staging import table
 
+from .later import E, Later, made
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FOUND = ("row_index", "category", "severity", "title", "score", "mitre")
@@ -27,23 +29,23 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def pick(values: list[str], every: int = 1) -> tuple[Column, str]:
+def pick(values: list[str], every: int = 1) -> tuple[Later, str]:
     """A value by event_id, as a Column and as SQL."""
-    at = F.floor(F.col("event_id") / every) % len(values)
-    return F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int")), f"([{', '.join(map(quoted, values))}])[((event_id // {every}) % {len(values)} + 1)::int]"
+    at = E.floor(E.col("event_id") / every) % len(values)
+    return E.element_at(E.array(*map(E.lit, values)), (at + 1).cast("int")), f"([{', '.join(map(quoted, values))}])[((event_id // {every}) % {len(values)} + 1)::int]"
 
 
-def text(spark: str, duck: str | None = None) -> tuple[Column, str]:
-    return F.expr(spark).cast("string"), f"({duck or spark})::varchar"
+def text(spark: str, duck: str | None = None) -> tuple[Later, str]:
+    return E.expr(spark).cast("string"), f"({duck or spark})::varchar"
 
 
-def telemetry(spark: SparkSession, sf_dir: str, artifact: str, fields: dict[str, tuple[Column, str]]) -> DataFrame:
+def telemetry(spark: SparkSession, sf_dir: str, artifact: str, fields: dict[str, tuple[Later, str]]) -> DataFrame:
     """rows(host, artifact, row_index, source_file, row) of one artifact, a row for each event."""
-    row = F.create_map(*[x for k, (column, _) in fields.items() for x in (F.lit(k), column)])
+    row = F.create_map(*[x for k, (column, _) in fields.items() for x in (F.lit(k), made(column))])
     return table(spark, sf_dir, "events").select(F.concat(F.lit("h"), (F.floor(F.col("event_id") / 40) % 5).cast("string")).alias("host"), F.lit(artifact).alias("artifact"), F.col("event_id").cast("long").alias("row_index"), F.lit("f").alias("source_file"), row.alias("row"))
 
 
-def telemetry_sql(fields: dict[str, tuple[Column, str]]) -> str:
+def telemetry_sql(fields: dict[str, tuple[Later, str]]) -> str:
     return "t as (select event_id as row_index, 'h' || (event_id // 40) % 5 as host, " + ", ".join(f"{sql} as {k}" for k, (_, sql) in fields.items()) + " from events)"
 
 
@@ -85,7 +87,7 @@ def select(category: str, severity: str, title: str, score: str, mitre: str, res
     return f"select row_index, {category} as category, {severity} as severity, {title} as title, ({score})::int as score, {mitre} as mitre {rest}"
 
 
-def family_query(name: str, artifact: str, fields: dict[str, tuple[Column, str]], ctes: list[str], parts: list[str], detect: list | None = None, shape: Callable[[DataFrame], DataFrame] = found) -> None:
+def family_query(name: str, artifact: str, fields: dict[str, tuple[Later, str]], ctes: list[str], parts: list[str], detect: list | None = None, shape: Callable[[DataFrame], DataFrame] = found) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = telemetry(spark, sf_dir, artifact, fields)
         family = rows.sparkSession.range(1).select(family_of(F.lit(artifact))).first()[0]
@@ -109,7 +111,7 @@ COMMANDS = [
 # processes
 
 _process = {"Pid": text("event_id"), "Ppid": text("event_id - 1"), "Name": pick(NAMES), "Exe": None, "CommandLine": pick(COMMANDS, 2)}
-_process["Exe"] = (F.concat(pick(FOLDERS, 3)[0], pick(NAMES)[0]), f"{pick(FOLDERS, 3)[1]} || {pick(NAMES)[1]}")
+_process["Exe"] = (E.concat(pick(FOLDERS, 3)[0], pick(NAMES)[0]), f"{pick(FOLDERS, 3)[1]} || {pick(NAMES)[1]}")
 _pairs = " or ".join(f"(p.Name = {quoted(k)} and t.Name in {in_list(v)})" for k, v in D.PARENT_CHILDREN.items())
 _masks = " or ".join(f"(Name = {quoted(n)} and not regexp_matches(Exe, {quoted('(?i)' + p)}))" for n, p in V.SYSTEM_PROCESS_PATHS.items())
 family_query("q_detect_process", "pslist", _process, [COMMANDS_SQL, PATHS_SQL, command_hits("c", "Exe || ' ' || CommandLine"), place_hits("l", "Exe", "Name")], [
@@ -121,7 +123,7 @@ family_query("q_detect_process", "pslist", _process, [COMMANDS_SQL, PATHS_SQL, c
 
 # connections
 
-_network = {"remote": (F.concat(pick(["10.0.0.", "8.8.8.", "127.0.0."], 7)[0], (F.col("event_id") % 23).cast("string"), pick([":443", ":4444", ":80", ":31337"])[0]), f"{pick(['10.0.0.', '8.8.8.', '127.0.0.'], 7)[1]} || (event_id % 23) || {pick([':443', ':4444', ':80', ':31337'])[1]}"), "State": pick(["ESTABLISHED", "LISTEN", "established"])}
+_network = {"remote": (E.concat(pick(["10.0.0.", "8.8.8.", "127.0.0."], 7)[0], (E.col("event_id") % 23).cast("string"), pick([":443", ":4444", ":80", ":31337"])[0]), f"{pick(['10.0.0.', '8.8.8.', '127.0.0.'], 7)[1]} || (event_id % 23) || {pick([':443', ':4444', ':80', ':31337'])[1]}"), "State": pick(["ESTABLISHED", "LISTEN", "established"])}
 family_query("q_detect_network", "netstat", _network, [
     "r as (select *, regexp_extract(remote, ':(\\d+)$', 1)::int as port, regexp_replace(remote, ':\\d+$', '') as ip from t)",
     "k as (select host, ip, count(*) as n from r where upper(State) like '%ESTABLISHED%' and not regexp_matches(ip, '^(127\\.|0\\.0|::|\\[::)') group by host, ip)",
@@ -134,7 +136,7 @@ family_query("q_detect_network", "netstat", _network, [
 # Names that were looked up
 
 _labels = ["www", "xkqzjvwprtbnmd", "a" * 55, "mail", "qzxcvbnmlkjhgf"]
-_dns = {"domain": (F.concat(pick(_labels)[0], F.lit("."), pick(["evil", "example", "bad"], 5)[0], F.lit(".com")), f"{pick(_labels)[1]} || '.' || {pick(['evil', 'example', 'bad'], 5)[1]} || '.com'"), "rcode": pick(["NOERROR", "NXDOMAIN", "3"], 2), "type": pick(["A", "TXT", "16", "AAAA"], 3)}
+_dns = {"domain": (E.concat(pick(_labels)[0], E.lit("."), pick(["evil", "example", "bad"], 5)[0], E.lit(".com")), f"{pick(_labels)[1]} || '.' || {pick(['evil', 'example', 'bad'], 5)[1]} || '.com'"), "rcode": pick(["NOERROR", "NXDOMAIN", "3"], 2), "type": pick(["A", "TXT", "16", "AAAA"], 3)}
 _generated = """(select e, v, c from (select list_sum(list_transform(list_distinct(string_split(label, '')), lambda c: -((length(label) - length(replace(label, c, ''))) / length(label)::double) * log2((length(label) - length(replace(label, c, ''))) / length(label)::double))) as e,
  length(regexp_replace(label, '[^aeiou]', '', 'g')) / length(label)::double as v, coalesce(list_max(list_transform(regexp_extract_all(label, '[b-df-hj-np-tv-z]+'), lambda x: length(x))), 0) as c))"""
 family_query("q_detect_dns", "dns_cache", _dns, [
@@ -195,7 +197,7 @@ family_query("q_detect_event", "evtx_records", _event, [
 
 # Logons by account
 
-_auth = {"EventID": pick(["4625", "4625", "4625", "4625", "4625", "4624", "4624"]), "TargetUserName": (F.concat(F.lit("u"), (F.floor(F.col("event_id") / 7) % 9).cast("string")), "'u' || (event_id // 7) % 9"), "LogonType": pick(["10", "3", "2"], 5), "time": (F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'"), "strftime(make_timestamp((1700000000 + event_id * 60) * 1000000), '%Y-%m-%dT%H:%M:%SZ')"), "IpAddress": (F.concat(F.lit("10.0.0."), (F.col("event_id") % 6).cast("string")), "'10.0.0.' || event_id % 6")}
+_auth = {"EventID": pick(["4625", "4625", "4625", "4625", "4625", "4624", "4624"]), "TargetUserName": (E.concat(E.lit("u"), (E.floor(E.col("event_id") / 7) % 9).cast("string")), "'u' || (event_id // 7) % 9"), "LogonType": pick(["10", "3", "2"], 5), "time": (E.date_format(E.timestamp_seconds(E.lit(1_700_000_000) + E.col("event_id") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'"), "strftime(make_timestamp((1700000000 + event_id * 60) * 1000000), '%Y-%m-%dT%H:%M:%SZ')"), "IpAddress": (E.concat(E.lit("10.0.0."), (E.col("event_id") % 6).cast("string")), "'10.0.0.' || event_id % 6")}
 family_query("q_detect_auth", "eventlog_logons", _auth, [
     "e as (select *, strptime(time, '%Y-%m-%dT%H:%M:%SZ') as ts, (EventID = '4625')::int as f from t)",
     "g as (select *, coalesce(sum(1 - f) over (partition by host, TargetUserName order by ts, row_index rows between unbounded preceding and 1 preceding), 0) as g from e)",
@@ -210,7 +212,7 @@ family_query("q_detect_auth", "eventlog_logons", _auth, [
 # The system monitor's events
 
 _sysmon = {
-    "EventID": pick(["1", "3", "8", "10", "11", "17", "25", "13", "6", "12", "18"]), "Image": (F.concat(pick(FOLDERS, 2)[0], pick(NAMES, 3)[0]), f"{pick(FOLDERS, 2)[1]} || {pick(NAMES, 3)[1]}"), "CommandLine": pick(COMMANDS, 5), "ParentImage": (F.concat(F.lit("C:\\p\\"), pick(NAMES, 4)[0]), f"'C:\\p\\' || {pick(NAMES, 4)[1]}"),
+    "EventID": pick(["1", "3", "8", "10", "11", "17", "25", "13", "6", "12", "18"]), "Image": (E.concat(pick(FOLDERS, 2)[0], pick(NAMES, 3)[0]), f"{pick(FOLDERS, 2)[1]} || {pick(NAMES, 3)[1]}"), "CommandLine": pick(COMMANDS, 5), "ParentImage": (E.concat(E.lit("C:\\p\\"), pick(NAMES, 4)[0]), f"'C:\\p\\' || {pick(NAMES, 4)[1]}"),
     "DestinationIp": pick(["8.8.8.8", "127.0.0.1", "fe80::1", ""], 2), "DestinationPort": pick(["443", "4444", "80"], 3), "SourceImage": pick(["C:\\x\\evil.exe", "C:\\Windows\\System32\\svchost.exe"], 2), "TargetImage": pick(["C:\\Windows\\System32\\lsass.exe", "C:\\x\\other.exe"], 3), "CallTrace": pick(["UNKNOWN(1)", "ntdll"], 5),
     "TargetFilename": pick(["C:\\Users\\Public\\a.ps1", "C:\\x\\b.txt", "C:\\ProgramData\\c.exe", "C:\\Windows\\Temp\\d.dll"], 2), "PipeName": pick(["\\msagent_12", "\\lsass", "\\12345", "\\postex_1"], 2), "Type": pick(["hollow", "herpaderp"], 3), "TargetObject": pick(["HKLM\\Software\\Microsoft\\Windows\\CurrentVersion\\Run\\x", "HKLM\\System\\x"], 3), "ImageLoaded": pick(["C:\\d\\x.sys"]), "Signed": pick(["false", "true"], 3),
 }
@@ -243,9 +245,9 @@ family_query("q_detect_registry", "registry_values", _registry, [COMMANDS_SQL, P
 ])
 _lnk = {"target": pick(["mshta http://x", "C:\\a\\b.exe", "powershell"]), "args": pick(COMMANDS, 3)}
 family_query("q_detect_links", "lnk_files", _lnk, [COMMANDS_SQL, command_hits("c", "target || ' ' || args")], [select("'execution'", "severity", "'Shortcut with suspicious target: ' || label", "65", "'T1204.002'", "from c")])
-_prefetch = {"Name": pick(NAMES), "Path": (F.concat(pick(FOLDERS, 2)[0], pick(NAMES)[0]), f"{pick(FOLDERS, 2)[1]} || {pick(NAMES)[1]}")}
+_prefetch = {"Name": pick(NAMES), "Path": (E.concat(pick(FOLDERS, 2)[0], pick(NAMES)[0]), f"{pick(FOLDERS, 2)[1]} || {pick(NAMES)[1]}")}
 family_query("q_detect_execution", "prefetch", _prefetch, [PATHS_SQL, place_hits("l", "Path", "Name")], [select("'execution_evidence'", "severity", "'Execution evidence: ' || label", "45", "'T1204'", "from l")])
-_cached = {"path": (F.concat(pick([*FOLDERS, "C:\\$Recycle.Bin\\", "D:\\"], 2)[0], pick(["a.pdf.exe", "b.exe", "c.docx.scr", ""])[0]), f"{pick([*FOLDERS, 'C:\\$Recycle.Bin\\', 'D:\\'], 2)[1]} || {pick(['a.pdf.exe', 'b.exe', 'c.docx.scr', ''])[1]}")}
+_cached = {"path": (E.concat(pick([*FOLDERS, "C:\\$Recycle.Bin\\", "D:\\"], 2)[0], pick(["a.pdf.exe", "b.exe", "c.docx.scr", ""])[0]), f"{pick([*FOLDERS, 'C:\\$Recycle.Bin\\', 'D:\\'], 2)[1]} || {pick(['a.pdf.exe', 'b.exe', 'c.docx.scr', ''])[1]}")}
 _double = r"regexp_matches(path, '(?i)\.(pdf|docx?|xlsx?|pptx?|jpe?g|png|gif|txt|zip|rar|html?)\.(exe|scr|bat|cmd|com|pif|js|vbs|ps1|hta|lnk)$')"
 for _name, _artifact, _kind, _rules, _scores, _mitre, _mask in (
     ("q_detect_shimcache", "shimcache", "Shimcache", V.EXECUTION_PATHS, (55, 70), "T1218", ("Shimcache: double-extension masquerade executed", 80, "T1036.007")), ("q_detect_userassist", "userassist", "UserAssist", V.EXECUTION_PATHS, (50, 65), "T1204.002", ("UserAssist: double-extension masquerade launched by user", 82, "T1204.002")),
@@ -290,7 +292,7 @@ _generic = {"a": pick(COMMANDS), "b": pick(["x", "mshta http://q", "y"], 2)}
 QUERIES["q_detect_generic"] = q_detect_generic
 ORACLES["q_detect_generic"] = f"with {telemetry_sql(_generic)}, {COMMANDS_SQL}, {command_hits('c', 'a || chr(32) || b', source='t')}, {first('c1', 'c', 'severity in (' + quoted('critical') + ', ' + quoted('high') + ')')} " + select("'suspicious_content'", "severity", "'Suspicious content: ' || label", "45", "'T1059'", "from c1")
 
-_hashes = {"Name": pick(NAMES), "md5": (F.upper(F.md5(F.concat(F.lit("m"), (F.col("event_id") % 50).cast("string")))), "upper(md5('m' || event_id % 50))"), "sha1": pick(["", "short", "x" * 40], 3)}
+_hashes = {"Name": pick(NAMES), "md5": (E.upper(E.md5(E.concat(E.lit("m"), (E.col("event_id") % 50).cast("string")))), "upper(md5('m' || event_id % 50))"), "sha1": pick(["", "short", "x" * 40], 3)}
 
 
 def q_detect_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,11 +309,11 @@ select host, min(row_index) as row_index, 'hash_reputation' as category, 'critic
 
 _score = "case severity when 'critical' then 70 when 'high' then 60 when 'medium' then 45 when 'low' then 25 end"
 _signature = pick(["ET SCAN x", "ET MALWARE y", "GPL z", "ET INFO q", "ET POLICY p"])
-_suricata = {"raw": (F.concat(F.lit('{"event_type":"'), pick(["alert", "dns"], 5)[0], F.lit('","src_ip":"1.1.1.1","alert":{"signature":"'), _signature[0], F.lit('","severity":2}}')), "'{\"event_type\":\"' || " + pick(["alert", "dns"], 5)[1] + " || '\",\"alert\":{\"signature\":\"' || " + _signature[1] + " || '\",\"severity\":2}}'")}
+_suricata = {"raw": (E.concat(E.lit('{"event_type":"'), pick(["alert", "dns"], 5)[0], E.lit('","src_ip":"1.1.1.1","alert":{"signature":"'), _signature[0], E.lit('","severity":2}}')), "'{\"event_type\":\"' || " + pick(["alert", "dns"], 5)[1] + " || '\",\"alert\":{\"signature\":\"' || " + _signature[1] + " || '\",\"severity\":2}}'")}
 _prefix = lambda i, default: "case " + " ".join(f"when starts_with(sig, {quoted(p)}) then {quoted(v[i])}" for p, v in ALERT_PREFIXES.items()) + f" else '{default}' end"
 family_query("q_detect_suricata", "suricata_eve", _suricata, ["x as (select *, json_extract_string(raw, '$.alert.signature') as sig from t where json_extract_string(raw, '$.event_type') = 'alert')", f"y as (select *, {_prefix(0, 'medium')} as severity from x)"], [select("'network_anomaly'", "severity", "'Suricata: ' || sig", _score, _prefix(1, "T1071"), "from y")])
 _uri, _status = pick(["/ok", "/../etc/passwd", "/wp-admin/x", "/a?q=union+select", "/index.html"]), pick(["200", "404", "500", "301"], 5)
-_access = {"raw": (F.concat(F.lit("1.1.1.1 - - [10/Oct/2000:13:55:36 -0700] \"GET "), _uri[0], F.lit(" HTTP/1.1\" "), _status[0], F.lit(" 12")), "'1.1.1.1 - - [10/Oct/2000:13:55:36 -0700] \"GET ' || " + _uri[1] + " || ' HTTP/1.1\" ' || " + _status[1] + " || ' 12'")}
+_access = {"raw": (E.concat(E.lit("1.1.1.1 - - [10/Oct/2000:13:55:36 -0700] \"GET "), _uri[0], E.lit(" HTTP/1.1\" "), _status[0], E.lit(" 12")), "'1.1.1.1 - - [10/Oct/2000:13:55:36 -0700] \"GET ' || " + _uri[1] + " || ' HTTP/1.1\" ' || " + _status[1] + " || ' 12'")}
 _odd_uri = "regexp_matches(path, " + quoted("(?i)" + SUSPICIOUS_URI) + ")"
 family_query("q_detect_access", "apache_access", _access, ["x as (select *, regexp_extract(raw, '\"GET (\\S+) ', 1) as path, regexp_extract(raw, '\" (\\d{3}) ', 1) as status from t)", f"y as (select *, case when {_odd_uri} or status = '500' then 'high' else 'medium' end as severity from x where {_odd_uri} or status[1] in ('4', '5'))"], [select("'network_anomaly'", "severity", "'HTTP ' || status || ' GET ' || path[1:80]", _score, "'T1190'", "from y")])
 _lines = ["Failed password for root from 1.1.1.1 port 22", "Accepted publickey for bob from 2.2.2.2", "Invalid user x from 3.3.3.3", "sudo:  bob : TTY=1 ; COMMAND=/bin/ls", "useradd eve", "crontab -e", "kernel BUG at x", "ufw allow 22", "modprobe x", "chmod 0777 /etc", "nothing here", "usermod -a x"]
@@ -324,9 +326,9 @@ _said = "case " + " ".join(f"when regexp_matches(lower(coalesce(nullif(severity,
 family_query("q_detect_export", "siem_export", _export, [f"x as (select *, {_said} as level from t where regexp_matches(message || ' ' || severity, {quoted('(?i)' + EXPORT_WORDS)}))"], [select("'sigma_detection'", "level", "message", _score.replace("case severity", "case level"), "''", "from x")])
 
 
-def _zeek_query(kind: str, head: list[str], values: dict[str, tuple[Column, str]], where: str, select_sql: str) -> None:
+def _zeek_query(kind: str, head: list[str], values: dict[str, tuple[Later, str]], where: str, select_sql: str) -> None:
     name = f"q_detect_zeek_{kind}"
-    line = F.concat_ws("\t", *[v[0] for v in values.values()])
+    line = E.concat_ws("\t", *[v[0] for v in values.values()])
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = telemetry(spark, sf_dir, f"zeek_{kind}", {"raw": (line, "")})
