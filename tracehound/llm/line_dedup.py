@@ -20,49 +20,49 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _window_hashes(lines: Column, width: int, seed: int) -> Column:
-    """xxhash64 over each `width` consecutive lines, cut of white space around them."""
-    hashes = F.transform(lines, lambda line: F.xxhash64(F.trim(line), F.lit(seed)))
-    last = F.size(lines) - width
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)], F.lit(seed))))
+def _parts(docs: DataFrame, counted: bool) -> DataFrame:
+    """(doc_id, tie, parts): two hashes of each line, cut of white space around it, whether it is blank, and its words
+    where these are counted.
 
-
-def find_windows(docs: DataFrame, width: int = WINDOW_LINES) -> DataFrame:
-    """(doc_id, tie, pos, h1, h2): each window of each document by its first line's position."""
+    Lines are hashed here, once each: inside the lambda of a window they would be hashed again for every window.
+    """
     text = text_or_empty()
-    rows = docs.select("doc_id", F.xxhash64(text, F.lit(3)).alias("tie"), lines_of(text).alias("lines")).filter(F.size("lines") >= width)
-    blank = F.transform("lines", lambda line: F.trim(line) == "")
-    zipped = F.arrays_zip(_window_hashes(F.col("lines"), width, 1).alias("h1"), _window_hashes(F.col("lines"), width, 2).alias("h2"))
-    rows = rows.select("doc_id", "tie", blank.alias("blank"), F.posexplode(zipped).alias("pos", "h"))
-    some_text = ~F.forall(F.slice("blank", F.col("pos") + 1, width), lambda b: b)
-    return rows.filter(some_text).select("doc_id", "tie", "pos", "h.h1", "h.h2")
+    cut = lambda line: F.trim(line)
+    words = lambda line: word_count(line) if counted else F.lit(0).cast("long")
+    part = lambda line: F.struct(F.xxhash64(cut(line), F.lit(1)).alias("h1"), F.xxhash64(cut(line), F.lit(2)).alias("h2"), (cut(line) == "").alias("blank"), words(line).alias("words"))
+    return docs.select("doc_id", F.xxhash64(text, F.lit(3)).alias("tie"), F.transform(lines_of(text), part).alias("parts"))
 
 
-def find_long_passages(docs: DataFrame, width: int, long_words: int) -> DataFrame:
-    """(doc_id, tie, pos, n, h1, h2): each n < width consecutive lines of each document with over long_words words."""
-    text = text_or_empty()
-    part = lambda line: F.struct(F.xxhash64(F.trim(line), F.lit(1)).alias("h1"), F.xxhash64(F.trim(line), F.lit(2)).alias("h2"), word_count(line).alias("words"))
-    rows = docs.select("doc_id", F.xxhash64(text, F.lit(3)).alias("tie"), F.transform(lines_of(text), part).alias("parts"))
+def _windows(n: int) -> Column:
+    """(pos, n, h1, h2, blank, words) of each n consecutive members of parts: n shifted copies side by side, so the work
+    is linear in the lines."""
+    size = F.greatest(F.size("parts") - (n - 1), F.lit(0))
+    beside = F.arrays_zip(*[F.slice("parts", k + 1, size).alias(f"p{k}") for k in range(n)])
+
+    def one(z: Column, pos: Column) -> Column:
+        own = [z[f"p{k}"] for k in range(n)]
+        hashes = [F.xxhash64(*[p[h] for p in own], F.lit(seed)).alias(h) for seed, h in enumerate(("h1", "h2"), 1)]
+        blank, words = own[0]["blank"], own[0]["words"]
+        for p in own[1:]:
+            blank, words = blank & p["blank"], words + p["words"]
+        return F.struct(pos.alias("pos"), F.lit(n).alias("n"), *hashes, blank.alias("blank"), words.alias("words"))
 
-    def passages(n: int) -> Column:
-        def at(i: Column) -> Column:
-            own = F.slice("parts", i + 1, n)
-            hashes = [F.xxhash64(own[h], F.lit(seed)).alias(h) for seed, h in enumerate(("h1", "h2"), 1)]
-            return F.struct(i.alias("pos"), F.lit(n).alias("n"), *hashes, F.aggregate(own["words"], F.lit(0).cast("long"), lambda a, w: a + w).alias("words"))
+    return F.transform(beside, one)
 
-        places = F.when(F.size("parts") >= n, F.sequence(F.lit(0), F.size("parts") - n)).otherwise(F.array().cast("array<int>"))
-        return F.filter(F.transform(places, at), lambda p: p["words"] > long_words)
 
-    rows = rows.select("doc_id", "tie", F.explode(F.concat(*[passages(n) for n in range(1, width)])).alias("p"))
-    return rows.select("doc_id", "tie", "p.pos", "p.n", "p.h1", "p.h2")
+def find_windows(docs: DataFrame, width: int = WINDOW_LINES, long_words: int | None = None) -> DataFrame:
+    """(doc_id, tie, pos, n, h1, h2): each window of each document by its first line's position; with long_words also each
+    n < width consecutive lines of over long_words words."""
+    found = [F.filter(_windows(width), lambda w: ~w["blank"])]
+    if long_words is not None:
+        found += [F.filter(_windows(n), lambda w: w["words"] > long_words) for n in range(1, width)]
+    rows = _parts(docs, long_words is not None).select("doc_id", "tie", F.explode(F.concat(*found)).alias("w"))
+    return rows.select("doc_id", "tie", "w.pos", "w.n", "w.h1", "w.h2")
 
 
 def covered_lines(docs: DataFrame, width: int = WINDOW_LINES, long_words: int | None = None) -> DataFrame:
     """(doc_id, tie, removed): the positions that later occurrences of repeated windows cover, for documents with any."""
-    windows = find_windows(docs, width).withColumn("n", F.lit(width))
-    if long_words is not None and width > 1:
-        windows = windows.unionByName(find_long_passages(docs, width, long_words))
-    windows = staged(windows, "line-windows")
+    windows = staged(find_windows(docs, width, long_words), "line-windows")
     place = F.struct("doc_id", "tie", "pos")
     # The same row twice is one document: a window repeats if it stands at two different places.
     first = windows.groupBy("n", "h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
@@ -89,7 +89,9 @@ def dedup_lines(docs: DataFrame, width: int = WINDOW_LINES, long_words: int | No
     removed = covered_lines(docs, width, long_words).withColumnsRenamed({"doc_id": "__doc", "tie": "__tie", "removed": "__removed"})
     own = docs.drop(*spare).withColumn("__own", F.xxhash64(text_or_empty(), F.lit(3)))
     both = own.join(removed, (F.col("__own") == F.col("__tie")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
-    lines = lines_of(F.col("text"))
+    # Lines are a column of their own, named more than once, so that they are not split anew for each line that stays.
+    both = both.withColumn("__lines", lines_of(F.col("text")))
+    lines = F.col("__lines")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__removed"), lambda i: F.get(lines, i))
     columns = [F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in spare]
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
