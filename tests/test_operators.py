@@ -45,7 +45,7 @@ detection: {s: {a: b}}
 
 def test_rule_pack(spark):
     rules, left = U.load_rules(RULES)
-    assert [r.title for r in rules] == ["Encoded", "Dump"] and left == {"empty": 0, "no condition": 1, "aggregation": 1}
+    assert [r.title for r in rules] == ["Encoded", "Dump"] and left == {"empty": 0, "no condition": 1, "aggregation": 1, "noise": 0}
     assert rules[0].technique == "T1059.001" and rules[0].applies_to("pslist") and not rules[0].applies_to("dns")
     rows = [
         (0, {"Image": "C:\\X\\PowerShell.exe", "CommandLine": "p -enc x"}), (1, {"Exe": "C:/x/powershell.exe", "cmdline": "p -e y", "User": "SYSTEM"}), (2, {"CommandLine": "rundll32 COMSVCS.dll, minidump"}), (3, {"EventID": "4104"}), (4, {"other": "x"}),
