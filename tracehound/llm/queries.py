@@ -13,6 +13,7 @@ from .line_dedup import dedup_lines
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .neighbours import search
+from .periodic_runs import fold, periodic_runs, strongest
 from .shared import staged, table, text_or_empty
 from .sharding import shard_documents
 from .token_counts import count_documents
@@ -123,6 +124,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(fold(table(spark, sf_dir, "documents").select("doc_id", "text"))).withColumn("best", strongest(F.col("runs")))
+    line = lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    milli = F.expr("1000 * best.length div best.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli.alias("exponent_milli"),
+        _sha256(listed).alias("runs_sha256"), _sha256("collapsed").alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_line_dedup": op2_line_dedup,
@@ -134,5 +146,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_codec": op8_bpe_codec,
     "op9_near_dedup": op9_near_dedup,
     "op10_mixing": op10_mixing,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_url_filters": OP5_SQL}
