@@ -14,6 +14,7 @@ from .minhash import near_duplicates
 from .mixing import mix_sources
 from .neighbours import search
 from .periodic_runs import fold, periodic_runs, strongest
+from .quality import FIRST_ACCURACY, FIRST_SHARE, FIRST_WEIGHT, LEAST_ACCURACY, MOST_ACCURACY, ROUNDS, RULES, score_quality
 from .shared import staged, table, text_or_empty
 from .sharding import shard_documents
 from .token_counts import count_documents
@@ -124,6 +125,56 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _op11_rounds() -> str:
+    """The rounds of expectation-maximisation, each a step over (pattern, rule, vote) rows."""
+    steps = [f"rules0 as materialized (select i as rule, {FIRST_ACCURACY}::double as accuracy, {FIRST_SHARE}::double as share from range({len(RULES)}) t(i))"]
+    for i in range(ROUNDS + 1):
+        steps.append(f"""scored{i} as materialized (
+  select pattern, any_value(v.n) as n, 1 / (1 + exp(-(ln(any_value(share) / (1 - any_value(share))) + sum([0, 1, -1][vote + 1] * ln(accuracy / (1 - accuracy)))))) as q
+  from votes v join rules{i} r on v.rule = r.rule group by pattern)""")
+        if i < ROUNDS:
+            steps.append(f"""rules{i + 1} as materialized (
+  select v.rule, least(greatest((sum(s.n * case vote when 1 then q when 2 then 1 - q else 0 end) + {FIRST_WEIGHT * FIRST_ACCURACY}) / (sum(case when vote > 0 then s.n else 0 end) + {FIRST_WEIGHT}), {LEAST_ACCURACY}), {MOST_ACCURACY}) as accuracy,
+    (sum(s.n * q) + {FIRST_WEIGHT * FIRST_SHARE}) / (sum(s.n) + {FIRST_WEIGHT}) as share
+  from votes v join scored{i} s on v.pattern = s.pattern group by v.rule)""")
+    return ",\n".join(steps)
+
+
+_OP11_VOTES = ", ".join(f"case when {bad} then 2 when {good} then 1 else 0 end" for _, good, bad in RULES)
+OP11_SQL = rf"""
+with texts as (select doc_id, coalesce(text, '') as text from documents),
+split as (
+  select doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') as words,
+    list_filter(string_split(text, chr(10)), lambda line: regexp_matches(line, '[^\x20\x09-\x0D]')) as lines from texts),
+placed as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as pos from split),
+grams as (
+  select doc_id, pos, word || ' ' || lead(word, 1) over w || ' ' || lead(word, 2) over w || ' ' || lead(word, 3) over w || ' ' || lead(word, 4) over w as gram
+  from placed window w as (partition by doc_id order by pos)),
+twice as (select doc_id, pos from grams where gram is not null qualify count(*) over (partition by doc_id, gram) > 1),
+covered as (select doc_id, count(distinct pos + k) as n from twice, range(5) t(k) group by doc_id),
+features as (
+  select s.doc_id, len(words)::bigint as n_words, length(list_aggregate(words || [''], 'string_agg', ''))::bigint as word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, len(lines)::bigint as n_lines,
+    (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(n, 0)::bigint as n_repeat_words,
+    (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')))::bigint as n_capitals, (length(text) - length(replace(text, '!', '')))::bigint as n_shouts,
+    (length(text) - length(regexp_replace(text, '[!-/:-@\\[-`{{-~]', '', 'g')))::bigint as n_marks, len(list_filter(words, lambda w: right(w, 1) in ('.', '!', '?')))::bigint as n_ends,
+    len(list_filter(words, lambda w: length(w) <= 3 and not regexp_matches(w, '[#*$%&|<>]')))::bigint as n_small_words, len(list_distinct(words))::bigint as n_distinct
+  from split s left join covered c on s.doc_id = c.doc_id),
+coded as materialized (select *, [{_OP11_VOTES}] as pattern from features),
+patterns as (select pattern, count(*)::double as n from coded group by pattern),
+votes as materialized (select pattern, n, generate_subscripts(pattern, 1) - 1 as rule, unnest(pattern) as vote from patterns),
+{_op11_rounds()}
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+  not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and q >= 0.5 as kept
+from coded join scored{ROUNDS} s on coded.pattern = s.pattern
+"""
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs(fold(table(spark, sf_dir, "documents").select("doc_id", "text"))).withColumn("best", strongest(F.col("runs")))
     line = lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))
@@ -146,6 +197,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_codec": op8_bpe_codec,
     "op9_near_dedup": op9_near_dedup,
     "op10_mixing": op10_mixing,
+    "op11_quality_rules": op11_quality_rules,
     "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_url_filters": OP5_SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_url_filters": OP5_SQL, "op11_quality_rules": OP11_SQL}
