@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import collocations
 from .fingerprints import canonical_text, numbered, wide_hash, with_next
 from .line_dedup import dedup_lines
 from .minhash import near_duplicates
@@ -175,6 +176,39 @@ from coded join scored{ROUNDS} s on coded.pattern = s.pattern
 """
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+with pieces as (
+  select doc_id, coalesce(lang, 'und') as lang, generate_subscripts(p, 1) as piece, unnest(p) as piece_text
+  from (select doc_id, lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]') as p from documents)),
+split as (select doc_id, lang, piece, list_filter(string_split_regex(piece_text, '[\\x20\\x09]+'), lambda w: w <> '') as words from pieces),
+placed as (select doc_id, lang, piece, unnest(words) as w1, generate_subscripts(words, 1) as pos from split),
+triples as (select lang, w1, lead(w1, 1) over o as w2, lead(w1, 2) over o as w3 from placed window o as (partition by doc_id, piece order by pos)),
+one as (select lang, w1, count(*) as f from triples group by all),
+two as (select lang, w1, w2, count(*) as f from triples where w2 is not null group by all),
+three as (select lang, w1, w2, w3, count(*) as f from triples where w3 is not null group by all having count(*) >= 10),
+totals as (select lang, sum(f)::bigint as n from one group by lang),
+cuts as (
+  select t.lang, t.w1 || ' ' || t.w2 as phrase, t.f as a, x.f as l, y.f as r, 1 as k
+  from two t join one x on t.lang = x.lang and t.w1 = x.w1 join one y on t.lang = y.lang and t.w2 = y.w1
+  where t.f >= 10 and not exists (
+    select 1 from three h where h.lang = t.lang and (h.w1 = t.w1 and h.w2 = t.w2 or h.w2 = t.w1 and h.w3 = t.w2) and 100 * h.f >= 50 * t.f)
+  union all
+  select t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, x.f, y.f, 1
+  from three t join one x on t.lang = x.lang and t.w1 = x.w1 join two y on t.lang = y.lang and t.w2 = y.w1 and t.w3 = y.w2
+  union all
+  select t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, x.f, y.f, 2
+  from three t join two x on t.lang = x.lang and t.w1 = x.w1 and t.w2 = x.w2 join one y on t.lang = y.lang and t.w3 = y.w1),
+scored as (select *, ((1000000::hugeint * a * a) // (l::hugeint * r))::bigint as score from cuts),
+chosen as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from chosen)
+select r.lang, rank, phrase, a, l, r, n, score from ranked r join totals t on r.lang = t.lang where rank <= 2000
+"""
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs(fold(table(spark, sf_dir, "documents").select("doc_id", "text"))).withColumn("best", strongest(F.col("runs")))
     line = lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))
@@ -198,6 +232,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dedup": op9_near_dedup,
     "op10_mixing": op10_mixing,
     "op11_quality_rules": op11_quality_rules,
+    "op12_collocations": op12_collocations,
     "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_url_filters": OP5_SQL, "op11_quality_rules": OP11_SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_url_filters": OP5_SQL, "op11_quality_rules": OP11_SQL, "op12_collocations": OP12_SQL}
