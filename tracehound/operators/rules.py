@@ -6,15 +6,20 @@ condition over selection names with and, or, not, parentheses and `1 of x*`, `al
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracehound.functions.scalars import all_of, any_of
+from tracehound.functions.scalars import any_of
 from tracehound.functions.tables import FIELD_ALIASES, LOGSOURCE_ARTIFACTS
 
+from .rule_index import AtomIndex, Node, matching
+
 #: Score by level, and the highest severity that a rule alone gives.
 LEVEL_SCORES = {"critical": 70, "high": 60, "medium": 45, "low": 25, "informational": 10}
 LEVEL_SEVERITIES = {"critical": "high", "high": "high", "medium": "medium", "low": "low", "informational": "info"}
@@ -124,6 +129,18 @@ class Fields:
             found.append(self.text)
         return F.coalesce(*found) if found else F.lit(None).cast("string")
 
+    def one(self, name: str, expected, modifiers: list[str]) -> Column:
+        return _one(self.get(name), expected, modifiers)
+
+    def whole(self, value: str) -> Column:
+        return F.coalesce(F.lower(self.text).contains(value.lower()), F.lit(False))
+
+    def never(self) -> Column:
+        return F.lit(False)
+
+    def always(self) -> Column:
+        return F.lit(True)
+
 
 def _plain(text: Column) -> Column:
     return F.lower(F.translate(text, "\\", "/"))
@@ -166,26 +183,37 @@ def _one(actual: Column, expected, modifiers: list[str]) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def field_matches(fields: Fields, spec: str, expected) -> Column:
+#: What a condition is made of: columns, or nodes of an index over many rules.
+Conditions = Fields | AtomIndex
+Condition = Column | Node
+
+
+def _any(of: Conditions, parts: list) -> Condition:
+    return reduce(or_, parts) if parts else of.never()
+
+
+def _all(of: Conditions, parts: list) -> Condition:
+    return reduce(and_, parts) if parts else of.always()
+
+
+def field_matches(of: Conditions, spec: str, expected) -> Condition:
     name, *modifiers = spec.split("|")
-    actual = fields.get(name)
     if not isinstance(expected, list):
-        return _one(actual, expected, modifiers)
-    parts = [_one(actual, e, modifiers) for e in expected]
-    return all_of(parts) if "all" in modifiers else any_of(parts)
+        return of.one(name, expected, modifiers)
+    return (_all if "all" in modifiers else _any)(of, [of.one(name, e, modifiers) for e in expected])
 
 
-def selection_matches(fields: Fields, selection) -> Column:
+def selection_matches(of: Conditions, selection) -> Condition:
     """A mapping: all of its fields; a list: any of its members; a plain value: somewhere in the row."""
     if isinstance(selection, dict):
-        return all_of([field_matches(fields, k, v) for k, v in selection.items()])
+        return _all(of, [field_matches(of, k, v) for k, v in selection.items()])
     if isinstance(selection, list):
-        return any_of([selection_matches(fields, s) for s in selection])
-    return F.coalesce(F.lower(fields.text).contains(str(selection).lower()), F.lit(False))
+        return _any(of, [selection_matches(of, s) for s in selection])
+    return of.whole(str(selection))
 
 
-def compile_rule(rule: Rule, fields: Fields) -> Column:
-    """The rule as a boolean Column; what cannot be resolved is false."""
+def compile_rule(rule: Rule, of: Conditions) -> Condition:
+    """The rule as a boolean Column over a table's fields, or as a node of an index; what cannot be resolved is false."""
     named = {k.lower(): v for k, v in rule.detection.items() if k != "condition"}
     tokens = re.findall(r"\(|\)|[^\s()]+", rule.condition.lower())
     at = 0
@@ -198,11 +226,11 @@ def compile_rule(rule: Rule, fields: Fields) -> Column:
         at += 1
         return tokens[at - 1] if at <= len(tokens) else ""
 
-    def chosen(pattern: str) -> list[Column]:
+    def chosen(pattern: str) -> list:
         keys = list(named) if pattern == "them" else [k for k in named if re.fullmatch(re.escape(pattern).replace(r"\*", ".*"), k)]
-        return [selection_matches(fields, named[k]) for k in keys]
+        return [selection_matches(of, named[k]) for k in keys]
 
-    def unary() -> Column:
+    def unary() -> Condition:
         t = take()
         if t == "not":
             return ~unary()
@@ -213,40 +241,54 @@ def compile_rule(rule: Rule, fields: Fields) -> Column:
         if t in ("1", "any", "all") and peek() == "of":
             take()
             found = chosen(take())
-            return F.lit(False) if not found else all_of(found) if t == "all" else any_of(found)
-        return selection_matches(fields, named[t]) if t in named else F.lit(False)
+            return of.never() if not found else _all(of, found) if t == "all" else _any(of, found)
+        return selection_matches(of, named[t]) if t in named else of.never()
 
-    def both() -> Column:
+    def both() -> Condition:
         out = unary()
         while peek() == "and":
             take()
             out = out & unary()
         return out
 
-    def either() -> Column:
+    def either() -> Condition:
         out = both()
         while peek() == "or":
             take()
             out = out | both()
         return out
 
-    return either() if tokens else F.lit(False)
+    return either() if tokens else of.never()
+
+
+#: From so many rules on, an index finds the rules that a row can match; a few are tried one by one without leaving the JVM.
+INDEXED_RULES = 64
+
 
+ENTRY = "struct<rule:string,level:string,severity:string,score:int,mitre:string>"
 
-def scan(rows: DataFrame, rules: list[Rule], artifact: str = "", raw: str | None = None, keep: tuple[str, ...] = (), most: int | None = None, order: str | None = None) -> DataFrame:
+
+def _described(r: Rule) -> dict:
+    return {"rule": r.title, "level": r.level, "severity": LEVEL_SEVERITIES.get(r.level, "medium"), "score": LEVEL_SCORES.get(r.level, 45), "mitre": r.technique}
+
+
+def scan(rows: DataFrame, rules: list[Rule], artifact: str = "", raw: str | None = None, keep: tuple[str, ...] = (), most: int | None = None, order: str | None = None, indexed: bool | None = None) -> DataFrame:
     """(keep, rule, level, severity, score, mitre) for each row and rule that match.
 
     Rules that don't apply to the artifact or whose fields the table lacks never reach the plan. All rules are tried
-    in one pass over the rows. With `most`, the first rows of each rule by `order`.
+    in one pass over the rows, from INDEXED_RULES rules on through an index (`indexed` says so or not), with the same
+    result. With `most`, the first rows of each rule by `order`.
     """
     fields = Fields(rows, raw)
     usable = [r for r in rules if (not artifact or r.applies_to(artifact)) and (not r.fields() or any(fields.has(f) for f in r.fields()))]
-    entry = lambda r: F.struct(F.lit(r.title).alias("rule"), F.lit(r.level).alias("level"), F.lit(LEVEL_SEVERITIES.get(r.level, "medium")).alias("severity"), F.lit(LEVEL_SCORES.get(r.level, 45)).alias("score"), F.lit(r.technique).alias("mitre"))
-    groups = [F.array_compact(F.array(*[F.when(compile_rule(r, fields), entry(r)) for r in usable[i : i + 40]])) for i in range(0, len(usable), 40)]
-    if not groups:
-        empty = "array<struct<rule:string,level:string,severity:string,score:int,mitre:string>>"
-        groups = [F.array().cast(empty)]
-    out = rows.select(*keep, F.explode(F.flatten(F.array(*groups))).alias("m")).select(*keep, "m.*")
+    if len(usable) >= INDEXED_RULES if indexed is None else indexed:
+        index = AtomIndex(fields.get, fields.text, lambda name, value, modifiers: F.contains(F.lower(fields.text), F.lit("")) if name is None else fields.one(name, value, modifiers))
+        table = F.from_json(F.lit(json.dumps([_described(r) for r in usable])), f"array<{ENTRY}>")
+        out = matching(rows, index, [compile_rule(r, index) for r in usable], keep).select(*keep, F.explode("__rules").alias("__r")).select(*keep, F.get(table, F.col("__r")).alias("m")).select(*keep, "m.*")
+    else:
+        entry = lambda r: F.struct(*[F.lit(v).alias(k) for k, v in _described(r).items()])
+        groups = [F.array_compact(F.array(*[F.when(compile_rule(r, fields), entry(r)) for r in usable[i : i + 40]])) for i in range(0, len(usable), 40)]
+        out = rows.select(*keep, F.explode(F.flatten(F.array(*groups or [F.array().cast(f"array<{ENTRY}>")]))).alias("m")).select(*keep, "m.*")
     if most is not None:
         first = Window.partitionBy("rule").orderBy(order or keep[0])
         out = out.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= most).drop("__n")

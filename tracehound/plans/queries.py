@@ -376,6 +376,33 @@ def q_sigma_cidr(spark, sf_dir):
     return U.scan(rows, [_rule("networks", {"s": {"ip|cidr": ["11.0.0.0/8", "108.0.0.0/6", "233.233.0.0/16"]}, "condition": "s"})], keep=("doc_id", "ip")).select("doc_id", "ip")
 
 
+#: Four thousand rules over documents: a piece of a word made of three syllables, and by the number's remainder to 5 where it
+#: stands or what must not hold beside it.
+_SYLLABLES = ("th", "er", "an", "in", "on", "re", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st")
+_MANY_RULES = 4000
+
+
+def _many_rules() -> list[U.Rule]:
+    rules = []
+    for i in range(_MANY_RULES):
+        part = _SYLLABLES[i % 20] + _SYLLABLES[i // 20 % 20] + _SYLLABLES[i // 400]
+        s = {0: {"text|contains": part.upper()}, 1: {"text|contains": part}, 2: {"text|startswith": part}, 3: {"text|re": part + "[a-z]+\\."}, 4: {"text|contains|all": [part, " the "]}}[i % 5]
+        detection = {"s": s, "f": {"lang": ["EN", "de"]}, "g": {"source|endswith": "7"}, "condition": "s and not (f or g)" if i % 5 == 1 else "s and 1 of g*" if i % 5 == 0 else "s"}
+        rules.append(_rule(f"r{i}", detection, level=("high", "low")[i % 2]))
+    return rules
+
+
+@query(f"""with s as (select {list(_SYLLABLES)} as s), r as (select i, s[i % 20 + 1] || s[i // 20 % 20 + 1] || s[i // 400 + 1] as part from s, range({_MANY_RULES}) t(i)),
+d as (select doc_id, lang, source, lower(text) as low from documents),
+hits as (select i, doc_id from r join d on contains(low, part) where case i % 5
+  when 0 then source like '%7' when 1 then not (coalesce(lang in ('en', 'de'), false) or coalesce(source like '%7', false)) when 2 then starts_with(low, part)
+  when 3 then regexp_matches(low, part || '[a-z]+\\.') else contains(low, ' the ') end)
+select 'r' || i as rule, case when i % 2 = 0 then 60 else 25 end::int as score, count(*)::bigint as n, min(doc_id) as first_doc, max(doc_id) as last_doc from hits group by i""")
+def q_rules_indexed(spark, sf_dir):
+    found = U.scan(table(spark, sf_dir, "documents"), _many_rules(), keep=("doc_id",))
+    return found.groupBy("rule", "score").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+
+
 @query("select severity, category, count(*)::bigint as n from (select case when event_type = 'error' then 'high' else 'low' end as severity, case when event_type = 'view' then 'process_anomaly' else 'other' end as category from events) where not (severity = 'low' and category = 'process_anomaly') group by 1, 2")
 def q_allowlist(spark, sf_dir):
     rows = _events(spark, sf_dir)
