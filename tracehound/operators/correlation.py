@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from tracehound.functions.tables import APPDATA_APPS, BOOT_PROCESSES, BURST_PROC
 from . import graph as G
 from .aggregates import differing, rare, stack_counts
 from .findings import emit, union
-from .ordered import first_of_each, islands
+from .ordered import first_of_each, in_bursts, microseconds
 
 c, lit = F.col, F.lit
 
@@ -75,29 +74,11 @@ def boot_noise() -> Column:
 def timeline_bursts(events: DataFrame, window_us: int = 300_000_000, least: int = 3) -> DataFrame:
     """Bursts of a host's timeline that are worth a look: at least two artifacts, three events that are no boot noise,
     and a finding or a suspicious process. (host, start, end, n, artifacts, has_finding, severity)"""
-    cut = islands(events, ["host"], "time", "row_index", window_us)
-    us = F.timestamp_diff("MICROSECOND", lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c("time"))
-    cells = max(1, int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))) * 4
-    cut = cut.select("host", "artifact", "row_index", us.alias("us"), (~boot_noise()).alias("real"), c("has_finding"), F.coalesce(c("name").isin(*BURST_PROCESSES), lit(False)).alias("odd"), F.xxhash64("host", "island_start").alias("island"))
-
-    def mark(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values(["island", "us", "artifact", "row_index"], kind="stable").reset_index(drop=True)
-        start, at, island = [-1] * len(cell), cell["us"].to_numpy(), cell["island"].to_numpy()
-        i = 0
-        while i < len(at):
-            j = i
-            while j < len(at) and island[j] == island[i] and at[j] - at[i] <= window_us:
-                j += 1
-            if j - i >= least:
-                start[i:j] = [int(at[i])] * (j - i)
-                i = j
-            else:
-                i += 1
-        return cell.assign(start_us=start)[cell.columns.drop("cell").tolist() + ["start_us"]]
-
-    schema = "host string, artifact string, row_index long, us long, real boolean, has_finding boolean, odd boolean, island long, start_us long"
-    marked = cut.withColumn("cell", F.pmod("island", lit(cells))).groupBy("cell").applyInPandas(mark, schema).filter("start_us >= 0")
-    bursts = marked.groupBy("host", "start_us").agg(F.max("us").alias("end_us"), F.count("*").alias("n"), F.sort_array(F.collect_set("artifact")).alias("artifacts"), F.bool_or("has_finding").alias("has_finding"), F.bool_or("odd").alias("odd"), F.count_if("real").alias("n_real"))
+    marked = in_bursts(
+        events.select("host", "artifact", F.struct("artifact", "row_index").alias("tie"), microseconds(c("time")).alias("us"), (~boot_noise()).alias("real"), c("has_finding"), F.coalesce(c("name").isin(*BURST_PROCESSES), lit(False)).alias("odd")),
+        ["host"], "us", "tie", window_us, least,
+    )
+    bursts = marked.groupBy("host", "__start").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count("*").alias("n"), F.sort_array(F.collect_set("artifact")).alias("artifacts"), F.bool_or("has_finding").alias("has_finding"), F.bool_or("odd").alias("odd"), F.count_if("real").alias("n_real"))
     kept = bursts.filter((F.size("artifacts") >= 2) & (c("n_real") >= 3) & (c("has_finding") | c("odd")))
     time = lambda x: F.timestamp_micros(c(x)).cast("timestamp_ntz")
     return kept.select("host", time("start_us").alias("start"), time("end_us").alias("end"), "n", "artifacts", "has_finding", F.when(c("has_finding") & (c("n") >= 10), "high").when(c("has_finding"), "medium").otherwise("low").alias("severity"))

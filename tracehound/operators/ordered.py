@@ -2,74 +2,103 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracehound.sources.staging import discard, near, staged
 
-def failures_then_success(events: DataFrame, account: str, ts: str, tie: str, failed: Column, succeeded: Column, least: int = 5) -> DataFrame:
+from .slices import running, sliced
+
+
+def failures_then_success(events: DataFrame, account: str, ts: str, tie: str, failed: Column, succeeded: Column, least: int = 5, slices: int | None = None) -> DataFrame:
     """(account, ts, tie, failures): successes that follow at least `least` failures in a row of the account.
 
-    Every event that is not a failure ends the row.
+    Every event that is not a failure ends the row. An account of any size is dealt to many tasks: the failures up to a
+    success are those up to it less those up to the last event before it that was no failure, both running values.
     """
-    order = Window.partitionBy(account).orderBy(ts, tie)
-    marked = events.withColumns({"__f": failed.cast("int"), "__s": succeeded})
-    ends = F.coalesce(F.sum(1 - F.col("__f")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    runs = marked.withColumn("__g", ends)
-    n = F.sum("__f").over(Window.partitionBy(account, "__g"))
-    return runs.withColumn("failures", n).filter(F.col("__s") & (F.col("failures") >= least)).select(account, ts, tie, "failures")
+    marked = events.select(account, ts, tie, F.coalesce(failed, F.lit(False)).alias("__f"), F.coalesce(succeeded, F.lit(False)).alias("__s"))
+    rows = sliced(marked, [account], [ts, tie], "streaks", slices)
+    rows = running(rows, [account], [ts, tie], {"__failures": ("sum", F.col("__f").cast("long"))}, own=False)
+    rows = running(rows, [account], [ts, tie], {"__ended": ("max", F.when(~F.col("__f"), F.col("__failures")))}, own=False)
+    n = F.col("__failures") - F.coalesce("__ended", F.lit(0))
+    return rows.withColumn("failures", n).filter(F.col("__s") & (F.col("failures") >= least)).select(account, ts, tie, "failures")
 
 
 def off_hours(ts: Column, start: int = 22, end: int = 5) -> Column:
     return (F.hour(ts) >= start) | (F.hour(ts) < end)
 
 
-def islands(events: DataFrame, keys: list[str], ts: str, tie: str, gap_us: int) -> DataFrame:
-    """events with island_start: no gap above gap_us within an island of a group of keys."""
-    order = Window.partitionBy(*keys).orderBy(ts, tie)
-    us = F.timestamp_diff("MICROSECOND", F.lag(ts).over(order), F.col(ts))
-    begins = F.when(us.isNull() | (us > gap_us), F.col(ts))
-    return events.withColumn("island_start", F.last(begins, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+def microseconds(ts: Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
+
+
+def _with_reach(events: DataFrame, keys: list[str], us: str, tie: str, window_us: int, slices: int | None) -> DataFrame:
+    """events, sliced, with __i, their place from 1 in their group, and __reach, the place of the last event up to window_us
+    later. Each event stands there a second time, window_us later: what has passed by then is its reach."""
+    kinds = F.explode(F.array(F.lit(0), F.lit(1))).alias("__kind")
+    twice = events.select("*", kinds).withColumn("__when", F.col(us) + F.col("__kind") * F.lit(window_us))
+    order = ["__when", "__kind", tie]
+    rows = running(sliced(twice, keys, order, "bursts-events", slices), keys, order, {"__reach": ("sum", 1 - F.col("__kind").cast("long")), "__i": ("sum", F.col("__kind").cast("long"))})
+    # The second places come in the order of the first, so the n-th is that of the n-th event.
+    return rows.filter("__kind = 1").drop("__kind", "__when")
+
+
+def _followed(starts: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of starts(keys, __i, __next, __on) that are on, or that rows on lead to by any number of steps of __next.
+
+    Pointers are doubled twice a round, and what a row on points to becomes on, so the rounds follow the logarithm of the
+    longest chain.
+    """
+    names = [f"__k{i}" for i in range(len(keys))]
+    starts = staged(starts.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], "__i", "__next", "__on"), "bursts-starts")
+    size = starts.count()
+
+    def doubled(rows: DataFrame) -> DataFrame:
+        onward = near(rows.select(*[F.col(n).alias(f"{n}_o") for n in names], F.col("__i").alias("__at"), F.col("__next").alias("__further")), size)
+        reached = near(rows.filter("__on and __next is not null").select(*[F.col(n).alias(f"{n}_r") for n in names], F.col("__next").alias("__to")).distinct(), size)
+        same = lambda suffix: [F.col(n).eqNullSafe(F.col(f"{n}{suffix}")) for n in names]
+        rows = rows.join(reached, [*same("_r"), F.col("__i") == F.col("__to")], "left").withColumn("__on", F.col("__on") | F.col("__to").isNotNull())
+        rows = rows.join(onward, [*same("_o"), F.col("__next") == F.col("__at")], "left")
+        return rows.select(*names, "__i", F.col("__further").alias("__next"), "__on")
+
+    while True:
+        after = staged(doubled(doubled(starts)), "bursts-starts")
+        discard(starts)
+        starts = after
+        if starts.filter("__next is not null").isEmpty():
+            return starts.filter("__on").select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "__i")
 
 
-def bursts(events: DataFrame, keys: list[str], ts: str, tie: str, window_us: int = 300_000_000, least: int = 3) -> DataFrame:
-    """Greedy bursts for each group of keys: (keys, burst_start, burst_end, n).
+def in_bursts(events: DataFrame, keys: list[str], us: str, tie: str, window_us: int = 300_000_000, least: int = 3, slices: int | None = None) -> DataFrame:
+    """The events that greedy bursts of their group of keys hold, with __start, the place of their burst's first event.
 
     From an event on, all events up to window_us after it are a burst if they are at least `least`; the next burst
-    begins after it, else one event later. No burst reaches over a gap above window_us, so islands between such gaps
-    are handled apart, each within one task; keys should name a host or a day so that islands stay small.
+    begins after it, else one event later. Events without a time belong to none. A group of any size is many tasks: an
+    event's reach and the next event that could begin a burst are running values, and the bursts that do come about are
+    found by following the starts from each event before which nothing happened for window_us.
     """
-    cut = islands(events.select(*keys, ts, tie), keys, ts, tie, window_us)
-    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz"))
-    cut = cut.withColumn("__us", us)
-    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + (", " if keys else "") + "first_us long, last_us long, n long"
-
-    def scan(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values(["__island", "__us"], kind="stable").reset_index(drop=True)
-        island, at = cell["__island"].to_numpy(), cell["__us"].to_numpy()
-        begins = [0, *((island[1:] != island[:-1]).nonzero()[0] + 1), len(at)] if len(at) else [0]
-        found = []
-        for low, high in zip(begins[:-1], begins[1:]):
-            i = low
-            while i < high:
-                j = low + int(at[low:high].searchsorted(at[i] + window_us, side="right"))
-                if j - i >= least:
-                    found.append((i, j))
-                    i = j
-                else:
-                    i += 1
-        first, last = [i for i, _ in found], [j - 1 for _, j in found]
-        out = cell.loc[first, keys].reset_index(drop=True)
-        return out.assign(first_us=at[first], last_us=at[last], n=[j - i for i, j in found])
-
-    # Many islands to a task: a cell is a share of all islands, by hash.
-    island = F.xxhash64(*keys, "island_start")
-    cells = max(1, int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))) * 4
-    cut = cut.select(*keys, "__us", island.alias("__island")).withColumn("__cell", F.pmod("__island", F.lit(cells)))
-    found = cut.groupBy("__cell").applyInPandas(lambda cell: scan(cell), schema)
-    time = lambda c: F.timestamp_micros(F.col(c)).cast("timestamp_ntz")
-    return found.select(*keys, time("first_us").alias("burst_start"), time("last_us").alias("burst_end"), "n")
+    rows = staged(_with_reach(events.filter(F.col(us).isNotNull()), keys, us, tie, window_us, slices), "bursts-reach")
+    could = F.col("__reach") - F.col("__i") + 1 >= least
+    rows = running(rows, keys, ["__i"], {"__coming": ("min", F.when(could, F.col("__i")))}, forward=False)
+    # The event after one that reaches only itself begins anew; a burst that could begin first from there on does.
+    rows = running(rows, keys, ["__i"], {"__anew": ("max", F.when(F.col("__reach") == F.col("__i"), F.col("__i") + 1)), "__former": ("max", F.when(could, F.col("__i")))}, own=False)
+    rows = staged(rows, "bursts-places")
+    starts = rows.filter(could).withColumn("__on", F.coalesce("__former", F.lit(0)) < F.coalesce("__anew", F.lit(1)))
+    coming = rows.select(*[F.col(k).alias(f"__c_{k}") for k in keys], (F.col("__i") - 1).alias("__behind"), F.col("__coming").alias("__next"))
+    same = [F.col(k).eqNullSafe(F.col(f"__c_{k}")) for k in keys]
+    starts = starts.join(coming, [*same, F.col("__reach") == F.col("__behind")], "left").select(*keys, "__i", "__next", "__on")
+    begun = _followed(starts, keys).select(*[F.col(k).alias(f"__c_{k}") for k in keys], F.col("__i").alias("__b"))
+    rows = rows.join(begun, [*same, F.col("__i") == F.col("__b")], "left")
+    # The last burst begun, and where it ends.
+    rows = running(rows, keys, ["__i"], {"__start": ("max", F.col("__b")), "__end": ("max", F.when(F.col("__b").isNotNull(), F.col("__reach")))})
+    return rows.filter("__i <= __end").select(*events.columns, "__start")
+
+
+def bursts(events: DataFrame, keys: list[str], ts: str, tie: str, window_us: int = 300_000_000, least: int = 3, slices: int | None = None) -> DataFrame:
+    """Greedy bursts, see in_bursts, for each group of keys: (keys, burst_start, burst_end, n)."""
+    held = in_bursts(events.select(*keys, tie, microseconds(F.col(ts)).alias("__us")), keys, "__us", tie, window_us, least, slices)
+    time = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    return held.groupBy(*keys, "__start").agg(time(F.min("__us")).alias("burst_start"), time(F.max("__us")).alias("burst_end"), F.count("*").alias("n")).drop("__start")
 
 
 def neighbourhood(events: DataFrame, ts: str, tie: str, match: Column, around: int = 5) -> DataFrame:
@@ -84,6 +113,8 @@ def neighbourhood(events: DataFrame, ts: str, tie: str, match: Column, around: i
     return before.unionByName(after).drop("p", "__p")
 
 
-def first_of_each(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
-    """The first n rows of each group; each task keeps n rows of a group before the shuffle."""
+def first_of_each(rows: DataFrame, keys: list[str], order: list, n: int | None) -> DataFrame:
+    """The first n rows of each group, all if n is None; each task keeps n rows of a group before the shuffle."""
+    if n is None:
+        return rows
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("__n") <= n).drop("__n")
