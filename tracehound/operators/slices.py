@@ -25,9 +25,10 @@ def sliced(rows: DataFrame, keys: list[str], order: list[str], label: str, slice
     return staged(rows.repartitionByRange(n, *keys, *order).withColumn(SLICE, F.spark_partition_id()), label)
 
 
-def running(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]], forward: bool = True, own: bool = True) -> DataFrame:
+def running(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, Column]], forward: bool = True, own: bool = True, sent: bool = True) -> DataFrame:
     """rows(…, __slice) with a running value for each of values(name: (sum, max or min, column)): over the rows of the same
-    keys up to the row itself, or before it if not own; from the row to the last if not forward."""
+    keys up to the row itself, or before it if not own; from the row to the last if not forward. Slices need not be
+    made by sliced(): with sent=False what is folded is joined by key, for slices of which there may be very many."""
     before, after = Window.unboundedPreceding, Window.unboundedFollowing
     frame = (before, 0 if own else -1) if forward else (0 if own else 1, after)
     local = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(*frame)
@@ -40,5 +41,5 @@ def running(rows: DataFrame, keys: list[str], order: list[str], values: dict[str
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
     out = made.withColumns({f"__l_{name}": _OF[how](f"__v_{name}").over(local) for name, (how, _) in values.items()})
-    out = out.join(F.broadcast(carried), same, "left")
+    out = out.join(F.broadcast(carried) if sent else carried, same, "left")
     return out.select(*rows.columns, *[_TWO[how](F.col(f"__l_{name}"), F.col(f"__c_{name}")).alias(name) for name, (how, _) in values.items()])

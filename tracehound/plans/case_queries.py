@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracehound.functions.event_rules import BUILT_IN
@@ -173,13 +173,33 @@ def _written(spark: SparkSession, df: DataFrame, form: str, name: str) -> str:
 _JSON_SQL = "select event_id::varchar as event_id, event_type, user_id::varchar as user_id from events"
 
 
+_EVENT = ("event_id", "event_type", "user_id")
+
+
+def _event_rows(rows: DataFrame) -> DataFrame:
+    return rows.select(*[F.col("row")[k].alias(k) for k in _EVENT])
+
+
 @query(_JSON_SQL)
 def q_read_jsonl(spark, sf_dir):
     """Events written as JSON lines and read as raw rows."""
-    path = _written(spark, table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), "json", "events")
-    lines = spark.read.text(path).select("value")
+    lines = table(spark, sf_dir, "events").select(F.to_json(F.struct(*_EVENT)).alias("value"))
     out = _written(spark, lines, "text", "lines")
-    return S.read_text(spark, out).select(F.from_json(F.col("row")["raw"], "map<string,string>").alias("r")).select(F.col("r")["event_id"].alias("event_id"), F.col("r")["event_type"].alias("event_type"), F.col("r")["user_id"].alias("user_id"))
+    return _event_rows(S.read_jsonl(spark, out, pattern="*.txt"))
+
+
+@query("select text, event_type, (row_number() over (partition by event_type order by event_id) - 1)::bigint as row_index from (select event_id, event_type, 'a } { \"' || coalesce(props, '') || ' \\' as text from events)")
+def q_read_json(spark, sf_dir):
+    """Events written as one array of nested objects for each type, the texts with braces, quotes and backslashes, and read as
+    raw rows with their places."""
+    text = F.concat(F.lit('a } { "'), F.coalesce("props", F.lit("")), F.lit(" \\"))
+    one = F.to_json(F.struct(F.struct(text.alias("text")).alias("deep"), "event_type"))
+    events = table(spark, sf_dir, "events").withColumn("kind", F.col("event_type"))
+    lines = events.select("kind", "event_id", F.concat(F.when(F.row_number().over(Window.partitionBy("kind").orderBy("event_id")) == 1, "[").otherwise(","), F.replace(one, F.lit(":{"), F.lit(":\n{"))).alias("value"))
+    folder = f"{shared_folder(spark)}/collection-{_next()}/arrays"
+    lines.repartition("kind").sortWithinPartitions("kind", "event_id").select("kind", "value").write.partitionBy("kind").text(folder)
+    rows = S.read_json(spark, folder, pattern="*.txt")
+    return rows.select(F.get_json_object(F.col("row")["deep"], "$.text").alias("text"), F.col("row")["event_type"].alias("event_type"), "row_index")
 
 
 @query(_JSON_SQL)

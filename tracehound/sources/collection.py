@@ -12,12 +12,15 @@ from collections.abc import Iterator
 from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracehound.functions.scalars import alias
 from tracehound.operators.ordered import first_of_each
 
+from .json_objects import file_name, json_objects
+from .staging import near, staged
+
 SCHEMA = "host string, artifact string, row_index long, source_file string, row map<string,string>"
 MAP = "map<string,string>"
 #: Parts of a text log's file name and the artifact that it becomes.
@@ -26,21 +29,28 @@ TIMES = r"(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2}
 
 
 def _stem(path: Column) -> Column:
-    return F.regexp_replace(F.regexp_extract(path, r"([^/\\]+)$", 1), r"\.(jsonl?|csv|tsv|log|txt)(\.gz)?$", "")
+    """A file's name without its ending, with _ for dots."""
+    return F.translate(F.regexp_replace(F.regexp_extract(path, r"([^/\\]+)$", 1), r"\.(jsonl?|csv|tsv|log|txt)(\.gz)?$", ""), ".", "_")
 
 
 def _placed(lines: DataFrame, row: Column, artifact: Column, host: str) -> DataFrame:
-    """Numbers rows within their file. A file's lines keep their order in its splits, by block start."""
-    from pyspark.sql import Window
+    """Numbers rows(source_file, block, …) within their file, whose splits are told by `block`, where they start.
 
-    order = Window.partitionBy("source_file").orderBy("block", "at")
-    out = lines.select(F.lit(host).alias("host"), artifact.alias("artifact"), "source_file", "block", "at", row.alias("row")).filter("row is not null")
-    return out.withColumn("row_index", (F.row_number().over(order) - 1).cast("long")).select("host", "artifact", "row_index", "source_file", "row")
+    A split's rows come in order in one task, so they count on from the rows of the splits before it, a sum over splits;
+    no row is moved for its number.
+    """
+    out = lines.select(F.lit(host).alias("host"), artifact.alias("artifact"), "source_file", "block", row.alias("row")).filter("row is not null")
+    out = staged(out.withColumn("at", F.monotonically_increasing_id()), "collection-rows")
+    splits = out.groupBy("source_file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = staged(splits.select(F.col("source_file").alias("__file"), F.col("block").alias("__block"), (F.coalesce(before, F.lit(0)) - F.col("first")).alias("__ahead")), "collection-splits")
+    placed = out.join(near(splits, splits.count()), (F.col("source_file") == F.col("__file")) & (F.col("block") == F.col("__block")))
+    return placed.select("host", "artifact", (F.col("at") + F.col("__ahead")).alias("row_index"), "source_file", "row")
 
 
 def _lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
-    return text.select("value", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    return text.select("value", file_name().alias("source_file"), F.col("_metadata.file_block_start").alias("block"))
 
 
 def _json_row(text: Column) -> Column:
@@ -48,23 +58,31 @@ def _json_row(text: Column) -> Column:
     return F.when(F.trim(text).startswith("{"), F.from_json(text, MAP))
 
 
-def read_jsonl(spark: SparkSession, path: str, host: str = "", tolerant: bool = False) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, host: str = "", tolerant: bool = False, pattern: str = "*.jsonl") -> DataFrame:
     """One row a line. Lines that are no objects are dropped, or kept as {raw: line} if tolerant."""
-    lines = _lines(spark, path, "*.jsonl").filter(F.trim("value") != "")
+    lines = _lines(spark, path, pattern).filter(F.trim("value") != "")
     row = _json_row(F.col("value"))
     return _placed(lines, F.coalesce(row, F.create_map(F.lit("raw"), F.col("value"))) if tolerant else row, _stem(F.col("source_file")), host)
 
 
-def read_json(spark: SparkSession, path: str, host: str = "") -> DataFrame:
-    """Files that hold an array of objects, one object, or objects line by line."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("wholetext", "true").text(path)
-    whole = files.select("value", F.col("_metadata.file_path").alias("source_file"), F.lit(0).alias("block"))
-    text = F.trim("value")
-    array = F.from_json(text, f"array<{MAP}>")
-    by_line = F.filter(F.transform(F.split(text, "\n"), _json_row), lambda m: m.isNotNull())
-    objects = F.when(text.startswith("["), array).when(text.rlike(r"^\{[^\n]*\}\s*\n\s*\{"), by_line).otherwise(F.array(_json_row(text)))
-    rows = whole.select("source_file", "block", F.posexplode(objects).alias("at", "r"))
-    return _placed(rows, F.col("r"), _stem(F.col("source_file")), host)
+def read_json(spark: SparkSession, path: str, host: str = "", pattern: str = "*.json") -> DataFrame:
+    """Files that hold an array of objects, one object, or objects line by line; see json_objects. Files of any size."""
+    objects, by_line = json_objects(spark, path, pattern)
+    whole = objects.select(F.lit(host).alias("host"), _stem(F.col("source_file")).alias("artifact"), F.col("element").alias("row_index"), "source_file", F.from_json("text", MAP).alias("row")).filter("row is not null")
+    if by_line.isEmpty():
+        return whole
+    lines = _lines(spark, path, pattern).join(by_line, "source_file", "left_semi").filter(F.trim("value") != "")
+    return whole.unionByName(_placed(lines, _json_row(F.col("value")), _stem(F.col("source_file")), host))
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """rows of a collection whose files of one name have artifacts of their own: the first (*.json before *.jsonl, then by
+    path) keeps the name, the others have their folder's name behind it. Files of one name in folders of one name share one."""
+    files = rows.select("artifact", F.col("source_file").alias("__file")).distinct()
+    order = Window.partitionBy("artifact").orderBy(F.lower("__file").endswith(".jsonl"), "__file")
+    renamed = files.withColumn("n", F.row_number().over(order)).filter("n > 1").select("__file", F.concat_ws("_", "artifact", F.regexp_extract("__file", r"([^/]+)/[^/]+$", 1)).alias("__name"))
+    both = rows.join(renamed, F.col("source_file") == F.col("__file"), "left")
+    return both.withColumn("artifact", F.coalesce("__name", "artifact")).select(*rows.columns)
 
 
 def sniff_separator(sample: str) -> str:
@@ -85,13 +103,13 @@ def read_csv(spark: SparkSession, path: str, host: str = "", separator: str | No
     for r in groups.orderBy("head").toLocalIterator():
         own = separator or sniff_separator(r["head"])
         if own not in r["head"]:
-            raw = lines.filter(F.col("file").isin(*r["files"]) & (F.trim("value") != "")).select(F.create_map(F.lit("raw"), F.col("value")).alias("r"), F.col("file").alias("source_file"), "block", "at")
+            raw = lines.filter(F.col("file").isin(*r["files"]) & (F.trim("value") != "")).select(F.create_map(F.lit("raw"), F.col("value")).alias("r"), F.col("file").alias("source_file"), "block")
             parts.append(raw)
             continue
         df = spark.read.option("header", "true").option("sep", own).option("mode", "PERMISSIVE").csv([unquote(f) for f in r["files"]])
         names = list(df.columns)
         row = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.col(f"`{n}`") for n in names])), lambda _, v: v.isNotNull())
-        parts.append(df.select(row.alias("r"), F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")))
+        parts.append(df.select(row.alias("r"), F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block")))
     if not parts:
         return spark.createDataFrame([], SCHEMA)
     both = parts[0]
@@ -178,7 +196,7 @@ def read_collection(spark: SparkSession, path: str, host: str = "") -> DataFrame
         return read_csv(spark, path, host)
     if low.endswith((".log", ".txt")):
         return read_text(spark, path, host)
-    return read_json(spark, path, host).unionByName(read_jsonl(spark, path, host))
+    return apart(read_json(spark, path, host).unionByName(read_jsonl(spark, path, host)))
 
 
 def totals(rows: DataFrame) -> DataFrame:
