@@ -6,6 +6,7 @@ source), documents and pages text artifacts, conversations process ancestry, and
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +25,8 @@ from tracehound.operators import report as P
 from tracehound.operators import retrieval as R
 from tracehound.operators import rules as U
 from tracehound.operators import triage as T
-from tracehound.sources.staging import table
+from tracehound.sources.staging import shared_folder, table
+from tracehound.sources.store import KeyedStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -510,6 +512,18 @@ def q_incident_delete(spark, sf_dir):
     return T.delete(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), gone, "o_custkey").select("o_orderkey")
 
 
+@query("""select o_orderkey, max(case when o_orderkey % 10 = 3 then 'changed' else o_orderstatus end) as status, max(case when o_orderkey % 10 = 3 then 1 else 0 end)::int as updated_at from orders
+where o_orderkey not in (select o_orderkey from orders where o_custkey % 7 = 0 and o_orderkey % 10 <> 3) group by 1""")
+def q_store_changes(spark, sf_dir):
+    """Orders kept in a store by key; those of some customers are deleted, others changed, of which some come back."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status"), F.lit(0).alias("updated_at"))
+    store = KeyedStore.create(spark, f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}", orders.drop("o_custkey"), "o_orderkey", 16)
+    store.delete(orders.filter("o_custkey % 7 = 0").select("o_orderkey"))
+    store.upsert(orders.filter("o_orderkey % 10 = 3").select("o_orderkey", F.lit("changed").alias("status"), F.lit(1).alias("updated_at")))
+    store.forget()
+    return store.read()
+
+
 # Retrieval
 
 
