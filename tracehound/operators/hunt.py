@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracehound.sources.canonical import row_text
 
 from .ordered import neighbourhood
 from .retrieval import frequency_class
+from .text_index import TextIndex
 
 
 @dataclass
@@ -19,18 +20,29 @@ class Hunt:
     findings: DataFrame | None = None
     timeline: DataFrame | None = None
     trees: DataFrame | None = None
+    index: TextIndex | None = None
+
+    def indexed(self, path: str | None = None, blocks: int = 256) -> Hunt:
+        """This hunt with an index over the rows' texts, which searches and frequencies then go by."""
+        return replace(self, index=TextIndex.build(self.rows, row_text(F.col("row")), path, blocks))
 
     def artifacts(self) -> DataFrame:
         """(artifact, n), the largest first."""
         return self.rows.groupBy("artifact").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "artifact")
 
-    def search(self, text: str, most: int = 20) -> DataFrame:
-        """Rows that hold a text; the scan ends when enough are found."""
-        return self.rows.filter(self._holds(text)).limit(most)
+    def holding(self, text: str) -> DataFrame:
+        """All rows that hold a text, by the index if there is one."""
+        return self.index.search(text) if self.index else self.rows.filter(F.contains(F.lower(row_text(F.col("row"))), F.lit(text.lower())))
+
+    def search(self, text: str, most: int | None = 20) -> DataFrame:
+        """Rows that hold a text; the scan ends when enough are found. All of them if most is None."""
+        found = self.holding(text)
+        return found if most is None else found.limit(most)
 
-    def slice(self, artifact: str, start: int = 0, count: int = 50) -> DataFrame:
-        """Rows start to start + count - 1 of an artifact."""
-        return self.rows.filter((F.col("artifact") == artifact) & F.col("row_index").between(start, start + min(count, 50) - 1)).orderBy("row_index")
+    def slice(self, artifact: str, start: int = 0, count: int | None = 50) -> DataFrame:
+        """Rows start to start + count - 1 of an artifact, to its last if count is None."""
+        place = F.col("row_index") >= start if count is None else F.col("row_index").between(start, start + count - 1)
+        return self.rows.filter((F.col("artifact") == artifact) & place).orderBy("row_index")
 
     def similar_artifacts(self, part: str) -> DataFrame:
         return self.rows.select("artifact").distinct().filter(F.contains(F.lower("artifact"), F.lit(part.lower())))
@@ -55,13 +67,9 @@ class Hunt:
 
     def frequency(self, value: str) -> DataFrame:
         """(n, artifacts, class) of the rows that hold a value."""
-        held = self.rows.filter(self._holds(value)).agg(F.count("*").alias("n"), F.sort_array(F.collect_set("artifact")).alias("artifacts"))
+        held = self.holding(value).agg(F.count("*").alias("n"), F.sort_array(F.collect_set("artifact")).alias("artifacts"))
         return held.withColumn("class", frequency_class(F.col("n")))
 
-    @staticmethod
-    def _holds(text: str) -> Column:
-        return F.contains(F.lower(row_text(F.col("row"))), F.lit(text.lower()))
-
 
 def unclaimed(rows: DataFrame, claimed: DataFrame) -> DataFrame:
     """Artifacts that no detector or normaliser took."""

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +9,6 @@ from tracehound.functions.scalars import any_of
 from tracehound.functions.tables import KNOWN_EXTERNAL_DOMAINS, PII_PATTERNS, SAFE_ADDRESSES, SYSTEM_ACCOUNTS, SYSTEM_SIDS
 from tracehound.sources.staging import staged
 
-#: Distinct identifiers up to which the dictionary is sent to every task.
-BROADCAST_MAPPINGS = 100_000
-
 
 def pattern_of(category_pattern: tuple[str, str, int]) -> str:
     return f"(?i){category_pattern[1]}" if category_pattern[2] else category_pattern[1]
@@ -59,20 +53,19 @@ def dictionary(found: DataFrame) -> DataFrame:
 
 
 def _replace(own: DataFrame, rows: DataFrame, key: str, text: str, out: str) -> DataFrame:
-    """own(key, pairs): each text with its own pairs replaced in one pass from left to right, longer values first."""
-
-    @F.pandas_udf("string")
-    def replace(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        import re
+    """own(key, pairs): each text with its own pairs replaced in one pass from left to right, longer values first.
 
-        for texts, pairs in batches:
-            done = []
-            for t, ps in zip(texts, pairs):
-                table = {p["a"]: p["b"] for p in ps} if ps is not None else {}
-                done.append(re.sub("|".join(map(re.escape, sorted(table, key=len, reverse=True))), lambda m: table[m.group()], t) if t and table else t)
-            yield pd.Series(done, dtype=object)
-
-    return rows.join(own, key, "left").withColumn(out, replace(F.col(text), "pairs")).drop("pairs")
+    The row's values are one regular expression; the text is what stands between its matches and, in turn, what the matches
+    stand for. All of it is Column code: no row leaves the JVM.
+    """
+    by_length = F.array_sort("pairs", lambda x, y: F.char_length(y["a"]) - F.char_length(x["a"]))
+    quoted = lambda v: F.concat(F.lit("\\Q"), F.replace(v, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    both = rows.join(own, key, "left")
+    both = both.withColumn("__any", F.array_join(F.transform(by_length, lambda p: quoted(p["a"])), "|")).withColumn("__table", F.map_from_entries("pairs"))
+    between, found = F.split(F.col(text), F.col("__any"), -1), F.regexp_extract_all(F.col(text), F.col("__any"), F.lit(0))
+    both = both.withColumn("__found", F.when(F.col("__any") != "", F.transform(found, lambda m: F.col("__table")[m])))
+    told = F.array_join(F.zip_with(between, "__found", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return both.withColumn(out, F.when(F.size("__found") > 0, told).otherwise(F.col(text))).drop("pairs", "__any", "__table", "__found")
 
 
 def redact(rows: DataFrame, key: str, text: str, out: str = "redacted", patterns=PII_PATTERNS) -> tuple[DataFrame, DataFrame]:

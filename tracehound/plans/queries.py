@@ -6,8 +6,10 @@ source), documents and pages text artifacts, conversations process ancestry, and
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,8 @@ from tracehound.operators import report as P
 from tracehound.operators import retrieval as R
 from tracehound.operators import rules as U
 from tracehound.operators import triage as T
+from tracehound.operators.hunt import Hunt
+from tracehound.operators.text_index import TextIndex
 from tracehound.sources.staging import shared_folder, table
 from tracehound.sources.store import KeyedStore
 
@@ -307,6 +311,22 @@ def q_search(spark, sf_dir):
     return R.contains(table(spark, sf_dir, "documents"), ["text", "lang", "source"], "Licensed UNDER").select("doc_id", "lang")
 
 
+@query("select doc_id, lang from documents where contains(lower(concat_ws(' ', text, lang, source)), 'licensed under cc by')")
+def q_search_indexed(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    index = TextIndex.build(docs.select("doc_id", "lang", "source", "text"), F.concat_ws(" ", "text", "lang", "source"))
+    return index.search("Licensed UNDER CC BY").select("doc_id", "lang")
+
+
+@query("""select needle, count(*)::bigint as n, case when count(*) <= 3 then 'rare' when count(*) <= 20 then 'uncommon' else 'common' end as class, list_sort(list(distinct lang)) as artifacts
+from documents join (values ('licensed under cc by'), ('@'), ('the ed and')) v(needle) on contains(lower(text), needle) group by needle""")
+def q_frequency_indexed(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("artifact"), F.create_map(F.lit("text"), F.coalesce("text", F.lit(""))).alias("row"))
+    hunt = Hunt(rows).indexed()
+    found = [hunt.frequency(text).withColumn("needle", F.lit(text)) for text in ("licensed under cc by", "@", "the ed and")]
+    return reduce(DataFrame.unionByName, found).filter("n > 0").select("needle", "n", "class", "artifacts")
+
+
 @query("select user_id, n, case when n <= 3 then 'rare' when n <= 20 then 'uncommon' else 'common' end as class from (select user_id, count(*)::bigint as n from events group by user_id)")
 def q_frequency_class(spark, sf_dir):
     return _events(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n")).withColumn("class", R.frequency_class(F.col("n")))
@@ -335,6 +355,40 @@ def q_redact_and_restore(spark, sf_dir):
     return X.restore(hidden.select("doc_id", "redacted"), "doc_id", "redacted", mapping).select("doc_id", F.md5("restored").alias("restored_md5")).join(counts, "doc_id")
 
 
+#: A value of every pattern's category by two numbers, %u and %w, and values that lie within it.
+_IDENTIFIERS = (
+    ("ad_identity", "CORP\\u%u"), ("upn_identity", "n%u@site.local", ("internal_fqdn", "site.local")), ("sid", "S-1-5-21-100000001-100000002-100000003-%u"), ("private_ip", "10.1.%w.7"), ("private_ip", "172.16.%w.8"), ("private_ip", "192.168.%w.9"),
+    ("private_ip", "169.254.%w.10"), ("public_ip", "93.184.%w.34"), ("ipv6", "2001:db8:1:2:3:4:5:%w"), ("private_ipv6", "fd12:a%w"), ("mac_address", "00-1A-2B-3C-4D-%w"), ("subnet", "192.168.%w.0/24", ("private_ip", "192.168.%w.0")),
+    ("unc_path", "\\\\srv\\share%u"), ("user_path_win", "C:\\Users\\p%u"), ("user_path_linux", "/home/h%u"), ("registry_user", "HKEY_USERS\\9%u"), ("ldap_dn", "CN=a%u,OU=x"), ("gpo_guid", "{00000000-0000-0000-0000-0000000000%w}"),
+    ("email", "e%u@mail.zz"), ("internal_fqdn", "srv%u.intra"), ("external_fqdn", "x%u.example.biz"), ("computer_name", "SRV-A%u", ("hostname", "A%u")), ("hostname", "HX%u"),
+)
+
+
+def _identifier_sql(template: str) -> str:
+    return "'" + template.replace("%u", "' || u || '").replace("%w", "' || w || '") + "'"
+
+
+def _identifier(template: str) -> Column:
+    return F.concat(*[F.col(p[1]) if p in ("%u", "%w") else F.lit(p) for p in re.split("(%u|%w)", template) if p])
+
+
+_NUMBERS_SQL = "n as (select event_id, (1000 + user_id)::varchar as u, (10 + user_id % 80)::varchar as w from events)"
+_LISTED_SQL = ", ".join(f"{{'i': {i}, 'category': '{c}', 'value': {_identifier_sql(t)}}}" for i, (c, t, *inner) in enumerate(_IDENTIFIERS))
+_INNER_SQL = ", ".join(f"{{'i': -1, 'category': '{c}', 'value': {_identifier_sql(t)}}}" for _, _, *inner in _IDENTIFIERS for c, t in inner)
+
+
+@query(f"""with {_NUMBERS_SQL}, held as (select event_id, unnest([{_LISTED_SQL}, {_INNER_SQL}]) as h from n),
+numbered as (select value, '[' || upper(category) || '_' || row_number() over (partition by category order by value) || ']' as shown from (select distinct h.category, h.value from held))
+select event_id, string_agg(shown, ';' order by h.i) as redacted from held join numbered on h.value = numbered.value where h.i >= 0 group by event_id""")
+def q_redact_identifiers(spark, sf_dir):
+    """Every category of identifiers in each row, some of them within others; restored again where that gives the text."""
+    numbers = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") + 1000).cast("string").alias("u"), (F.col("user_id") % 80 + 10).cast("string").alias("w"))
+    texts = numbers.select("event_id", F.concat_ws(";", *[_identifier(t) for _, t, *_ in _IDENTIFIERS]).alias("text"))
+    hidden, mapping = X.redact(texts, "event_id", "text")
+    back = X.restore(hidden, "event_id", "redacted", mapping)
+    return back.filter("restored = text").select("event_id", "redacted")
+
+
 @query("select doc_id, lang, used from (select doc_id, lang, (sum(length(text) + 1) over (partition by lang order by doc_id))::bigint as used from documents) where used <= 60000")
 def q_context_budget(spark, sf_dir):
     return R.within_budget(table(spark, sf_dir, "documents"), "text", "doc_id", 60000, ["lang"]).select("doc_id", "lang", "used")
