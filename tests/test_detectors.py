@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tracehound.operators import findings as fi
 from tracehound.operators.detectors import DETECTORS, Engine, generic, hash_reputation, network, processes
 from tracehound.operators.textlogs import text_logs
-from tracehound.sources.canonical import canonical, family_of
+from tracehound.sources.canonical import canonical, family_of, routed
 from tracehound.sources.collection import SCHEMA
 
 CASES = [
@@ -80,3 +80,25 @@ def test_hash_feed_and_own_detector(spark, tmp_path):
     engine.detectors = {}
     engine.register(("custom_",), lambda r: fi.emit(r, "own", "low", "mine", "", 1))
     assert [r["title"] for r in engine.run(rows).collect()] == ["mine"]
+
+
+def test_artifacts_without_a_telling_name_go_by_their_fields(spark):
+    named = {
+        "tbl_1": ("process", {"Pid": "1", "Ppid": "0", "Name": "x"}), "tbl_2": ("network", {"Raddr": "1.1.1.1:4444", "Laddr": "2", "State": "ESTABLISHED"}), "tbl_3": ("sysmon", {"EventID": "1", "Image": "x", "ProcessId": "2", "TimeCreated": "t", "Channel": "c"}),
+        "tbl_4": ("generic", {"a": "b"}), "tbl_5": ("userassist", {"path": "x", "run_count": "1"}), "pslist": ("process", {"z": "1"}), "tbl_6": ("lnk", {"TargetPath": "t", "CommandLineArguments": ""}),
+    }
+    rows = [("h", artifact, i, "f", row if i else {}) for artifact, (_, row) in named.items() for i in range(3)]
+    # Fields of one artifact may stand in different rows; another host's artifact of that name is another one.
+    rows += [("h", "tbl_7", 0, "f", {"QueryName": "a.b"}), ("h", "tbl_7", 1, "f", {"qtype_name": "A"}), ("i", "tbl_7", 0, "f", {"QueryName": "a.b"}), (None, "tbl_5", 0, "f", {"path": "x"})]
+    got = {(r["host"], r["artifact"]): r["family"] for r in routed(spark.createDataFrame(rows, SCHEMA)).select("host", "artifact", "family").distinct().collect()}
+    assert got == {("h", a): f for a, (f, _) in named.items()} | {("h", "tbl_7"): "dns", ("i", "tbl_7"): "generic", (None, "tbl_5"): "generic"}
+    assert routed(spark.createDataFrame(rows, SCHEMA)).count() == len(rows)
+
+
+def test_an_engine_without_caps_gives_all(spark):
+    rows = [("h", "netstat", i, "f", {"remote": f"1.2.3.{i % 14}:443", "State": "ESTABLISHED"}) for i in range(14 * 5)] + [("h", "mft_metadata", i, "f", {"FullPath": f"C:\\Temp\\a{i}.pdf.exe"}) for i in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    count = lambda e: {r["title"].split(" to ")[0]: r["count"] for r in e.run(df).groupBy(F.substring_index("title", " to ", 1).alias("title")).count().collect()}
+    cut, whole = count(Engine()), count(Engine(uncut=True))
+    assert cut["Potential beaconing"] == 10 and cut["Double extension file (masquerading)"] == 50 and cut["120 executables in suspicious locations"] == 1
+    assert whole["Potential beaconing"] == 14 and whole["Double extension file (masquerading)"] == 120 and whole["Executable in suspicious location"] == 120 and len(whole) == 3

@@ -181,8 +181,22 @@ def test_content_scan(spark, tmp_path):
     (tmp_path / "a.ps1").write_bytes("sekurlsa::logonpasswords MIMIKATZ".encode("utf-16-le"))
     (tmp_path / "b.txt").write_text("all your files are safe")
     (tmp_path / "c.php").write_text("<?php eval($_POST['x']);")
-    rows = content.scan_files(content.read_files(spark, str(tmp_path))).collect()
-    assert {r["rule"] for r in rows} >= {"SUSP_Mimikatz_Strings"} and "SUSP_Ransomware_Note_Indicators" not in {r["rule"] for r in rows}
+    # Larger than one task's part, the strings in parts of their own, one of them in two bytes a character.
+    lines = [b"\xff\xfe\x00 filler " * 8 + b"\n" for _ in range(3000)]
+    lines[100], lines[2900] = b"\x80LSADUMP\x00\n", "kerberos::".encode("utf-16-le") + b"\n"
+    (tmp_path / "d.dll").write_bytes(b"".join(lines))
+    (tmp_path / "e.txt").write_bytes(b"beacon.dll \n %s AS %s\\%s: %d %%import%%")
+    (tmp_path / "f.txt").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        files = content.read_files(spark, str(tmp_path))
+        assert files.filter(F.col("path").endswith("d.dll")).select("block").distinct().count() > 3
+        rows = {r["filename"].rsplit("/", 1)[1]: (r["rule"], r["matched_strings"]) for r in content.scan_files(files).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rows == {"a.ps1": ("SUSP_Mimikatz_Strings", ["sekurlsa", "MIMIKATZ"]), "c.php": ("SUSP_Webshell_Common_Patterns", ["eval($_POST"]), "d.dll": ("SUSP_Mimikatz_Strings", ["LSADUMP", "kerberos::"])}
+    df = spark.createDataFrame([("a.exe", 0), ("a.exe", 60 << 20), ("a.exe", 5)], "path string, length long")
+    assert [df.filter(content.scannable(F.col("path"), F.col("length"), most)).count() for most in (content.MOST_BYTES, None)] == [1, 2]
 
 
 def test_hash_feed_and_audit(spark, tmp_path):

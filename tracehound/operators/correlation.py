@@ -84,19 +84,21 @@ def timeline_bursts(events: DataFrame, window_us: int = 300_000_000, least: int
     return kept.select("host", time("start_us").alias("start"), time("end_us").alias("end"), "n", "artifacts", "has_finding", F.when(c("has_finding") & (c("n") >= 10), "high").when(c("has_finding"), "medium").otherwise("low").alias("severity"))
 
 
-def rare_paths(processes: DataFrame, most: int = 30) -> DataFrame:
+def rare_paths(processes: DataFrame, most: int | None = 30) -> DataFrame:
     """Findings for programs seen once, in a place that users can write to, that are no known application."""
     path = F.lower("path")
     usual = any_of([path.rlike(p) for p in APPDATA_APPS])
-    once = rare(stack_counts(processes.filter(matches(path, USER_WRITABLE) & ~usual), {"path": path})).orderBy("value").limit(most)
+    once = rare(stack_counts(processes.filter(matches(path, USER_WRITABLE) & ~usual), {"path": path}))
+    once = once if most is None else once.orderBy("value").limit(most)
     return emit(once, "anomaly", "medium", F.concat(lit("Rare program path: "), base_name(c("value"))), c("value"), 45, "T1036", {"path": c("value")})
 
 
-def rare_endpoints(network: DataFrame, dns: DataFrame, most: int = 30) -> DataFrame:
+def rare_endpoints(network: DataFrame, dns: DataFrame, most: int | None = 30) -> DataFrame:
     """Findings for remote addresses and domains seen once, private networks aside."""
     local = any_of([c("remote_ip").startswith(p) for p in LOCAL_NETWORKS])
     values = network.filter(~local).select(c("remote_ip").alias("value")).unionByName(dns.select(F.lower("domain").alias("value")))
-    once = rare(stack_counts(values, {"endpoint": c("value")})).orderBy("value").limit(most)
+    once = rare(stack_counts(values, {"endpoint": c("value")}))
+    once = once if most is None else once.orderBy("value").limit(most)
     return emit(once, "anomaly", "low", F.concat(lit("Rare remote endpoint: "), c("value")), c("value"), 30, "T1071", {"remote": c("value")})
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from tracehound.functions.tables import (
     AUTORUN_KEYS, BROWSE_PATHS, EXECUTION_PATHS, HASH_FIELDS, KNOWN_GOOD_SERVICE_NAMES, KNOWN_GOOD_SERVICE_PATHS, LOLBINS, LSASS_READERS, MALWARE_FAMILIES,
     SPECIFIC_CONTENT_RULES, SYSMON_PARENT_CHILDREN, SYSTEM_PROCESS_PATHS, VENDOR_PATHS, WATCHED_PORTS,
 )
-from tracehound.sources.canonical import ROUTES, canonical, family_of, normalised, row_text
+from tracehound.sources.canonical import ROUTES, canonical, normalised, routed, row_text
 from tracehound.sources.staging import staged
 
 from .findings import branch, emit, union
@@ -85,25 +87,25 @@ def lolbin_uses(p: DataFrame) -> DataFrame:
     return p.agg(F.count_if(S.base_name(c("name")).isin(*LOLBINS)).alias("lolbin_uses"))
 
 
-def network(n: DataFrame) -> DataFrame:
+def network(n: DataFrame, most: int | None = 10) -> DataFrame:
     use = F.element_at(F.create_map(*[lit(x) for kv in WATCHED_PORTS.items() for x in kv]), c("remote_port"))
     ev = {k: c(k) for k in ("local", "remote", "state", "pid", "process")}
     held = n.filter(F.contains(F.upper("state"), lit("ESTABLISHED")) & (c("remote_ip") != "") & ~c("remote_ip").rlike(r"^(127\.|0\.0|::|\[::)"))
     counts = held.groupBy("host", "artifact", "remote_ip").agg(F.count("*").alias("n"))
-    top = first_of_each(counts, ["host", "artifact"], [F.desc("n"), "remote_ip"], 10).filter("n >= 5")
+    top = first_of_each(counts, ["host", "artifact"], [F.desc("n"), "remote_ip"], most).filter("n >= 5")
     return union(
         branch(n, "network_anomaly", "high", F.concat(lit("Connection to suspicious port "), c("remote_port").cast("string")), F.concat_ws(" ", "process", "remote", use), 70, "T1571", ev, c("remote_port").isin(*WATCHED_PORTS)),
         branch(top, "network_anomaly", "medium", F.concat(lit("Potential beaconing to "), c("remote_ip")), F.concat(c("n").cast("string"), lit(" connections")), 55, "T1071", {"remote": c("remote_ip"), "connection_count": c("n")}),
     )
 
 
-def dns(d: DataFrame) -> DataFrame:
+def dns(d: DataFrame, most: int | None = 10) -> DataFrame:
     d = d.filter("domain <> ''").withColumns({"label": F.substring_index(F.lower("domain"), ".", 1), "registered": S.registered_domain(c("domain"))})
     open_ = d.filter(~S.exempt_domain(c("domain")))
 
     def frequent(rows: DataFrame, least: int, title: str, mitre: str, score: int) -> DataFrame:
         counts = rows.groupBy("host", "artifact", "registered").agg(F.count("*").alias("n"))
-        top = first_of_each(counts, ["host", "artifact"], [F.desc("n"), "registered"], 10).filter(c("n") >= least)
+        top = first_of_each(counts, ["host", "artifact"], [F.desc("n"), "registered"], most).filter(c("n") >= least)
         return emit(top, "network_anomaly", "medium", F.concat(lit(title), c("registered")), F.concat(c("n").cast("string"), lit(" queries")), score, mitre, {"domain": c("registered"), "count": c("n")})
 
     missing = S.matches(c("rcode"), "nxdomain") | (c("rcode") == "3")
@@ -258,11 +260,11 @@ def shellbags(x: DataFrame) -> DataFrame:
     return _cache(x, "Shellbags", BROWSE_PATHS, (30, 30), "T1083", None)
 
 
-def files(x: DataFrame, most_masked: int = 50, most_placed: int = 100) -> DataFrame:
+def files(x: DataFrame, most_masked: int | None = 50, most_placed: int | None = 100) -> DataFrame:
     x = x.filter("path <> ''")
     masked = first_of_each(x.filter(S.matches(c("path"), FILE_MASKS)), ["host", "artifact"], ["row_index"], most_masked)
     placed = _first(x.filter(S.matches(c("path"), PROGRAM_ENDINGS)), F.try_element_at(path_matches(c("path"), S.base_name(c("path"))), lit(1)))
-    many = placed.groupBy("host", "artifact").agg(F.count("*").alias("n")).filter(c("n") > most_placed)
+    many = placed.groupBy("host", "artifact").agg(F.count("*").alias("n")).filter(lit(False) if most_placed is None else c("n") > most_placed)
     ev = {"path": c("path")}
     return union(
         branch(masked, "defense_evasion", "high", "Double extension file (masquerading)", c("path"), 70, "T1036.007", ev),
@@ -309,7 +311,7 @@ def hash_reputation(rows: DataFrame, ioc: DataFrame) -> DataFrame:
     return emit(first, "hash_reputation", "critical", F.concat(lit("Known-bad file hash: "), F.when(F.coalesce("note", lit("")) != "", c("note")).otherwise(c("hash"))), c("hash"), 95, "T1204.002", {"hash": c("hash"), "note": c("note")})
 
 
-def generic(rows: DataFrame, most: int = 200) -> DataFrame:
+def generic(rows: DataFrame, most: int | None = 200) -> DataFrame:
     hit = _first(rows.withColumn("text", row_text(c("row"))), first_match(c("text"), among=("critical", "high")))
     return emit(first_of_each(hit, ["host", "artifact"], ["row_index"], most), "suspicious_content", c("m.severity"), F.concat(lit("Suspicious content: "), c("m.label")), F.substring("text", 1, 200), 45, "T1059")
 
@@ -322,12 +324,18 @@ DETECTORS: dict[str, list[Detector]] = {
 HASH_FAMILIES = ("process", "file", "content", "execution")
 
 
+#: Detectors that give a host's first findings only, and the same without a limit.
+UNCUT: dict[Detector, Detector] = {network: partial(network, most=None), dns: partial(dns, most=None), files: partial(files, most_masked=None, most_placed=None), generic: partial(generic, most=None)}
+
+
 class Engine:
-    """Routes the rows of a collection to detectors; detectors, extra passes and families can be added."""
+    """Routes the rows of a collection to detectors; detectors, extra passes and families can be added. With uncut, detectors
+    that give the first findings of a host give all of them."""
 
-    def __init__(self):
+    def __init__(self, uncut: bool = False):
         self.routes = list(ROUTES)
-        self.detectors = {k: list(v) for k, v in DETECTORS.items()}
+        self.own = UNCUT if uncut else {}
+        self.detectors = {k: [self.own.get(d, d) for d in v] for k, v in DETECTORS.items()}
         self.raw: list[tuple[tuple[str, ...], Detector]] = []
 
     def register(self, artifact_parts: tuple[str, ...], detector: Detector, additional: bool = False) -> None:
@@ -338,7 +346,8 @@ class Engine:
         self.raw.append((tuple(artifact_parts), detector))
 
     def run(self, rows: DataFrame, ioc: DataFrame | None = None) -> DataFrame:
-        """All findings of rows(host, artifact, row_index, source_file, row).
+        """All findings of rows(host, artifact, row_index, source_file, row), each artifact's by the family that its name tells, or
+        the fields of its rows.
 
         The routed rows are written once, a folder for each family, so that a family's detectors read its rows only;
         all its row detectors share one pass, and only grouped and ordered ones read the rows again.
@@ -346,9 +355,10 @@ class Engine:
         from .textlogs import text_logs
 
         own = S.any_of([F.contains(F.lower("artifact"), lit(p)) for parts, family in self.routes if family.startswith("own:") for p in parts]) if self.raw else lit(False)
-        placed = staged(normalised(rows).withColumn("family", F.when(own, "own").otherwise(family_of(c("artifact")))), "routed", by="family")
+        placed = routed(normalised(rows)).withColumn("family", F.when(own, "own").otherwise(c("family")))
+        placed = staged(placed, "routed", by="family")
         parts = [detect(canonical(placed.filter(c("family") == family), family)) for family, found in self.detectors.items() for detect in found]
-        parts += [text_logs(placed.filter(c("family") == "textlog")), generic(placed.filter(c("family") == "generic"))]
+        parts += [text_logs(placed.filter(c("family") == "textlog")), self.own.get(generic, generic)(placed.filter(c("family") == "generic"))]
         parts += [detect(placed.filter(S.any_of([F.contains(F.lower("artifact"), lit(p)) for p in names]))) for names, detect in self.raw]
         if ioc is not None:
             parts.append(hash_reputation(placed.filter(c("family").isin(*HASH_FAMILIES)), ioc))

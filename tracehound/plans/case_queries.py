@@ -16,6 +16,7 @@ from tracehound.operators import retrieval as R
 from tracehound.operators import rules as U
 from tracehound.operators.findings import identity
 from tracehound.sources import collection as S
+from tracehound.sources import content as K
 from tracehound.sources.canonical import canonical
 from tracehound.sources.staging import shared_folder, table
 
@@ -209,6 +210,19 @@ def q_read_csv(spark, sf_dir):
     return S.read_csv(spark, path).select(F.col("row")["event_id"].alias("event_id"), F.col("row")["event_type"].alias("event_type"), F.col("row")["user_id"].alias("user_id"))
 
 
+@query("""with f as (select event_type, event_id, case event_id % 50 when 3 then 'sekurlsa' when 7 then 'MimiKatz' when 11 then 'beacon.dll' when 13 then 'reflectiveloader' when 17 then '%%import%%' else 'x' end as word from events)
+select event_type as folder, 'SUSP_Mimikatz_Strings' as rule, ['sekurlsa', 'MimiKatz'] as matched_strings from f group by 1 having count(distinct word) filter (word in ('sekurlsa', 'MimiKatz')) = 2
+union all select event_type, 'SUSP_CobaltStrike_Beacon_Indicators', ['beacon.dll', 'reflectiveloader'] from f group by 1 having count(distinct word) filter (word in ('beacon.dll', 'reflectiveloader')) = 2""")
+def q_content_scan(spark, sf_dir):
+    """A file for each event type, with words of the rules in some lines."""
+    words = {3: "sekurlsa", 7: "MimiKatz", 11: "beacon.dll", 13: "reflectiveloader", 17: "%%import%%"}
+    word = F.coalesce(*[F.when(F.col("event_id") % 50 == k, v) for k, v in words.items()], F.lit("x"))
+    folder = f"{shared_folder(spark)}/collection-{_next()}/files"
+    table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.concat(F.lit("q "), word, F.lit("\u00e9")).alias("value")).repartition("kind").write.partitionBy("kind").text(folder)
+    found = K.scan_files(K.read_files(spark, folder, None, (".txt",)))
+    return found.select(F.regexp_extract("filename", "kind=([^/]+)", 1).alias("folder"), "rule", "matched_strings")
+
+
 @query("select md5('m' || user_id) as hash, case when user_id % 2 = 0 then 'note ' || user_id else '' end as note from (select distinct user_id from events) where user_id % 3 <> 0")
 def q_read_hash_feed(spark, sf_dir):
     users = table(spark, sf_dir, "events").select("user_id").distinct()

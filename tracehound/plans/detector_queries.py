@@ -7,6 +7,7 @@ name and runs what the engine runs for that family.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -347,3 +348,16 @@ _zeek_query("dns", ["ts", "id.orig_h", "query", "qtype_name"], {"ts": text("even
             select("'network_anomaly'", "'medium'", "'Zeek DNS: suspicious query ' || query[1:60]", "45", "case when length(query) > 50 or length(query) - length(replace(query, '.', '')) > 5 then 'T1568' else 'T1071.004' end", "from x"))
 _zeek_query("http", ["ts", "id.orig_h", "method", "host", "uri"], {"ts": text("event_id"), "orig_h": pick(["1.1.1.1"]), "method": pick(["GET", "PUT", "DELETE"]), "site": pick(["h", "-", "w"], 3), "uri": pick(["/ok", "/a/../b", "/shell.php"], 9)}, "regexp_matches(uri, " + quoted("(?i)" + SUSPICIOUS_URI) + ") or (method in ('PUT', 'DELETE') and site in ('', '-'))",
             select("'network_anomaly'", "'high'", "'Zeek HTTP: suspicious ' || method || ' ' || uri[1:60]", "60", "'T1190'", "from x"))
+
+# A whole collection through the engine, some artifacts under names that tell nothing
+
+_COLLECTED = (("tbl_1", _process, "q_detect_process"), ("netstat", _network, "q_detect_network"), ("tbl_2", _registry, "q_detect_registry"), ("tbl_3", _lnk, "q_detect_links"), ("mplog_events", _av, "q_detect_avlog"), ("tbl_4", _content, "q_detect_content"), ("siem_export", _export, "q_detect_export"))
+
+
+def q_engine_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [telemetry(spark, sf_dir, artifact, fields) for artifact, fields, _ in _COLLECTED]
+    return D.Engine().run(reduce(DataFrame.unionByName, rows)).select("artifact", *FOUND)
+
+
+QUERIES["q_engine_run"] = q_engine_run
+ORACLES["q_engine_run"] = " union all ".join(f"select '{artifact}' as artifact, {', '.join(FOUND)} from ({ORACLES[name]})" for artifact, _, name in _COLLECTED)

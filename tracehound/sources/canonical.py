@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracehound.functions.scalars import alias, any_of, parse_time
+from tracehound.functions.scalars import alias, all_of, any_of, parse_time
 
 PLACE = ("host", "artifact", "row_index", "source_file")
 
@@ -60,6 +60,35 @@ def family_of(artifact: Column) -> Column:
     return out.otherwise("generic")
 
 
+#: Columns of a family of which a table has a field each if it is of that family, whatever its name; the first that fits.
+KEY_SETS: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("sysmon", ("event_id", "Image", "ProcessId")), ("event", ("event_id", "time", "channel")), ("process", ("pid", "ppid", "name")), ("network", ("remote", "local", "state")), ("service", ("path", "start_mode")), ("task", ("command", "args", "name")),
+    ("dns", ("domain", "qtype")), ("registry", ("key", "value")), ("lnk", ("target", "args")), ("userassist", ("path", "run_count")), ("shimcache", ("path", "last_modified")), ("shellbags", ("path", "last_accessed")),
+    ("avlog", ("event_type", "threat_name")), ("content", ("rule", "severity", "filename")), ("textlog", ("raw", "timestamp")),
+)
+
+
+def families_by_keys(rows: DataFrame) -> DataFrame:
+    """(host, artifact, family) of the artifacts whose fields make up a family's key set.
+
+    An artifact's fields are brought together as one set by one aggregate; fields of a row are distinct before they are
+    moved, and there are as many as the artifact has columns.
+    """
+    fields = rows.select("host", "artifact", F.explode(F.map_keys("row")).alias("field")).groupBy("host", "artifact").agg(F.collect_set("field").alias("fields"))
+    fits = lambda family, columns: all_of([F.arrays_overlap("fields", F.array(*map(F.lit, FAMILIES[family][c]))) for c in columns])
+    family = F.coalesce(*[F.when(fits(family, columns), family) for family, columns in KEY_SETS])
+    return fields.select("host", "artifact", family.alias("family")).filter("family is not null")
+
+
+def routed(rows: DataFrame) -> DataFrame:
+    """rows with their family: by the artifact's name, and where that tells nothing by the fields of its rows."""
+    named = rows.withColumn("family", family_of(F.col("artifact")))
+    # One row for each artifact that no name claims.
+    claimed = families_by_keys(named.filter("family = 'generic'")).withColumnsRenamed({"host": "__host", "artifact": "__artifact", "family": "__family"})
+    joined = named.join(claimed, (F.col("family") == "generic") & F.col("host").eqNullSafe(F.col("__host")) & (F.col("artifact") == F.col("__artifact")), "left")
+    return joined.withColumn("family", F.coalesce("__family", "family")).drop("__host", "__artifact", "__family")
+
+
 def row_text(row: Column, most: int | None = None) -> Column:
     """All values of a row, parted by spaces."""
     text = F.concat_ws(" ", F.map_values(row))

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+import json
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracehound.functions.literals import Literal, literal_hits
 from tracehound.functions.scalars import any_of
 from tracehound.functions.tables import SCANNABLE_EXTENSIONS, SECURITY_SOFTWARE_PATHS
 
+from .json_objects import file_name
+
 MOST_BYTES = 50 * 1024 * 1024
 
 
@@ -47,42 +48,67 @@ RULES = (
 )
 
 
-def scannable(path: Column, length: Column) -> Column:
-    """One byte to 50 MB, a scannable ending, and not in a folder of security software."""
+def scannable(path: Column, length: Column, most: int | None = MOST_BYTES, endings: tuple[str, ...] = SCANNABLE_EXTENSIONS) -> Column:
+    """One byte to `most` bytes (any number if None), one of the endings, and not in a folder of security software."""
     low = F.lower(F.translate(path, "/", "\\"))
-    ending = any_of([F.lower(path).endswith(e) for e in SCANNABLE_EXTENSIONS])
-    return length.between(1, MOST_BYTES) & ending & ~any_of([F.contains(low, F.lit(p.replace("/", "\\"))) for p in SECURITY_SOFTWARE_PATHS])
+    ending = any_of([F.lower(path).endswith(e) for e in endings])
+    size = length >= 1 if most is None else length.between(1, most)
+    return size & ending & ~any_of([F.contains(low, F.lit(p.replace("/", "\\"))) for p in SECURITY_SOFTWARE_PATHS])
+
+
+def read_files(spark: SparkSession, folder: str, most: int | None = MOST_BYTES, endings: tuple[str, ...] = SCANNABLE_EXTENSIONS) -> DataFrame:
+    """(path, block, at, bytes): the files to scan in pieces that end at the byte of a line end, with the split that a piece is of
+    and its place there. A large file is read by many tasks; no string that is looked for has a line end in it."""
+    read = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(folder)
+    rows = read.filter(scannable(F.col("_metadata.file_path"), F.col("_metadata.file_size"), most, endings))
+    return rows.select(file_name().alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("bytes"))
+
+
+def _spelt(text: str, wide: bool) -> str:
+    """The bytes of a string, each as the character of that number."""
+    plain = text.encode("utf-8")
+    return (b"".join(bytes([b, 0]) for b in plain) if wide else plain).decode("latin-1")
 
 
-def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length, content) of the files to scan; the size filter applies before contents are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.filter(scannable(F.col("path"), F.col("length"))).select("path", "length", "content")
+def _folded(text: str) -> str:
+    return "".join(c.lower() if c.isascii() else c for c in text)
 
 
 def scan_files(files: DataFrame, rules: tuple[ContentRule, ...] = RULES) -> DataFrame:
     """(rule, severity, mitre, description, filename, matched_strings, tags) for each file and rule that match; up to
-    three snippets of 40 bytes."""
-
-    def compiled(rule: ContentRule) -> dict[str, re.Pattern]:
-        out = {}
-        for name, text in rule.strings.items():
-            plain = text.encode("utf-8")
-            exact = name in rule.exact
-            options = [re.escape(plain)] + ([re.escape(b"".join(bytes([b, 0]) for b in plain))] if rule.wide and not exact else [])
-            out[name] = re.compile(b"|".join(options), re.I if rule.nocase and not exact else 0)
-        return out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        patterns = [(r, compiled(r)) for r in rules]
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"]):
-                for rule, named in patterns:
-                    hits = {n: m for n, p in named.items() if (m := p.search(content))}
-                    if any(all(sum(n in hits for n in names) >= least for names, least in group) for group in rule.condition):
-                        shown = [m.group()[:40].replace(b"\0", b"").decode("utf-8", "replace") for m in list(hits.values())[:3]]
-                        rows.append((rule.name, rule.severity, rule.mitre, rule.description, path, shown, list(rule.tags)))
-            yield pd.DataFrame(rows, columns=["rule", "severity", "mitre", "description", "filename", "matched_strings", "tags"])
-
-    return files.select("path", "content").mapInPandas(run, "rule string, severity string, mitre string, description string, filename string, matched_strings array<string>, tags array<string>")
+    three snippets of 40 bytes, of the rule's strings in their order, each where it first stands.
+
+    All strings of all rules are looked for at once in each piece of files(path, block, at, bytes); what a file holds is then
+    brought together, one row a string, and the conditions are tried on that.
+    """
+    strings = [(r, name, text) for r, rule in enumerate(rules) for name, text in rule.strings.items()]
+    numbers = {(r, name): i for i, (r, name, _) in enumerate(strings)}
+    literals, table = [], []
+    for i, (r, name, text) in enumerate(strings):
+        rule = rules[r]
+        fold, wide = rule.nocase and name not in rule.exact, rule.wide and name not in rule.exact
+        spelt = [_folded(x) if fold else x for x in [_spelt(text, False)] + ([_spelt(text, True)] if wide else [])]
+        literals += [Literal(i, "contains", int(fold), x) for x in spelt]
+        table.append({"rule": r, "fold": fold, "spelt": spelt})
+    known = F.from_json(F.lit(json.dumps(table)), "array<struct<rule:int,fold:boolean,spelt:array<string>>>")
+    characters = F.decode("bytes", "ISO-8859-1")
+    rows = files.select("path", "block", "at", characters.alias("own"))
+    rows = rows.withColumn("fold", F.translate("own", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    hits = rows.withColumn("hits", literal_hits([F.col("own"), F.col("fold")], literals)).select("path", "block", "at", "own", "fold", F.explode("hits").alias("string"))
+    entry = F.get(known, F.col("string"))
+    where = F.filter(F.transform(entry["spelt"], lambda x: F.struct(F.instr(F.when(entry["fold"], F.col("fold")).otherwise(F.col("own")), x).alias("p"), F.char_length(x).alias("n"))), lambda x: x["p"] > 0)
+    place = F.array_min(where)
+    shown = F.translate(F.substring("own", place["p"], F.least(place["n"], F.lit(40))), "\0", "")
+    shown = F.encode(shown, "ISO-8859-1").cast("string")
+    # One row of a file for each string that it holds.
+    held = hits.select("path", "string", F.struct("block", "at").alias("place"), shown.alias("shown")).groupBy("path", "string").agg(F.min_by("shown", "place").alias("shown"))
+    per_rule = held.groupBy("path", F.get(known, F.col("string"))["rule"].alias("r")).agg(F.array_sort(F.collect_list(F.struct("string", "shown"))).alias("held"))
+    described = [
+        {"rule": r.name, "severity": r.severity, "mitre": r.mitre, "description": r.description, "tags": list(r.tags), "ways": [[{"strings": [numbers[i, n] for n in names], "least": least} for names, least in way] for way in r.condition]}
+        for i, r in enumerate(rules)
+    ]
+    told = F.get(F.from_json(F.lit(json.dumps(described)), "array<struct<rule:string,severity:string,mitre:string,description:string,tags:array<string>,ways:array<array<struct<strings:array<int>,least:int>>>>>"), F.col("r"))
+    found = F.transform("held", lambda h: h["string"])
+    matches = F.exists("ways", lambda way: F.forall(way, lambda part: F.size(F.array_intersect(part["strings"], F.col("found"))) >= part["least"]))
+    per_rule = per_rule.select("path", found.alias("found"), F.slice(F.transform("held", lambda h: h["shown"]), 1, 3).alias("matched_strings"), told.alias("t")).select("*", "t.*")
+    return per_rule.filter(matches).select("rule", "severity", "mitre", "description", F.col("path").alias("filename"), "matched_strings", "tags")
