@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tracehound.functions.scalars import SEVERITIES, any_of, severity_rank
 from tracehound.functions.tables import TRUSTED_ROOTS
 
+from . import slices
+
 #: category, severity, title, description, artifact, evidence, score, mitre, and where the row was.
 COLUMNS = ("category", "severity", "title", "description", "artifact", "evidence", "score", "mitre", "host", "row_index", "source_file")
 
@@ -98,9 +100,11 @@ def identity(findings: DataFrame, prefix: str = "F") -> DataFrame:
 
 
 def numbered(findings: DataFrame, prefix: str = "F") -> DataFrame:
-    """findings with ids F-0001 ... in report order; for a report's worth of findings, as the order is global."""
-    order = Window.orderBy(severity_rank(F.col("severity")), F.desc("score"), "title", "artifact", "row_index")
-    return findings.withColumn("id", F.format_string(prefix + "-%04d", F.row_number().over(order)))
+    """findings with ids F-0001 ... in report order, over all of them; findings alike in all that orders them are told apart by
+    the rest of the row."""
+    order = {"__rank": severity_rank(F.col("severity")), "__score": -F.col("score"), "__rest": F.xxhash64(*[c for c, kind in findings.dtypes if not kind.startswith("map")])}
+    out = slices.numbered(findings.withColumns(order), ["__rank", "__score", "title", "artifact", "row_index", "__rest"], "__n", "findings-numbered")
+    return out.withColumn("id", F.format_string(prefix + "-%04d", F.col("__n"))).drop("__n", *order)
 
 
 def locator(row_index: Column, source_file: Column) -> Column:

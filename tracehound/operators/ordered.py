@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracehound.sources.staging import discard, near, staged
+from tracehound.sources.staging import staged
 
-from .slices import running, sliced
+from .slices import followed, running, sliced
 
 
 def failures_then_success(events: DataFrame, account: str, ts: str, tie: str, failed: Column, succeeded: Column, least: int = 5, slices: int | None = None) -> DataFrame:
@@ -43,32 +43,6 @@ def _with_reach(events: DataFrame, keys: list[str], us: str, tie: str, window_us
     return rows.filter("__kind = 1").drop("__kind", "__when")
 
 
-def _followed(starts: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of starts(keys, __i, __next, __on) that are on, or that rows on lead to by any number of steps of __next.
-
-    Pointers are doubled twice a round, and what a row on points to becomes on, so the rounds follow the logarithm of the
-    longest chain.
-    """
-    names = [f"__k{i}" for i in range(len(keys))]
-    starts = staged(starts.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], "__i", "__next", "__on"), "bursts-starts")
-    size = starts.count()
-
-    def doubled(rows: DataFrame) -> DataFrame:
-        onward = near(rows.select(*[F.col(n).alias(f"{n}_o") for n in names], F.col("__i").alias("__at"), F.col("__next").alias("__further")), size)
-        reached = near(rows.filter("__on and __next is not null").select(*[F.col(n).alias(f"{n}_r") for n in names], F.col("__next").alias("__to")).distinct(), size)
-        same = lambda suffix: [F.col(n).eqNullSafe(F.col(f"{n}{suffix}")) for n in names]
-        rows = rows.join(reached, [*same("_r"), F.col("__i") == F.col("__to")], "left").withColumn("__on", F.col("__on") | F.col("__to").isNotNull())
-        rows = rows.join(onward, [*same("_o"), F.col("__next") == F.col("__at")], "left")
-        return rows.select(*names, "__i", F.col("__further").alias("__next"), "__on")
-
-    while True:
-        after = staged(doubled(doubled(starts)), "bursts-starts")
-        discard(starts)
-        starts = after
-        if starts.filter("__next is not null").isEmpty():
-            return starts.filter("__on").select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "__i")
-
-
 def in_bursts(events: DataFrame, keys: list[str], us: str, tie: str, window_us: int = 300_000_000, least: int = 3, slices: int | None = None) -> DataFrame:
     """The events that greedy bursts of their group of keys hold, with __start, the place of their burst's first event.
 
@@ -87,7 +61,7 @@ def in_bursts(events: DataFrame, keys: list[str], us: str, tie: str, window_us:
     coming = rows.select(*[F.col(k).alias(f"__c_{k}") for k in keys], (F.col("__i") - 1).alias("__behind"), F.col("__coming").alias("__next"))
     same = [F.col(k).eqNullSafe(F.col(f"__c_{k}")) for k in keys]
     starts = starts.join(coming, [*same, F.col("__reach") == F.col("__behind")], "left").select(*keys, "__i", "__next", "__on")
-    begun = _followed(starts, keys).select(*[F.col(k).alias(f"__c_{k}") for k in keys], F.col("__i").alias("__b"))
+    begun = followed(starts, keys).select(*[F.col(k).alias(f"__c_{k}") for k in keys], F.col("__i").alias("__b"))
     rows = rows.join(begun, [*same, F.col("__i") == F.col("__b")], "left")
     # The last burst begun, and where it ends.
     rows = running(rows, keys, ["__i"], {"__start": ("max", F.col("__b")), "__end": ("max", F.when(F.col("__b").isNotNull(), F.col("__reach")))})

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracehound.functions.scalars import parent_folder, severity_name, severity_rank, tool_token
+from tracehound.sources.staging import staged
 
 from .aggregates import technique_coverage, with_tactic
 from .graph import components_by_keys
+from .slices import SLICE, numbered, packed, running, sliced
 
-#: Parts of categories and what they mean, first hit counts.
+#: The parts of categories, of which the first hit counts, in their order. What they mean is our wording.
 MEANINGS = (
-    ("yara", "Known bytes were found inside the file, whatever its name or place."), ("hash", "The file's hash is on a list of known bad files."), ("credential", "Someone may be taking or guessing credentials."), ("privilege", "An account or process gained rights."),
-    ("lateral", "Something moved from host to host."), ("persistence", "Something arranged to be started again."), ("evasion", "Something hid itself or switched protection off."), ("exfil", "Data may have left the network."), ("malware", "Protection software named a threat."),
-    ("network", "A connection or query is unusual."), ("process", "A process ran in an unusual way."), ("execution", "Something was run that seldom is for good reasons."), ("suspicious_file", "A file lies where programs seldom do."), ("correlated", "Several kinds of evidence meet at one entity."),
+    ("malware_signature", "Known bytes were found inside the file, whatever its name or place."), ("malware", "Protection software or a rule named a threat; a hash or a sandbox may clear it."), ("hash_reputation", "The file's hash is on a list of known bad files, which is as good as the list is new."),
+    ("correlated_risk", "Several kinds of evidence meet at one entity."), ("process_anomaly", "A process ran in an unusual way: its place, its parent or its arguments."), ("process_name", "A process has a name that is watched; it may belong here."),
+    ("persistence", "Something arranged to be started again; see who made it and when."), ("credential_access", "Someone may be taking or guessing credentials."), ("defense_evasion", "Something hid itself or switched protection off."), ("network_anomaly", "A connection or its other end is unusual."),
+    ("network", "A connection was flagged; look at the process that opened it."), ("execution_evidence", "A trace shows that a program ran here, even if it is gone."), ("execution", "Something was run; what it was and whether it belongs here counts."), ("discovery", "Something looked around: files, processes or users."),
+    ("sigma_detection", "An event rule matched; the raw event tells whether it holds."), ("suspicious_file", "A file lies where programs seldom do."), ("suspicious", "A rule of thumb flagged this."), ("anomaly", "This is rare on this host."),
+    ("yara", "Known bytes were found inside the file, whatever its name or place."),
 )
 DEFAULT_MEANING = "A detector flagged this; the evidence tells more."
 EVIDENCE_ORDER = ("path", "name", "process", "pid", "cmdline", "remote", "domain", "key", "value", "row_index")
@@ -49,7 +53,25 @@ def incident_severity(base: Column, critical: Column, high: Column) -> Column:
 
 
 def ordered_iocs(iocs: DataFrame) -> DataFrame:
-    return iocs.orderBy(F.desc("malicious"), F.desc("confidence"), "value")
+    """Indicators as a report has them: the surest first, of these the malicious."""
+    return iocs.orderBy(F.desc("confidence"), F.desc("malicious"), "value")
+
+
+def ordered_techniques(techniques: DataFrame) -> DataFrame:
+    return techniques.orderBy(F.desc("confidence"), "technique")
+
+
+def gap_status(gaps: DataFrame) -> DataFrame:
+    """(question, category, priority, status, answer) of gaps(…, cloud_answer, local_answer): by whom a question was answered."""
+    held = lambda c: F.nullif(F.trim(c), F.lit(""))
+    status = F.when(held("cloud_answer").isNotNull(), "resolved_cloud").when(held("local_answer").isNotNull(), "resolved_local").otherwise("pending")
+    return gaps.select("question", "category", "priority", status.alias("status"), F.coalesce(held("cloud_answer"), held("local_answer"), F.lit("")).alias("answer"))
+
+
+def statistics(findings: DataFrame, rows: DataFrame) -> DataFrame:
+    """(name, n): findings by severity as <severity>_detections, and rows by artifact as <artifact>_total_rows."""
+    by_severity = findings.groupBy(F.concat(F.lower("severity"), F.lit("_detections")).alias("name")).agg(F.count("*").alias("n"))
+    return by_severity.unionByName(rows.groupBy(F.concat("artifact", F.lit("_total_rows")).alias("name")).agg(F.count("*").alias("n")))
 
 
 def merge_new(known: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -111,10 +133,17 @@ def persist_case(tables: dict[str, DataFrame], orders: dict[str, list], path: st
     return spark.createDataFrame(out, "name string, total long, shown long")
 
 
-def sections(findings: DataFrame, coverage: DataFrame) -> dict[str, DataFrame]:
-    """The tables of a report by name."""
-    m = bottom_line(metrics(findings))
-    return {"metrics": m, "coverage": coverage, "techniques": technique_coverage(findings), "findings": findings.withColumn("why", meaning(F.col("category")))}
+def sections(findings: DataFrame, coverage: DataFrame, parts: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The tables of a report by name. Of parts those that are there become sections: iocs, techniques, timeline, gaps,
+    mapping (of a redaction), triage and rows (of the collection)."""
+    parts = parts or {}
+    out = {"metrics": bottom_line(metrics(findings)), "coverage": coverage, "tactics": technique_coverage(findings), "findings": findings.withColumn("why", meaning(F.col("category")))}
+    make = {
+        "iocs": lambda x: ordered_iocs(x), "techniques": lambda x: ordered_techniques(x), "timeline": lambda x: x.orderBy("timestamp"), "gaps": gap_status, "mapping": count_by_category,
+        "triage": lambda x: findings.join(x.select("id", "verdict"), "id").groupBy("verdict").agg(F.count("*").alias("n")), "rows": lambda x: statistics(findings, x),
+    }
+    named = {"gaps": "knowledge_gaps", "mapping": "anonymization", "triage": "finding_triage", "rows": "detection_statistics"}
+    return out | {named.get(k, k): make[k](df) for k, df in parts.items()}
 
 
 def write_sections(tables: dict[str, DataFrame], path: str) -> None:
@@ -143,34 +172,32 @@ def tool_clusters(findings: DataFrame, grouped: DataFrame | None = None, least:
 def batches(findings: DataFrame, size: int) -> DataFrame:
     """(id, batch): related findings (same folder, tool, technique or process) in one batch, at most `size` in each.
 
-    Components are packed greedily, worst severity and largest first; the packing sees one row a component. A
-    component larger than a batch is cut, in order of id.
+    Components are packed greedily, worst severity and largest first. A component larger than a batch is cut, in order
+    of id. Neither a component nor the list of them is in one task.
     """
     keyed = findings.withColumns({"folder": F.when(F.char_length(parent_folder(F.col("evidence")["path"])) >= 15, parent_folder(F.col("evidence")["path"])), "token": tool_token(F.col("evidence")["path"]), "technique": F.nullif("mitre", F.lit("")), "process": F.nullif(F.col("evidence")["pid"], F.lit(""))})
     placed = components_by_keys(keyed, "id", ["folder", "token", "technique", "process"]).join(findings.select("id", severity_rank(F.col("severity")).alias("rank")), "id")
-    nth = F.row_number().over(Window.partitionBy("component").orderBy("id")) - 1
-    placed = placed.withColumn("part", F.floor(nth / size).cast("int"))
-    parts = placed.groupBy("component", "part").agg(F.count("*").alias("n"), F.min("rank").alias("rank"))
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["rank", "n", "component", "part"], ascending=[True, False, True, True])
-        batch, used, out = 0, 0, []
-        for n in rows["n"]:
-            if used + n > size:
-                batch, used = batch + 1, 0
-            used += n
-            out.append(batch)
-        return rows.assign(batch=out)[["component", "part", "batch"]]
-
-    packed = parts.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(pack, "component string, part int, batch int")
-    return placed.join(packed, ["component", "part"]).select("id", "batch")
-
-
-def summary_lines(findings: DataFrame, most: int = 200) -> DataFrame:
-    """The worst findings as numbered lines of text."""
-    top = findings.orderBy(severity_rank(F.col("severity")), F.desc("score"), "title").limit(most)
-    n = F.row_number().over(Window.orderBy(severity_rank(F.col("severity")), F.desc("score"), "title"))
-    return top.select(n.alias("n"), F.concat(F.lit("["), F.upper("severity"), F.lit("] "), F.col("title"), F.lit(" - "), F.col("description")).alias("line"))
+    placed = running(sliced(placed, ["component"], ["id"], "batches-members"), ["component"], ["id"], {"nth": ("sum", F.lit(1).cast("long"))}).drop(SLICE)
+    placed = staged(placed.withColumn("part", F.floor((F.col("nth") - 1) / size)), "batches-parts")
+    parts = placed.groupBy("component", "part").agg(F.count("*").alias("n"), F.min("rank").alias("rank")).withColumn("least", -F.col("n"))
+    batch = packed(parts, ["rank", "least", "component", "part"], "n", size, "batch", "batches")
+    return placed.join(batch.select("component", "part", "batch"), ["component", "part"]).select("id", F.col("batch").cast("int").alias("batch"))
+
+
+def summary_lines(findings: DataFrame, most: int | None = 200) -> DataFrame:
+    """(n, line): the worst findings as numbered lines of text; all of them if most is None."""
+    order = {"__rank": severity_rank(F.col("severity")), "__score": -F.col("score")}
+    top = findings.withColumns(order)
+    top = top if most is None else top.orderBy("__rank", "__score", "title", "id").limit(most)
+    line = F.concat(F.lit("["), F.upper("severity"), F.lit("] "), F.col("title"), F.lit(" - "), F.col("description"))
+    return numbered(top.select(*order.values(), "title", "id", line.alias("line")).toDF("__rank", "__score", "title", "id", "line"), ["__rank", "__score", "title", "id"], "n", "summary-lines").select("n", "line")
+
+
+def cluster_lines(clusters: DataFrame, most: int | None = 15) -> DataFrame:
+    """(folder, line) of the largest clusters(folder, ids, n): how many findings share a folder, and which."""
+    line = F.concat(F.col("n").cast("string"), F.lit(" findings in "), F.col("folder"), F.lit(": "), F.array_join("ids", ", "))
+    out = clusters.select("folder", "n", line.alias("line"))
+    return (out if most is None else out.orderBy(F.desc("n"), "folder").limit(most)).select("folder", "line")
 
 
 def worst(severity: Column) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracehound.sources.staging import staged
+from tracehound.sources.staging import discard, near, staged
 
 SLICE = "__slice"
 #: How a running value is made of two, and a window's function for it.
@@ -43,3 +43,55 @@ def running(rows: DataFrame, keys: list[str], order: list[str], values: dict[str
     out = made.withColumns({f"__l_{name}": _OF[how](f"__v_{name}").over(local) for name, (how, _) in values.items()})
     out = out.join(F.broadcast(carried) if sent else carried, same, "left")
     return out.select(*rows.columns, *[_TWO[how](F.col(f"__l_{name}"), F.col(f"__c_{name}")).alias(name) for name, (how, _) in values.items()])
+
+
+def numbered(rows: DataFrame, order: list[str], name: str, label: str, slices: int | None = None) -> DataFrame:
+    """rows with their place from 1 in an order over all rows, which no task holds: each range of the order counts on from
+    those before it."""
+    return running(sliced(rows, [], order, label, slices), [], order, {name: ("sum", F.lit(1).cast("long"))}).drop(SLICE)
+
+
+def packed(rows: DataFrame, order: list[str], size: str, most: int, name: str, label: str, slices: int | None = None) -> DataFrame:
+    """rows with the number from 0 of their pack: in order, each goes to the pack of the one before unless the pack's sizes would
+    come to more than `most`. No size is above it, nor under 1.
+
+    What a pack that begins with a row would hold is a running value; which rows do begin one is found by following these
+    from the first row, in rounds that follow the logarithm of the packs.
+    """
+    rows = running(sliced(rows, [], order, label, slices), [], order, {"__end": ("sum", F.col(size)), "__i": ("sum", F.lit(1).cast("long"))})
+    rows = staged(rows.drop(SLICE), f"{label}-ends")
+    # Each row stands twice: where its size ends, and where a pack that begins with it would be full.
+    marks = F.explode(F.array(F.struct(F.col("__end").alias("at"), F.lit(0).alias("kind")), F.struct((F.col("__end") - F.col(size) + most).alias("at"), F.lit(1).alias("kind")))).alias("m")
+    passed = sliced(rows.select("__i", marks).select("__i", "m.*"), [], ["at", "kind", "__i"], f"{label}-marks", slices)
+    reach = running(passed, [], ["at", "kind", "__i"], {"__reach": ("sum", 1 - F.col("kind").cast("long"))}).filter("kind = 1")
+    begun = followed(reach.select("__i", (F.col("__reach") + 1).alias("__next"), (F.col("__i") == 1).alias("__on")), [])
+    first = begun.select(F.col("__i").alias("__b"))
+    marked = rows.join(first, F.col("__i") == F.col("__b"), "left").drop("__end")
+    out = running(sliced(marked, [], ["__i"], f"{label}-packs", slices), [], ["__i"], {name: ("sum", F.col("__b").isNotNull().cast("long"))})
+    return out.withColumn(name, F.col(name) - 1).drop(SLICE, "__i", "__b")
+
+
+def followed(starts: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of starts(keys, __i, __next, __on) that are on, or that rows on lead to by any number of steps of __next.
+
+    Pointers are doubled twice a round, and what a row on points to becomes on, so the rounds follow the logarithm of the
+    longest chain.
+    """
+    names = [f"__k{i}" for i in range(len(keys))]
+    starts = staged(starts.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], "__i", "__next", "__on"), "chain-starts")
+    size = starts.count()
+
+    def doubled(rows: DataFrame) -> DataFrame:
+        onward = near(rows.select(*[F.col(n).alias(f"{n}_o") for n in names], F.col("__i").alias("__at"), F.col("__next").alias("__further")), size)
+        reached = near(rows.filter("__on and __next is not null").select(*[F.col(n).alias(f"{n}_r") for n in names], F.col("__next").alias("__to")).distinct(), size)
+        same = lambda suffix: [F.col(n).eqNullSafe(F.col(f"{n}{suffix}")) for n in names]
+        rows = rows.join(reached, [*same("_r"), F.col("__i") == F.col("__to")], "left").withColumn("__on", F.col("__on") | F.col("__to").isNotNull())
+        rows = rows.join(onward, [*same("_o"), F.col("__next") == F.col("__at")], "left")
+        return rows.select(*names, "__i", F.col("__further").alias("__next"), "__on")
+
+    while True:
+        after = staged(doubled(doubled(starts)), "chain-starts")
+        discard(starts)
+        starts = after
+        if starts.filter("__next is not null").isEmpty():
+            return starts.filter("__on").select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "__i")

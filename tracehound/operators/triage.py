@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import first_of_each
+
 VERDICTS = ("true_positive", "false_positive", "benign", "needs_review")
 
 
@@ -33,3 +35,11 @@ def upsert(old: DataFrame, new: DataFrame, key: str, updated: str = "updated_at"
 
 def delete(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return rows.join(keys.select(key), key, "left_anti")
+
+
+def snapshot(rows: DataFrame, most: int | None = 5000, group: str = "artifact", order: str = "row_index") -> tuple[DataFrame, DataFrame]:
+    """(rows, cut): the first rows of each artifact, and (artifact, total, kept) of those that have more."""
+    kept = first_of_each(rows, [group], [order], most)
+    total = rows.groupBy(group).agg(F.count("*").alias("total"))
+    cut = total.filter(F.lit(False) if most is None else F.col("total") > most)
+    return kept, cut.withColumn("kept", F.lit(most).cast("long"))

@@ -143,3 +143,12 @@ def normalised_events(rows: DataFrame) -> DataFrame:
         "channel": alias(row, "Channel", "channel", "LogName"), "computer": alias(row, "Computer", "computer", "MachineName"), "data": row_text(row, 800),
     })
     return out.filter(F.col("event_id").isNotNull()).withColumn("EventID_text", F.col("event_id").cast("string"))
+
+
+#: The events of a disk's logs that are worth keeping: logons and accounts, services and tasks, scripts, Sysmon.
+INTERESTING_EVENTS = (4624, 4625, 4634, 4648, 4672, 4688, 4697, 4698, 4720, 4728, 4732, 4756, 7045, 7040, 1102, 4103, 4104, 1, 3, 5, 7, 8, 11, 12, 13, 15, 22, 23, 25)
+
+
+def interesting(events: DataFrame) -> DataFrame:
+    """The events(event_id, …) of INTERESTING_EVENTS."""
+    return events.filter(F.col("event_id").isin(*INTERESTING_EVENTS))

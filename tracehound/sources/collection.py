@@ -204,6 +204,13 @@ def totals(rows: DataFrame) -> DataFrame:
     return rows.groupBy("artifact").agg(F.count("*").alias("rows"))
 
 
+def collection_totals(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """One row: files and bytes at a path, whose contents are not read, and artifacts and rows of what was read from there."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+    read = totals(rows).agg(F.sort_array(F.collect_set("artifact")).alias("artifacts"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
+    return files.join(read, F.lit(True))  # One row each.
+
+
 def read_hash_feed(spark: SparkSession, path: str) -> DataFrame:
     """(hash, note) of lines `hash[, or space]note`; # begins a comment; of one hash's notes the last line's holds."""
     lines = spark.read.text(path).select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("at")).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
