@@ -95,8 +95,12 @@ class Encoder:
 
     def __init__(self, path: str):
         self.v, self.lookahead = vocabulary(path), sufficient_lookahead(path)
-        self.words = Kept(self._word)
-        self.chunks = Kept(lambda chunk: b"".join(map(self.words.__getitem__, self.v.split(chunk))))
+        self.chunks = Kept(self._chunk)
+
+    def _chunk(self, chunk: str) -> bytes:
+        """A word, which is a chunk of its own, or words that stand without a space between them."""
+        words = list(self.v.split(chunk))
+        return self._word(chunk) if words == [chunk] else b"".join(map(self.chunks.__getitem__, words))
 
     def _word(self, word: str) -> bytes:
         return array("I", encode_symbols(_stream(word, self.v), self.v, self.lookahead)).tobytes()
@@ -105,7 +109,7 @@ class Encoder:
         """Of a chunk too long to be kept the ids go out as they become stable."""
         for word in self.v.split(chunk):
             if len(word) <= KEPT_LENGTH:
-                yield self.words[word]
+                yield self.chunks[word]
             else:
                 for some in batched(encode_symbols(_stream(word, self.v), self.v, self.lookahead), 4096):
                     yield array("I", some).tobytes()
