@@ -18,6 +18,8 @@ WEIGHTS = (5, 2, 1)
 BROADCAST_SOURCES = 50_000
 #: Words in a shard of a source, in which the blocks are chosen.
 SHARD_WORDS = 500_000
+#: Rows of a shard, whatever words they have.
+SHARD_ROWS = 20_000
 #: Sources, or shards of a source, among which seats are dealt in one task; more are dealt to in groups of so many first.
 DEALT_TOGETHER = 4096
 #: Equal rows that are placed together; more are cut into lots that are placed each by itself.
@@ -123,13 +125,13 @@ def with_targets(sources: DataFrame, weights: tuple[int, ...], share: float, sto
 
 
 def _plan_sources(sources: DataFrame, weights: tuple[int, ...], share: float, stop: int, block_words: int) -> DataFrame:
-    """sources(source, source_size) -> (source, source_size, target, block, blocks)."""
+    """sources(source, source_size, rows) -> (source, source_size, rows, target, block, blocks)."""
     sources = staged(with_targets(ranked(sources), weights, share, stop), "mix-targets")
     total, small = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.min(F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(1))).first()
     block = min(max(small // 1000, 1), 64) if block_words < 1 else block_words
     most = F.floor(F.col("source_size") * stop / block) + (F.col("source_size") > 0).cast("int")
     items = sources.withColumns({"all": F.lit(0), "weight": F.col("target"), "most": most.cast("long"), "seats": F.lit(round(min(share, stop) * total / block)).cast("long")})
-    return deal_seats(items, "all", "rank").select("source", "source_size", "target", F.lit(block).cast("long").alias("block"), F.col("own_seats").alias("blocks"))
+    return deal_seats(items, "all", "rank").select("source", "source_size", "rows", "target", F.lit(block).cast("long").alias("block"), F.col("own_seats").alias("blocks"))
 
 
 def _plan_shards(shards: DataFrame, stop: int, seed: int) -> DataFrame:
@@ -174,9 +176,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     lots = rows.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / LOT))))
     rows = staged(lots.withColumn("copies", F.least(F.lit(LOT), F.col("copies") - F.col("lot") * LOT)), "mix-rows")
     # One row for each source from here: a table of sources, not of documents.
-    sources = staged(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size")), "mix-sizes")
+    sources = staged(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count("*").alias("rows")), "mix-sizes")
     plan = _plan_sources(sources, weights, share, stop, block_words)
-    plan = staged(plan.withColumn("shards", F.greatest(F.ceil(F.col("source_size") / SHARD_WORDS), F.lit(1))), "mix-sources")
+    plan = staged(plan.withColumn("shards", F.greatest(F.ceil(F.col("source_size") / SHARD_WORDS), F.ceil(F.col("rows") / SHARD_ROWS), F.lit(1))).drop("rows"), "mix-sources")
     small = plan.count() <= BROADCAST_SOURCES
     near = (lambda df: F.broadcast(df)) if small else (lambda df: df)
 
