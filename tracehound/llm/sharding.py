@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .shared import staged, text_key, text_or_empty
 
 BLOCK_ITEMS = 4096
+#: Copies of one row that are placed together.
+LOT = 1000
 #: Items above total / (shards * COARSE) go straight to the last level; at most shards * COARSE of them exist, and
 #: less for small blocks, so that each level has fewer items than the one before.
 COARSE = 32
@@ -97,18 +99,22 @@ def shard_documents(docs: DataFrame, shards: int = 8, block_items: int = BLOCK_I
     """
     text = text_or_empty()
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), text_key(text).alias("id"))
-    rows = staged(rows, "shard-rows")
-    groups = staged(rows.groupBy("id").agg(F.sum("size").alias("bytes")), "shard-groups")
+    # Equal rows are one from here on, in lots, so that a row that a third of the table repeats is no cell of its own.
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+    lots = rows.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / LOT))))
+    rows = staged(lots.withColumn("copies", F.least(F.lit(LOT), F.col("copies") - F.col("lot") * LOT)), "shard-rows")
+    groups = staged(rows.groupBy("id").agg(F.sum(F.col("size") * F.col("copies")).alias("bytes")), "shard-groups")
     # Cells of some thousand rows, so that no shard is one task; their number is bounded.
-    cells = min(20_000, max(1, math.ceil(rows.count() / 2048)))
+    cells = min(20_000, max(1, math.ceil(rows.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0] / 2048)))
     placed = rows.join(group_shards(groups, shards, block_items), "id")
-    placed = staged(placed.withColumn("cell", F.pmod(F.xxhash64("doc_id", "id", F.lit(7)), F.lit(cells)).cast("int")), "shard-placed")
-    in_cell = Window.partitionBy("shard", "cell").orderBy("doc_id", "id")
+    placed = staged(placed.withColumn("cell", F.pmod(F.xxhash64("doc_id", "id", "lot", F.lit(7)), F.lit(cells)).cast("int")), "shard-placed")
+    in_cell = Window.partitionBy("shard", "cell").orderBy("doc_id", "id", "lot")
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     # At most shards * cells rows.
-    starts = placed.groupBy("shard", "cell").agg(F.count("*").alias("n")).select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    starts = placed.groupBy("shard", "cell").agg(F.sum("copies").alias("n")).select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     return (
-        placed.withColumn("at", F.row_number().over(in_cell) - 1)
+        placed.withColumn("at", F.sum("copies").over(in_cell.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("copies"))
         .join(F.broadcast(starts), ["shard", "cell"])
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("at")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("at") + F.col("copy")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )
