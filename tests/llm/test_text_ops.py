@@ -320,3 +320,46 @@ def test_urls_in_many_sweeps(spark, monkeypatch, keys):
         fits = [(len(h + p), len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
         best = max(fits, default=(0, 0, None, "allow"))
         assert got[i] == (best[2], best[3]), url
+
+
+def test_many_hosts_with_one_path_are_swept_once(spark, monkeypatch):
+    from tracehound.llm import url_filters
+
+    monkeypatch.setattr(url_filters, "SWEEP_KEYS", 50)
+    pages = [(i, f"http://h{i}.shop{i % 7}.com/{'en/' if i % 2 else ''}") for i in range(2000)] + [(5000 + i, f"http://a.org/{i}") for i in range(300)]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    rules = spark.createDataFrame([("com", "/en/", "block"), ("shop3.com", "/", "allow"), ("org", "/1", "block")], "host string, path string, verdict string")
+    got = {r["page_id"]: r["rule"] for r in match_urls(df, rules).collect()}
+    for i, url in pages:
+        host, path = url[7:].split("/", 1)
+        fit = [h + p for h, p in (("com", "/en/"), ("shop3.com", "/"), ("org", "/1")) if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        assert got[i] == max(fit, key=len, default=None)
+
+
+def test_rows_without_words_are_many_shards(spark, monkeypatch):
+    from tracehound.llm import mixing
+
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 100)
+    seen = {}
+    real = mixing.staged
+    monkeypatch.setattr(mixing, "staged", lambda df, label, *a, **b: seen.setdefault(label, real(df, label, *a, **b)) if label == "mix-placed" else real(df, label, *a, **b))
+    docs = [(i, "" if i % 50 else "w " * 30, "s") for i in range(2500)]
+    out = mix_sources(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    largest = seen["mix-placed"].groupBy("shard").count().agg(F.max("count"), F.count("*")).first()
+    assert largest[0] < 300 and largest[1] == 25
+    assert len(out) == 2500 and all(r["taken"] <= 2 * r["size"] for r in out) and abs(sum(r["taken"] for r in out) - 1.5 * 1500) < 100
+
+
+def test_one_row_repeated_is_many_cells(spark, monkeypatch):
+    from tracehound.llm import sharding
+
+    monkeypatch.setattr(sharding, "LOT", 50)
+    docs = [(None, "same")] * 3000 + [(i, f"t{i}") for i in range(3000)]
+    seen = {}
+    real = sharding.staged
+    monkeypatch.setattr(sharding, "staged", lambda df, label, *a, **b: seen.setdefault(label, real(df, label, *a, **b)) if label == "shard-placed" else real(df, label, *a, **b))
+    out = shard_documents(spark.createDataFrame(docs, "doc_id long, text string")).toPandas()
+    assert len(out) == 6000 and out[out["doc_id"].isna()]["shard"].nunique() == 1
+    for _, g in out.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
+    assert seen["shard-placed"].groupBy("shard", "cell").agg(F.sum("copies").alias("n")).agg(F.max("n")).first()[0] < 1800
