@@ -74,3 +74,14 @@ def test_streaks_of_a_hot_account(spark):
 def test_first_of_each_without_a_limit_is_all(spark):
     df = spark.range(10).withColumn("k", F.lit(1))
     assert O.first_of_each(df, ["k"], ["id"], None).count() == 10 and O.first_of_each(df, ["k"], ["id"], 3).count() == 3
+
+
+def test_small_tables_are_dealt_to_all_cores(spark, tmp_path):
+    from tracehound.sources import staging
+
+    spark.range(1000).repartition(1).write.parquet(str(tmp_path / "one"))
+    spark.range(1000).repartition(9).write.parquet(str(tmp_path / "many"))
+    one, many = spark.read.parquet(str(tmp_path / "one")), spark.read.parquet(str(tmp_path / "many"))
+    cores = spark.sparkContext.defaultParallelism
+    assert staging.spread(one).rdd.getNumPartitions() == cores and staging.spread(one).count() == 1000
+    assert staging.spread(many) is many or many.rdd.getNumPartitions() < cores

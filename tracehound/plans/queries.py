@@ -29,7 +29,7 @@ from tracehound.operators import rules as U
 from tracehound.operators import triage as T
 from tracehound.operators.hunt import Hunt
 from tracehound.operators.text_index import TextIndex
-from tracehound.sources.staging import shared_folder, table
+from tracehound.sources.staging import shared_folder, spread, table
 from tracehound.sources.store import KeyedStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -261,22 +261,22 @@ def _signature_sql(table_, extra: str = "") -> str:
 
 @query(f"select doc_id, label, severity from ({_signature_sql(TEXT_SIGNATURES)})")
 def q_signatures_all(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(all_matches(F.col("text"), TEXT_SIGNATURES)).alias("m")).select("doc_id", "m.label", "m.severity")
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.explode(all_matches(F.col("text"), TEXT_SIGNATURES)).alias("m")).select("doc_id", "m.label", "m.severity")
 
 
 @query(f"select doc_id, arg_min(label, n) as label, arg_min(severity, n) as severity from ({_signature_sql(TEXT_SIGNATURES)}) group by doc_id")
 def q_signatures_first(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", first_match(F.col("text"), TEXT_SIGNATURES).alias("m")).filter("m is not null").select("doc_id", "m.label", "m.severity")
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", first_match(F.col("text"), TEXT_SIGNATURES).alias("m")).filter("m is not null").select("doc_id", "m.label", "m.severity")
 
 
 @query(f"select doc_id, arg_min(label, n) as label, arg_min(severity, n) as severity from ({_signature_sql(TEXT_SIGNATURES, ' and m.len >= 16')}) group by doc_id")
 def q_signatures_minlen(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", first_match(F.col("text"), TEXT_SIGNATURES, least=16).alias("m")).filter("m is not null").select("doc_id", "m.label", "m.severity")
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", first_match(F.col("text"), TEXT_SIGNATURES, least=16).alias("m")).filter("m is not null").select("doc_id", "m.label", "m.severity")
 
 
 @query(f"select doc_id, label, severity from ({_signature_sql(COMMAND_SIGNATURES)})")
 def q_signatures_commands(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(all_matches(F.col("text"))).alias("m")).select("doc_id", "m.label", "m.severity")
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.explode(all_matches(F.col("text"))).alias("m")).select("doc_id", "m.label", "m.severity")
 
 
 @query("""with t as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]{12,}')) as token from documents),
