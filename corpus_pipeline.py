@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tracehound.llm.line_dedup import dedup_lines
 from tracehound.llm.minhash import near_duplicates
 from tracehound.llm.mixing import mix_sources
-from tracehound.llm.shared import near, staged, table, text_or_empty
+from tracehound.llm.shared import near, spread, staged, table, text_or_empty
 from tracehound.llm.toxicity import THRESHOLD, score_documents
 from tracehound.llm.transducer import encode_digests
 
@@ -117,7 +117,7 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
