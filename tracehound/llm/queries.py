@@ -16,7 +16,7 @@ from .mixing import mix_sources
 from .neighbours import search
 from .periodic_runs import fold, periodic_runs, strongest
 from .quality import FIRST_ACCURACY, FIRST_SHARE, FIRST_WEIGHT, LEAST_ACCURACY, MOST_ACCURACY, ROUNDS, RULES, score_quality
-from .shared import staged, table, text_or_empty
+from .shared import spread, staged, table, text_or_empty
 from .sharding import shard_documents
 from .token_counts import count_documents
 from .toxicity import held_out, score_documents
@@ -107,7 +107,7 @@ select p.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from p
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return count_documents(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +115,7 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return encode_digests(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

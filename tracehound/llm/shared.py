@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracehound.sources.staging import discard, near, shared_folder, staged, table
+from tracehound.sources.staging import discard, near, shared_folder, spread, staged, table
 
-__all__ = ["ascii_lower", "discard", "near", "shared_folder", "staged", "table", "text_key", "text_or_empty"]
+__all__ = ["ascii_lower", "discard", "near", "shared_folder", "spread", "staged", "table", "text_key", "text_or_empty"]
 
 
 def text_or_empty(column: str | Column = "text") -> Column:
