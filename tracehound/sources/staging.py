@@ -68,5 +68,5 @@ def spread(df: DataFrame) -> DataFrame:
     """df as it is read, or dealt to all cores where its files are small and make fewer tasks than there are cores: for work
     that takes long for each row. Larger tables are many tasks by themselves and are not moved."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size <= SPREAD_BYTES and df._jdf.rdd().getNumPartitions() < cores else df
