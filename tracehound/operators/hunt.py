@@ -47,19 +47,21 @@ class Hunt:
     def similar_artifacts(self, part: str) -> DataFrame:
         return self.rows.select("artifact").distinct().filter(F.contains(F.lower("artifact"), F.lit(part.lower())))
 
-    def find(self, severity: str | None = None, category: str | None = None, most: int = 20) -> DataFrame:
+    def find(self, severity: str | None = None, category: str | None = None, most: int | None = 20) -> DataFrame:
         out = self.findings
         if severity:
             out = out.filter(F.lower("severity") == severity.lower())
         if category:
             out = out.filter(F.contains(F.lower("category"), F.lit(category.lower())))
-        return out.limit(most)
+        return out if most is None else out.limit(most)
 
     def finding(self, id_: str) -> DataFrame:
         return self.findings.filter(F.col("id") == id_)
 
-    def tree(self, leaf: str | None = None, most: int = 15) -> DataFrame:
-        return self.trees.limit(most) if leaf is None else self.trees.filter(F.col("leaf") == leaf)
+    def tree(self, leaf: str | None = None, most: int | None = 15) -> DataFrame:
+        if leaf is not None:
+            return self.trees.filter(F.col("leaf") == leaf)
+        return self.trees if most is None else self.trees.limit(most)
 
     def around(self, text: str, events: int = 10) -> DataFrame:
         """The timeline around the first event whose description holds a text."""

@@ -617,7 +617,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fi.in_order(fi.identity(found))
 
 
-from tracehound.plans import case_queries, detector_queries, report_queries  # noqa: E402
+from tracehound.plans import case_queries, detector_queries, hunt_queries, report_queries  # noqa: E402
 
-QUERIES |= detector_queries.QUERIES | case_queries.QUERIES | report_queries.QUERIES
-ORACLES |= detector_queries.ORACLES | case_queries.ORACLES | report_queries.ORACLES
+QUERIES |= detector_queries.QUERIES | case_queries.QUERIES | report_queries.QUERIES | hunt_queries.QUERIES
+ORACLES |= detector_queries.ORACLES | case_queries.ORACLES | report_queries.ORACLES | hunt_queries.ORACLES
