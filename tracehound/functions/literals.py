@@ -6,10 +6,12 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+
+HITS = "ids array<int>, bits array<bigint>"
 
 
 class Literal(NamedTuple):
@@ -59,19 +61,40 @@ class Automaton:
         return sorted(out)
 
 
+#: Bits in a word of the bit field of hits.
+WORD = 64
+
+
+def _bits(ids: list[int], words: int) -> np.ndarray:
+    out = np.zeros(words, dtype=np.uint64)
+    at = np.array(ids, dtype=np.int64)
+    np.bitwise_or.at(out, at // WORD, np.uint64(1) << (at % WORD).astype(np.uint64))
+    return out.view(np.int64)
+
+
+def is_set(bits: Column, id_: Column) -> Column:
+    """1 or 0: whether the bit of a number is set in array<bigint> bits."""
+    word = F.get(bits, F.call_function("shiftright", id_, F.lit(6)))
+    return F.call_function("shiftright", word, id_.bitwiseAND(F.lit(WORD - 1))).bitwiseAND(F.lit(1))
+
+
 def literal_hits(texts: list[Column], literals: list[Literal], numbers: list[Column] | None = None) -> Column:
-    """array<int>: ids of the literals that hold for a row, whose texts and numbers are given by source; null holds none.
+    """struct<ids: array<int>, bits: array<bigint>>: the literals that hold for a row, whose texts and numbers are given by
+    source, as their ids and as a field of bits by id; null holds none.
 
     Texts and literals are compared as they are: lower-case both for a search in any case. The automaton is made once
     in each task and its size is that of the literals; each text is read once, however many literals there are.
     """
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    words = 1 + max((x.id for x in literals), default=0) // WORD
+
+    @F.pandas_udf(HITS)
+    def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         automaton = Automaton(literals)
         for rows, values in batches:
-            yield pd.Series([automaton.find(row, own) for row, own in zip(rows, values)])
+            found = [automaton.find(row, own) for row, own in zip(rows, values)]
+            yield pd.DataFrame({"ids": pd.Series(found, dtype=object), "bits": pd.Series([_bits(ids, words) for ids in found], dtype=object)})
 
     if not literals:
-        return F.array().cast("array<int>")
+        return F.struct(F.array().cast("array<int>").alias("ids"), F.array(F.lit(0).cast("bigint")).alias("bits"))
     return find(F.array(*texts).cast("array<string>"), F.array(*(numbers or [])).cast("array<double>"))

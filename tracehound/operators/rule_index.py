@@ -14,11 +14,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracehound.functions.literals import Literal, literal_hits
+from tracehound.functions.literals import Literal, is_set, literal_hits
 from tracehound.functions.signatures import gates
 
 #: Steps of a program besides atoms, which are numbers from 0.
 AND, OR, NOT, TRUE, FALSE = -1, -2, -3, -4, -5
+#: Kinds of atoms that the automaton tells: parts of a text, and all of it or a number.
+PARTS = ("contains", "startswith", "endswith")
+LITERALS = (*PARTS, "equals", "number")
 #: A program's stack is the bits of one number.
 MOST_NESTED = 60
 
@@ -94,14 +97,16 @@ def _literal(value: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
-def _holds(program: Column, atoms: Column) -> Column:
-    """Whether a program ends in true: atoms are pushed, NOT turns the last bit, AND and OR take the last two."""
+def _holds(program: Column, bits: Column, literals: int, others: Column) -> Column:
+    """Whether a program ends in true: atoms are pushed, NOT turns the last bit, AND and OR take the last two. Of the atoms the
+    first are literals, looked up by bit; of the few others that hold there is a list."""
 
     def step(stack: Column, x: Column) -> Column:
         last, before, rest = stack.bitwiseAND(F.lit(1)), F.shiftright(stack, 1).bitwiseAND(F.lit(1)), F.shiftright(stack, 2)
         push = lambda bit: F.shiftleft(stack, 1) + bit
         pop = lambda bit: F.shiftleft(rest, 1) + bit
-        out = F.when(x >= 0, push(F.array_contains(atoms, x).cast("long"))).when(x == AND, pop(last.bitwiseAND(before))).when(x == OR, pop(last.bitwiseOR(before)))
+        held = F.when(x < literals, is_set(bits, x)).otherwise(F.array_contains(others, x).cast("long"))
+        out = F.when(x >= 0, push(held)).when(x == AND, pop(last.bitwiseAND(before))).when(x == OR, pop(last.bitwiseOR(before)))
         return out.when(x == NOT, stack.bitwiseXOR(F.lit(1))).when(x == TRUE, push(F.lit(1))).otherwise(push(F.lit(0))).cast("long")
 
     return F.aggregate(program, F.lit(0).cast("long"), step).bitwiseAND(F.lit(1)) == 1
@@ -112,55 +117,54 @@ def matching(rows: DataFrame, index: AtomIndex, conditions: list[Node], keep: tu
     if any(c.depth > MOST_NESTED for c in conditions):
         raise ValueError(f"a condition is nested more than {MOST_NESTED} deep")
     # A regular expression is tried only where a literal stands that its matches must hold.
-    expressions, first = [], {}
+    expressions = []
     for (kind, name, *rest), id_ in list(index.atoms.items()):
         if kind == "regex":
             own = [index._atom("contains", name, g.replace("\\", "/")).program[0] for g in gates(rest[0])]
             expressions.append((id_, name, rest[0], own))
-    fields = list(dict.fromkeys(key[1] for key in index.atoms if key[0] in ("contains", "startswith", "endswith", "equals", "number", "regex")))
+    # Atoms that are literals are numbered first.
+    keys = sorted(index.atoms, key=lambda key: (key[0] not in LITERALS, index.atoms[key]))
+    number = {index.atoms[key]: i for i, key in enumerate(keys)}
+    n_literals = sum(key[0] in LITERALS for key in keys)
+    fields = list(dict.fromkeys(key[1] for key in keys if key[0] != "direct"))
     values = {name: index.text if name is None else index.get(name) for name in fields}
     raw = {f"__v{i}": values[name] for i, name in enumerate(fields)}
     place = {name: i for i, name in enumerate(fields)}
     # Each field is a text as the kinds compare it: with one kind of slash for parts, as it is for the whole row and for wholes.
     n = len(fields)
     literals = []
-    for (kind, name, *rest), id_ in index.atoms.items():
-        if kind in ("contains", "startswith", "endswith"):
-            literals.append(Literal(id_, kind, place[name] + (0 if name is None else n), rest[0]))
-        elif kind in ("equals", "number"):
-            literals.append(Literal(id_, kind, place[name], rest[0]))
+    for id_, (kind, name, *rest) in enumerate(keys[:n_literals]):
+        literals.append(Literal(id_, kind, place[name] + (n if kind in PARTS and name is not None else 0), rest[0]))
     low = [F.lower(F.col(f"__v{i}")) for i in range(n)]
     texts = [*low, *[F.translate(x, "\\", "/") for x in low]]
-    numeric = {key[1] for key in index.atoms if key[0] == "number"}
+    numeric = {key[1] for key in keys if key[0] == "number"}
     numbers = [F.col(f"__v{i}").try_cast("double") if name in numeric else F.lit(None).cast("double") for i, name in enumerate(fields)]
-    direct = [(id_, index.direct(name, value, list(modifiers))) for (kind, name, *rest), id_ in index.atoms.items() if kind == "direct" for value, modifiers in [rest]]
+    direct = [(id_, index.direct(name, value, list(modifiers))) for id_, (kind, name, *rest) in enumerate(keys) if kind == "direct" for value, modifiers in [rest]]
     rows = rows.select(*keep, *[v.alias(k) for k, v in raw.items()], *[condition.alias(f"__d{id_}") for id_, condition in direct])
-    rows = rows.withColumn("__hits", literal_hits(texts, literals, numbers))
-    if direct:
-        found = F.array_compact(F.array(*[F.when(F.col(f"__d{id_}"), id_) for id_, _ in direct]))
-        rows = rows.withColumn("__hits", F.concat("__hits", found.cast("array<int>")))
+    others = F.array_compact(F.array(*[F.when(F.col(f"__d{id_}"), id_) for id_, _ in direct])) if direct else F.array()
+    rows = rows.withColumn("__h", literal_hits(texts, literals, numbers)).withColumn("__others", others.cast("array<int>"))
     if expressions:
-        postings: list[list[int]] = [[] for _ in index.atoms]
+        postings: list[list[int]] = [[] for _ in keys]
         free = []
         for k, (_, _, _, own) in enumerate(expressions):
             for g in own:
-                postings[g].append(k)
+                postings[number[g]].append(k)
             if not own:
                 free.append(k)
-        tried = F.array_distinct(F.concat(_literal(free, "array<int>"), F.flatten(F.transform("__hits", lambda h: F.get(_literal(postings, "array<array<int>>"), h)))))
-        table = _literal([{"id": id_, "field": place[name], "pattern": f"(?i){pattern}"} for id_, name, pattern, _ in expressions], "array<struct<id:int,field:int,pattern:string>>")
+        tried = F.array_distinct(F.concat(_literal(free, "array<int>"), F.flatten(F.transform("__h.ids", lambda h: F.get(_literal(postings, "array<array<int>>"), h)))))
+        table = _literal([{"id": number[id_], "field": place[name], "pattern": f"(?i){pattern}"} for id_, name, pattern, _ in expressions], "array<struct<id:int,field:int,pattern:string>>")
         texts_ = F.array(*[F.col(f"__v{i}") for i in range(n)])
         rows = rows.withColumn("__values", texts_).withColumn("__tried", tried)
         hit = lambda k: F.coalesce(F.regexp_like(F.get(F.col("__values"), F.get(table, k)["field"]), F.get(table, k)["pattern"]), F.lit(False))
-        rows = rows.withColumn("__hits", F.concat("__hits", F.transform(F.filter("__tried", hit), lambda k: F.get(table, k)["id"])))
-    by_atom: list[list[int]] = [[] for _ in index.atoms]
+        rows = rows.withColumn("__others", F.concat("__others", F.transform(F.filter("__tried", hit), lambda k: F.get(table, k)["id"])))
+    by_atom: list[list[int]] = [[] for _ in keys]
     always = []
     for r, condition in enumerate(conditions):
         if condition.triggers is None:
             always.append(r)
         for t in condition.triggers or ():
-            by_atom[t].append(r)
-    looked_at = F.array_distinct(F.concat(_literal(always, "array<int>"), F.flatten(F.transform("__hits", lambda h: F.get(_literal(by_atom, "array<array<int>>"), h)))))
-    rows = rows.withColumn("__looked_at", looked_at)
-    programs = _literal([c.program for c in conditions], "array<array<int>>")
-    return rows.select(*keep, F.array_sort(F.filter("__looked_at", lambda r: _holds(F.get(programs, r), F.col("__hits")))).alias("__rules"))
+            by_atom[number[t]].append(r)
+    looked_at = F.array_distinct(F.concat(_literal(always, "array<int>"), F.flatten(F.transform(F.concat("__h.ids", "__others"), lambda h: F.get(_literal(by_atom, "array<array<int>>"), h)))))
+    rows = rows.withColumn("__looked_at", looked_at).withColumn("__bits", F.col("__h.bits"))
+    programs = _literal([[number[x] if x >= 0 else x for x in c.program] for c in conditions], "array<array<int>>")
+    return rows.select(*keep, F.array_sort(F.filter("__looked_at", lambda r: _holds(F.get(programs, r), F.col("__bits"), n_literals, F.col("__others")))).alias("__rules"))

@@ -314,7 +314,7 @@ def q_search(spark, sf_dir):
 @query("select doc_id, lang from documents where contains(lower(concat_ws(' ', text, lang, source)), 'licensed under cc by')")
 def q_search_indexed(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    index = TextIndex.build(docs.select("doc_id", "lang", "source", "text"), F.concat_ws(" ", "text", "lang", "source"))
+    index = TextIndex.build(docs.select("doc_id", "lang", "source", "text"), F.concat_ws(" ", "text", "lang", "source"), blocks=32)
     return index.search("Licensed UNDER CC BY").select("doc_id", "lang")
 
 
@@ -322,7 +322,7 @@ def q_search_indexed(spark, sf_dir):
 from documents join (values ('licensed under cc by'), ('@'), ('the ed and')) v(needle) on contains(lower(text), needle) group by needle""")
 def q_frequency_indexed(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("artifact"), F.create_map(F.lit("text"), F.coalesce("text", F.lit(""))).alias("row"))
-    hunt = Hunt(rows).indexed()
+    hunt = Hunt(rows).indexed(blocks=32)
     found = [hunt.frequency(text).withColumn("needle", F.lit(text)) for text in ("licensed under cc by", "@", "the ed and")]
     return reduce(DataFrame.unionByName, found).filter("n > 0").select("needle", "n", "class", "artifacts")
 
@@ -455,7 +455,7 @@ hits as (select i, doc_id from r join d on contains(low, part) where case i % 5
   when 3 then regexp_matches(low, part || '[a-z]+\\.') else contains(low, ' the ') end)
 select 'r' || i as rule, case when i % 2 = 0 then 60 else 25 end::int as score, count(*)::bigint as n, min(doc_id) as first_doc, max(doc_id) as last_doc from hits group by i""")
 def q_rules_indexed(spark, sf_dir):
-    found = U.scan(table(spark, sf_dir, "documents"), _many_rules(), keep=("doc_id",))
+    found = U.scan(spread(table(spark, sf_dir, "documents")), _many_rules(), keep=("doc_id",))
     return found.groupBy("rule", "score").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
 
 

@@ -94,7 +94,7 @@ def scan_files(files: DataFrame, rules: tuple[ContentRule, ...] = RULES) -> Data
     characters = F.decode("bytes", "ISO-8859-1")
     rows = files.select("path", "block", "at", characters.alias("own"))
     rows = rows.withColumn("fold", F.translate("own", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    hits = rows.withColumn("hits", literal_hits([F.col("own"), F.col("fold")], literals)).select("path", "block", "at", "own", "fold", F.explode("hits").alias("string"))
+    hits = rows.withColumn("hits", literal_hits([F.col("own"), F.col("fold")], literals)["ids"]).select("path", "block", "at", "own", "fold", F.explode("hits").alias("string"))
     entry = F.get(known, F.col("string"))
     where = F.filter(F.transform(entry["spelt"], lambda x: F.struct(F.instr(F.when(entry["fold"], F.col("fold")).otherwise(F.col("own")), x).alias("p"), F.char_length(x).alias("n"))), lambda x: x["p"] > 0)
     place = F.array_min(where)
