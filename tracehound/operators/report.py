@@ -134,15 +134,15 @@ def persist_case(tables: dict[str, DataFrame], orders: dict[str, list], path: st
 
 
 def sections(findings: DataFrame, coverage: DataFrame, parts: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-    """The tables of a report by name. Of parts those that are there become sections: iocs, techniques, timeline, gaps,
+    """The tables of a report by name. Of parts those that are there become sections: iocs, techniques (that analysts name), timeline, gaps,
     mapping (of a redaction), triage and rows (of the collection)."""
     parts = parts or {}
-    out = {"metrics": bottom_line(metrics(findings)), "coverage": coverage, "tactics": technique_coverage(findings), "findings": findings.withColumn("why", meaning(F.col("category")))}
+    out = {"metrics": bottom_line(metrics(findings)), "coverage": coverage, "techniques": technique_coverage(findings), "findings": findings.withColumn("why", meaning(F.col("category")))}
     make = {
         "iocs": lambda x: ordered_iocs(x), "techniques": lambda x: ordered_techniques(x), "timeline": lambda x: x.orderBy("timestamp"), "gaps": gap_status, "mapping": count_by_category,
         "triage": lambda x: findings.join(x.select("id", "verdict"), "id").groupBy("verdict").agg(F.count("*").alias("n")), "rows": lambda x: statistics(findings, x),
     }
-    named = {"gaps": "knowledge_gaps", "mapping": "anonymization", "triage": "finding_triage", "rows": "detection_statistics"}
+    named = {"techniques": "mitre_techniques", "gaps": "knowledge_gaps", "mapping": "anonymization", "triage": "finding_triage", "rows": "detection_statistics"}
     return out | {named.get(k, k): make[k](df) for k, df in parts.items()}
 
 

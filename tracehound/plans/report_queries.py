@@ -147,7 +147,7 @@ def q_finding_batches(spark, sf_dir):
 select 'findings' as section, coalesce(severity, '') as part, count(*)::bigint as n from f group by 2 union all select 'finding_triage', ['benign', 'false_positive'][event_id % 2 + 1], count(*) from f where event_id % 5 = 0 group by 2
 union all select 'knowledge_gaps', case when q = 1 then 'resolved_cloud' when q = 3 then 'resolved_local' else 'pending' end, count(*) from gaps group by 2
 union all select 'anonymization', source, count(*) from documents group by 2 union all select 'iocs', type, count(*) from (select event_type as type from events where event_type = 'error') group by 2
-union all select 'techniques', mitre, count(*) from f where mitre <> '' group by 2 union all select 'timeline', '', count(*) from events
+union all select 'mitre_techniques', mitre, count(*) from f where mitre <> '' group by 2 union all select 'timeline', '', count(*) from events
 union all select 'detection_statistics', name, n from ({ORACLES['q_detection_statistics'].replace('with ' + _F, '').strip()}) union all select 'metrics', 'Likely incident: several findings of high severity.', count(*) from f""")
 def q_report_sections(spark, sf_dir):
     """All tables of a report, each as counts of its parts."""
@@ -161,7 +161,7 @@ def q_report_sections(spark, sf_dir):
         "triage": f.filter("id % 5 = 0").select("id", F.get(F.array(F.lit("benign"), F.lit("false_positive")), (F.col("id") % 2).cast("int")).alias("verdict")),
     }
     tables = P.sections(f, f.groupBy("artifact").agg(F.count("*").alias("n")), parts)
-    told = {"findings": ("severity", 1), "finding_triage": ("verdict", "n"), "knowledge_gaps": ("status", 1), "anonymization": ("category", "n"), "iocs": ("type", 1), "techniques": ("technique", 1), "timeline": (None, 1), "detection_statistics": ("name", "n"), "metrics": ("bottom_line", "findings")}
+    told = {"findings": ("severity", 1), "finding_triage": ("verdict", "n"), "knowledge_gaps": ("status", 1), "anonymization": ("category", "n"), "iocs": ("type", 1), "mitre_techniques": ("technique", 1), "timeline": (None, 1), "detection_statistics": ("name", "n"), "metrics": ("bottom_line", "findings")}
     out = None
     for name, (part, n) in told.items():
         counted = tables[name].groupBy((F.col(part) if part else F.lit("")).alias("part")).agg(F.sum(F.lit(1) if n == 1 else F.col(n)).alias("n")).select(F.lit(name).alias("section"), "part", F.col("n").cast("long").alias("n"))
