@@ -363,3 +363,13 @@ def test_one_row_repeated_is_many_cells(spark, monkeypatch):
     for _, g in out.groupby("shard"):
         assert sorted(g["slot"]) == list(range(len(g)))
     assert seen["shard-placed"].groupBy("shard", "cell").agg(F.sum("copies").alias("n")).agg(F.max("n")).first()[0] < 1800
+
+
+def test_url_rules_are_those_of_the_contract(spark, tmp_path):
+    from tracehound.llm.queries import URL_RULES, op5_url_filters
+
+    contract = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+    assert ", ".join(f"{verdict} {host}{path}" for host, path, verdict in URL_RULES) == contract
+    pages = [(1, "http://a.net/de/1", "net/de/", "allow"), (2, "http://example.net/de/81", "example.net/de/8", "block"), (3, "http://example.net/de/7", "net/de/", "allow"), (4, "http://a.com/en/7", "com/en/", "block")]
+    spark.createDataFrame([p[:2] for p in pages], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted((r["page_id"], r["rule"], r["verdict"]) for r in op5_url_filters(spark, str(tmp_path)).collect()) == [(i, rule, verdict) for i, _, rule, verdict in pages]
