@@ -44,3 +44,16 @@ def test_replacement_is_one_pass_and_longest_first(spark):
     own = spark.createDataFrame([(k, [(a, b) for a, b in pairs.items()]) for k in (1, 3, 4, 5)], "k int, pairs array<struct<a:string,b:string>>")
     got = {r["k"]: r["o"] for r in X._replace(own, rows, "k", "t", "o").collect()}
     assert got == {1: "a.bc [2] $1\\ Q a", 2: "none", 3: None, 4: "", 5: "a.bca.bc"}
+
+
+def test_copies_of_a_text_are_redacted_once(spark, monkeypatch):
+    met = []
+    real = X.candidates
+    monkeypatch.setattr(X, "candidates", lambda rows, *a, **b: (met.append(rows.count()), real(rows, *a, **b))[1])
+    texts = ["mail a@b.cz and 10.0.0.1", "nothing", None]
+    df = spark.createDataFrame([(i, texts[i % 3]) for i in range(300)], "i long, text string")
+    hidden, mapping = X.redact(df, "i", "text")
+    shown = {r["i"]: r["redacted"] for r in hidden.collect()}
+    assert met == [3] and len(shown) == 300 and all(shown[i] == ("mail [EMAIL_1] and [PRIVATE_IP_1]", "nothing", None)[i % 3] for i in shown)
+    back = {r["i"]: r["restored"] for r in X.restore(hidden.select("i", "redacted"), "i", "redacted", mapping).collect()}
+    assert back == {i: texts[i % 3] for i in range(300)}

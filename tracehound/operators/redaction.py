@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracehound.functions.scalars import any_of
 from tracehound.functions.tables import KNOWN_EXTERNAL_DOMAINS, PII_PATTERNS, SAFE_ADDRESSES, SYSTEM_ACCOUNTS, SYSTEM_SIDS
-from tracehound.sources.staging import staged
+from tracehound.sources.staging import near, spread, staged
+
+#: Bytes of texts that are sent to every task.
+SENT_BYTES = 32 << 20
 
 
 def pattern_of(category_pattern: tuple[str, str, int]) -> str:
@@ -52,36 +57,65 @@ def dictionary(found: DataFrame) -> DataFrame:
     return parts.join(starts, ["category", "part"]).select("original", "category", F.concat(F.lit("["), F.upper("category"), F.lit("_"), number.cast("string"), F.lit("]")).alias("anonymized"))
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value made once a row however often `then` names it, also where a filter on the result is moved."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _replace(own: DataFrame, rows: DataFrame, key: str, text: str, out: str) -> DataFrame:
     """own(key, pairs): each text with its own pairs replaced in one pass from left to right, longer values first.
 
     The row's values are one regular expression; the text is what stands between its matches and, in turn, what the matches
     stand for. All of it is Column code: no row leaves the JVM.
     """
-    by_length = F.array_sort("pairs", lambda x, y: F.char_length(y["a"]) - F.char_length(x["a"]))
+    by_length = lambda pairs: F.array_sort(pairs, lambda x, y: F.char_length(y["a"]) - F.char_length(x["a"]))
     quoted = lambda v: F.concat(F.lit("\\Q"), F.replace(v, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    both = rows.join(own, key, "left")
-    both = both.withColumn("__any", F.array_join(F.transform(by_length, lambda p: quoted(p["a"])), "|")).withColumn("__table", F.map_from_entries("pairs"))
-    between, found = F.split(F.col(text), F.col("__any"), -1), F.regexp_extract_all(F.col(text), F.col("__any"), F.lit(0))
-    both = both.withColumn("__found", F.when(F.col("__any") != "", F.transform(found, lambda m: F.col("__table")[m])))
-    told = F.array_join(F.zip_with(between, "__found", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return both.withColumn(out, F.when(F.size("__found") > 0, told).otherwise(F.col(text))).drop("pairs", "__any", "__table", "__found")
+    whole = F.col(text)
+
+    def told(expression: Column) -> Column:
+        shown = lambda table: F.transform(F.regexp_extract_all(whole, expression, F.lit(0)), lambda m: table[m])
+        between = F.split(whole, expression, -1)
+        return F.array_join(F.zip_with(between, _once(F.map_from_entries("pairs"), shown), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    replaced = _once(F.array_join(F.transform(by_length(F.col("pairs")), lambda p: quoted(p["a"])), "|"), told)
+    return rows.join(own, key, "left").withColumn(out, F.when(F.size("pairs") > 0, replaced).otherwise(whole)).drop("pairs")
+
+
+def _by_text(rows: DataFrame, key: str, text: str, out: str, work: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """rows with `out` as work(rows, key) makes it of their texts: of each different text once, where copies are half of the rows or more."""
+    n, kinds = rows.agg(F.count("*"), F.approx_count_distinct(text)).first()
+    if 2 * kinds > n:
+        return work(spread(rows), key)
+    texts = staged(rows.select(text).distinct().withColumn("__t", F.monotonically_increasing_id()), "pii-texts")
+    made = staged(work(spread(texts), "__t").select(F.col(text).alias("__same"), out), "pii-made")
+    n, size = made.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("__same") + F.octet_length(out)), F.lit(0))).first()
+    return rows.join(near(made, n) if size <= SENT_BYTES else made, F.col(text) == F.col("__same"), "left").drop("__same")
 
 
 def redact(rows: DataFrame, key: str, text: str, out: str = "redacted", patterns=PII_PATTERNS) -> tuple[DataFrame, DataFrame]:
     """(rows with `out`, dictionary). Each row meets only the values that it holds."""
-    found = staged(candidates(rows, key, text, patterns).select(key, "category", "value", "priority").distinct(), "pii-found")
-    mapping = staged(dictionary(found), "pii-dictionary")
-    pairs = found.select(key, "value").distinct().join(mapping, F.col("value") == F.col("original"))
-    own = pairs.groupBy(key).agg(F.collect_list(F.struct(F.col("original").alias("a"), F.col("anonymized").alias("b"))).alias("pairs"))
-    return _replace(own, rows, key, text, out), mapping
+    mapping = None
+
+    def hidden(rows: DataFrame, key: str) -> DataFrame:
+        nonlocal mapping
+        found = staged(candidates(rows, key, text, patterns).select(key, "category", "value", "priority").distinct(), "pii-found")
+        mapping = staged(dictionary(found), "pii-dictionary")
+        pairs = found.select(key, "value").distinct().join(mapping, F.col("value") == F.col("original"))
+        own = pairs.groupBy(key).agg(F.collect_list(F.struct(F.col("original").alias("a"), F.col("anonymized").alias("b"))).alias("pairs"))
+        return _replace(own, rows, key, text, out)
+
+    return _by_text(rows, key, text, out, hidden), mapping
 
 
 def restore(rows: DataFrame, key: str, text: str, mapping: DataFrame, out: str = "restored") -> DataFrame:
     """Placeholders back to what they stand for."""
-    held = rows.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"\[[A-Z0-9_]+_\d+\]"), F.lit(0)))).alias("anonymized"))
-    own = held.join(mapping, "anonymized").groupBy(key).agg(F.collect_list(F.struct(F.col("anonymized").alias("a"), F.col("original").alias("b"))).alias("pairs"))
-    return _replace(own, rows, key, text, out)
+
+    def back(rows: DataFrame, key: str) -> DataFrame:
+        held = rows.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"\[[A-Z0-9_]+_\d+\]"), F.lit(0)))).alias("anonymized"))
+        own = held.join(mapping, "anonymized").groupBy(key).agg(F.collect_list(F.struct(F.col("anonymized").alias("a"), F.col("original").alias("b"))).alias("pairs"))
+        return _replace(own, rows, key, text, out)
+
+    return _by_text(staged(rows, "pii-hidden"), key, text, out, back)
 
 
 def merge_mappings(known: DataFrame, new: DataFrame) -> DataFrame:
