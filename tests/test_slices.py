@@ -85,3 +85,9 @@ def test_small_tables_are_dealt_to_all_cores(spark, tmp_path):
     cores = spark.sparkContext.defaultParallelism
     assert staging.spread(one).rdd.getNumPartitions() == cores and staging.spread(one).count() == 1000
     assert staging.spread(many) is many or many.rdd.getNumPartitions() < cores
+
+
+def test_backward_frames_are_not_folded_anew_for_each_row(spark):
+    df = sliced(spark.range(50).withColumn("k", F.lit("a")), ["k"], ["id"], "test", 3)
+    plan = running(df, ["k"], ["id"], {"m": ("min", F.col("id"))}, forward=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding" in plan.lower() and "unboundedfollowing" not in plan.lower()

@@ -29,10 +29,11 @@ def running(rows: DataFrame, keys: list[str], order: list[str], values: dict[str
     """rows(…, __slice) with a running value for each of values(name: (sum, max or min, column)): over the rows of the same
     keys up to the row itself, or before it if not own; from the row to the last if not forward. Slices need not be
     made by sliced(): with sent=False what is folded is joined by key, for slices of which there may be very many."""
-    before, after = Window.unboundedPreceding, Window.unboundedFollowing
-    frame = (before, 0 if own else -1) if forward else (0 if own else 1, after)
-    local = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(*frame)
-    past = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(*((before, -1) if forward else (1, after)))
+    # Backwards is the reverse order: a frame up to the last row is folded anew for each row, one from the first goes on.
+    directed = lambda names: [F.col(n).asc() if forward else F.col(n).desc() for n in names]
+    before = Window.unboundedPreceding
+    local = Window.partitionBy(*keys, SLICE).orderBy(*directed(order)).rowsBetween(before, 0 if own else -1)
+    past = Window.partitionBy(*keys).orderBy(*directed([SLICE])).rowsBetween(before, -1)
     made = rows.withColumns({f"__v_{name}": value for name, (_, value) in values.items()})
     totals = made.groupBy(*keys, SLICE).agg(*[_OF[how](f"__v_{name}").alias(f"__t_{name}") for name, (how, _) in values.items()])
     carried = totals.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(SLICE).alias("__at"), *[_OF[how](f"__t_{name}").over(past).alias(f"__c_{name}") for name, (how, _) in values.items()], F.count("*").over(past).alias("__n"))
