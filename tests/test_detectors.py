@@ -102,3 +102,13 @@ def test_an_engine_without_caps_gives_all(spark):
     cut, whole = count(Engine()), count(Engine(uncut=True))
     assert cut["Potential beaconing"] == 10 and cut["Double extension file (masquerading)"] == 50 and cut["120 executables in suspicious locations"] == 1
     assert whole["Potential beaconing"] == 14 and whole["Double extension file (masquerading)"] == 120 and whole["Executable in suspicious location"] == 120 and len(whole) == 3
+
+
+def test_a_large_connection_log_stays_dealt_and_each_line_is_parted_once(spark):
+    head = ("h", "zeek_conn", -1, "f", {"raw": "#fields\tid.resp_p\tproto\torig_bytes"})
+    rows = spark.createDataFrame([head, *[("h", "zeek_conn", i, "f", {"raw": f"{4444 if i % 10 == 0 else 443}\ttcp\t5"}) for i in range(200)]], SCHEMA).repartition(4)
+    found = text_logs(rows)
+    plan = found._jdf.queryExecution()
+    assert "SortMergeJoin" not in plan.executedPlan().toString() and plan.optimizedPlan().toString().count("map_from_arrays") == 1
+    assert sorted(r["row_index"] for r in found.collect()) == list(range(0, 200, 10))
+    assert text_logs(rows.limit(0)).count() == 0

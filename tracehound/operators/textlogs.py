@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tracehound.functions import scalars as S
 from tracehound.functions.scalars import alias
+from tracehound.sources.staging import near, staged
 
-from .findings import emit, union
+from .findings import Branch, branch, emit, union
 
 c, lit = F.col, F.lit
 
@@ -73,6 +74,9 @@ def zeek_records(rows: DataFrame) -> DataFrame:
     line = alias(c("row"), "raw", "line")
     lines = rows.withColumn("line", line)
     heads = lines.filter(c("line").startswith("#fields\t")).groupBy("artifact", "source_file").agg(F.min_by("line", "row_index").alias("head"))
+    # One row a file, so that a file of any size is joined where its lines are.
+    heads = staged(heads, "zeek-heads")
+    heads = near(heads, heads.count())
     names = F.split(F.regexp_replace("head", "^#fields\t", ""), "\t")
     body = lines.filter(~c("line").startswith("#") & (c("line") != ""))
     joined = body.join(heads, (body["artifact"] == heads["artifact"]) & body["source_file"].eqNullSafe(heads["source_file"])).drop(heads["artifact"]).drop(heads["source_file"])
@@ -81,7 +85,8 @@ def zeek_records(rows: DataFrame) -> DataFrame:
     return joined.withColumn("rec", F.map_from_arrays(F.slice(names, 1, n), F.slice(values, 1, n)))
 
 
-def zeek(rows: DataFrame, kind: str) -> DataFrame:
+def zeek(rows: DataFrame, kind: str) -> Branch:
+    """Left to union(), where a line is parted once for all that its fields are asked for."""
     own = zeek_records(rows)
     get = lambda n: F.coalesce(c("rec")[n], lit(""))
     source, target, port_ = get("id.orig_h"), get("id.resp_h"), get("id.resp_p")
@@ -89,13 +94,13 @@ def zeek(rows: DataFrame, kind: str) -> DataFrame:
         out, back, seconds = (F.coalesce(get(n).try_cast("double"), lit(0.0)) for n in ("orig_bytes", "resp_bytes", "duration"))
         odd = (out > LARGE_BYTES) | (back > LARGE_BYTES) | ((get("proto") == "tcp") & port_.isin("4444", "1337", "31337", "9001", "8888")) | ((seconds > LONG_SECONDS) & (out > 1_000_000))
         severity = F.when(port_.isin("4444", "1337", "31337"), "high").otherwise("medium")
-        return emit(own, "network_anomaly", severity, F.concat(lit("Zeek: suspicious connection "), source, lit(">"), target, lit(":"), port_), F.concat_ws(" ", get("proto"), get("conn_state")), _score(severity), F.when(out > LARGE_BYTES, "T1041").otherwise("T1071"), {"source_ip": source, "remote": target, "port": port_, "orig_bytes": get("orig_bytes")}, odd)
+        return branch(own, "network_anomaly", severity, F.concat(lit("Zeek: suspicious connection "), source, lit(">"), target, lit(":"), port_), F.concat_ws(" ", get("proto"), get("conn_state")), _score(severity), F.when(out > LARGE_BYTES, "T1041").otherwise("T1071"), {"source_ip": source, "remote": target, "port": port_, "orig_bytes": get("orig_bytes")}, odd)
     if kind == "dns":
         q = get("query")
         long = (F.char_length(q) > 50) | (F.char_length(q) - F.char_length(F.replace(q, lit("."), lit(""))) > 5)
-        return emit(own, "network_anomaly", "medium", F.concat(lit("Zeek DNS: suspicious query "), F.substring(q, 1, 60)), F.concat_ws(" ", get("qtype_name"), source), 45, F.when(long, "T1568").otherwise("T1071.004"), {"query": q, "qtype": get("qtype_name"), "src": source}, long | get("qtype_name").isin("TXT", "NULL", "ANY"))
+        return branch(own, "network_anomaly", "medium", F.concat(lit("Zeek DNS: suspicious query "), F.substring(q, 1, 60)), F.concat_ws(" ", get("qtype_name"), source), 45, F.when(long, "T1568").otherwise("T1071.004"), {"query": q, "qtype": get("qtype_name"), "src": source}, long | get("qtype_name").isin("TXT", "NULL", "ANY"))
     odd = S.matches(get("uri"), SUSPICIOUS_URI) | (get("method").isin("PUT", "DELETE") & get("host").isin("", "-"))
-    return emit(own, "network_anomaly", "high", F.concat(lit("Zeek HTTP: suspicious "), get("method"), lit(" "), F.substring(get("uri"), 1, 60)), F.concat_ws(" ", source, get("host")), 60, "T1190", {"uri": get("uri"), "method": get("method"), "host": get("host"), "src": source}, odd)
+    return branch(own, "network_anomaly", "high", F.concat(lit("Zeek HTTP: suspicious "), get("method"), lit(" "), F.substring(get("uri"), 1, 60)), F.concat_ws(" ", source, get("host")), 60, "T1190", {"uri": get("uri"), "method": get("method"), "host": get("host"), "src": source}, odd)
 
 
 def system_log(rows: DataFrame) -> DataFrame:
@@ -115,7 +120,15 @@ def exported_rows(rows: DataFrame) -> DataFrame:
 
 
 def text_logs(rows: DataFrame) -> DataFrame:
-    """Findings of all text logs of a collection, each read in its own format."""
-    placed = rows.join(log_format(rows), "artifact")
-    of = lambda f: placed.filter(c("format") == f).drop("format")
-    return union(sensor_alerts(of("suricata")), access_log(of("apache")), zeek(of("zeek_conn"), "conn"), zeek(of("zeek_dns"), "dns"), zeek(of("zeek_http"), "http"), system_log(of("syslog")), exported_rows(of("csv")))
+    """Findings of all text logs of a collection, each read in its own format. Rows are routed once, into a folder a format; the
+    formats are a row an artifact, so that an artifact of any size stays dealt to the tasks that read it."""
+    formats = staged(log_format(rows), "textlog-formats")
+    kinds = [r[0] for r in formats.select("format").distinct().collect()]
+    placed = staged(rows.join(near(formats, formats.count()), "artifact"), "textlog-rows", by="format")
+    readers = {
+        "suricata": sensor_alerts, "apache": access_log, "zeek_conn": lambda own: zeek(own, "conn"), "zeek_dns": lambda own: zeek(own, "dns"), "zeek_http": lambda own: zeek(own, "http"),
+        "syslog": system_log, "csv": exported_rows,
+    }
+    # A collection without rows has the findings' columns still.
+    held = [f for f in readers if f in kinds] or ["syslog"]
+    return union(*[readers[f](placed.filter(c("format") == f).drop("format")) for f in held])
