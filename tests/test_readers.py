@@ -86,3 +86,20 @@ def test_no_files_give_no_rows(spark, tmp_path):
     (tmp_path / "x.json").write_text(" \n")
     assert collection.read_json(spark, str(tmp_path)).count() == 0
     assert collection.read_jsonl(spark, str(tmp_path)).select(F.col("row_index")).count() == 0
+
+
+def test_a_path_is_read_once_for_each_list(spark):
+    from pyspark.sql import functions as F
+
+    from tracehound.functions.tables import SCANNABLE_EXTENSIONS, SECURITY_SOFTWARE_PATHS
+    from tracehound.sources.content import scannable
+
+    paths = [f"/a/{i}{e.upper()}" for i, e in enumerate(SCANNABLE_EXTENSIONS)] + [f"/x{p}y{SCANNABLE_EXTENSIONS[0]}" for p in SECURITY_SOFTWARE_PATHS] + ["/a/b.nothing", "/a/b" + SCANNABLE_EXTENSIONS[0] + "\n", "/a/b" + SCANNABLE_EXTENSIONS[0][1:].replace(".", "x")]
+    df = spark.createDataFrame([(p,) for p in paths], "p string").select("p", scannable(F.col("p"), F.lit(5)).alias("ok"))
+
+    def plain(p):
+        low = p.replace("/", "\\").lower()
+        return p.lower().endswith(tuple(SCANNABLE_EXTENSIONS)) and not any(s.replace("/", "\\") in low for s in SECURITY_SOFTWARE_PATHS)
+
+    assert {r["p"]: r["ok"] for r in df.collect()} == {p: plain(p) for p in paths}
+    assert df._jdf.queryExecution().analyzed().toString().count("lower(") <= 3

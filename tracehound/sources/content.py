@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracehound.functions.literals import Literal, literal_hits
-from tracehound.functions.scalars import any_of
 from tracehound.functions.tables import SCANNABLE_EXTENSIONS, SECURITY_SOFTWARE_PATHS
 
 from .json_objects import file_name
@@ -50,10 +50,11 @@ RULES = (
 
 def scannable(path: Column, length: Column, most: int | None = MOST_BYTES, endings: tuple[str, ...] = SCANNABLE_EXTENSIONS) -> Column:
     """One byte to `most` bytes (any number if None), one of the endings, and not in a folder of security software."""
-    low = F.lower(F.translate(path, "/", "\\"))
-    ending = any_of([F.lower(path).endswith(e) for e in endings])
+    # Each list is one expression, so that the path, which stands in every piece of a file, is read once for it.
+    listed = lambda texts: "|".join(re.escape(t) for t in texts)
+    ending = F.lower(path).rlike(rf"(?:{listed(endings)})\z") if endings else F.lit(False)
     size = length >= 1 if most is None else length.between(1, most)
-    return size & ending & ~any_of([F.contains(low, F.lit(p.replace("/", "\\"))) for p in SECURITY_SOFTWARE_PATHS])
+    return size & ending & ~F.lower(F.translate(path, "/", "\\")).rlike(listed(dict.fromkeys(p.replace("/", "\\") for p in SECURITY_SOFTWARE_PATHS)))
 
 
 def read_files(spark: SparkSession, folder: str, most: int | None = MOST_BYTES, endings: tuple[str, ...] = SCANNABLE_EXTENSIONS) -> DataFrame:
