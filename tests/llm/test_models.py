@@ -313,3 +313,25 @@ def test_tokens_of_odd_rows(spark):
     out = corpus_pipeline.tokens(spark, docs, "").collect()
     assert len(out) == len(ODD_DOCS) and {r["n_tokens"] for r in out if r["doc_id"] in (2, 3)} == {0}
     assert corpus_pipeline.tokens(spark, docs.limit(0), "").count() == 0
+
+
+def test_short_words_merge_as_long_ones_and_frequent_strings_stay():
+    import random
+
+    import public_tokenizers
+
+    from tracehound.llm.bpe import merge, merged_short, vocabulary
+    from tracehound.llm.token_counts import Kept
+
+    v, rng = vocabulary(public_tokenizers.path("word_bpe_49k.json")), random.Random(3)
+    for _ in range(2000):
+        symbols = v.symbols("".join(rng.choice("aaabetinosr") for _ in range(rng.randint(1, 30))))
+        by_heap = symbols.copy()
+        merge(by_heap, v.pairs, v.size)
+        assert merged_short(symbols, v.pairs, v.size) == [t for t in by_heap if t >= 0]
+    made = []
+    kept = Kept(lambda s: (made.append(s), len(s))[1], 100)
+    for i in range(1000):
+        assert kept["often"] == 5 and kept[f"r{i}"] == len(f"r{i}")
+        assert len(kept) + len(kept.older) <= 100
+    assert made.count("often") == 1

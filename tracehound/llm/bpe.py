@@ -143,3 +143,19 @@ def merge(symbols: list[int], pairs: dict[int, int], size: int) -> int:
         if h >= 0 and (found := get(symbols[h] * size + new)) is not None:
             push(heap, (found // size, h, found % size, symbols[h], new))
     return merges
+
+
+def merged_short(symbols: list[int], pairs: dict[int, int], size: int) -> list[int]:
+    """The tokens of a few symbols, as merge() makes them: always the first of the adjacent pairs of least rank. A scan of a
+    short list costs less than a heap."""
+    get, none = pairs.get, size * size
+    found = [get(a * size + b, none) for a, b in zip(symbols, symbols[1:])]
+    while found and (least := min(found)) != none:
+        i, new = found.index(least), least % size
+        symbols[i : i + 2] = [new]
+        del found[i]
+        if i:
+            found[i - 1] = get(symbols[i - 1] * size + new, none)
+        if i < len(found):
+            found[i] = get(new * size + symbols[i + 1], none)
+    return symbols

@@ -10,31 +10,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .bpe import Vocabulary, merge, vocabulary
+from .bpe import Vocabulary, merge, merged_short, vocabulary
 from .shared import text_or_empty
 
-#: Words and strings between spaces whose counts a Python process keeps, and the longest such.
+#: Strings whose values a Python process keeps, strings whose counts it keeps (a number each), and the longest such.
 KEPT_WORDS = 100_000
+KEPT_COUNTS = 500_000
 KEPT_LENGTH = 40
+#: Symbols up to which a word is merged by scans.
+SHORT = 48
 
 
 def count_word(word: str, v: Vocabulary) -> int:
     """Initial symbols minus merges."""
     symbols = v.symbols(word)
+    if len(symbols) <= SHORT:
+        return len(merged_short(symbols, v.pairs, v.size))
     return len(symbols) - merge(symbols, v.pairs, v.size)
 
 
 class Kept(dict):
-    """Values by string, made when first asked for; of bounded size."""
+    """Values by string, made when first asked for; at most `most`. In the newer half is what was asked for since it was
+    begun; once it is full it becomes the older half, of which only what is asked for again is kept on. So frequent strings
+    stay, whatever number of rare ones passes."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = KEPT_WORDS):
         super().__init__()
-        self.make = make
+        self.make, self.half, self.older = make, max(1, most // 2), {}
 
     def __missing__(self, word: str):
-        value = self.make(word)
+        value = self.older.pop(word, None)
+        if value is None:
+            value = self.make(word)
         if len(word) <= KEPT_LENGTH:
-            if len(self) >= KEPT_WORDS:
+            if len(self) >= self.half:
+                self.older = dict(self)
                 self.clear()
             self[word] = value
         return value
@@ -44,9 +54,15 @@ class Counter:
     """Token counts of texts. No word reaches over a space, so what stands between spaces is counted by itself."""
 
     def __init__(self, v: Vocabulary):
-        words = Kept(lambda word: count_word(word, v))
         self.v = v
-        self.chunks = Kept(lambda chunk: sum(map(words.__getitem__, v.split(chunk))))
+        self.chunks = Kept(self._chunk, KEPT_COUNTS)
+
+    def _chunk(self, chunk: str) -> int:
+        """Of a word, which is a chunk of its own, or of words that stand without a space between them."""
+        n = 0
+        for word in self.v.split(chunk):
+            n += count_word(word, self.v) if word == chunk else self.chunks[word]
+        return n
 
     def count(self, text: str) -> int:
         get = self.chunks.__getitem__

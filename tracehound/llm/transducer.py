@@ -20,9 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Vocabulary, merge, vocabulary
+from .bpe import Vocabulary, merge, merged_short, vocabulary
 from .shared import text_or_empty
-from .token_counts import KEPT_LENGTH, Kept
+from .token_counts import KEPT_LENGTH, SHORT, Kept
 
 @functools.lru_cache(maxsize=4)
 def sufficient_lookahead(path: str) -> int:
@@ -103,7 +103,12 @@ class Encoder:
         return self._word(chunk) if words == [chunk] else b"".join(map(self.chunks.__getitem__, words))
 
     def _word(self, word: str) -> bytes:
-        return array("I", encode_symbols(_stream(word, self.v), self.v, self.lookahead)).tobytes()
+        """The ids of a word short enough to be kept, whose symbols are one window."""
+        symbols = self.v.symbols(word)
+        if len(symbols) <= SHORT:
+            return array("I", merged_short(symbols, self.v.pairs, self.v.size)).tobytes()
+        merge(symbols, self.v.pairs, self.v.size)
+        return array("I", [t for t in symbols if t >= 0]).tobytes()
 
     def _long(self, chunk: str) -> Iterator[bytes]:
         """Of a chunk too long to be kept the ids go out as they become stable."""
