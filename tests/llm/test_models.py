@@ -335,3 +335,27 @@ def test_short_words_merge_as_long_ones_and_frequent_strings_stay():
         assert kept["often"] == 5 and kept[f"r{i}"] == len(f"r{i}")
         assert len(kept) + len(kept.older) <= 100
     assert made.count("often") == 1
+
+
+def test_words_merged_in_step(monkeypatch):
+    """Many words at once give the tokens of one after another, and digests do not depend on lots or on what is kept."""
+    import random
+    from array import array
+
+    from tracehound.llm.bpe import merged_many
+
+    rng, v = random.Random(11), vocabulary(PATH)
+    words = ["".join(rng.choice("aabcdeehinorst'.!é1ßЖ") for _ in range(rng.randint(1, 40))) for _ in range(800)] + ["a" * k for k in range(1, 30)]
+    tokens, ends = merged_many(words, v)
+    for word, start, end in zip(words, [0, *ends.tolist()], ends.tolist()):
+        symbols = v.symbols(word)
+        merge(symbols, v.pairs, v.size)
+        assert tokens[start:end].tolist() == [t for t in symbols if t >= 0]
+    assert len(merged_many([], v)[0]) == 0
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 60))) for _ in range(60)] + ["", "  ", "x" * 90 + " the\n\nthe <|endoftext|>the", "Ꟛ" * 50]
+    plain = [b"".join(transducer.encoder(PATH).encode(t)) for t in texts]
+    want = [(len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(" ".join(v.strings[i] for i in array("I", ids)).encode()).hexdigest()) for ids in plain]
+    assert list(transducer.Digester(PATH).digests(texts)) == want
+    monkeypatch.setattr(transducer, "LOT", 50)
+    monkeypatch.setattr(transducer, "KEPT_WORDS", 20)
+    assert list(transducer.Digester(PATH).digests(texts)) == want

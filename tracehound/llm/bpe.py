@@ -6,8 +6,10 @@ import functools
 import heapq
 import json
 import unicodedata
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import regex
 
 #: Characters of a text that are normalised and split at a time.
@@ -26,6 +28,8 @@ LATER = [
 #: Capitals that the standard library's database does not have yet, and their small letters.
 LATER_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
 LATER_CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+#: Any character from the first of them on, which few texts hold.
+_LATER_CAPITAL = re.compile(f"[{chr(min(LATER_CAPITALS))}-\U0010FFFF]")
 
 
 def byte_letters() -> list[str]:
@@ -94,8 +98,19 @@ class Vocabulary:
             if i % 2:
                 yield True, part
             elif part:
-                # Each letter by itself: no final sigma.
-                yield False, part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").translate(LATER_CAPITALS).lower()
+                yield False, part.lower() if part.isascii() else self._normal(unicodedata.normalize("NFC", part))
+
+    @staticmethod
+    def _normal(text: str) -> str:
+        """Each letter by itself: no final sigma."""
+        text = text.replace("Σ", "σ")
+        return (text.translate(LATER_CAPITALS) if _LATER_CAPITAL.search(text) else text).lower()
+
+    @functools.cached_property
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """inner, last, and pairs as sorted keys and their values."""
+        keys = np.array(sorted(self.pairs), dtype=np.int64)
+        return np.array(self.inner), np.array(self.last), keys, np.array([self.pairs[k] for k in keys.tolist()], dtype=np.int64)
 
     def symbols(self, word: str) -> list[int]:
         data = word.encode("utf-8", "surrogatepass")
@@ -159,3 +174,43 @@ def merged_short(symbols: list[int], pairs: dict[int, int], size: int) -> list[i
         if i < len(found):
             found[i] = get(new * size + symbols[i + 1], none)
     return symbols
+
+
+def merged_many(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, ends): the tokens of many words one after another, as merge() makes them, and where each word's end. All
+    words go in step: a round merges in each the first of its adjacent pairs of least rank, and words without one are done."""
+    inner, last, keys, values = v.arrays
+    if not words:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    data = [w.encode("utf-8", "surrogatepass") for w in words]
+    letters, ends = np.frombuffer(b"".join(data), dtype=np.uint8), np.cumsum([len(d) for d in data])
+    symbols = inner[letters]
+    symbols[ends - 1] = last[letters[ends - 1]]
+    word = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))
+    none = v.size * v.size
+
+    def pairs(at: np.ndarray) -> np.ndarray:
+        after = np.minimum(at + 1, len(symbols) - 1)
+        key = symbols[at] * v.size + symbols[after]
+        place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where((after > at) & (word[at] == word[after]) & (keys[place] == key), values[place], none)
+
+    found, done = pairs(np.arange(len(symbols))), []
+    while len(symbols):
+        starts = np.flatnonzero(np.diff(word, prepend=-1))
+        least = np.repeat(np.minimum.reduceat(found, starts), np.diff(starts, append=len(symbols)))
+        keep = least != none
+        if not keep.all():
+            done.append((word[~keep], symbols[~keep]))
+        at = np.flatnonzero(keep & (found == least))
+        at = at[np.diff(word[at], prepend=-1) != 0]
+        symbols[at] = least[at] % v.size
+        keep[at + 1] = False
+        changed = np.zeros(len(symbols), dtype=bool)
+        changed[at] = changed[at[at > 0] - 1] = True
+        # A symbol before a word's first has no pair, and so has none when looked up again.
+        symbols, word, found, changed = symbols[keep], word[keep], found[keep], np.flatnonzero(changed[keep])
+        found[changed] = pairs(changed)
+    word, tokens = np.concatenate([w for w, _ in done]), np.concatenate([s for _, s in done])
+    order = np.argsort(word, kind="stable")
+    return tokens[order], np.cumsum(np.bincount(word, minlength=len(words)))

@@ -14,15 +14,20 @@ import functools
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import batched
+from itertools import batched, chain, groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Vocabulary, merge, merged_short, vocabulary
+from .bpe import Vocabulary, merge, merged_many, merged_short, vocabulary
 from .shared import text_or_empty
-from .token_counts import KEPT_LENGTH, SHORT, Kept
+from .token_counts import KEPT_LENGTH, KEPT_WORDS, SHORT, Kept
+
+#: Characters of a text, or of several, whose chunks are looked up together.
+LOT = 1 << 18
+
 
 @functools.lru_cache(maxsize=4)
 def sufficient_lookahead(path: str) -> int:
@@ -161,27 +166,115 @@ class TextDecoder:
 
 class LibraryDecoder:
     """Ids to what the library's decode gives, in UTF-8, a few at a time. A file without a decoder entry has its token
-    strings parted by spaces: the state is whether a space is due. What frequent short runs of ids give is kept."""
+    strings parted by spaces: the state is whether a space is due."""
 
-    def __init__(self, v: Vocabulary, kept: dict[bytes, bytes]):
+    def __init__(self, v: Vocabulary):
         if v.decoder is not None:
             raise ValueError("only vocabulary files without a decoder entry are known")
-        self.kept, self.due = kept, False
+        self.due = False
 
-    def feed(self, runs: Iterable[bytes]) -> bytes:
-        """Runs of ids as the encoder emits them, 4 bytes each."""
-        out = b" ".join(map(self.kept.__getitem__, filter(None, runs)))
-        if not out:
-            return out
+    def feed(self, strings: bytes) -> bytes:
+        """The strings of some ids, parted by spaces."""
+        if not strings:
+            return strings
         due, self.due = self.due, True
-        return b" " + out if due else out
+        return b" " + strings if due else strings
+
+
+class Digester:
+    """Digests of the ids of texts and of what they decode to. Texts are read in lots of pieces; the chunks of a lot that are
+    not kept are merged in step, and of each chunk its ids and their strings are kept. Beyond KEPT_WORDS only those of the
+    last lot are kept on."""
+
+    def __init__(self, path: str):
+        self.encoder = encoder(path)
+        self.v = self.encoder.v
+        # Two tables of bytes, which the garbage collector has not to look through as it would a table of pairs.
+        self.ids: dict[str, bytes] = {}
+        self.strings: dict[str, bytes] = {}
+        self.lengths = np.array([len(x.encode("utf-8")) for x in self.v.strings])
+
+    def _learn(self, chunks: set[str]) -> None:
+        words, apart, ids, strings = set(), {}, self.ids, self.strings
+        for chunk in chunks.difference(ids):
+            # Letters of old alphabets are the same in all databases.
+            known = chunk.isascii() or max(chunk) < "\u0500"
+            if known and chunk.isalpha():
+                words.add(chunk)
+                continue
+            if known and chunk[:-1].isalpha() and chunk[-1] in ".,":
+                own = [chunk[:-1], chunk[-1]]
+            else:
+                own = (self.v.ascii_words if chunk.isascii() else self.v.words).findall(chunk)
+            words.update(own)
+            if len(own) != 1 or own[0] != chunk:
+                apart[chunk] = own
+        new = list(words.difference(ids))
+        tokens, ends = merged_many(new, self.v)
+        data, begin = tokens.astype("<u4").tobytes(), [0, *(4 * ends).tolist()]
+        ids.update(zip(new, (data[i:j] for i, j in zip(begin, begin[1:]))))
+        # Of the strings of all tokens, parted by spaces, a word's are one stretch.
+        data = " ".join(map(self.v.strings.__getitem__, tokens.tolist())).encode("utf-8")
+        begin = [0, *np.cumsum(self.lengths[tokens] + 1)[ends - 1].tolist()]
+        strings.update(zip(new, (data[i : j - 1] for i, j in zip(begin, begin[1:]))))
+        for chunk, own in apart.items():
+            ids[chunk], strings[chunk] = self._joined(own)
+
+    def _joined(self, chunks: Iterable[str]) -> tuple[bytes, bytes]:
+        return b"".join(map(self.ids.__getitem__, chunks)), b" ".join(filter(None, map(self.strings.__getitem__, chunks)))
+
+    def _runs(self, special: bool, part: str | list[str], long: set[str]) -> Iterator[tuple[bytes, bytes]]:
+        if special:
+            yield array("I", [self.v.special[part]]).tobytes(), part.encode("utf-8")
+        elif not long or long.isdisjoint(part):
+            yield self._joined(part)
+        else:
+            for apart, some in groupby(part, long.__contains__):
+                if not apart:
+                    yield self._joined(list(some))
+                    continue
+                for ids in chain.from_iterable(map(self.encoder._long, some)):
+                    yield ids, " ".join(map(self.v.strings.__getitem__, array("I", ids))).encode("utf-8")
+
+    def _lots(self, texts: Iterable[str]) -> Iterator[list[tuple[bool, str | list[str]] | None]]:
+        """Special strings and the chunks between them; None at a text's end."""
+        lot, size = [], 0
+        for text in texts:
+            for piece in self.v.pieces(text):
+                lot += [(special, part if special else part.replace("\n", " ").split(" ")) for special, part in self.v.segments(piece)]
+                size += len(piece)
+                if size >= LOT:
+                    yield lot
+                    lot, size = [], 0
+            lot.append(None)
+        yield lot
+
+    def digests(self, texts: Iterable[str]) -> Iterator[tuple[int, str, str]]:
+        """(n_tokens, ids_sha256, decoded_sha256) of each text."""
+        begun = lambda: (0, hashlib.sha256(), hashlib.sha256(), LibraryDecoder(self.v))
+        n, ids_sha, text_sha, decoder = begun()
+        for lot in self._lots(texts):
+            chunks = set().union(*(x[1] for x in lot if x is not None and not x[0]))
+            long = {c for c in chunks if len(c) > KEPT_LENGTH}
+            chunks -= long
+            self._learn(chunks)
+            for x in lot:
+                if x is None:
+                    yield n, ids_sha.hexdigest(), text_sha.hexdigest()
+                    n, ids_sha, text_sha, decoder = begun()
+                    continue
+                for ids, strings in self._runs(*x, long):
+                    n += len(ids) // 4
+                    ids_sha.update(ids)
+                    text_sha.update(decoder.feed(strings))
+            if len(self.ids) > KEPT_WORDS:
+                self.ids, self.strings = ({c: kept[c] for c in chunks} for kept in (self.ids, self.strings))
 
 
 @functools.lru_cache(maxsize=4)
-def token_runs(path: str) -> dict[bytes, bytes]:
-    """What runs of ids stand for; one in each Python process."""
-    strings = vocabulary(path).strings
-    return Kept(lambda ids: " ".join(map(strings.__getitem__, array("I", ids))).encode("utf-8"))
+def digester(path: str) -> Digester:
+    """One in each Python process."""
+    return Digester(path)
 
 
 def decode(ids: Iterable[int], v: Vocabulary) -> str:
@@ -217,24 +310,15 @@ def encode_digests(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id"
     """keep columns + (n_tokens, ids_sha256, decoded_sha256) for each row of docs(text, ...), repeated rows included.
 
     ids_sha256 is over the ids as little-endian unsigned 32-bit integers; decoded_sha256 over what LibraryDecoder gives
-    for them. The ids go from the encoder to both digests and the decoder as they come, and none are gathered; of a
-    text no more than the row itself and one piece is held. Null texts count as empty: no tokens, digests of nothing.
+    for them. The ids go to both digests and the decoder as they come, and none are gathered; of a text no more than the
+    row itself and one lot of pieces is held. Null texts count as empty: no tokens, digests of nothing.
     Special strings inside a text become their id. An empty table gives no rows.
     """
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own, kept = encoder(path), token_runs(path)
+        own = digester(path)
         for texts in batches:
-            rows = []
-            for t in texts:
-                n, ids_sha, text_sha, decoder = 0, hashlib.sha256(), hashlib.sha256(), LibraryDecoder(own.v, kept)
-                for some in batched(own.encode(t), 1024):
-                    ids = b"".join(some)
-                    ids_sha.update(ids)
-                    text_sha.update(decoder.feed(some))
-                    n += len(ids) // 4
-                rows.append((n, ids_sha.hexdigest(), text_sha.hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pd.DataFrame(own.digests(texts), columns=["n_tokens", "ids_sha256", "decoded_sha256"]).astype({"n_tokens": "int64"})
 
     return docs.select(*keep, digest(text_or_empty()).alias("d")).select(*keep, "d.*")
