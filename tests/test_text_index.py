@@ -57,3 +57,15 @@ def test_copies_of_a_text_are_redacted_once(spark, monkeypatch):
     assert met == [3] and len(shown) == 300 and all(shown[i] == ("mail [EMAIL_1] and [PRIVATE_IP_1]", "nothing", None)[i % 3] for i in shown)
     back = {r["i"]: r["restored"] for r in X.restore(hidden.select("i", "redacted"), "i", "redacted", mapping).collect()}
     assert back == {i: texts[i % 3] for i in range(300)}
+
+
+def test_pieces_of_a_block(monkeypatch):
+    """The pieces of many texts side by side are those of each by itself; none reaches over an end, whatever the lots."""
+    from tracehound.operators import text_index as T
+
+    rng = random.Random(8)
+    texts = ["", "q", "wxyz", *("".join(rng.choice("ab\0é\U0001f600") for _ in range(rng.randint(0, 12))) for _ in range(50)), "", "x", "xy", "vwxyz"]
+    want = sorted({p for t in texts for p in pieces_of(t)})
+    for lot in (1 << 20, 7, 1):
+        monkeypatch.setattr(T, "LOT", lot)
+        assert sorted(T._distinct(texts)) == want and T._distinct([]) == T._distinct(["", "ab", "c"]) == []

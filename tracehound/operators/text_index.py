@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +15,8 @@ from tracehound.sources.staging import shared_folder
 
 BLOCK, GRAM = 3, "__gram"
 _BLOCK = "__block"
+#: Characters whose pieces are sorted at once.
+LOT = 1 << 20
 
 
 def trigrams(text: Column) -> Column:
@@ -24,6 +30,43 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.transform(beside, lambda z: F.concat(*[z[f"c{k}"] for k in range(BLOCK)])))
 
 
+def _distinct(texts: list[str]) -> list[str]:
+    """The different pieces of some texts, which are read side by side as numbers, LOT characters at a time."""
+    at, found = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32), []
+    # A piece that reaches over a text's end is none.
+    whole = np.ones(len(at) + BLOCK, dtype=bool)
+    ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+    for k in range(1, BLOCK):
+        whole[ends[ends >= k] - k] = False
+    for low in range(0, len(at) - BLOCK + 1, LOT):
+        some = at[low : low + LOT + BLOCK - 1].astype(np.int64)
+        n = len(some) - BLOCK + 1
+        found.append(np.unique((some[:n] << 42 | some[1 : n + 1] << 21 | some[2:])[whole[low : low + n]]))
+    keys = np.unique(np.concatenate(found)) if found else np.empty(0, dtype=np.int64)
+    characters = np.stack([keys >> 42, keys >> 21 & 0x1FFFFF, keys & 0x1FFFFF], axis=1).astype("<u4").tobytes().decode("utf-32-le")
+    return [characters[i : i + BLOCK] for i in range(0, len(characters), BLOCK)]
+
+
+def _block_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(trigram, block) of rows(text, block): the different ones of some rows of a block at a time."""
+    for batch in batches:
+        rows = zip(batch.column(1).to_pylist(), batch.column(0))
+        for block, own in groupby(rows, lambda row: row[0]):
+            texts, size = [], 0
+            for text in (row[1].as_py() for row in own):
+                texts.append(text or "")
+                size += len(texts[-1])
+                if size >= LOT:
+                    yield _of_block(texts, block)
+                    texts, size = [], 0
+            yield _of_block(texts, block)
+
+
+def _of_block(texts: list[str], block: int) -> pa.RecordBatch:
+    found = _distinct(texts)
+    return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([block] * len(found), pa.int32())], names=[GRAM, _BLOCK])
+
+
 def pieces_of(text: str) -> list[str]:
     low = text.lower()
     return sorted({low[i : i + BLOCK] for i in range(len(low) - BLOCK + 1)})
@@ -48,7 +91,7 @@ class TextIndex:
         placed = rows.withColumn("__text", F.lower(text)).withColumn(_BLOCK, F.pmod(F.xxhash64("__text"), F.lit(blocks)).cast("int"))
         placed.write.partitionBy(_BLOCK).parquet(f"{path}/rows")
         spark = rows.sparkSession
-        grams = spark.read.parquet(f"{path}/rows").select(F.explode(trigrams(F.col("__text"))).alias(GRAM), _BLOCK).distinct()
+        grams = spark.read.parquet(f"{path}/rows").select("__text", _BLOCK).mapInArrow(_block_trigrams, f"{GRAM} string, {_BLOCK} int").distinct()
         # In order of the trigram, so that a search's filter skips all but a few row groups.
         grams.repartitionByRange(GRAM).sortWithinPartitions(GRAM).write.parquet(f"{path}/grams")
         return TextIndex(spark, path, "__text")
