@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,3 +100,30 @@ def literal_hits(texts: list[Column], literals: list[Literal], numbers: list[Col
     if not literals:
         return F.struct(F.array().cast("array<int>").alias("ids"), F.array(F.lit(0).cast("bigint")).alias("bits"))
     return find(F.array(*texts).cast("array<string>"), F.array(*(numbers or [])).cast("array<double>"))
+
+
+@lru_cache(maxsize=64)
+def _held(groups: tuple[tuple[str, ...], ...]):
+    """The function of groups_held(); the same one for the same groups, so that a plan that asks twice runs it once."""
+
+    @F.arrow_udf("array<int>")
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        leads: dict[str, list[int]] = {}
+        for i, literals in enumerate(groups):
+            for literal in literals:
+                leads.setdefault(literal, []).append(i)
+        automaton = ahocorasick.Automaton()
+        for literal, led in leads.items():
+            automaton.add_word(literal, led)
+        automaton.make_automaton()
+        for texts in batches:
+            # One text at a time, so that no more of a batch than its Arrow form is held.
+            found = (sorted({i for _, led in automaton.iter(text.as_py().lower()) for i in led}) if text.is_valid else () for text in texts)
+            yield pa.array(found, pa.list_(pa.int32()), size=len(texts))
+
+    return find
+
+
+def groups_held(text: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
+    """array<int>: the groups of lower-case literals, by number and in order, of which a text holds one at least, in any case."""
+    return _held(groups)(text)
