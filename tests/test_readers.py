@@ -103,3 +103,22 @@ def test_a_path_is_read_once_for_each_list(spark):
 
     assert {r["p"]: r["ok"] for r in df.collect()} == {p: plain(p) for p in paths}
     assert df._jdf.queryExecution().analyzed().toString().count("lower(") <= 3
+
+
+def test_a_split_is_many_slices(spark, tmp_path, small_splits, monkeypatch):
+    from tracehound.sources import json_objects as J
+
+    monkeypatch.setattr(J, "SLICE_CHUNKS", 5)
+    rng = random.Random(5)
+    for name in ("a", "b"):
+        items = [{"i": i, "v": value(rng)} for i in range(300)]
+        (tmp_path / f"{name}.json").write_text(json.dumps(items, ensure_ascii=False))
+        (tmp_path / f"{name}_lines.json").write_text("".join(json.dumps({"i": i}) + "\n" for i in range(40)))
+    chunks = J._chunks(spark, str(tmp_path), "*.json")
+    assert chunks.groupBy("source_file", "block", J.SLICE).count().agg(F.max("count")).first()[0] <= 5
+    # Slices are in the order of the splits.
+    assert chunks.groupBy("source_file", J.SLICE).agg(F.count_distinct("block").alias("n")).filter("n > 1").isEmpty()
+    got = {}
+    for r in collection.read_json(spark, str(tmp_path)).collect():
+        got.setdefault(r["artifact"], {})[r["row_index"]] = int(r["row"]["i"])
+    assert got == {n: {i: i for i in range(k)} for n, k in (("a", 300), ("b", 300), ("a_lines", 40), ("b_lines", 40))}

@@ -28,15 +28,25 @@ def _count(text: Column, character: str) -> Column:
     return (F.char_length(text) - F.char_length(F.replace(text, F.lit(character), F.lit("")))).cast("long")
 
 
+#: Chunks of a split that make a slice, which one task puts in order.
+SLICE_CHUNKS = 100_000
+
+
 def _chunks(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """(source_file, __slice, at, value, quotes, opens, opens_inside): braces that a chunk opens, if it begins outside a
-    string and inside one."""
+    """(source_file, block, __slice, at, value, quotes, opens, opens_inside): braces that a chunk opens, if it begins outside
+    a string and inside one. A split, told by its start, is slices of so many chunks, numbered on from there: a
+    chunk is a byte at least, so no number reaches the start of the next split."""
     read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "}").text(path)
-    rows = read.select("value", file_name().alias("source_file"), F.col("_metadata.file_block_start").alias(SLICE), F.monotonically_increasing_id().alias("at"))
-    plain = F.regexp_replace("value", r"(?s)\\.", "")
-    outside = lambda text: F.regexp_replace(text, _STRING, "")
-    rows = rows.select("*", plain.alias("plain"))
-    return rows.select("source_file", SLICE, "at", "value", _count(F.col("plain"), '"').alias("quotes"), _count(outside(F.col("plain")), "{").alias("opens"), _count(outside(F.regexp_replace("plain", r'^[^"]*+("|\z)', "")), "{").alias("opens_inside"))
+    rows = read.select("value", file_name().alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    # The lower bits of the number are the chunk's place in its task.
+    piece = F.floor(F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) / SLICE_CHUNKS)
+    plain = F.when(F.contains("value", F.lit("\\")), F.regexp_replace("value", r"(?s)\\.", "")).otherwise(F.col("value"))
+    rows = rows.select("*", (F.col("block") + piece).alias(SLICE), plain.alias("plain"))
+    rows = rows.select("*", _count(F.col("plain"), "{").alias("braces"))
+    # A brace is outside strings either if the chunk begins outside one or if it begins inside one.
+    opens = F.when(F.col("braces") == 0, 0).otherwise(_count(F.regexp_replace("plain", _STRING, ""), "{"))
+    rows = rows.select("source_file", "block", SLICE, "at", "value", _count(F.col("plain"), '"').alias("quotes"), opens.alias("opens"), "braces")
+    return rows.withColumn("opens_inside", F.col("braces") - F.col("opens")).drop("braces")
 
 
 def json_objects(spark: SparkSession, path: str, pattern: str = "*.json") -> tuple[DataFrame, DataFrame]:
@@ -55,13 +65,13 @@ def json_objects(spark: SparkSession, path: str, pattern: str = "*.json") -> tup
     rows = rows.withColumn("inside", inside).withColumn("opened", F.when(inside, F.col("opens_inside")).otherwise(F.col("opens")))
     closed = (F.col("before") + F.col("quotes")) % 2 == 0
     rows = rows.withColumn("step", F.col("opened") - closed.cast("long")).withColumn("closed", closed)
-    rows = staged(running(rows, keys, order, {"depth": ("sum", F.col("step"))}, own=False, sent=False).select(*keys, SLICE, "at", "value", "inside", "opened", "step", "closed", "depth"), "json-depths")
+    rows = staged(running(rows, keys, order, {"depth": ("sum", F.col("step"))}, own=False, sent=False).select(*keys, "block", SLICE, "at", "value", "inside", "opened", "step", "closed", "depth"), "json-depths")
     ends = F.col("closed") & (F.col("depth") + F.col("step") == 0) & ((F.col("depth") > 0) | (F.col("opened") > 0))
     rows = running(rows.withColumn("ends", ends), keys, order, {"element": ("sum", F.col("ends").cast("long"))}, own=False, sent=False)
     rows = staged(rows.filter("depth >= 0"), "json-elements")
     # Object a line: the file begins with a brace, and a second object begins on a line of its own.
     begins = lambda text: F.regexp_extract(text, r"^\uFEFF?\s*(\S)", 1) == "{"
-    first = rows.filter(F.col(SLICE) == 0).groupBy("source_file").agg(F.min_by("value", "at").alias("head")).filter(begins(F.col("head")))
+    first = rows.filter("block = 0").groupBy("source_file").agg(F.min_by("value", "at").alias("head")).filter(begins(F.col("head")))
     second = rows.filter("element = 1 and depth = 0").groupBy("source_file").agg(F.min_by("value", F.struct(SLICE, "at")).alias("next")).filter(F.col("next").rlike(r"\n[^\S\n]*\{"))
     by_line = staged(first.join(second, "source_file", "left_semi").select("source_file"), "json-by-line")
     rows = rows.join(by_line, "source_file", "left_anti").filter("depth > 0 or opened > 0")
