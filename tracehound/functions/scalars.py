@@ -28,9 +28,13 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def alias(row: Column, *names: str, keep_empty: bool = False) -> Column:
-    """The first of a map's fields that is there and not empty; the empty string if none is."""
-    values = [row[n] if keep_empty else F.nullif(row[n], F.lit("")) for n in names]
-    return F.coalesce(*values, F.lit(""))
+    """The first of a map's fields that is there and not empty; the empty string if none is.
+
+    The fields are looked up in an array, whose function is no part of generated code: a lookup is a loop there, and a
+    family's lookups would make one method that is too long for the JVM to compile.
+    """
+    held = F.filter(F.array(*[row[n] for n in names]), lambda v: v.isNotNull() if keep_empty else v != "")
+    return F.coalesce(F.get(held, 0), F.lit(""))
 
 
 def entropy(text: Column) -> Column:

@@ -125,12 +125,12 @@ def canonical(rows: DataFrame, family: str) -> DataFrame:
     if family == "process":
         out = out.withColumn("name", F.lower("name"))
     elif family == "network":
-        port = F.coalesce(F.col("remote_port").try_cast("int"), F.regexp_extract("remote", r":(\d+)$", 1).try_cast("int"))
+        port = F.coalesce(F.nullif("remote_port", F.lit("")).try_cast("int"), F.regexp_extract("remote", r":(\d+)$", 1).try_cast("int"))
         out = out.withColumns({"remote_port": port, "remote_ip": F.regexp_replace("remote", r":\d+$", "")})
     elif family == "event":
         out = out.withColumns({"event_id": F.col("event_id").try_cast("int"), "ts": parse_time(F.col("time")), "source_ip": F.nullif(F.regexp_extract(row_text(row), r"\b(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})\b", 1), F.lit(""))})
     elif family == "sysmon":
-        out = out.withColumns({"event_id": F.col("event_id").try_cast("int"), "port": F.col("DestinationPort").try_cast("int")})
+        out = out.withColumns({"event_id": F.col("event_id").try_cast("int"), "port": F.nullif("DestinationPort", F.lit("")).try_cast("int")})
     return out.withColumn("row_index", F.col("row_index").cast("long"))
 
 
