@@ -77,3 +77,15 @@ def test_few_rules_are_looked_at():
 def test_automaton():
     a = Automaton([Literal(0, "contains", 0, "he"), Literal(1, "contains", 0, "she"), Literal(2, "startswith", 0, "us"), Literal(3, "endswith", 0, "hers"), Literal(4, "equals", 1, "x"), Literal(5, "number", 0, 4.0)])
     assert a.find(["ushers", "x"], [4.0]) == [0, 1, 2, 3, 4, 5] and a.find([None, "xx"], [None]) == [] and a.find(["hers us", None], []) == [0]
+
+
+def test_hits_of_a_batch_and_texts_that_are_sent(spark):
+    from pyspark.sql import functions as F
+
+    from tracehound.functions.literals import literal_hits
+
+    df = spark.createDataFrame([(1, "xay", "b"), (2, None, None), (3, "bbb", "a"), (4, "", "")], "i int, used string, other string").coalesce(1)
+    hits = df.select("i", literal_hits([F.col("used"), F.col("other")], [Literal(0, "contains", 0, "a"), Literal(63, "contains", 0, "b"), Literal(64, "equals", 0, "xay"), Literal(130, "endswith", 0, "y")]).alias("h"))
+    assert {r["i"]: (r["h"]["ids"], r["h"]["bits"]) for r in hits.collect()} == {1: ([0, 64, 130], [1, 1, 4]), 2: ([], [0, 0, 0]), 3: ([63], [-(2**63), 0, 0]), 4: ([], [0, 0, 0])}
+    sent = next(line for line in hits._jdf.queryExecution().optimizedPlan().toString().split("\n") if "find(" in line)
+    assert "used#" in sent and "other#" not in sent

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,13 +67,6 @@ class Automaton:
 WORD = 64
 
 
-def _bits(ids: list[int], words: int) -> np.ndarray:
-    out = np.zeros(words, dtype=np.uint64)
-    at = np.array(ids, dtype=np.int64)
-    np.bitwise_or.at(out, at // WORD, np.uint64(1) << (at % WORD).astype(np.uint64))
-    return out.view(np.int64)
-
-
 def is_set(bits: Column, id_: Column) -> Column:
     """1 or 0: whether the bit of a number is set in array<bigint> bits."""
     word = F.get(bits, F.call_function("shiftright", id_, F.lit(6)))
@@ -90,15 +83,27 @@ def literal_hits(texts: list[Column], literals: list[Literal], numbers: list[Col
 
     words = 1 + max((x.id for x in literals), default=0) // WORD
 
-    @F.pandas_udf(HITS)
-    def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(HITS)
+    def find(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         automaton = Automaton(literals)
         for rows, values in batches:
-            found = [automaton.find(row, own) for row, own in zip(rows, values)]
-            yield pd.DataFrame({"ids": pd.Series(found, dtype=object), "bits": pd.Series([_bits(ids, words) for ids in found], dtype=object)})
+            # One row's texts at a time; what a batch has found is held as numbers side by side, not as objects.
+            ids, ends, bits = array("i"), array("i", [0]), np.zeros((len(rows), words), dtype=np.uint64)
+            for i, (row, own) in enumerate(zip(rows, values)):
+                found = automaton.find(row.as_py(), own.as_py())
+                ids.extend(found)
+                ends.append(len(ids))
+                at = np.array(found, dtype=np.int64)
+                np.bitwise_or.at(bits[i], at // WORD, np.uint64(1) << (at % WORD).astype(np.uint64))
+            places = np.arange(len(rows) + 1, dtype=np.int32) * words
+            lists = pa.ListArray.from_arrays(np.array(ends, dtype=np.int32), np.array(ids, dtype=np.int32)), pa.ListArray.from_arrays(places, bits.view(np.int64).ravel())
+            yield pa.StructArray.from_arrays(lists, names=["ids", "bits"])
 
     if not literals:
         return F.struct(F.array().cast("array<int>").alias("ids"), F.array(F.lit(0).cast("bigint")).alias("bits"))
+    # Texts that no literal is looked for in stay where they are.
+    used = {x.source for x in literals if x.kind != "number"}
+    texts = [text if source in used else F.lit(None) for source, text in enumerate(texts)]
     return find(F.array(*texts).cast("array<string>"), F.array(*(numbers or [])).cast("array<double>"))
 
 
